@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
     """The batches cut so that the named string column holds about `limit` bytes a piece."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
         piece = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(batch)] if len(batch) else []
         for a, b in zip(cuts, cuts[1:]):
@@ -93,7 +94,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts end to end and the n + 1 offsets; null counts as empty."""
-    col = pa.compute.fill_null(col.cast(pa.large_string()), "")
+    col = pc.fill_null(col.cast(pa.large_string()), "")
     offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
     raw = col.buffers()[2] if len(col) else None
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
