@@ -1,13 +1,14 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
 import corpus_pipeline
-from kmerloom.llm import host_rules, language_masks, mixing, piece_codec, quality_ranking, secrets
+from kmerloom.llm import host_rules, language_masks, mixing, piece_codec, quality_ranking, secrets, syncmers
 
 QUERIES = {
     "op1_quality_ranking": quality_ranking.op1_quality_ranking,
     "op3_language_masks": language_masks.op3_language_masks,
     "op6_host_rules": host_rules.op6_host_rules,
     "op7_secret_scans": secrets.op7_secret_scans,
+    "op8_syncmers": syncmers.op8_syncmers,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
