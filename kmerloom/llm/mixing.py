@@ -23,8 +23,6 @@ WEIGHTS = (5, 2, 1)
 TOTAL_SHARE, MAX_REPEAT = 1.5, 2
 #: Tokens of a block at most; smaller where the smallest share needs it.
 BLOCK = 4096
-#: Documents a piece when running sums are taken in two levels.
-PIECE = 4096
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -77,13 +75,15 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     shares = checkpointed(quota.withColumn("upto", F.sum("quota").over(order)))
     total = shares.agg(F.sum("quota")).first()[0] or 0
     spark = targets.sparkSession
+    # the line of shares is cut into equal cells, so that looking up a point is a join on its cell
+    width = max(1, total // (4 * max(1, shares.count())))
+    cells = shares.withColumn("cell", F.explode(F.sequence(F.floor((F.col("upto") - F.col("quota")) / width), F.floor((F.col("upto") - 1) / width))))
     points = spark.range(0, 2 * total).select(
         F.col("id").alias("slot"),
-        (F.col("id") * GOLDEN % 1.0 * total).alias("at"),
+        F.least(F.floor(F.col("id") * GOLDEN % 1.0 * total), F.lit(total - 1)).alias("at"),
         F.floor(F.col("id") / 65536).alias("stretch"),
     )
-    # shares has a row a source; the interval lookup is a range join on it
-    dealt = points.join(shares, (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("quota")))
+    dealt = points.withColumn("cell", F.floor(F.col("at") / width)).join(cells, "cell").where("at < upto AND at >= upto - quota").drop("cell")
     inside = W.partitionBy("source", "stretch").orderBy("slot")
     counts = dealt.groupBy("source", "stretch").agg(F.count("*").alias("n"))
     base = counts.select(
@@ -107,9 +107,11 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
 
 
 def placed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """docs plus start: tokens of its source before it, in the seeded order. Sums run over pieces, then inside each."""
-    n = docs.count()
-    pieces = max(1, n // PIECE)
+    """docs plus start: tokens of its source before it, in the seeded order.
+
+    Sums run over pieces of the hash range first and then inside each; there are as many pieces as documents in one.
+    """
+    pieces = max(1, math.isqrt(docs.count()))
     h = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id"), F.col("size")).cast("binary"))
     # the leading hex digits of the hash, so pieces follow the order
     part = F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * pieces / 2**32)
