@@ -1,11 +1,12 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
 import corpus_pipeline
-from kmerloom.llm import host_rules, language_masks, mixing, near_dup, piece_codec, quality_ranking, secrets, syncmers
+from kmerloom.llm import host_rules, language_masks, mixing, near_dup, piece_codec, quality_ranking, secrets, shared_strings, syncmers
 
 QUERIES = {
     "op1_quality_ranking": quality_ranking.op1_quality_ranking,
     "op3_language_masks": language_masks.op3_language_masks,
+    "op4_shared_strings": shared_strings.op4_shared_strings,
     "op5_near_duplicates": near_dup.op5_near_duplicates,
     "op6_host_rules": host_rules.op6_host_rules,
     "op7_secret_scans": secrets.op7_secret_scans,
