@@ -1,10 +1,11 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
 import corpus_pipeline
-from kmerloom.llm import host_rules, language_masks, mixing, near_dup, piece_codec, quality_ranking, secrets, shared_strings, syncmers
+from kmerloom.llm import host_rules, language_masks, mixing, near_dup, piece_codec, quality_ranking, secrets, shared_strings, syncmers, warc
 
 QUERIES = {
     "op1_quality_ranking": quality_ranking.op1_quality_ranking,
+    "op2_warc": warc.op2_warc,
     "op3_language_masks": language_masks.op3_language_masks,
     "op4_shared_strings": shared_strings.op4_shared_strings,
     "op5_near_duplicates": near_dup.op5_near_duplicates,
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_syncmers": syncmers.op8_syncmers,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {"op6_host_rules": host_rules.OP6_SQL, "op10_mix_sources": mixing.OP10_SQL}
+ORACLE = {"op2_warc": warc.OP2_SQL, "op6_host_rules": host_rules.OP6_SQL, "op10_mix_sources": mixing.OP10_SQL}

@@ -35,7 +35,7 @@ MORE_RULES = (
 )
 KINDS = [k for k, *_ in BASE_RULES + MORE_RULES]
 
-FINDINGS = "blob string, rule_version int, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+FINDINGS = "blob string, rule_version int, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, cuts string"
 
 
 def find_spans(text: str, rules=BASE_RULES + MORE_RULES) -> list[tuple[int, int, str]]:
@@ -50,6 +50,17 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
+def disjoint(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Overlapping spans joined, under the kind of the first."""
+    out: list[tuple[int, int, str]] = []
+    for a, b, kind in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2])
+        else:
+            out.append((a, b, kind))
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base = {k for k, *_ in BASE_RULES}
     for batch in batches:
@@ -58,9 +69,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = find_spans(text or "")
             own = [s for s in spans if s[2] in base]
             n = [sum(s[2] == k for s in own) for k in ("assign", "access", "hex")]
-            out.append((blob, version, *n, hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(spans)))
-        cols = list(zip(*out)) if out else [()] * 7
-        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            out.append((blob, version, *n, hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(spans), _joined(disjoint(spans))))
+        cols = list(zip(*out)) if out else [()] * 8
+        types = [pa.string(), pa.int32(), *[pa.int64()] * 3, *[pa.string()] * 3]
         names = [f.split()[0] for f in FINDINGS.split(", ")]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names)
 
@@ -93,27 +104,17 @@ def findings(paths: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSI
     return paths.join(ledger.where(F.col("rule_version") == rule_version).drop("rule_version"), "blob")
 
 
-def redacted(docs: DataFrame, ledger: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every found span replaced by its kind in brackets; the columns stay as they were."""
-
-    @F.udf("string")
-    def cut(value: str, spans: str) -> str:
-        if not spans or value is None:
-            return value
-        out, at = [], 0
-        for x in spans.split(","):
-            kind, a, b = x.split(":")
-            a, b = int(a), int(b)
-            if b <= at:
-                continue
-            out += [value[at : max(a, at)], f"[{kind}]"]
-            at = b
-        return "".join([*out, value[at:]])
-
-    joined = findings(addressed(docs, text), ledger.where("spans <> ''").select("blob", "rule_version", "spans"))
-    dirty = joined.select(*(cut(F.col(c), F.col("spans")).alias(c) if c == text else F.col(c) for c in docs.columns))
-    clean = addressed(docs, text).join(ledger.where("spans <> ''").select("blob"), "blob", "left_anti").select(*docs.columns)
-    return clean.unionByName(dirty)
+def redacted(docs: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION, text: str = "text") -> DataFrame:
+    """docs with every found span replaced by its kind in brackets, from the last to the first; no other change."""
+    dirty = ledger.where((F.col("rule_version") == rule_version) & (F.col("cuts") != "")).select(F.col("blob").alias("_blob"), F.split("cuts", ",").alias("_cuts"))
+
+    def cut(value, span):
+        kind, a, b = (F.split(span, ":")[i] for i in range(3))
+        return F.overlay(value, F.concat(F.lit("["), kind, F.lit("]")), a.cast("int") + 1, b.cast("int") - a.cast("int"))
+
+    joined = addressed(docs, text).join(dirty, F.col("blob") == F.col("_blob"), "left")
+    clean = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.aggregate(F.reverse("_cuts"), F.col(text), cut))
+    return joined.select(*(clean.alias(c) if c == text else F.col(c) for c in docs.columns))
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
