@@ -1,4 +1,514 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries over the driver's tables, each with its twin in SQL.
+
+Experiments are documents.source, sequences follow from texts by the letters-to-bases rule, and queries are the
+benchmark passages. Every query runs over its whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from kmerloom.functions.kmers import BASES, LETTERS, positions
+from kmerloom.operators import filters, minhash, query, tree
+from kmerloom.plans.spec import HashSpec
+from kmerloom.sources.formats import queries_of, reads_of
+
+K = 20
+SPEC = HashSpec(k=K, nh=1, m=1 << 20)
+TWO = HashSpec(k=K, nh=2, m=1 << 20)
+SMALL = HashSpec(k=K, nh=1, m=1 << 16)
+SLOTS = 16
+THETA = 0.9
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+# ---------------------------------------------------------------- SQL pieces
+
+_SEQ = f"regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g')"
+_CANON = "least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA')))"
+_H0 = "('0x' || substr(md5(kmer), 1, 15))::BIGINT"
+_H1 = "('0x' || substr(md5(kmer), 16, 15))::BIGINT"
+
+_COUNTS = f"""
+seqs AS (SELECT source AS exp_id, {_SEQ} AS seq FROM documents WHERE source IS NOT NULL),
+counts AS (SELECT exp_id, {_CANON} AS kmer, count(*)::BIGINT AS n FROM
+  (SELECT exp_id, substr(seq, i, {K}) AS kmer FROM (SELECT exp_id, seq, unnest(range(1, length(seq) - {K - 2})) AS i FROM seqs)) GROUP BY ALL)"""
+
+
+def _bits(m: int, nh: int = 1, cutoff: int = 1) -> str:
+    return _COUNTS + f""",
+bits AS (SELECT DISTINCT exp_id, ({_H0} % {m} + CASE WHEN i = 0 THEN 0 ELSE i * ({_H1} % {m}) END) % {m} AS pos FROM counts, range(0, {nh}) r(i) WHERE n >= {cutoff})"""
+
+
+_WORDS = _bits(SMALL.m) + """,
+words AS (SELECT exp_id, (pos // 64)::INT AS word_idx, bit_or(CASE WHEN pos % 64 = 63 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (pos % 64)::INT END) AS word FROM bits GROUP BY ALL)"""
+
+_QK = f"""
+qseq AS (SELECT item_id AS query_id, {_SEQ} AS seq FROM benchmark WHERE text IS NOT NULL),
+qraw AS (SELECT query_id, kmer, min(i) AS i FROM (SELECT query_id, substr(seq, i, {K}) AS kmer, i FROM (SELECT query_id, seq, unnest(range(1, length(seq) - {K - 2})) AS i FROM qseq)) GROUP BY ALL),
+qk AS (SELECT query_id, {_CANON} AS kmer, (row_number() OVER (PARTITION BY query_id ORDER BY i) - 1)::INT AS ord FROM qraw)"""
+
+_HITS = f"""
+hits AS (SELECT query_id, exp_id, count(*)::BIGINT AS hits FROM qk JOIN counts USING (kmer) GROUP BY ALL),
+totals AS (SELECT query_id, count(*)::BIGINT AS total FROM qk GROUP BY 1)"""
+
+
+def _passes(theta: float = THETA, op: str = ">=") -> str:
+    return f"hits::FLOAT {op} total::FLOAT * {theta}::FLOAT"
+
+
+_NAMES = "names AS (SELECT exp_id, (row_number() OVER (ORDER BY exp_id) - 1)::INT AS r FROM (SELECT DISTINCT exp_id FROM bits))"
+_TREE = f""",
+{_NAMES},
+rec(lo, hi, plo, phi, ix, depth) AS (
+  SELECT 0, (SELECT count(*)::INT FROM names), NULL::INT, NULL::INT, NULL::INT, 0
+  UNION ALL
+  SELECT CASE c WHEN 0 THEN lo ELSE lo + (hi - lo + 1) // 2 END, CASE c WHEN 0 THEN lo + (hi - lo + 1) // 2 ELSE hi END, lo, hi, c, depth + 1
+  FROM rec, (VALUES (0), (1)) v(c) WHERE hi - lo > 1),
+tree AS (SELECT CASE WHEN hi - lo = 1 THEN (SELECT exp_id FROM names WHERE r = lo) ELSE lo || '_' || hi END AS node_id,
+  CASE WHEN plo IS NOT NULL THEN plo || '_' || phi END AS parent_id, ix AS child_ix, depth,
+  (row_number() OVER (ORDER BY lo, depth) - 1)::INT AS preorder, hi - lo = 1 AS is_leaf, lo, hi FROM rec),
+below AS (SELECT node_id, parent_id, exp_id, hi - lo AS n FROM tree JOIN names ON r >= lo AND r < hi)"""
+
+_NODES = _TREE + """,
+cnt AS (SELECT node_id, any_value(parent_id) AS parent_id, pos, count(*) = any_value(n) AS full_ FROM bits JOIN below USING (exp_id) GROUP BY node_id, pos),
+nodes AS (SELECT c.node_id, c.pos, 'sim' AS kind FROM cnt c LEFT JOIN cnt p ON c.parent_id = p.node_id AND c.pos = p.pos AND p.full_ WHERE c.full_ AND p.pos IS NULL
+  UNION ALL SELECT node_id, pos, 'dif' FROM cnt WHERE NOT full_)"""
+
+
+def _with(body: str, tail: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' * recursive}{body.lstrip().lstrip(',')}\n{tail}"
+
+
+# ---------------------------------------------------------------- Spark pieces
+
+
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    return reads_of(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def _queries(spark: SparkSession, d: str, theta: float = THETA) -> DataFrame:
+    return queries_of(spark.read.parquet(f"{d}/benchmark.parquet"), theta=theta)
+
+
+def _kmers(spark: SparkSession, d: str) -> DataFrame:
+    return filters.solid_kmers(_reads(spark, d), K, 1)
+
+
+def _filter(spark: SparkSession, d: str, spec: HashSpec = SPEC) -> DataFrame:
+    return filters.filter_bits(_reads(spark, d), spec, 1)
+
+
+def _index(spark: SparkSession, d: str, spec: HashSpec = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(tree, bits) of the balanced topology. The bits are cached: the names come from them first."""
+    bits = _filter(spark, d, spec).persist()
+    return tree.tree_table(spark, tree.balanced(tree.experiments(bits))), bits
+
+
+def query_of(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+# ---------------------------------------------------------------- k-mers and counting
+
+
+@query_of(_with(_QK, "SELECT query_id, kmer, (i - 1)::INT AS place FROM qraw"))
+def kmers_distinct(spark, d):
+    from kmerloom.functions.kmers import windows
+
+    w = windows(_queries(spark, d).select("query_id", "seq"), "seq", K, "kmer", "place")
+    return w.groupBy("query_id", "kmer").agg(F.min("place").cast("int").alias("place"))
+
+
+@query_of(_with(_QK, "SELECT query_id, kmer, ord FROM qk"))
+def kmers_canonical(spark, d):
+    return query.query_kmers(_queries(spark, d), K)
+
+
+@query_of(_with(_COUNTS, "SELECT exp_id, n, count(*)::BIGINT AS kmers FROM counts GROUP BY ALL"))
+def kmer_counts(spark, d):
+    return filters.kmer_counts(_reads(spark, d), K).groupBy("exp_id", "n").agg(F.count("*").alias("kmers"))
+
+
+@query_of(_with(_COUNTS, "SELECT exp_id, kmer, n FROM counts WHERE n >= 3"))
+def kmer_cutoff(spark, d):
+    return filters.solid_kmers(_reads(spark, d), K, 3)
+
+
+@query_of(_with(_QK, f"SELECT query_id, ord, i::INT AS i, ({_H0} % {TWO.m} + i * ({_H1} % {TWO.m})) % {TWO.m} AS pos FROM qk, range(0, 2) r(i)"))
+def kmer_positions(spark, d):
+    return query.query_kmers(_queries(spark, d), K).select("query_id", "ord", F.posexplode(positions(F.col("kmer"), TWO)).alias("i", "pos"))
+
+
+# ---------------------------------------------------------------- filters
+
+
+@query_of(_with(_bits(TWO.m, 2, 3), "SELECT exp_id, count(*)::BIGINT AS ones FROM bits GROUP BY 1"))
+def filter_ones(spark, d):
+    return filters.filter_bits(_reads(spark, d), TWO, 3).groupBy("exp_id").agg(F.count("*").alias("ones"))
+
+
+@query_of(_with(_WORDS, "SELECT exp_id, word_idx, word FROM words"))
+def filter_words(spark, d):
+    return filters.packed(_filter(spark, d, SMALL))
+
+
+def _combined(how: str):
+    op = {"union": "x | y", "intersect": "x & y", "xor": "xor(x, y)"}[how]
+    sql = _with(
+        _WORDS,
+        f"""SELECT * FROM (SELECT word_idx, {op} AS word FROM (SELECT word_idx, coalesce(max(CASE WHEN exp_id = 'src0' THEN word END), 0) AS x,
+coalesce(max(CASE WHEN exp_id = 'src1' THEN word END), 0) AS y FROM words WHERE exp_id IN ('src0', 'src1') GROUP BY 1)) WHERE word <> 0""",
+    )
+
+    def run(spark, d):
+        return filters.combined(filters.packed(_filter(spark, d, SMALL)), "src0", "src1", how)
+
+    run.__name__ = f"filter_{how}"
+    query_of(sql)(run)
+
+
+for _how in ("union", "intersect", "xor"):
+    _combined(_how)
+
+_PAIRS = """,
+ones AS (SELECT exp_id, count(*) AS n FROM bits GROUP BY 1),
+common AS (SELECT x.exp_id AS a, y.exp_id AS b, count(*) AS n12 FROM bits x JOIN bits y USING (pos) WHERE x.exp_id < y.exp_id GROUP BY ALL),
+pairs AS (SELECT x.exp_id AS a, y.exp_id AS b, coalesce(n12, 0)::BIGINT AS n12, (x.n + y.n - coalesce(n12, 0))::BIGINT AS n_or
+  FROM ones x JOIN ones y ON x.exp_id < y.exp_id LEFT JOIN common c ON c.a = x.exp_id AND c.b = y.exp_id)"""
+
+
+@query_of(_with(_bits(SPEC.m) + _PAIRS, f"SELECT a, b, n12, n_or, ({SPEC.m} - (n_or - n12))::BIGINT AS sim FROM pairs"))
+def similarity_hamming(spark, d):
+    return filters.similarity(_filter(spark, d), SPEC.m, 0)
+
+
+@query_of(_with(_bits(SPEC.m) + _PAIRS, f"SELECT a, b, n12, n_or, floor((n12::FLOAT / n_or::FLOAT)::FLOAT * {SPEC.m}::FLOAT)::BIGINT AS sim FROM pairs"))
+def similarity_jaccard(spark, d):
+    return filters.similarity(_filter(spark, d), SPEC.m, 1)
+
+
+_SIBLINGS = """,
+sib AS (SELECT x.node_id AS a, y.node_id AS b FROM tree x JOIN tree y ON x.parent_id = y.parent_id AND x.child_ix = 0 AND y.child_ix = 1),
+flags AS (SELECT a, b, pos, max((s = 1 AND kind = 'sim')::INT) AS s1, max((s = 2 AND kind = 'sim')::INT) AS s2, max((s = 1 AND kind = 'dif')::INT) AS d1, max((s = 2 AND kind = 'dif')::INT) AS d2
+  FROM (SELECT a, b, a AS node_id, 1 AS s FROM sib UNION ALL SELECT a, b, b, 2 FROM sib) JOIN nodes USING (node_id) GROUP BY ALL),
+sums AS (SELECT a, b, sum(s1 * s2) AS c, sum(d1 * s2) AS ds, sum((d1 <> s2)::INT) AS rest, sum((s1 <> s2 OR d1 <> d2)::INT) AS differ FROM flags GROUP BY ALL)"""
+
+
+def _split(kind: int, name: str):
+    m = SMALL.m
+    sim = {2: f"CASE WHEN c > 0 THEN c * {m} ELSE {m} - rest END", 3: "c + ds", -1: f"{m} - differ"}[kind]
+
+    def run(spark, d):
+        t, bits = _index(spark, d)
+        kids = t.where("parent_id IS NOT NULL").groupBy("parent_id")
+        pairs = kids.agg(F.max(F.when(F.col("child_ix") == 0, F.col("node_id"))).alias("a"), F.max(F.when(F.col("child_ix") == 1, F.col("node_id"))).alias("b"))
+        counts = filters.split_pair_counts(pairs.select("a", "b"), tree.node_bits(t, bits))
+        return filters.split_similarity(counts, m, kind)
+
+    run.__name__ = name
+    query_of(_with(_bits(m) + _NODES + _SIBLINGS, f"SELECT a, b, ({sim})::BIGINT AS sim FROM sums", True))(run)
+
+
+_split(2, "similarity_type2")
+_split(3, "similarity_type3")
+_split(-1, "similarity_differing")
+
+
+@query_of(_with(_bits(SPEC.m), "SELECT exp_id, rank, pos FROM (SELECT exp_id, row_number() OVER (PARTITION BY exp_id ORDER BY pos)::INT AS rank, pos FROM bits) WHERE rank <= 100"))
+def first_bits(spark, d):
+    return filters.first_bits(_filter(spark, d))
+
+
+# ---------------------------------------------------------------- queries
+
+_EXACT = _with(_COUNTS + "," + _QK + "," + _HITS, f"SELECT query_id, exp_id, hits, total FROM hits JOIN totals USING (query_id) WHERE {_passes()}")
+
+
+@query_of(_EXACT)
+def query_threshold_exact(spark, d):
+    return query.threshold_query(_queries(spark, d), _kmers(spark, d).select("exp_id", "kmer"), SPEC, exact=True)
+
+
+def _bloom(m: int, nh: int, theta: float, tail: str) -> str:
+    return _with(
+        _bits(m, nh)
+        + ","
+        + _QK
+        + f""",
+qp AS (SELECT query_id, ({_H0} % {m} + CASE WHEN i = 0 THEN 0 ELSE i * ({_H1} % {m}) END) % {m} AS pos FROM qk, range(0, {nh}) r(i)),
+hits AS (SELECT query_id, exp_id, count(*)::BIGINT AS hits FROM qp JOIN bits USING (pos) GROUP BY ALL),
+totals AS (SELECT query_id, count(*)::BIGINT AS total FROM qp GROUP BY 1)""",
+        tail.format(passes=_passes(theta)),
+    )
+
+
+@query_of(_bloom(SPEC.m, 1, THETA, "SELECT query_id, exp_id, hits, total FROM hits JOIN totals USING (query_id) WHERE {passes}"))
+def query_threshold_bloom(spark, d):
+    return query.threshold_query(_queries(spark, d), _filter(spark, d), SPEC)
+
+
+@query_of(_bloom(TWO.m, 2, 0.5, "SELECT query_id, exp_id, hits, total FROM hits JOIN totals USING (query_id) WHERE {passes}"))
+def batch_query_dedup(spark, d):
+    return query.threshold_query(_queries(spark, d, 0.5), _filter(spark, d, TWO), TWO)
+
+
+@query_of(_bloom(SPEC.m, 1, THETA, "SELECT query_id, exp_id, coalesce(hits, 0)::BIGINT AS hits, total FROM totals CROSS JOIN (SELECT DISTINCT exp_id FROM bits) LEFT JOIN hits USING (query_id, exp_id)"))
+def query_counts(spark, d):
+    reads = _reads(spark, d)
+    return query.threshold_query(_queries(spark, d, 0.0), filters.filter_bits(reads, SPEC, 1), SPEC, experiments=reads.where("length(seq) >= 20").select("exp_id").distinct())
+
+
+@query_of(
+    _with(
+        _bits(TWO.m, 2)
+        + ","
+        + _QK
+        + f""",
+qp AS (SELECT DISTINCT query_id, ord, ({_H0} % {TWO.m} + i * ({_H1} % {TWO.m})) % {TWO.m} AS pos FROM qk, range(0, 2) r(i)),
+need AS (SELECT query_id, ord, count(*) AS need FROM qp GROUP BY ALL),
+found AS (SELECT query_id, ord, exp_id, count(*) AS n FROM qp JOIN bits USING (pos) GROUP BY ALL),
+hits AS (SELECT query_id, exp_id, count(*)::BIGINT AS hits FROM found JOIN need USING (query_id, ord) WHERE n = need GROUP BY ALL),
+totals AS (SELECT query_id, count(*)::BIGINT AS total FROM qk GROUP BY 1)""",
+        f"SELECT query_id, exp_id, hits, total FROM hits JOIN totals USING (query_id) WHERE {_passes()}",
+    )
+)
+def query_per_kmer_all_hashes(spark, d):
+    return query.full_kmer_query(_queries(spark, d), _filter(spark, d, TWO), TWO)
+
+
+_TREE_QUERY = _bloom(SMALL.m, 1, THETA, "SELECT query_id, exp_id FROM hits JOIN totals USING (query_id) WHERE {passes}")
+
+
+@query_of(_TREE_QUERY)
+def query_tree_plan(spark, d):
+    from kmerloom.plans.shared import shared_folder
+
+    shared_folder(spark)
+    t, bits = _index(spark, d)
+    return query.tree_query(_queries(spark, d), t, tree.node_bits(t, bits), SMALL)
+
+
+_EXPRESSIONS = {
+    "bool_and": "a0 AND a1",
+    "bool_or": "a0 OR a1",
+    "bool_xor": "a0 <> a1",
+    "bool_not": "a0 AND NOT a1",
+    "bool_nested": "(a0 OR a1) AND NOT (a1 AND a2)",
+}
+
+
+def _bool(name: str, expression: str):
+    sql = _with(
+        _COUNTS
+        + ","
+        + _QK
+        + ","
+        + _HITS
+        + f""",
+item AS (SELECT query_id, (row_number() OVER (ORDER BY query_id) - 1) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT query_id FROM qseq)),
+yes AS (SELECT query_id, exp_id FROM hits JOIN totals USING (query_id) WHERE {_passes(0.5, ">")}),
+every AS (SELECT i.query_id, e.exp_id, i.r, i.n FROM item i, (SELECT DISTINCT exp_id FROM seqs) e),
+flag AS (SELECT v.query_id, v.exp_id, {", ".join(f"EXISTS (SELECT 1 FROM yes y JOIN item j USING (query_id) WHERE j.r = (v.r + {i}) % v.n AND y.exp_id = v.exp_id) AS a{i}" for i in range(3))} FROM every v)""",
+        f"SELECT query_id, exp_id, '{name}' AS name FROM flag WHERE {expression}",
+    )
+
+    def run(spark, d):
+        q = _queries(spark, d, 0.5)
+        r = F.row_number().over(W.orderBy("query_id")) - 1  # a window over the list of queries only
+        item = q.withColumns({"r": r, "n": F.count("*").over(W.partitionBy())})
+        turn = item.select("query_id", "n", F.explode(F.array(*(F.struct(F.lit(i).alias("atom_ix"), ((F.col("r") + i) % F.col("n")).alias("at")) for i in range(3)))).alias("t"))
+        atoms = turn.select("query_id", "t.*").join(item.select(F.col("r").alias("at"), "seq", "theta"), "at").drop("at")
+        reads = _reads(spark, d)
+        return query.bool_query(atoms, {name: expression}, reads.select("exp_id").distinct(), _kmers(spark, d).select("exp_id", "kmer"), SPEC)
+
+    run.__name__ = name
+    query_of(sql)(run)
+
+
+for _n, _e in _EXPRESSIONS.items():
+    _bool(_n, _e)
+
+
+def _segments(spark, d, minus: bool) -> DataFrame:
+    """Each passage in two halves that must pass together; with minus, the next passage must not."""
+    q = _queries(spark, d)
+    half = F.floor(F.length("seq") / 2).cast("int")
+    parts = F.array(
+        F.struct(F.lit(0).alias("seg_ix"), F.substring(F.col("seq"), F.lit(1), half).alias("seq"), F.lit(0.9).cast("float").alias("theta")),
+        F.struct(F.lit(1).alias("seg_ix"), F.substring(F.col("seq"), half + 1, F.length("seq")).alias("seq"), F.lit(0.5).cast("float").alias("theta")),
+    )
+    s = query.with_overlap(q.select("query_id", F.lit(0).alias("group_ix"), F.lit("+").alias("sign"), F.explode(parts).alias("p")).select("query_id", "group_ix", "sign", "p.*"), K)
+    if minus:
+        after = q.select((F.col("query_id") - 1).alias("query_id"), F.lit(0).alias("group_ix"), F.lit("-").alias("sign"), F.lit(0).alias("seg_ix"), "seq", F.lit(0.5).cast("float").alias("theta"))
+        s = s.unionByName(after)
+    return s
+
+
+def _segment_sql(minus: bool) -> str:
+    return _with(
+        _COUNTS
+        + f""",
+qseq AS (SELECT item_id AS query_id, {_SEQ} AS seq FROM benchmark WHERE text IS NOT NULL),
+seg AS (SELECT query_id, '+' AS sign, 0 AS seg_ix, substr(seq, 1, length(seq) // 2) || substr(seq, length(seq) // 2 + 1, {K - 1}) AS seq, 0.9::FLOAT AS theta FROM qseq
+  UNION ALL SELECT query_id, '+', 1, substr(seq, length(seq) // 2 + 1), 0.5::FLOAT FROM qseq
+  {"UNION ALL SELECT query_id - 1, '-', 0, seq, 0.5::FLOAT FROM qseq" if minus else ""}),
+sk AS (SELECT query_id, sign, seg_ix, theta, {_CANON} AS kmer FROM (SELECT DISTINCT query_id, sign, seg_ix, theta, substr(seq, i, {K}) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - {K - 2})) AS i FROM seg))),
+need AS (SELECT query_id, sign, sum((t::FLOAT * theta)::DOUBLE) AS cut FROM (SELECT query_id, sign, seg_ix, theta, count(*) AS t FROM sk GROUP BY ALL) GROUP BY ALL),
+hit AS (SELECT query_id, sign, exp_id, count(*) AS hits FROM sk JOIN counts USING (kmer) GROUP BY ALL),
+yes AS (SELECT query_id, sign, exp_id FROM hit JOIN need USING (query_id, sign) WHERE hits >= cut)""",
+        "SELECT query_id, exp_id FROM yes p WHERE sign = '+' AND NOT EXISTS (SELECT 1 FROM yes n WHERE n.sign = '-' AND n.query_id = p.query_id AND n.exp_id = p.exp_id)",
+    )
+
+
+@query_of(_segment_sql(False))
+def segment_plus(spark, d):
+    return query.segment_query(_segments(spark, d, False), _kmers(spark, d).select("exp_id", "kmer"), SPEC)
+
+
+@query_of(_segment_sql(True))
+def segment_minus(spark, d):
+    return query.segment_query(_segments(spark, d, True), _kmers(spark, d).select("exp_id", "kmer"), SPEC)
+
+
+@query_of(
+    _with(
+        _COUNTS + "," + _QK + ", s AS (SELECT query_id, exp_id, sum(1 + (ord % 3) * 0.5)::DOUBLE AS score FROM qk JOIN counts USING (kmer) GROUP BY ALL), totals AS (SELECT query_id, count(*)::BIGINT AS total FROM qk GROUP BY 1)",
+        f"SELECT query_id, exp_id, score, total FROM s JOIN totals USING (query_id) WHERE score::FLOAT >= total::FLOAT * {THETA}::FLOAT",
+    )
+)
+def weighted_query(spark, d):
+    q = _queries(spark, d)
+    weights = query.query_kmers(q, K).select("query_id", "ord", (1 + (F.col("ord") % 3) * 0.5).cast("float").alias("w"))
+    return query.weighted_query(q, _kmers(spark, d).select("exp_id", "kmer"), weights, SPEC)
+
+
+# ---------------------------------------------------------------- hierarchies
+
+_B = _bits(SMALL.m)
+
+
+@query_of(_with(_B + _TREE, "SELECT node_id, parent_id, child_ix, depth, preorder, is_leaf, CASE WHEN is_leaf THEN node_id END AS exp_id FROM tree", True))
+def balanced_tree(spark, d):
+    return _index(spark, d)[0]
+
+
+@query_of(_with(_B + _TREE, "SELECT parent_id AS parent, node_id AS child FROM tree WHERE parent_id IS NOT NULL", True))
+def tree_edges(spark, d):
+    return tree.edges(_index(spark, d)[0])
+
+
+@query_of(
+    _with(
+        _B + _TREE,
+        """SELECT (row_number() OVER (ORDER BY p.depth DESC, p.preorder))::INT AS step, p.node_id AS new_node, x.node_id AS c0, y.node_id AS c1
+FROM tree p JOIN tree x ON x.parent_id = p.node_id AND x.child_ix = 0 JOIN tree y ON y.parent_id = p.node_id AND y.child_ix = 1""",
+        True,
+    )
+)
+def merge_list(spark, d):
+    return tree.merges_of(_index(spark, d)[0])
+
+
+def _node(kind: str):
+    def run(spark, d):
+        t, bits = _index(spark, d)
+        return tree.node_bits(t, bits).where(F.col("kind") == kind).select("node_id", "pos")
+
+    run.__name__ = f"node_{kind}"
+    query_of(_with(_B + _NODES, f"SELECT node_id, pos FROM nodes WHERE kind = '{kind}'", True))(run)
+
+
+_node("sim")
+_node("dif")
+
+_SIZES = """,
+ones AS (SELECT t.node_id, t.parent_id, count(CASE WHEN kind = 'sim' THEN 1 END)::BIGINT AS s, count(CASE WHEN kind = 'dif' THEN 1 END)::BIGINT AS d FROM tree t LEFT JOIN nodes USING (node_id) GROUP BY ALL)"""
+
+
+@query_of(
+    _with(
+        _B + _NODES + _SIZES,
+        f"""SELECT o.node_id, o.s AS sim_ones, o.d AS dif_ones, (CASE WHEN o.parent_id IS NULL THEN {SMALL.m} ELSE p.d END)::BIGINT AS sim_size,
+(CASE WHEN o.parent_id IS NULL THEN {SMALL.m} ELSE p.d END - o.s)::BIGINT AS dif_size FROM ones o LEFT JOIN ones p ON o.parent_id = p.node_id""",
+        True,
+    )
+)
+def node_sizes(spark, d):
+    t, bits = _index(spark, d)
+    return tree.node_sizes(t, tree.node_bits(t, bits), SMALL.m)
+
+
+@query_of(_with(_B, "SELECT exp_id, count(*)::BIGINT AS ones, count(*)::BIGINT AS rebuilt, count(*)::BIGINT AS same FROM bits GROUP BY 1"))
+def leaf_roundtrip(spark, d):
+    t, bits = _index(spark, d)
+    back = tree.rebuilt(t, tree.node_bits(t, bits)).withColumn("x", F.lit(1))
+    both = back.join(bits.withColumn("y", F.lit(1)), ["exp_id", "pos"], "full")
+    return both.groupBy("exp_id").agg(F.count("y").alias("ones"), F.count("x").alias("rebuilt"), F.sum(F.expr("cast(x = y as long)")).alias("same"))
+
+
+@query_of(_with(_B + _TREE, "SELECT node_id, count(DISTINCT pos)::BIGINT AS n_union, count(DISTINCT pos)::BIGINT AS n_node, true AS ok FROM bits JOIN below USING (exp_id) GROUP BY 1", True))
+def check_union(spark, d):
+    t, bits = _index(spark, d)
+    return tree.check(t, tree.node_bits(t, bits), bits)
+
+
+@query_of()
+def greedy_tree(spark, d):
+    """Order-dependent; tests hold it against a plain model and its answers against the flat plan."""
+    return tree.tree_table(spark, tree.greedy(_filter(spark, d, SMALL), SMALL.m, 1))
+
+
+# ---------------------------------------------------------------- sketches
+
+_SKETCH = _B + f""",
+sketch AS (SELECT exp_id, s::INT AS hash_ix, min(('0x' || substr(md5(s || ':' || pos), 1, 15))::BIGINT) AS val FROM bits, range(0, {SLOTS}) r(s) GROUP BY ALL)"""
+_DIST = _SKETCH + f""",
+dist AS (SELECT a.exp_id AS i, b.exp_id AS j, 1 - coalesce(k, 0) / {SLOTS}.0::DOUBLE AS d FROM (SELECT DISTINCT exp_id FROM bits) a JOIN (SELECT DISTINCT exp_id FROM bits) b ON a.exp_id > b.exp_id
+  LEFT JOIN (SELECT x.exp_id AS i, y.exp_id AS j, count(*) AS k FROM sketch x JOIN sketch y USING (hash_ix, val) WHERE x.exp_id > y.exp_id GROUP BY ALL) c ON c.i = a.exp_id AND c.j = b.exp_id)"""
+
+
+@query_of(_with(_SKETCH, "SELECT exp_id, hash_ix, val FROM sketch"))
+def minhash_md5(spark, d):
+    return minhash.sketches(_filter(spark, d, SMALL), SLOTS)
+
+
+def _distances(spark, d):
+    bits = _filter(spark, d, SMALL).persist()
+    return minhash.distances(minhash.sketches(bits, SLOTS), bits.select("exp_id").distinct(), SLOTS)
+
+
+@query_of(_with(_DIST, "SELECT i, j, d FROM dist"))
+def minhash_distance(spark, d):
+    return _distances(spark, d)
+
+
+@query_of(_with(_DIST, "SELECT i, j, d FROM dist ORDER BY d, i, j LIMIT 1"))
+def closest_pair(spark, d):
+    return minhash.closest(_distances(spark, d))
+
+
+@query_of()
+def minhash_xorshift(spark, d):
+    """Unsigned 64-bit shifts overflow in the SQL engine; tests hold it against a plain model."""
+    return minhash.sketches(_filter(spark, d, SMALL), 32, "xorshift")
+
+
+@query_of()
+def cluster_plan(spark, d):
+    """Sequential; tests hold it against a plain model."""
+    bits = _filter(spark, d, SMALL).persist()
+    merges = minhash.cluster_plan(minhash.sketches(bits, SLOTS), tree.experiments(bits), SLOTS)
+    rows = [(i + 1, *m) for i, m in enumerate(merges)]
+    return spark.createDataFrame(rows, "step int, new_node string, c0 string, c1 string")
