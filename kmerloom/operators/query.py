@@ -90,9 +90,10 @@ def weighted_query(queries: DataFrame, index: DataFrame, weights: DataFrame, spe
     index: (exp_id, kmer).
     """
     k = query_kmers(queries, spec.k).join(weights, ["query_id", "ord"], "left")
-    k = k.withColumn("w", F.coalesce(F.col("w"), F.raise_error(F.lit("a query has fewer weights than k-mers")).cast("float")))
     score = k.join(index, "kmer").groupBy("query_id", "exp_id").agg(F.sum(F.col("w").cast("double")).alias("score"))
-    sums = k.groupBy("query_id").agg(F.count("*").alias("total")).join(queries.select("query_id", "theta"), "query_id")
+    few = F.raise_error(F.lit("a query has fewer weights than k-mers")).cast("long")
+    total = F.when(F.count("w") < F.count("*"), few).otherwise(F.count("*"))
+    sums = k.groupBy("query_id").agg(total.alias("total")).join(queries.select("query_id", "theta"), "query_id")
     return score.join(sums, "query_id").where(at_least(F.col("score"), F.col("total"), F.col("theta"))).select("query_id", "exp_id", "score", "total")
 
 
