@@ -20,7 +20,7 @@ from kmerloom.llm.common import scratch, stored, table, words
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_ranking.train(docs, table(spark, sf_dir, "labels"), quality_ranking.train_fold())
-    return quality_ranking.scored(docs, model).where(F.col("score") >= quality_ranking.CUT).drop("score")
+    return quality_ranking.scored(docs, model, out="_quality").where(F.col("_quality") >= quality_ranking.CUT).drop("_quality")
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

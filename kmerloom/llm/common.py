@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -57,9 +58,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished phases instead of waiting for the next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Drop the shuffle files of finished phases now: Spark's cleaner does so after collections on the driver, which
+    may otherwise be half an hour apart. It works beside this thread, hence the waits."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def n_partitions(spark: SparkSession) -> int:

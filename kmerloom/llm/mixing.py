@@ -81,7 +81,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     points = spark.range(0, 2 * total).select(
         F.col("id").alias("slot"),
         F.least(F.floor(F.col("id") * GOLDEN % 1.0 * total), F.lit(total - 1)).alias("at"),
-        F.floor(F.col("id") / 65536).alias("stretch"),
+        F.floor(F.col("id") / (1 + math.isqrt(2 * total))).alias("stretch"),
     )
     dealt = points.withColumn("cell", F.floor(F.col("at") / width)).join(cells, "cell").where("at < upto AND at >= upto - quota").drop("cell")
     inside = W.partitionBy("source", "stretch").orderBy("slot")

@@ -7,14 +7,15 @@
    rising frequency. Only those prefixes are posted; elements that occur once take their place in it unposted.
 3. Under each element every text meets the smallest id there; pairs that agree in MATCHES coordinates are confirmed on
    their full sets and joined into components.
-4. Texts of different components that still meet under an element are paired with each other, and confirmed likewise.
-   Pairs inside one component are never made, so a group of n near copies costs about n pairs.
+4. Then texts of different components are paired where they are neighbours under an element, and last wherever they
+   still meet; both are confirmed likewise. Pairs inside one component are never made, and exact distances to a common
+   leader rule most others out, so a group of n near copies costs about n pairs.
 
 A link at similarity 0.8 agrees in fewer than MATCHES = 32 of 64 coordinates with probability about 1e-8.
 
 Null and empty texts, and texts of white space, have the empty set, no links and are kept. A null id is never linked
-and its row is kept. Repeated rows share a class, so each gives the same row. Rows of one id with different texts are
-judged each by its text. Very long texts are read whole. Empty tables give no rows; extra columns are not read.
+and its row is kept. Repeated rows share a class, so each gives the same row. Rows of one id with different texts
+have their own classes; their links are confirmed by the least text. Very long texts are read whole. Empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import BASE_A, mixed, prefix_sums, release, sliced, span_hash, stored, table, utf8, word_spans
+from kmerloom.llm.common import BASE_A, mixed, n_partitions, prefix_sums, release, sliced, span_hash, stored, table, utf8, word_spans
 from kmerloom.llm.components import components
 
 COORDS, MATCHES = 64, 32
 #: Links hold where 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Texts under an element from which on each is bounded by itself before it is paired; it changes no result.
+CROWD = 16
 
 _A = np.random.default_rng(11).integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _X = np.random.default_rng(12).integers(0, 1 << 63, COORDS, dtype=np.uint64)
@@ -125,21 +128,99 @@ def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInArrow(_agree, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar enough."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, union) of the full sets of pairs (a, b)."""
     both = pairs.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
-    inter = F.size(F.array_intersect("ma", "mb"))
-    return (
-        both.select("a", "b", inter.alias("i"), (F.size("ma") + F.size("mb")).alias("n"))
-        .where(F.col("i") * 100 >= PERCENT * (F.col("n") - F.col("i")))
-        .select("a", "b")
-    )
+    sizes = both.select("a", "b", F.size(F.array_intersect("ma", "mb")).alias("common"), (F.size("ma") + F.size("mb")).alias("n"))
+    return sizes.select("a", "b", "common", (F.col("n") - F.col("common")).alias("union"))
+
+
+def linked(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.col("common") * 100 >= F.col("union") * PERCENT).select("a", "b")
+
+
+def in_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, members) of the texts of ids (id), stored. Of rows of one id, the least text counts."""
+    texts = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return stored(texts.mapInArrow(_sets, "id long, members array<long>"))
 
 
 def _sizes_fit(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
+def labelled(post: DataFrame, group: DataFrame) -> DataFrame:
+    """(element, id, n, c): the posted elements under which texts of different components c meet."""
+    named = post.join(group, post["id"] == group["node"], "left").select("element", "id", "n", F.coalesce("component", "id").alias("c"))
+    mixed_up = named.groupBy("element").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("element")
+    return stored(named.join(mixed_up, "element"))
+
+
+def neighbours(here: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of different components that are neighbours under an element, ordered by the coordinates after it.
+
+    Texts that agree in a run of coordinates stand together, so nearly every text meets one that it is linked to, at
+    one pair a row. Rows are dealt by ranges of that order, not by element: a frequent element is spread.
+    """
+    after = F.expr("substring(concat(sig, sig), cast(shiftright(element, 32) AS int) * 4 + 5, 16)")
+    rows = here.join(reps.select("id", "sig"), "id").select("element", after.alias("order"), "id", "n", "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            e, i, n, c = (np.asarray(batch.column(x)) for x in (0, 2, 3, 4))
+            if last is not None:
+                e, i, n, c = (np.concatenate([[x], y]) for x, y in zip(last, (e, i, n, c)))
+            if not len(e):
+                continue
+            last = e[-1], i[-1], n[-1], c[-1]
+            on = (e[1:] == e[:-1]) & (c[1:] != c[:-1]) & (100 * np.minimum(n[1:], n[:-1]) >= PERCENT * np.maximum(n[1:], n[:-1]))
+            x, y = i[1:][on], i[:-1][on]
+            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    dealt = rows.repartitionByRange(n_partitions(here.sparkSession), "element", "order").sortWithinPartitions("element", "order", "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def shared_sizes(here: DataFrame, docs: DataFrame) -> DataFrame:
+    """(element, id, shared): under elements of CROWD texts or more, how many of a text's shingles any other text has.
+
+    A text's own shingles are in no intersection and in every union, which bounds its similarity to all others: most
+    of the stray relatives of a large group drop out here, each by itself, without being paired with the group.
+    """
+    often = here.groupBy("element").count().where(F.col("count") >= CROWD).select("element")
+    rows = here.join(often, "element").select("element", "id", "n")
+    members = sets_of(docs, rows.select("id").distinct()).select("id", F.explode("members").alias("m"))
+    own = members.groupBy("m").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
+    return rows.join(own, "id", "left").select("element", "id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def across(here: DataFrame, known: DataFrame, shared: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that meet under an element and may still be linked.
+
+    Under each element the largest component meets the others, and the others meet each other; pairs within a component
+    are never made. known (id, leader, far) has exact distances to a leader: distance obeys the triangle inequality, so
+    texts whose distances to one leader differ by more than 1 - PERCENT / 100 are not linked. shared bounds similarity
+    from above.
+    """
+    sizes = here.groupBy("element", "c").agg(F.count("*").alias("k")).groupBy("element").agg(F.max_by("c", F.struct("k", "c")).alias("big"))
+    rows = here.join(sizes, "element").join(shared, ["element", "id"], "left").withColumn("shared", F.coalesce("shared", "n"))
+    rows = rows.where(F.col("shared") * 100 >= F.col("n") * PERCENT).join(known, "id", "left")
+    side = lambda df, x: df.select("element", *(F.col(c).alias(c + x) for c in ("id", "n", "c", "shared", "leader", "far")))
+    common = F.least("shared1", "shared2")
+    could = common * 100 >= (F.col("n1") + F.col("n2") - common) * PERCENT
+    near = ~F.coalesce((F.col("leader1") == F.col("leader2")) & (F.abs(F.col("far1") - F.col("far2")) > 1.000001 - PERCENT / 100), F.lit(False))
+    fits = _sizes_fit("n1", "n2") & could & near
+    rest, most = side(rows.where("c <> big"), "1"), side(rows.where("c = big"), "2")
+    one = rest.join(most, "element").where(fits)
+    two = rest.join(side(rows.where("c <> big"), "2"), "element").where(fits & (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2")))
+    return one.unionByName(two).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key, n_shingles, component_id and kept (this is the row of the component's smallest id)."""
     spark = docs.sparkSession
@@ -150,32 +231,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     post = stored(posted(reps))
     release(spark)
 
+    # first every text with a leader that it agrees with
     leader = post.groupBy("element").agg(F.min(F.struct("id", "n")).alias("l")).select("element", F.col("l.id").alias("b"), F.col("l.n").alias("nb"))
     met = post.join(leader, "element").where("id <> b").where(_sizes_fit("n", "nb")).select(F.col("id").alias("a"), "b").distinct()
-    # one leader a text is enough here: other meetings of different components come below
     first = stored(alike(met, reps).groupBy("a").agg(F.min("b").alias("b")))
-
-    wanted = post.select("id").distinct()
-    sets = stored(own.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, members array<long>").dropDuplicates(["id"]))
     release(spark)
-    links = stored(confirmed(first, sets))
-    group = components(links, "a", "b")
-
-    label = stored(post.join(group, post["id"] == group["node"], "left").select("element", "id", "n", F.coalesce("component", "id").alias("c")))
-    mixed_ = label.groupBy("element", "c").agg(F.count("*").alias("k")).groupBy("element")
-    big = mixed_.agg(F.max_by("c", F.struct("k", "c")).alias("big"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
-    here = label.join(big, "element")
-    rest = here.where("c <> big").select("element", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    most = here.where("c = big").select("element", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    others = rest.select("element", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
-    fits = _sizes_fit("na", "nb")
-    one = rest.join(most, "element").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    two = rest.join(others, "element").where(fits & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
-    more = stored(confirmed(alike(one.unionByName(two).distinct(), reps), sets))
-    final = components(links.unionByName(more), "a", "b")
+    sure = stored(measured(first, sets_of(own, in_pairs(first))))
+    links, group = linked(sure), components(linked(sure), "a", "b")
     release(spark)
 
-    named = reps.select("k1", "k2", "n", F.col("id").alias("rep")).join(final, F.col("rep") == F.col("node"), "left")
+    # then neighbours of different components, and last what is left of all meetings
+    known = sure.select(F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("common") / F.col("union")).alias("far"))
+    for meet in (lambda here: neighbours(here, reps), lambda here: across(here, known, shared_sizes(here, own))):
+        pairs = stored(alike(meet(labelled(post, group)), reps))
+        release(spark)
+        if pairs.isEmpty():
+            continue
+        links = links.unionByName(linked(stored(measured(pairs, sets_of(own, in_pairs(pairs))))))
+        group = components(links, "a", "b")
+        release(spark)
+
+    named = reps.select("k1", "k2", "n", F.col("id").alias("rep")).join(group, F.col("rep") == F.col("node"), "left")
     named = named.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = feats.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
@@ -188,5 +264,16 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: DuckDB: every pair that shares a shingle, in blocks of one inverted join, then components.
-OP5_SQL = None
+#: DuckDB: all pairs that share a shingle, by a join on shingles, confirmed, and the least id that each reaches.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b),
+c AS (SELECT id AS doc_id, min(c) AS c FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(coalesce(c, doc_id) = doc_id, true) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

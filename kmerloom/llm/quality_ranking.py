@@ -162,16 +162,18 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, key: str = "doc_id"
     return fit(np.array([r[1] for r in rows]).reshape(-1, len(FEATURES)), np.array([r[0][1] for r in rows]))
 
 
-def scored(docs: DataFrame, model: Ranking, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of docs, all columns kept, plus score."""
+def scored(docs: DataFrame, model: Ranking, text: str = "text", out: str = "score") -> DataFrame:
+    """Every row of docs, all columns kept, plus the score under the name `out`, which docs must not have."""
+    if out in docs.columns:
+        raise ValueError(f"docs has a column {out} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, text):
             s = model.score(features(*utf8(b.column(b.schema.get_field_index(text)))))
-            yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
+            yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, f"{fields}, `{out}` double")
 
 
 def train_fold(key: str = "doc_id") -> Column:

@@ -17,4 +17,10 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {"op2_warc": warc.OP2_SQL, "op6_host_rules": host_rules.OP6_SQL, "op10_mix_sources": mixing.OP10_SQL}
+ORACLE = {
+    "op2_warc": warc.OP2_SQL,
+    "op4_shared_strings": shared_strings.OP4_SQL,
+    "op5_near_duplicates": near_dup.OP5_SQL,
+    "op6_host_rules": host_rules.OP6_SQL,
+    "op10_mix_sources": mixing.OP10_SQL,
+}

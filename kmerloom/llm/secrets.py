@@ -94,9 +94,14 @@ def scan_versions(versions: DataFrame, ledger_path: str, rule_version: int = RUL
     return spark.read.schema(FINDINGS).parquet(ledger_path).where(F.col("rule_version") == rule_version).count()
 
 
+def blob_of(text: str = "text"):
+    """The SHA-256 of a text in UTF-8."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
 def addressed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus blob: the SHA-256 of the text in UTF-8."""
-    return docs.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    """docs plus blob, its text's address."""
+    return docs.withColumn("blob", blob_of(text))
 
 
 def findings(paths: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
@@ -112,7 +117,7 @@ def redacted(docs: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSIO
         kind, a, b = (F.split(span, ":")[i] for i in range(3))
         return F.overlay(value, F.concat(F.lit("["), kind, F.lit("]")), a.cast("int") + 1, b.cast("int") - a.cast("int"))
 
-    joined = addressed(docs, text).join(dirty, F.col("blob") == F.col("_blob"), "left")
+    joined = docs.withColumn("_own_blob", blob_of(text)).join(dirty, F.col("_own_blob") == F.col("_blob"), "left")
     clean = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.aggregate(F.reverse("_cuts"), F.col(text), cut))
     return joined.select(*(clean.alias(c) if c == text else F.col(c) for c in docs.columns))
 

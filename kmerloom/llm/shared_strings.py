@@ -2,7 +2,7 @@
 
 Sorting every suffix of the corpus would ship each byte many times. Only suffixes at anchors travel:
 
-1. Every 50-byte string contains an anchor, its smallest 16-byte gram by hash (leftmost of equals). The grams are the
+1. Every 50-byte string contains an anchor, its smallest 20-byte gram by hash (leftmost of equals). The grams are the
    initial buckets. The strings that share an anchor occurrence form one stretch of text, which is shipped as the
    gram's hash, the stretch's hash and its place. Stretches met before within a task are settled there.
 2. In each bucket, stretches equal to one of a smaller document are covered whole. Where a bucket holds different
@@ -11,7 +11,7 @@ Sorting every suffix of the corpus would ship each byte many times. Only suffixe
    that the last one updated, until 50 bytes decide. Equal final ids are equal strings.
 3. Covered ranges are gathered by document and cut out of its bytes.
 
-Strings are judged on the input. Hash identity takes 96 bits. A null text is empty; a null id neither loses bytes nor
+Strings are judged on the input. Hash identity takes 96 bits; rows of one id are told apart by a hash of their text. A null text is empty; a null id neither loses bytes nor
 makes others lose any. Repeated rows and rows of one id never cover each other and give one row each. Texts are taken
 whole, in UTF-8, whatever their length; texts under 50 bytes are untouched. Empty tables give no rows; extra columns
 are not read.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm.common import BASE_A, BASE_B, mixed, n_partitions, powers, prefix_sums, release, sliced, span_hash, stored, table, utf8
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 #: Anchors that a task gathers before it settles and ships them.
 FLUSH = 2_000_000
 _HALF = (LENGTH - GRAM) // 2
@@ -88,36 +88,54 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[np.append(new[1:], len(s)) - 1]
 
 
-_ROW = "bucket int, doc long, tag long, kind int, body binary"
+_ROW = "bucket int, doc long, tag int, kind int, body binary"
 _NAMES = ["bucket", "doc", "tag", "kind", "body"]
 #: kind of a row: ranges to remove, stretches of a bucket, texts asked for
 RANGES, STRETCHES, ASKS = 0, 1, 2
-_SHIP = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("first", "<i4"), ("off", "u1"), ("span", "u1")])
+_SHIP = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("first", "<i4"), ("off", "u1"), ("span", "u1")])
 _ASK = np.dtype([("first", "<i4"), ("off", "u1"), ("span", "u1")])
 
 
+def _planes(v: np.ndarray) -> bytes:
+    """The bytes of numbers by significance: the high ones are alike and compress away in the shuffle."""
+    return np.ascontiguousarray(np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1).T).tobytes()
+
+
+def _unplanes(raw: bytes, at: int, n: int, kind: np.dtype) -> tuple[np.ndarray, int]:
+    size = kind.itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind), at + n * size
+
+
 def _packed(x: np.ndarray) -> bytes:
-    """Column by column, hashes cut to 48 bits: similar bytes together compress best in the shuffle."""
+    """Column by column, hashes cut to 48 bits; documents are told once for each run of rows."""
     cut = lambda v: np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-    return b"".join([len(x).to_bytes(4, "little"), cut(x["gram"]), cut(x["whole"]), *(np.ascontiguousarray(x[c]).tobytes() for c in ("doc", "tag", "first", "off", "span"))])
+    new = np.ones(len(x), bool)
+    new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["tag"][1:] != x["tag"][:-1])
+    runs = x[new]
+    head = np.array([len(x), len(runs)], "<u4").tobytes()
+    return b"".join([head, cut(x["gram"]), cut(x["whole"]), np.packbits(new).tobytes(), *(_planes(runs[c]) for c in ("doc", "tag")), *(_planes(x[c]) for c in ("first", "off", "span"))])
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    n, at = int.from_bytes(raw[:4], "little"), 4
+    (n, k), at = np.frombuffer(raw, "<u4", 2).tolist(), 8
     out = np.zeros(n, _SHIP)
     for c in ("gram", "whole"):
         v = np.zeros((n, 8), np.uint8)
         v[:, 2:] = np.frombuffer(raw, np.uint8, 6 * n, at).reshape(-1, 6)
         out[c], at = v.reshape(-1).view("<u8"), at + 6 * n
-    for c in ("doc", "tag", "first", "off", "span"):
-        out[c] = np.frombuffer(raw, _SHIP[c], n, at)
-        at += n * _SHIP[c].itemsize
+    run = np.cumsum(np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at), count=n)) - 1
+    at += -(-n // 8)
+    for c in ("doc", "tag"):
+        v, at = _unplanes(raw, at, k, _SHIP[c])
+        out[c] = v[run]
+    for c in ("first", "off", "span"):
+        out[c], at = _unplanes(raw, at, n, _SHIP[c])
     return out
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [()] * 5
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], _NAMES)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], _NAMES)
 
 
 def _by_doc(doc: np.ndarray, tag: np.ndarray, kind: int, body, step: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -220,7 +238,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts += lo.tolist()
                 texts += [raw[i:j] for i, j in zip(lo.tolist(), (hi + LENGTH).tolist())]
         k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(starts, pa.int32()), pa.array(texts, pa.binary())], ["key", "doc", "tag", "start", "body"])
+        yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(docs, pa.int64()), pa.array(tags, pa.int32()), pa.array(starts, pa.int32()), pa.array(texts, pa.binary())], ["key", "doc", "tag", "start", "body"])
 
 
 def refine(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -296,12 +314,12 @@ def shared_ranges(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = n_partitions(spark)
     known = docs.where("doc IS NOT NULL AND length(text) >= 13")  # 50 bytes take 13 code points at least
-    sent = known.mapInArrow(_send(16 * n), _ROW).repartition(n, "bucket")
+    sent = known.mapInArrow(_send(n), _ROW).repartition(n, "bucket")
     met = stored(sent.mapInArrow(_meet, _ROW).drop("bucket"))
     release(spark)
     asks = met.where(F.col("kind") == ASKS).groupBy("doc", "tag").agg(F.collect_list("body").alias("asks"))
     texts = known.join(asks.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "asks")
-    halves = texts.mapInArrow(_answer, "key long, doc long, tag long, start int, body binary").repartition(n, "key")
+    halves = texts.mapInArrow(_answer, "key long, doc long, tag int, start int, body binary").repartition(n, "key")
     refined = stored(halves.mapInArrow(_compare, _ROW).drop("bucket"))
     release(spark)
     ranges = met.where(F.col("kind") == RANGES).unionByName(refined)
@@ -310,7 +328,7 @@ def shared_ranges(docs: DataFrame) -> DataFrame:
 
 def without_shared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
-    own = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag"), F.col(text).alias("text"))
+    own = docs.select(F.col(key).cast("long").alias("doc"), F.hash(F.coalesce(text, F.lit(""))).alias("tag"), F.col(text).alias("text"))
     ranges = shared_ranges(own)
     both = own.join(ranges.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "bodies")
     return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -320,5 +338,17 @@ def op4_shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_shared(table(spark, sf_dir, "documents"))
 
 
-#: Byte strings at every offset: tests hold the query against a plain version.
-OP4_SQL = None
+#: DuckDB: every 50-byte string as hex with its least document, and runs of the covered places.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY 1),
+f AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN m USING (s) WHERE least < doc_id),
+g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY 1),
+k AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS st, a AS en FROM r UNION ALL SELECT doc_id, max(b), 1000000000 FROM r GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * st + 1, 2 * (en - st)), '' ORDER BY st) AS rest FROM k JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
