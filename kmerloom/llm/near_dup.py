@@ -20,6 +20,7 @@ have their own classes; their links are confirmed by the least text. Very long t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import BASE_A, mixed, n_partitions, prefix_sums, release, sliced, span_hash, stored, table, utf8, word_spans
+from kmerloom.llm.common import BASE_A, mixed, n_partitions, prefix_sums, release, scratch, sliced, span_hash, stored, table, utf8, word_spans
 from kmerloom.llm.components import components
 
 COORDS, MATCHES = 64, 32
@@ -143,10 +144,22 @@ def in_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, members) of the texts of ids (id), stored. Of rows of one id, the least text counts."""
+def texts_of(docs: DataFrame, ids: DataFrame) -> str:
+    """Name of a table (id, text) of the ids (id), bucketed by id. Of rows of one id, the least text counts.
+
+    Every phase asks for the sets of some of these ids: texts are dealt by id once, and phases only ship their ids.
+    The table lies in the shared folder; its name is the caller's to drop.
+    """
+    spark, name = docs.sparkSession, f"kmerloom_texts_{uuid.uuid4().hex}"
     texts = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    return stored(texts.mapInArrow(_sets, "id long, members array<long>"))
+    n = n_partitions(spark)
+    texts.repartition(n, "id").write.option("path", scratch(spark)).bucketBy(n, "id").saveAsTable(name)
+    return name
+
+
+def sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, members) of the texts (id, text) of ids (id), stored."""
+    return stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, members array<long>"))
 
 
 def _sizes_fit(a: str, b: str):
@@ -186,7 +199,7 @@ def neighbours(here: DataFrame, reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def shared_sizes(here: DataFrame, docs: DataFrame) -> DataFrame:
+def shared_sizes(here: DataFrame, texts: DataFrame) -> DataFrame:
     """(element, id, shared): under elements of CROWD texts or more, how many of a text's shingles any other text has.
 
     A text's own shingles are in no intersection and in every union, which bounds its similarity to all others: most
@@ -194,7 +207,7 @@ def shared_sizes(here: DataFrame, docs: DataFrame) -> DataFrame:
     """
     often = here.groupBy("element").count().where(F.col("count") >= CROWD).select("element")
     rows = here.join(often, "element").select("element", "id", "n")
-    members = sets_of(docs, rows.select("id").distinct()).select("id", F.explode("members").alias("m"))
+    members = sets_of(texts, rows.select("id").distinct()).select("id", F.explode("members").alias("m"))
     own = members.groupBy("m").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
     return rows.join(own, "id", "left").select("element", "id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
 
@@ -230,26 +243,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = stored(some.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")))
     post = stored(posted(reps))
     release(spark)
+    name = texts_of(own, post.select("id").distinct())
+    texts = spark.table(name)
+    release(spark)
 
     # first every text with a leader that it agrees with
     leader = post.groupBy("element").agg(F.min(F.struct("id", "n")).alias("l")).select("element", F.col("l.id").alias("b"), F.col("l.n").alias("nb"))
     met = post.join(leader, "element").where("id <> b").where(_sizes_fit("n", "nb")).select(F.col("id").alias("a"), "b").distinct()
     first = stored(alike(met, reps).groupBy("a").agg(F.min("b").alias("b")))
     release(spark)
-    sure = stored(measured(first, sets_of(own, in_pairs(first))))
+    sure = stored(measured(first, sets_of(texts, in_pairs(first))))
     links, group = linked(sure), components(linked(sure), "a", "b")
     release(spark)
 
     # then neighbours of different components, and last what is left of all meetings
     known = sure.select(F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("common") / F.col("union")).alias("far"))
-    for meet in (lambda here: neighbours(here, reps), lambda here: across(here, known, shared_sizes(here, own))):
+    for meet in (lambda here: neighbours(here, reps), lambda here: across(here, known, shared_sizes(here, texts))):
         pairs = stored(alike(meet(labelled(post, group)), reps))
         release(spark)
         if pairs.isEmpty():
             continue
-        links = links.unionByName(linked(stored(measured(pairs, sets_of(own, in_pairs(pairs))))))
+        links = links.unionByName(linked(stored(measured(pairs, sets_of(texts, in_pairs(pairs))))))
         group = components(links, "a", "b")
         release(spark)
+    spark.sql(f"DROP TABLE {name}")
 
     named = reps.select("k1", "k2", "n", F.col("id").alias("rep")).join(group, F.col("rep") == F.col("node"), "left")
     named = named.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
