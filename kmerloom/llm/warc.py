@@ -132,6 +132,9 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], [n for n, _ in fields])
 
 
+_RANGE = "first string, last string, file string"
+
+
 def write_index(manifest: DataFrame, base: str, lines: int = BLOCK_LINES) -> list[tuple[str, str]]:
     """Write the index below base; (first key, file) of every range, in order of key: one a partition."""
 
@@ -139,15 +142,15 @@ def write_index(manifest: DataFrame, base: str, lines: int = BLOCK_LINES) -> lis
         fs, root = opened(base)
         fs.create_dir(f"{root}/index", recursive=True)
         name = f"index/{uuid.uuid4().hex}"
-        out, at, directory, held = None, 0, [], []
+        out, at, last, directory, held = None, 0, "", [], []
 
         def flush() -> None:
-            nonlocal out, at
+            nonlocal out, at, last
             out = out or fs.open_output_stream(f"{root}/{name}.blocks", compression=None)
             raw = zlib.compress("\n".join(map(json.dumps, held)).encode(), 3)
             out.write(raw)
             directory.append((held[0][0], at, len(raw)))
-            at += len(raw)
+            at, last = at + len(raw), held[-1][0]
             held.clear()
 
         for b in batches:
@@ -161,12 +164,12 @@ def write_index(manifest: DataFrame, base: str, lines: int = BLOCK_LINES) -> lis
             out.close()
             with fs.open_output_stream(f"{root}/{name}.directory", compression=None) as f:
                 f.write("\n".join(map(json.dumps, directory)).encode())
-            yield _table([(directory[0][0], name)], "first string, file string")
+            yield _table([(directory[0][0], last, name)], _RANGE)
 
     ranges = manifest.repartitionByRange(n_partitions(manifest.sparkSession), "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-    made = stored(ranges.mapInArrow(run, "first string, file string"))
-    # one row a partition
-    return sorted((r["first"], r["file"]) for r in made.collect())
+    made = stored(ranges.mapInArrow(run, _RANGE))
+    # one row a partition; of ranges that begin with the same key, the one that goes on to other keys must be the last
+    return [(r["first"], r["file"]) for r in sorted(made.collect())]
 
 
 def look_up(keys: DataFrame, base: str, ranges: list[tuple[str, str]]) -> DataFrame:

@@ -128,6 +128,17 @@ def test_op2_reads_back_what_it_wrote(spark, sf):
     assert warc.url_key("http://u@A.b.C:80/x?q#f") == "c,b,a:80)/x?q" and warc.url_key(None) == ""
 
 
+def test_op2_key_over_several_ranges(spark):
+    """A key that fills whole ranges, and others that begin in the middle of its last one."""
+    rows = [("k", i, "f", i, 1) for i in range(30)] + [("j", 90, "f", 90, 1), ("l", 91, "f", 91, 1), ("m", 92, "f", 92, 1)]
+    manifest = spark.createDataFrame(rows, "url_key string, page_id long, file string, offset long, length long")
+    for _ in range(3):
+        base = common.scratch(spark)
+        ranges = warc.write_index(manifest, base, lines=2)
+        assert [r[0] for r in ranges].count("k") > 1
+        assert sorted(tuple(r) for r in warc.look_up(manifest.select("url_key"), base, ranges).collect()) == sorted(rows)
+
+
 def test_op3_learns(spark):
     d = "/root/testdata/sf0.01"
     got = language_masks.op3_language_masks(spark, d).toPandas().merge(pd.read_parquet(f"{d}/documents.parquet"), on="doc_id")
