@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again before the next.
 
 quality     documents scored under 0.7 by the pairwise ranking go
-near_dups   one document of each near-duplicate component stays, that of the smallest id; repeated rows become one
+near_dups   one document of each near-duplicate component (similarity 0.8 of 5-word shingles) stays, that of the smallest
+            id; repeated rows become one
 secrets     spans that the blob ledger has findings for are replaced by their kind in brackets
 mix         each document is repeated as often as the mix takes most of it: not at all, once or twice
 encode      every row left is encoded: doc_id, n_tokens and digests of its ids and of the decoded text
@@ -18,13 +19,17 @@ from kmerloom.llm import mixing, near_dup, piece_codec, quality_ranking, secrets
 from kmerloom.llm.common import scratch, stored, table, words
 
 
+#: Words of a shingle in the near_dups stage; the query op5_near_duplicates takes 2.
+SHINGLE = 5
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_ranking.train(docs, table(spark, sf_dir, "labels"), quality_ranking.train_fold())
     return quality_ranking.scored(docs, model, out="_quality").where(F.col("_quality") >= quality_ranking.CUT).drop("_quality")
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = near_dup.near_duplicates(docs, words=SHINGLE).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     stay = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return stay.dropDuplicates(["doc_id", "text"])
 

@@ -1,6 +1,6 @@
 """Operator 5: MinHash near-duplicates by an inverted join on signature coordinates.
 
-1. A text is the set of hashes of its distinct 2-word shingles; texts with equal sets form a class, and only each
+1. A text is the set of hashes of its distinct shingles (2 words in the query); texts with equal sets form a class, and only each
    class's representative (smallest id) goes on.
 2. Representatives get a signature of COORDS minima. A (coordinate, value) pair is an element; a pair of texts that
    agrees in at least MATCHES elements shares one of the first COORDS - MATCHES + 1 elements of each in order of
@@ -79,17 +79,20 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches, "text"):
-        sets = shingle_sets(*utf8(b.column(1)))
-        sig = signatures(sets)
-        # the whole set in 128 bits: two sums of its mixed members
-        keys = [(int(mixed(s).sum(dtype=np.uint64)), int(mixed(s ^ _X[0]).sum(dtype=np.uint64))) for s in sets]
-        k1, k2 = (np.array([k[i] for k in keys], np.uint64).view(np.int64) for i in (0, 1))
-        yield pa.record_batch(
-            [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array([r.tobytes() for r in sig], pa.binary())],
-            ["id", "n", "k1", "k2", "sig"],
-        )
+def _features(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            sets = shingle_sets(*utf8(b.column(1)), words)
+            sig = signatures(sets)
+            # the whole set in 128 bits: two sums of its mixed members
+            keys = [(int(mixed(s).sum(dtype=np.uint64)), int(mixed(s ^ _X[0]).sum(dtype=np.uint64))) for s in sets]
+            k1, k2 = (np.array([k[i] for k in keys], np.uint64).view(np.int64) for i in (0, 1))
+            yield pa.record_batch(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array([r.tobytes() for r in sig], pa.binary())],
+                ["id", "n", "k1", "k2", "sig"],
+            )
+
+    return run
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,10 +102,13 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.repeat(np.asarray(b.column(0)), COORDS)), pa.array((sig.astype(np.int64) | place).ravel())], ["id", "element"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches, "text"):
-        sets = shingle_sets(*utf8(b.column(1)))
-        yield pa.record_batch([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "members"])
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            sets = shingle_sets(*utf8(b.column(1)), words)
+            yield pa.record_batch([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "members"])
+
+    return run
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +163,9 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> str:
     return name
 
 
-def sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, members) of the texts (id, text) of ids (id), stored."""
-    return stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, members array<long>"))
+    return stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets(words), "id long, members array<long>"))
 
 
 def _sizes_fit(a: str, b: str):
@@ -199,7 +205,7 @@ def neighbours(here: DataFrame, reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def shared_sizes(here: DataFrame, texts: DataFrame) -> DataFrame:
+def shared_sizes(here: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(element, id, shared): under elements of CROWD texts or more, how many of a text's shingles any other text has.
 
     A text's own shingles are in no intersection and in every union, which bounds its similarity to all others: most
@@ -207,7 +213,7 @@ def shared_sizes(here: DataFrame, texts: DataFrame) -> DataFrame:
     """
     often = here.groupBy("element").count().where(F.col("count") >= CROWD).select("element")
     rows = here.join(often, "element").select("element", "id", "n")
-    members = sets_of(texts, rows.select("id").distinct()).select("id", F.explode("members").alias("m"))
+    members = sets_of(texts, rows.select("id").distinct(), words).select("id", F.explode("members").alias("m"))
     own = members.groupBy("m").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
     return rows.join(own, "id", "left").select("element", "id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
 
@@ -234,11 +240,11 @@ def across(here: DataFrame, known: DataFrame, shared: DataFrame) -> DataFrame:
     return one.unionByName(two).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: key, n_shingles, component_id and kept (this is the row of the component's smallest id)."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 2) -> DataFrame:
+    """By shingles of `words` words. Per row of docs: key, n_shingles, component_id and kept (this is the row of the component's smallest id)."""
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    feats = stored(own.mapInArrow(_features, "id long, n long, k1 long, k2 long, sig binary"))
+    feats = stored(own.mapInArrow(_features(words), "id long, n long, k1 long, k2 long, sig binary"))
     some = feats.where("n > 0 AND id IS NOT NULL")
     reps = stored(some.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")))
     post = stored(posted(reps))
@@ -252,18 +258,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     met = post.join(leader, "element").where("id <> b").where(_sizes_fit("n", "nb")).select(F.col("id").alias("a"), "b").distinct()
     first = stored(alike(met, reps).groupBy("a").agg(F.min("b").alias("b")))
     release(spark)
-    sure = stored(measured(first, sets_of(texts, in_pairs(first))))
+    sure = stored(measured(first, sets_of(texts, in_pairs(first), words)))
     links, group = linked(sure), components(linked(sure), "a", "b")
     release(spark)
 
     # then neighbours of different components, and last what is left of all meetings
     known = sure.select(F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("common") / F.col("union")).alias("far"))
-    for meet in (lambda here: neighbours(here, reps), lambda here: across(here, known, shared_sizes(here, texts))):
+    for meet in (lambda here: neighbours(here, reps), lambda here: across(here, known, shared_sizes(here, texts, words))):
         pairs = stored(alike(meet(labelled(post, group)), reps))
         release(spark)
         if pairs.isEmpty():
             continue
-        links = links.unionByName(linked(stored(measured(pairs, sets_of(texts, in_pairs(pairs))))))
+        links = links.unionByName(linked(stored(measured(pairs, sets_of(texts, in_pairs(pairs), words)))))
         group = components(links, "a", "b")
         release(spark)
     spark.sql(f"DROP TABLE {name}")

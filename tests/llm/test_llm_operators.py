@@ -428,3 +428,49 @@ def test_pipeline_stages(spark, sf):
             assert not any(plain_spans(r[1]) for r in after)
         if name == "mix":
             assert {r for r in after} <= {r for r in before} and max(collections.Counter(after).values()) <= 2
+
+
+def plain_kept(rows, words):
+    """Ids that stay when texts at 0.8 of their shingles of `words` words are joined; ids are unique here."""
+    low = str.maketrans({c: c + 32 for c in range(65, 91)})
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets[i] = {tuple(w[j : j + words]) for j in range(max(1, len(w) - words + 1))} if w else set()
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {i for i in sets if find(i) == i}
+
+
+def test_pipeline_near_dups_takes_five_words(spark, sf):
+    """Texts alike by pairs of words only stay; texts alike by five words go, also at the limit and when short."""
+    import corpus_pipeline
+
+    random.seed(12)
+    w = [f"u{i}" for i in range(100)]
+    edited = lambda at: " ".join("new" + x if i in at else x for i, x in enumerate(w))
+    rows = [(1, " ".join(w)), (2, edited({10, 30, 50, 70, 90})), (3, edited({50})), (4, edited({40}).upper())]
+    # 5-word sets of 9 members, 8 or 7 of them in a smaller text's: 8 / 10 links, 7 / 11 does not
+    v = [f"q{i}" for i in range(13)]
+    rows += [(5, " ".join(v)), (6, " ".join([*v[:12], "z"])), (7, " ".join([*v[:11], "y", "x"]))]
+    rows += [(8, "a b c d"), (9, "A b c d"), (10, "a b c e"), (11, "a b c d e"), (12, None), (13, "")]
+    for i in range(20):
+        u = [f"m{i}w{j}" for j in range(60)]
+        rows.append((100 + 2 * i, " ".join(u)))
+        for at in random.sample(range(60), i % 5):
+            u[at] = "other"
+        rows.append((101 + 2 * i, " ".join(u)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    five, two = plain_kept(rows, 5), plain_kept(rows, 2)
+    assert 2 in five and 2 not in two and len(two) < len(five) < len(rows)
+    assert {r.doc_id for r in corpus_pipeline.near_dups(spark, docs, sf[0]).collect()} == five
