@@ -61,20 +61,23 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[first], first, anchor, last, gram[anchor], mixed(whole)
 
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A sorting order of key and the starts of its groups in that order."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sorting order of the keys and the starts of their groups in that order; a group agrees in every key."""
+    order = np.lexsort(keys)
+    if not len(order):
+        return order, np.zeros(0, np.int64)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return order, np.flatnonzero(new)
 
 
-def _least(key: np.ndarray, values: np.ndarray, largest: bool = False) -> np.ndarray:
+def _least(keys: np.ndarray | tuple[np.ndarray, ...], values: np.ndarray, largest: bool = False) -> np.ndarray:
     """For each row the smallest (or largest) value in its group."""
-    order, at = _groups(key)
+    order, at = _groups(*(keys if isinstance(keys, tuple) else (keys,)))
     out = np.empty_like(values)
     if len(at):
         pick = (np.maximum if largest else np.minimum).reduceat(values[order], at)
-        out[order] = np.repeat(pick, np.diff(np.append(at, len(key))))
+        out[order] = np.repeat(pick, np.diff(np.append(at, len(order))))
     return out
 
 
@@ -160,7 +163,7 @@ def _range_rows(doc, tag, start, end) -> Iterator[pa.RecordBatch]:
 def _send(buckets: int):
     def settle(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         x = np.concatenate(parts)
-        least = _least(mixed(x["gram"] * np.uint64(3) ^ x["whole"]), x["doc"])
+        least = _least((x["gram"], x["whole"]), x["doc"])
         known = x["doc"] > least
         k = x[known]
         yield from _range_rows(k["doc"], k["tag"], k["first"].astype(np.int64), k["first"].astype(np.int64) + k["span"] + LENGTH)
@@ -204,7 +207,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     x = x[_least(x["gram"], x["doc"]) != _least(x["gram"], x["doc"], True)]
     if not len(x):
         return
-    least = _least(mixed(x["gram"] * np.uint64(3) ^ x["whole"]), x["doc"])
+    least = _least((x["gram"], x["whole"]), x["doc"])
     known = x["doc"] > least
     k = x[known]
     yield from _range_rows(k["doc"], k["tag"], k["first"].astype(np.int64), k["first"].astype(np.int64) + k["span"] + LENGTH)

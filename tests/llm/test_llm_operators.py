@@ -474,3 +474,19 @@ def test_pipeline_near_dups_takes_five_words(spark, sf):
     five, two = plain_kept(rows, 5), plain_kept(rows, 2)
     assert 2 in five and 2 not in two and len(two) < len(five) < len(rows)
     assert {r.doc_id for r in corpus_pipeline.near_dups(spark, docs, sf[0]).collect()} == five
+
+
+def test_op4_equal_stretches_agree_in_both_hashes():
+    """Stretches of different grams whose hashes agree once they are folded into 48 bits are not equal."""
+    fold = lambda g, w: (g * 3 ^ w) % 2**64
+    g = [0x1111222233330000, 0x4444555566660000]
+    w = [0x0123456789AB0000, fold(g[0], 0x0123456789AB0000) ^ g[1] * 3 % 2**64]
+    assert fold(g[0], w[0]) == fold(g[1], w[1])
+    rows = [(g[0], w[0], 1), (g[1], w[1], 2), (g[0], 0x7770000, 8), (g[1], 0x8880000, 9), (g[0], w[0], 5)]
+    x = np.zeros(len(rows), shared_strings._SHIP)
+    for i, r in enumerate(rows):
+        x["gram"][i], x["whole"][i], x["doc"][i] = r
+    sent = shared_strings._batch([(0, None, None, shared_strings.STRETCHES, shared_strings._packed(x))])
+    met = [r for b in shared_strings._meet(iter([sent])) for r in b.to_pylist()]
+    assert {r["doc"] for r in met if r["kind"] == shared_strings.RANGES} == {5}
+    assert {r["doc"] for r in met if r["kind"] == shared_strings.ASKS} == {1, 2, 8, 9}
