@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -31,41 +29,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; set here only where unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share."""
     return f"{shared_dir(spark)}/kmerloom-{uuid.uuid4().hex}"
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where none is named, one is made in local mode only, as
+    in tests: on a cluster a folder of the driver's machine would not be seen by the executors."""
     sc = spark.sparkContext
     own = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not own:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="kmerloom-checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(own)
     return own
 
 
-def stored(df: DataFrame) -> DataFrame:
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder, read back: cuts lineage and keeps columns prunable."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
+    spark = df.sparkSession
+    path = path or scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """The intermediate tables of one run, in one folder that is deleted at its end; results stay in a folder of their own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.count = spark, scratch(spark), 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        return stored(df, f"{self.path}/{self.count}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return stored(df)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        removed(self.spark, self.path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Drop the shuffle files of finished phases now: Spark's cleaner does so after collections on the driver, which
-    may otherwise be half an hour apart. It works beside this thread, hence the waits."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

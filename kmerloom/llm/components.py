@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import stored
+from kmerloom.llm.common import Workspace
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,15 +22,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, space: Workspace) -> DataFrame:
     """(node, component) for every node of a link; component is the least node that it reaches.
 
-    Each round is stored in the shared folder, so a lost executor costs one round and plans stay short. A node with
-    very many links is summed before the shuffle; its join is split by Spark's skew handling.
+    Each round is stored in the workspace, so a lost executor costs one round and plans stay short. A node with very
+    many links is summed before the shuffle; its join is split by Spark's skew handling. Null ends are no links,
+    repeated links count once, and no links give no rows.
     """
-    edges = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    edges = space.stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     while True:
-        edges = stored(_star(_star(edges, True), False))
+        edges = space.stored(_star(_star(edges, True), False))
         # done when every child has one parent and no parent is a child
         twice = edges.groupBy("u").count().where("count > 1").select("u")
         chained = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")

@@ -1,21 +1,26 @@
 """Operator 5: MinHash near-duplicates by an inverted join on signature coordinates.
 
-1. A text is the set of hashes of its distinct shingles (2 words in the query); texts with equal sets form a class, and only each
-   class's representative (smallest id) goes on.
-2. Representatives get a signature of COORDS minima. A (coordinate, value) pair is an element; a pair of texts that
-   agrees in at least MATCHES elements shares one of the first COORDS - MATCHES + 1 elements of each in order of
-   rising frequency. Only those prefixes are posted; elements that occur once take their place in it unposted.
-3. Under each element every text meets the smallest id there; pairs that agree in MATCHES coordinates are confirmed on
-   their full sets and joined into components.
-4. Then texts of different components are paired where they are neighbours under an element, and last wherever they
-   still meet; both are confirmed likewise. Pairs inside one component are never made, and exact distances to a common
-   leader rule most others out, so a group of n near copies costs about n pairs.
-
-A link at similarity 0.8 agrees in fewer than MATCHES = 32 of 64 coordinates with probability about 1e-8.
+1. A text is the set of hashes of its distinct shingles (2 words in the query); texts with equal sets form a class, and
+   only each class's representative (smallest id) goes on.
+2. Representatives get a signature of COORDS minima. A (coordinate, value) pair is an element with a posting list. A
+   pair of texts that agrees in at least MATCHES elements shares one of the first COORDS - MATCHES + 1 elements of each,
+   in order of rising frequency. Only those prefixes are posted; elements that occur once take their place in it unposted.
+3. Two rounds join most of each group at about a pair a row: every text with the smallest id of its lists, then
+   neighbours of different components. Lists that lie within one component are skipped from then on.
+4. Of the other lists, short ones are merged: collisions of pairs of different components are counted, and a pair goes on
+   if its count and the lists that were not merged can still reach MATCHES.
+5. In long lists no pairs are formed. The members' differences from one text of the list, their hub, are posted instead:
+   two texts differ by what their differences do not share, so linked texts of different components share a rare part
+   of their differences, which a second prefix join finds (`by_differences`). This is exact for any hub.
+6. Pairs that agree in MATCHES coordinates of the whole signature are confirmed on their full sets.
+
+A link at similarity 0.8 agrees in fewer than MATCHES = 13 of 32 coordinates with probability below 1e-6; links above
+that less.
 
 Null and empty texts, and texts of white space, have the empty set, no links and are kept. A null id is never linked
 and its row is kept. Repeated rows share a class, so each gives the same row. Rows of one id with different texts
-have their own classes; their links are confirmed by the least text. Very long texts are read whole. Empty tables give no rows; extra columns are not read.
+have their own classes; their links are confirmed by the least text. Very long texts are read whole. Empty tables give
+no rows; extra columns are not read. Ties in frequency are ordered by the element.
 """
 
 from __future__ import annotations
@@ -28,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import BASE_A, mixed, n_partitions, prefix_sums, release, scratch, sliced, span_hash, stored, table, utf8, word_spans
+from kmerloom.llm.common import BASE_A, Workspace, mixed, n_partitions, prefix_sums, sliced, span_hash, table, utf8, word_spans
 from kmerloom.llm.components import components
 
-COORDS, MATCHES = 64, 32
+COORDS, MATCHES = 32, 13
 #: Links hold where 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Texts under an element from which on each is bounded by itself before it is paired; it changes no result.
-CROWD = 16
+#: Rows up to which a posting list is merged into pairs; longer ones go through their hub. It changes no result.
+MERGED = 8
 
 _A = np.random.default_rng(11).integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _X = np.random.default_rng(12).integers(0, 1 << 63, COORDS, dtype=np.uint64)
@@ -119,13 +124,14 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def posted(reps: DataFrame) -> DataFrame:
-    """(element, id, n): for each text the elements of its prefix that occur at least twice."""
+    """(element, id, n, m): for each text the elements of its prefix that occur at least twice; m of all do."""
     elements = reps.select("id", "sig").mapInArrow(_elements, "id long, element long")
     often = elements.groupBy("element").count().where("count > 1")
     prefix = COORDS - MATCHES + 1
     by = elements.join(often, "element").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "element"))).alias("e"))
     rest = F.greatest(F.lit(0), F.lit(prefix - COORDS) + F.size("e"))
-    return by.select("id", F.explode(F.slice("e", F.lit(1), rest)).alias("e")).select("e.element", "id").join(reps.select("id", "n"), "id")
+    rows = by.select("id", F.size("e").alias("m"), F.explode(F.slice("e", F.lit(1), rest)).alias("e"))
+    return rows.select("e.element", "id", "m").join(reps.select("id", "n"), "id").select("element", "id", "n", "m")
 
 
 def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -146,37 +152,28 @@ def linked(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("common") * 100 >= F.col("union") * PERCENT).select("a", "b")
 
 
-def in_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def sets_table(docs: DataFrame, ids: DataFrame, words: int) -> str:
+    """Name of a table (id, members) of the ids (id), bucketed by id. Of rows of one id, the least text counts.
 
-
-def texts_of(docs: DataFrame, ids: DataFrame) -> str:
-    """Name of a table (id, text) of the ids (id), bucketed by id. Of rows of one id, the least text counts.
-
-    Every phase asks for the sets of some of these ids: texts are dealt by id once, and phases only ship their ids.
-    The table lies in the shared folder; its name is the caller's to drop.
+    Every round asks for some of these sets: texts are dealt by id once, and rounds only ship their ids. The table is
+    the caller's to drop.
     """
-    spark, name = docs.sparkSession, f"kmerloom_texts_{uuid.uuid4().hex}"
-    texts = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    spark, name = docs.sparkSession, f"kmerloom_sets_{uuid.uuid4().hex}"
     n = n_partitions(spark)
-    texts.repartition(n, "id").write.option("path", scratch(spark)).bucketBy(n, "id").saveAsTable(name)
+    texts = docs.join(ids, "id", "left_semi").repartition(n, "id").groupBy("id").agg(F.min("text").alias("text"))
+    texts.mapInArrow(_sets(words), "id long, members array<long>").write.bucketBy(n, "id").saveAsTable(name)
     return name
 
 
-def sets_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, members) of the texts (id, text) of ids (id), stored."""
-    return stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets(words), "id long, members array<long>"))
-
-
 def _sizes_fit(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
 def labelled(post: DataFrame, group: DataFrame) -> DataFrame:
-    """(element, id, n, c): the posted elements under which texts of different components c meet."""
-    named = post.join(group, post["id"] == group["node"], "left").select("element", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed_up = named.groupBy("element").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("element")
-    return stored(named.join(mixed_up, "element"))
+    """(element, id, n, m, c, k): the lists of k rows in which texts of different components c meet."""
+    named = post.join(group, post["id"] == group["node"], "left").select("element", "id", "n", "m", F.coalesce("component", "id").alias("c"))
+    mixed_up = named.groupBy("element").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi")
+    return named.join(mixed_up.select("element", "k"), "element")
 
 
 def neighbours(here: DataFrame, reps: DataFrame) -> DataFrame:
@@ -205,82 +202,100 @@ def neighbours(here: DataFrame, reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def shared_sizes(here: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(element, id, shared): under elements of CROWD texts or more, how many of a text's shingles any other text has.
-
-    A text's own shingles are in no intersection and in every union, which bounds its similarity to all others: most
-    of the stray relatives of a large group drop out here, each by itself, without being paired with the group.
-    """
-    often = here.groupBy("element").count().where(F.col("count") >= CROWD).select("element")
-    rows = here.join(often, "element").select("element", "id", "n")
-    members = sets_of(texts, rows.select("id").distinct(), words).select("id", F.explode("members").alias("m"))
-    own = members.groupBy("m").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
-    return rows.join(own, "id", "left").select("element", "id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+def _sides(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """rows and other joined, their further columns with 1 and 2 after their names."""
+    named = lambda df, x: df.select(*on, *(F.col(c).alias(c + x) for c in df.columns if c not in on))
+    return named(rows, "1").join(named(other, "2"), on)
 
 
-def across(here: DataFrame, known: DataFrame, shared: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components that meet under an element and may still be linked.
+def counted(short: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may agree in MATCHES elements, by merging the short lists.
 
-    Under each element the largest component meets the others, and the others meet each other; pairs within a component
-    are never made. known (id, leader, far) has exact distances to a leader: distance obeys the triangle inequality, so
-    texts whose distances to one leader differ by more than 1 - PERCENT / 100 are not linked. shared bounds similarity
-    from above.
+    The lists hold s of a text's m repeated elements; a pair that collides in h of them agrees in at most
+    h + min(m - s) in all.
+    """
+    merged = short.groupBy("id").agg(F.count("*").alias("s"))
+    rows = short.join(merged, "id").select("element", "id", "n", "c", (F.col("m") - F.col("s")).alias("left"))
+    met = _sides(rows, rows, ["element"]).where("id1 < id2 AND c1 <> c2").where(_sizes_fit("n1", "n2"))
+    hits = met.groupBy(F.col("id1").alias("a"), F.col("id2").alias("b")).agg(F.count("*").alias("h"), F.first(F.least("left1", "left2")).alias("left"))
+    return hits.where(F.col("h") + F.col("left") >= MATCHES).select("a", "b")
+
+
+def by_differences(long: DataFrame, sets: DataFrame, kept) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs): links (a, b) of texts with their hubs, and pairs (a, b) of different components that may be linked.
+
+    A list's hub is the least text of its largest component. With D the symmetric difference of a text and the hub, and
+    d its size, two texts differ in d1 + d2 - 2 * |D1 and D2| shingles, and they are linked if that is at most a ninth
+    (at 80 percent) of n1 + n2. Two texts that are linked to the hub are in one component, and any other linked pair
+    must share at least one member of D1 and D2. With each D in order of rising frequency in the hub's group, what a
+    pair shares lies after its first common place in both, which bounds it from above; places too late for any partner
+    are not posted at all.
     """
-    sizes = here.groupBy("element", "c").agg(F.count("*").alias("k")).groupBy("element").agg(F.max_by("c", F.struct("k", "c")).alias("big"))
-    rows = here.join(sizes, "element").join(shared, ["element", "id"], "left").withColumn("shared", F.coalesce("shared", "n"))
-    rows = rows.where(F.col("shared") * 100 >= F.col("n") * PERCENT).join(known, "id", "left")
-    side = lambda df, x: df.select("element", *(F.col(c).alias(c + x) for c in ("id", "n", "c", "shared", "leader", "far")))
-    common = F.least("shared1", "shared2")
-    could = common * 100 >= (F.col("n1") + F.col("n2") - common) * PERCENT
-    near = ~F.coalesce((F.col("leader1") == F.col("leader2")) & (F.abs(F.col("far1") - F.col("far2")) > 1.000001 - PERCENT / 100), F.lit(False))
-    fits = _sizes_fit("n1", "n2") & could & near
-    rest, most = side(rows.where("c <> big"), "1"), side(rows.where("c = big"), "2")
-    one = rest.join(most, "element").where(fits)
-    two = rest.join(side(rows.where("c <> big"), "2"), "element").where(fits & (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2")))
-    return one.unionByName(two).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    above, below = 100 + PERCENT, 100 - PERCENT
+    sizes = long.groupBy("element", "c").agg(F.count("*").alias("k")).groupBy("element").agg(F.max_by("c", F.struct("k", "c")).alias("hub"))
+    under = long.join(sizes, "element").select("hub", "id", "c").distinct()
+    both = under.join(sets, "id").join(sets.toDF("hub", "other"), "hub")
+    lost = F.transform(F.array_except("other", "members"), F.bitwise_not)
+    own = both.select("hub", "id", "c", F.size("members").alias("n"), F.size("other").alias("nh"), F.concat(F.array_except("members", "other"), lost).alias("items"))
+    own = kept(own.withColumn("d", F.size("items")).withColumn("near", F.col("d") * above <= (F.col("n") + F.col("nh")) * below).where("d > 0"))
+    items = own.select("hub", "id", F.explode("items").alias("item"))
+    often = items.groupBy("hub", "item").count().where("count > 1")
+    ranked = items.join(often, ["hub", "item"]).groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("e"))
+    # a pair must share so many members: a partner of a text that is linked to the hub is not, others' partners may be
+    least = F.when(F.col("near"), F.col("d") * above + (F.col("nh") - F.col("n")) * below).otherwise(F.col("d") * above - (F.col("n") + F.col("nh")) * below)
+    last = F.col("d") - F.greatest(F.lit(1), F.ceil(least / (2 * above))).cast("int")
+    alone = F.col("d") - F.size("e")
+    placed = own.drop("items").join(ranked, ["hub", "id"]).withColumn("alone", alone).withColumn("e", F.slice("e", F.lit(1), F.greatest(F.lit(0), last - alone + 1)))
+    rows = kept(placed.select("hub", "id", "c", "n", "d", "near", "alone", F.posexplode("e").alias("at", "e")).select("hub", "e.item", "id", "c", "n", "near", "d", (F.col("d") - F.col("alone") - F.col("at")).alias("rest")))
+    may = (F.col("d1") + F.col("d2") - 2 * F.least("rest1", "rest2")) * above <= (F.col("n1") + F.col("n2")) * below
+    met = _sides(rows.where("NOT near"), rows, ["hub", "item"]).where("c1 <> c2 AND (near2 OR id1 < id2)").where(may)
+    links = own.where("near AND c <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    return links, met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 2) -> DataFrame:
     """By shingles of `words` words. Per row of docs: key, n_shingles, component_id and kept (this is the row of the component's smallest id)."""
-    spark = docs.sparkSession
-    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    feats = stored(own.mapInArrow(_features(words), "id long, n long, k1 long, k2 long, sig binary"))
-    some = feats.where("n > 0 AND id IS NOT NULL")
-    reps = stored(some.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")))
-    post = stored(posted(reps))
-    release(spark)
-    name = texts_of(own, post.select("id").distinct())
-    texts = spark.table(name)
-    release(spark)
-
-    # first every text with a leader that it agrees with
-    leader = post.groupBy("element").agg(F.min(F.struct("id", "n")).alias("l")).select("element", F.col("l.id").alias("b"), F.col("l.n").alias("nb"))
-    met = post.join(leader, "element").where("id <> b").where(_sizes_fit("n", "nb")).select(F.col("id").alias("a"), "b").distinct()
-    first = stored(alike(met, reps).groupBy("a").agg(F.min("b").alias("b")))
-    release(spark)
-    sure = stored(measured(first, sets_of(texts, in_pairs(first), words)))
-    links, group = linked(sure), components(linked(sure), "a", "b")
-    release(spark)
-
-    # then neighbours of different components, and last what is left of all meetings
-    known = sure.select(F.col("a").alias("id"), F.col("b").alias("leader"), (1 - F.col("common") / F.col("union")).alias("far"))
-    for meet in (lambda here: neighbours(here, reps), lambda here: across(here, known, shared_sizes(here, texts, words))):
-        pairs = stored(alike(meet(labelled(post, group)), reps))
-        release(spark)
-        if pairs.isEmpty():
-            continue
-        links = links.unionByName(linked(stored(measured(pairs, sets_of(texts, in_pairs(pairs), words)))))
-        group = components(links, "a", "b")
-        release(spark)
-    spark.sql(f"DROP TABLE {name}")
-
-    named = reps.select("k1", "k2", "n", F.col("id").alias("rep")).join(group, F.col("rep") == F.col("node"), "left")
-    named = named.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    out = feats.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))
-    )
+    with Workspace(docs.sparkSession) as space:
+        own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+        feats = space.stored(own.mapInArrow(_features(words), "id long, n long, k1 long, k2 long, sig binary"))
+        some = feats.where("n > 0 AND id IS NOT NULL")
+        reps = space.stored(some.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")))
+        group = linked_groups(own, reps, words, space)
+
+        named = reps.select("k1", "k2", "n", F.col("id").alias("rep")).join(group, F.col("rep") == F.col("node"), "left")
+        named = named.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
+        out = feats.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
+        component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
+        result = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+        return space.result(result.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))))
+
+
+def linked_groups(docs: DataFrame, reps: DataFrame, words: int, space: Workspace) -> DataFrame:
+    """(node, component) of the representatives that are linked: docs (id, text), reps (id, n, sig)."""
+    post = space.stored(posted(reps))
+    name = sets_table(docs, post.select("id").distinct(), words)
+    try:
+        sets = docs.sparkSession.table(name)
+        confirmed = lambda pairs: space.stored(linked(measured(space.stored(alike(pairs, reps)), sets)))
+
+        # every text with a leader that it agrees with
+        leader = post.groupBy("element").agg(F.min(F.struct("id", "n")).alias("l")).select("element", F.col("l.id").alias("b"), F.col("l.n").alias("nb"))
+        met = post.join(leader, "element").where("id <> b").where(_sizes_fit("n", "nb")).select(F.col("id").alias("a"), "b").distinct()
+        first = space.stored(alike(met, reps).groupBy("a").agg(F.min("b").alias("b")))
+        links = space.stored(linked(measured(first, sets)))
+        group = components(links, "a", "b", space)
+
+        # neighbours of different components
+        links = links.unionByName(confirmed(neighbours(space.stored(labelled(post, group)), reps)))
+        group = components(links, "a", "b", space)
+
+        # the rest: short lists are merged, long ones compared by differences
+        here = space.stored(labelled(post, group))
+        sure, pairs = by_differences(here.where(F.col("k") > MERGED), sets, space.stored)
+        links = links.unionByName(sure).unionByName(confirmed(counted(here.where(F.col("k") <= MERGED)).unionByName(pairs).distinct()))
+        return components(links, "a", "b", space)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

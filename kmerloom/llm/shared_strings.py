@@ -5,16 +5,21 @@ Sorting every suffix of the corpus would ship each byte many times. Only suffixe
 1. Every 50-byte string contains an anchor, its smallest 20-byte gram by hash (leftmost of equals). The grams are the
    initial buckets. The strings that share an anchor occurrence form one stretch of text, which is shipped as the
    gram's hash, the stretch's hash and its place. Stretches met before within a task are settled there.
-2. In each bucket, stretches equal to one of a smaller document are covered whole. Where a bucket holds different
-   stretches, their texts are asked for, keyed by a longer gram to the right or to the left of the anchor, and refined:
-   bucket ids of 8-byte grams are doubled by ranking pairs of bucket ids at later offsets, each round reusing the ids
-   that the last one updated, until 50 bytes decide. Equal final ids are equal strings.
+2. In each bucket, stretches equal to one of a smaller document are covered whole. Different stretches of one gram are
+   refined by their buckets at later offsets: the 15 bytes after the gram, and the 15 before it, have bucket ids of 16
+   bits, which travel with the stretch. Only where a pair (gram, later bucket) recurs in another document is that half of
+   the stretch asked for; its bytes travel keyed by the 35-byte gram, and bucket ids of 8-byte grams are doubled by
+   ranking pairs of bucket ids at later offsets, each round reusing the ids that the last one updated, until 50 bytes
+   decide. Equal final ids are equal strings.
 3. Covered ranges are gathered by document and cut out of its bytes.
 
-Strings are judged on the input. Hash identity takes 96 bits; rows of one id are told apart by a hash of their text. A null text is empty; a null id neither loses bytes nor
-makes others lose any. Repeated rows and rows of one id never cover each other and give one row each. Texts are taken
-whole, in UTF-8, whatever their length; texts under 50 bytes are untouched. Empty tables give no rows; extra columns
-are not read.
+What tasks send to each other are frames: the rows of one pair of tasks packed into one row.
+
+Strings are judged on the input. Where whole stretches are equal, identity is that of 48 bits of the gram's and 48 bits
+of the stretch's hash, compared apart; elsewhere bytes are compared. Rows of one id are told apart by a hash of their
+text. A null text is empty; a null id neither loses bytes nor makes others lose any. Repeated rows and rows of one id
+never cover each other and give one row each. Texts are taken whole, in UTF-8, whatever their length below 1 GiB (longer
+ones raise an error); texts under 50 bytes are untouched. Empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import BASE_A, BASE_B, mixed, n_partitions, powers, prefix_sums, release, sliced, span_hash, stored, table, utf8
+from kmerloom.llm.common import BASE_A, BASE_B, Workspace, mixed, n_partitions, powers, prefix_sums, sliced, span_hash, table, utf8
 
 LENGTH, GRAM = 50, 20
 #: Anchors that a task gathers before it settles and ships them.
@@ -36,10 +41,14 @@ _HALF = (LENGTH - GRAM) // 2
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text index, first string start, anchor, last string start, gram hash, stretch hash); places are absolute."""
+    """(text index, first string start, anchor, last string start, gram hash, stretch hash, hash of the bytes after the
+    gram, of those before it); places are absolute."""
     n = len(data)
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 4
+    if n >= 1 << 30:
+        raise ValueError("a text of 1 GiB or more")
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        return none
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     sums = prefix_sums(data, BASE_A)
     m = n - GRAM + 1
@@ -53,12 +62,14 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         width += step
     at = np.flatnonzero(doc[: n - LENGTH + 1] == doc[LENGTH - 1 :])
     if not len(at):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        return none
     anchor = (low[at] & np.uint64((1 << 30) - 1)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
     first, last, anchor = at[new], at[np.append(new[1:], len(at)) - 1], anchor[new]
     whole = span_hash(prefix_sums(data, BASE_B), first, last + LENGTH, BASE_B) + (anchor - first).astype(np.uint64)
-    return doc[first], first, anchor, last, gram[anchor], mixed(whole)
+    after = span_hash(sums, anchor + GRAM, np.minimum(anchor + GRAM + _HALF, n), BASE_A)
+    before = span_hash(sums, np.maximum(anchor - _HALF, 0), anchor, BASE_A)
+    return doc[first], first, anchor, last, gram[anchor], mixed(whole), after, before
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,22 +92,16 @@ def _least(keys: np.ndarray | tuple[np.ndarray, ...], values: np.ndarray, larges
     return out
 
 
-def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The union of ranges as maximal runs, ascending."""
-    if not len(start):
-        return start, end
-    order = np.argsort(start, kind="stable")
-    s, e = start[order], np.maximum.accumulate(end[order])
-    new = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
-    return s[new], e[np.append(new[1:], len(s)) - 1]
+_ROW = "bucket int, kind int, body binary"
+#: kind of a frame: ranges to remove, stretches of a bucket, halves asked for
+RANGES, STRETCHES, ASKS = 0, 1, 2
+_SHIP = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("after", "<u2"), ("before", "<u2"), ("doc", "<i8"), ("tag", "<i4"), ("first", "<i4"), ("off", "u1"), ("span", "u1")])
+_RANGE = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("end", "<i4")])
+_ASK = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("first", "<i4"), ("off", "u1"), ("span", "u1"), ("halves", "u1")])
 
 
-_ROW = "bucket int, doc long, tag int, kind int, body binary"
-_NAMES = ["bucket", "doc", "tag", "kind", "body"]
-#: kind of a row: ranges to remove, stretches of a bucket, texts asked for
-RANGES, STRETCHES, ASKS = 0, 1, 2
-_SHIP = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("first", "<i4"), ("off", "u1"), ("span", "u1")])
-_ASK = np.dtype([("first", "<i4"), ("off", "u1"), ("span", "u1")])
+#: columns that are packed row by row; the others have forms of their own
+_LOCAL = ("after", "before", "first", "off", "span")
 
 
 def _planes(v: np.ndarray) -> bytes:
@@ -116,7 +121,7 @@ def _packed(x: np.ndarray) -> bytes:
     new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["tag"][1:] != x["tag"][:-1])
     runs = x[new]
     head = np.array([len(x), len(runs)], "<u4").tobytes()
-    return b"".join([head, cut(x["gram"]), cut(x["whole"]), np.packbits(new).tobytes(), *(_planes(runs[c]) for c in ("doc", "tag")), *(_planes(x[c]) for c in ("first", "off", "span"))])
+    return b"".join([head, cut(x["gram"]), cut(x["whole"]), np.packbits(new).tobytes(), *(_planes(runs[c]) for c in ("doc", "tag")), *(_planes(x[c]) for c in _LOCAL)])
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
@@ -131,56 +136,73 @@ def _unpacked(raw: bytes) -> np.ndarray:
     for c in ("doc", "tag"):
         v, at = _unplanes(raw, at, k, _SHIP[c])
         out[c] = v[run]
-    for c in ("first", "off", "span"):
+    for c in _LOCAL:
         out[c], at = _unplanes(raw, at, n, _SHIP[c])
     return out
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * 5
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], _NAMES)
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * 3
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "body"])
+
+
+def _frames(x: np.ndarray, bucket: np.ndarray, kind: int, pack) -> Iterator[pa.RecordBatch]:
+    """Rows x as one frame a bucket."""
+    order, at = _groups(bucket.astype(np.int32))
+    for lo, hi in zip(at.tolist(), np.append(at[1:], len(x)).tolist()):
+        yield _batch([(int(bucket[order[lo]]), kind, pack(x[order[lo:hi]]))])
+
+
+def _by_doc(x: np.ndarray, kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows with doc and tag as frames by document."""
+    yield from _frames(x, mixed(x["doc"].astype(np.uint64)) % np.uint64(buckets), kind, lambda part: part.tobytes())
+
+
+def joined(x: np.ndarray) -> np.ndarray:
+    """Ranges of many documents as maximal runs of each, in order of document and place."""
+    if not len(x):
+        return x
+    x = x[np.lexsort((x["start"], x["tag"], x["doc"]))]
+    new = np.ones(len(x), bool)
+    new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["tag"][1:] != x["tag"][:-1])
+    # ends so far inside a document: each document's numbers lie above those of the one before
+    base = (np.cumsum(new) - 1) << 32
+    ends = np.maximum.accumulate(base + x["end"])
+    new[1:] |= base[1:] + x["start"][1:] > ends[:-1]
+    at = np.flatnonzero(new)
+    out = x[at]
+    out["end"] = (ends - base)[np.append(at[1:], len(x)) - 1]
+    return out
 
 
-def _by_doc(doc: np.ndarray, tag: np.ndarray, kind: int, body, step: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Batches of one row a document: body(indices) makes its bytes."""
-    order = np.lexsort((tag, doc))
-    d, t = doc[order], tag[order]
-    at = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])) if len(d) else np.zeros(0, np.int64)
-    ends, rows = np.append(at[1:], len(d)), []
-    for a, b in zip(at.tolist(), ends.tolist()):
-        rows.append((int(d[a]) & 0x7FFFFFF, int(d[a]), int(t[a]), kind, body(order[a:b])))
-        if len(rows) == step:
-            yield _batch(rows)
-            rows = []
-    if rows:
-        yield _batch(rows)
+def _ranges(doc, tag, start, end) -> np.ndarray:
+    out = np.empty(len(doc), _RANGE)
+    out["doc"], out["tag"], out["start"], out["end"] = doc, tag, start, end
+    return joined(out)
 
 
-def _range_rows(doc, tag, start, end) -> Iterator[pa.RecordBatch]:
-    return _by_doc(doc, tag, RANGES, lambda i: np.column_stack(merged(start[i], end[i])).astype("<i4").tobytes())
+def _whole(x: np.ndarray) -> np.ndarray:
+    """The ranges of whole stretches."""
+    return _ranges(x["doc"], x["tag"], x["first"], x["first"].astype(np.int64) + x["span"] + LENGTH)
 
 
 def _send(buckets: int):
     def settle(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         x = np.concatenate(parts)
-        least = _least((x["gram"], x["whole"]), x["doc"])
-        known = x["doc"] > least
-        k = x[known]
-        yield from _range_rows(k["doc"], k["tag"], k["first"].astype(np.int64), k["first"].astype(np.int64) + k["span"] + LENGTH)
+        known = x["doc"] > _least((x["gram"], x["whole"]), x["doc"])
+        yield from _by_doc(_whole(x[known]), RANGES, buckets)
         x = x[~known]
-        b = (x["gram"] >> np.uint64(20)) % np.uint64(buckets)
-        order, at = _groups(b.astype(np.int32))
-        for lo, hi in zip(at.tolist(), np.append(at[1:], len(x)).tolist()):
-            i = order[lo:hi]
-            yield _batch([(int(b[i[0]]), None, None, STRETCHES, _packed(x[i]))])
+        yield from _frames(x, (x["gram"] >> np.uint64(20)) % np.uint64(buckets), STRETCHES, _packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = lambda h: h >> np.uint64(16) << np.uint64(16)
         parts, held = [], 0
         for batch in sliced(batches, "text"):
             data, offsets = utf8(batch.column(2))
-            i, first, anchor, last, gram, whole = stretches(data, offsets)
+            i, first, anchor, last, gram, whole, after, before = stretches(data, offsets)
             x = np.empty(len(i), _SHIP)
-            x["gram"], x["whole"], x["doc"], x["tag"] = gram >> np.uint64(16) << np.uint64(16), whole >> np.uint64(16) << np.uint64(16), np.asarray(batch.column(0))[i], np.asarray(batch.column(1))[i]
+            x["gram"], x["whole"], x["doc"], x["tag"] = cut(gram), cut(whole), np.asarray(batch.column(0))[i], np.asarray(batch.column(1))[i]
+            x["after"], x["before"] = after >> np.uint64(48), before >> np.uint64(48)
             x["first"], x["off"], x["span"] = first - offsets[i], anchor - first, last - first
             parts.append(x)
             held += len(x)
@@ -193,49 +215,75 @@ def _send(buckets: int):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All stretches of some buckets: ranges that are settled by equal stretches, and asks where stretches differ."""
-    parts = []
-    for b in batches:
-        kind = np.asarray(b.column(3))
-        yield b.filter(pa.array(kind == RANGES))
-        parts += [_unpacked(r) for r in b.filter(pa.array(kind == STRETCHES)).column(4).to_pylist()]
-    if not parts:
-        return
-    x = np.concatenate(parts)
-    del parts
-    x = x[_least(x["gram"], x["doc"]) != _least(x["gram"], x["doc"], True)]
-    if not len(x):
-        return
-    least = _least((x["gram"], x["whole"]), x["doc"])
-    known = x["doc"] > least
-    k = x[known]
-    yield from _range_rows(k["doc"], k["tag"], k["first"].astype(np.int64), k["first"].astype(np.int64) + k["span"] + LENGTH)
-    r = x[~known]
-    # other stretches of the same gram: of a smaller document they may cover, of a larger one be covered
-    r = r[_least(r["gram"], r["whole"]) != _least(r["gram"], r["whole"], True)]
-    yield from _by_doc(r["doc"], r["tag"], ASKS, lambda i: np.rec.fromarrays([r[c][i] for c in _ASK.names], dtype=_ASK).tobytes())
+def halves(first: np.ndarray, anchor: np.ndarray, last: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """First and last start of the strings with the bytes after the gram, and of the others, which have those before it."""
+    return (np.maximum(first, anchor - _HALF), last), (first, np.minimum(last, anchor - _HALF - 1))
+
+
+def _meet(buckets: int):
+    """All stretches of some buckets: ranges that are settled by equal stretches, and asks where halves may agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, ranges = [np.zeros(0, _SHIP)], [np.zeros(0, _RANGE)]
+        for b in batches:
+            for kind, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if kind == RANGES:
+                    ranges.append(np.frombuffer(body, _RANGE))
+                else:
+                    parts.append(_unpacked(body))
+        x = np.concatenate(parts)
+        del parts
+        x = x[_least(x["gram"], x["doc"]) != _least(x["gram"], x["doc"], True)]
+        known = x["doc"] > _least((x["gram"], x["whole"]), x["doc"])
+        yield from _by_doc(joined(np.concatenate([*ranges, _whole(x[known])])), RANGES, buckets)
+        # other stretches of the same gram: of a smaller document they may cover, of a larger one be covered
+        x = x[~known]
+        first = x["first"].astype(np.int64)
+        ask = np.zeros(len(x), _ASK)
+        for c in ("doc", "tag", "first", "off", "span"):
+            ask[c] = x[c]
+        for bit, (name, (lo, hi)) in enumerate(zip(("after", "before"), halves(first, first + x["off"], first + x["span"]))):
+            on = np.flatnonzero(lo <= hi)
+            key, doc = (x["gram"][on], x[name][on]), x["doc"][on]
+            ask["halves"][on[_least(key, doc) != _least(key, doc, True)]] |= 1 << bit
+        yield from _by_doc(ask[ask["halves"] > 0], ASKS, buckets)
+
+    return run
+
+
+def _gathered(kind: np.dtype):
+    """Frames of whole documents to rows (doc, tag, body), one a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate([np.zeros(0, kind), *(np.frombuffer(r, kind) for b in batches for r in b.column(2).to_pylist())])
+        x = joined(x) if kind == _RANGE else x[np.lexsort((x["first"], x["tag"], x["doc"]))]
+        new = np.ones(len(x), bool)
+        new[1:] = (x["doc"][1:] != x["doc"][:-1]) | (x["tag"][1:] != x["tag"][:-1])
+        at = np.append(np.flatnonzero(new), len(x))
+        for i in range(0, len(at) - 1, 4096):
+            a = at[i : i + 4097]
+            yield pa.record_batch([pa.array(x["doc"][a[:-1]]), pa.array(x["tag"][a[:-1]]), pa.array([x[p:q].tobytes() for p, q in zip(a.tolist(), a[1:].tolist())], pa.binary())], ["doc", "tag", "body"])
+
+    return run
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the asked stretches, each half keyed by the longer gram that its strings share."""
+    """Texts of the asked halves, each keyed by the longer gram that its strings share."""
     for batch in sliced(batches, "text", 1 << 20):
         keys, docs, tags, starts, texts = [], [], [], [], []
         for doc, tag, text, asks in zip(*(batch.column(i).to_pylist() for i in range(4))):
             raw = text.encode()
             data = np.frombuffer(raw, np.uint8)
-            a = np.unique(np.frombuffer(b"".join(asks), _ASK))
+            a = np.unique(np.frombuffer(asks, _ASK))
             first = a["first"].astype(np.int64)
-            anchor, last, sums = first + a["off"], first + a["span"], prefix_sums(data, BASE_A)
-            for right in (True, False):
-                lo = np.maximum(first, anchor - _HALF) if right else first
-                hi = last if right else np.minimum(last, anchor - _HALF - 1)
-                on = np.flatnonzero(lo <= hi)
+            anchor, sums = first + a["off"], prefix_sums(data, BASE_A)
+            for bit, (lo, hi) in enumerate(halves(first, anchor, first + a["span"])):
+                on = np.flatnonzero(a["halves"] >> bit & 1)
                 if not len(on):
                     continue
                 lo, hi, p = lo[on], hi[on], anchor[on]
-                begin, end = (p, p + GRAM + _HALF) if right else (p - _HALF, p + GRAM)
-                keys.append(span_hash(sums, begin, end, BASE_A) ^ np.uint64(right))
+                begin, end = (p - _HALF, p + GRAM) if bit else (p, p + GRAM + _HALF)
+                keys.append(span_hash(sums, begin, end, BASE_A) ^ np.uint64(bit))
                 docs += [doc] * len(on)
                 tags += [tag] * len(on)
                 starts += lo.tolist()
@@ -266,42 +314,58 @@ def refine(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray
     return ids
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if len(b)]
-    if not held:
-        return
-    t = pa.Table.from_batches(held).combine_chunks()
-    key, doc = np.asarray(t["key"]).view(np.uint64), np.asarray(t["doc"])
-    keep = np.flatnonzero(_least(key, doc) != _least(key, doc, True))
-    if not len(keep):
-        return
-    # pieces of about 4 MB that hold whole keys
-    keep = keep[np.argsort(key[keep], kind="stable")]
-    k = key[keep]
-    piece = (np.arange(len(keep)) // 50_000)[np.searchsorted(k, k, side="left")]
-    for lo, hi in zip(*(lambda c: (c, np.append(c[1:], len(keep))))(np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])))):
-        rows = keep[lo:hi]
+#: Halves that are refined together; the halves of one key always are.
+PIECE = 50_000
+
+
+def _compare(buckets: int):
+    """Rows come sorted by key: whole keys are taken in pieces, so that a task holds one piece or its largest key."""
+
+    def settled(t: pa.Table) -> np.ndarray:
+        key, doc = np.asarray(t["key"]).view(np.uint64), np.asarray(t["doc"])
+        rows = np.flatnonzero(_least(key, doc) != _least(key, doc, True))
+        if not len(rows):
+            return np.zeros(0, _RANGE)
         body = t["body"].take(pa.array(rows)).to_pylist()
         sizes = np.array([len(x) for x in body])
-        data = np.frombuffer(b"".join(body), np.uint8)
         base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         n = sizes - LENGTH + 1
         row = np.repeat(np.arange(len(rows)), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        ids = refine(data, base[row] + within)
+        ids = refine(np.frombuffer(b"".join(body), np.uint8), base[row] + within)
         d = doc[rows][row]
         cover = np.flatnonzero(d > _least(ids, d))
         start = np.asarray(t["start"])[rows][row[cover]].astype(np.int64) + within[cover]
-        yield from _range_rows(d[cover], np.asarray(t["tag"])[rows][row[cover]], start, start + LENGTH)
+        return _ranges(d[cover], np.asarray(t["tag"])[rows][row[cover]], start, start + LENGTH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, out = [], 0, [np.zeros(0, _RANGE)]
+        for b in batches:
+            if not len(b):
+                continue
+            held.append(b)
+            count += len(b)
+            if count >= PIECE:
+                t = pa.Table.from_batches(held).combine_chunks()
+                k = np.asarray(t["key"])
+                end = int(np.flatnonzero(k == k[-1])[0])
+                if end:
+                    out.append(settled(t.slice(0, end)))
+                    held, count = t.slice(end).combine_chunks().to_batches(), len(t) - end
+        if held:
+            out.append(settled(pa.Table.from_batches(held).combine_chunks()))
+        yield from _by_doc(joined(np.concatenate(out)), RANGES, buckets)
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, bodies in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for text, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             raw = (text or "").encode()
-            r = np.frombuffer(b"".join(bodies or []), "<i4").reshape(-1, 2).astype(np.int64)
-            s, e = merged(r[:, 0], r[:, 1])
+            r = np.frombuffer(body or b"", _RANGE)
+            s, e = r["start"].astype(np.int64), r["end"].astype(np.int64)
             kept, at = hashlib.sha256(), 0
             for a, b in zip(s.tolist(), e.tolist()):
                 kept.update(raw[at:a])
@@ -312,29 +376,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def shared_ranges(docs: DataFrame) -> DataFrame:
-    """docs has (doc, tag, text); returns (doc, tag, bodies): the byte ranges to remove, as packed pairs of ints."""
-    spark = docs.sparkSession
-    n = n_partitions(spark)
+def shared_ranges(docs: DataFrame, space: Workspace) -> DataFrame:
+    """docs has (doc, tag, text); returns (doc, tag, body): the maximal byte ranges to remove, packed as _RANGE."""
+    n = n_partitions(docs.sparkSession)
     known = docs.where("doc IS NOT NULL AND length(text) >= 13")  # 50 bytes take 13 code points at least
-    sent = known.mapInArrow(_send(n), _ROW).repartition(n, "bucket")
-    met = stored(sent.mapInArrow(_meet, _ROW).drop("bucket"))
-    release(spark)
-    asks = met.where(F.col("kind") == ASKS).groupBy("doc", "tag").agg(F.collect_list("body").alias("asks"))
-    texts = known.join(asks.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "asks")
-    halves = texts.mapInArrow(_answer, "key long, doc long, tag int, start int, body binary").repartition(n, "key")
-    refined = stored(halves.mapInArrow(_compare, _ROW).drop("bucket"))
-    release(spark)
-    ranges = met.where(F.col("kind") == RANGES).unionByName(refined)
-    return ranges.groupBy("doc", "tag").agg(F.collect_list("body").alias("bodies"))
+    dealt = lambda frames: frames.repartitionById(n, F.col("bucket"))
+    met = space.stored(dealt(known.mapInArrow(_send(n), _ROW)).mapInArrow(_meet(n), _ROW))
+    gathered = lambda frames, kind: dealt(frames).mapInArrow(_gathered(kind), "doc long, tag int, body binary")
+    asks = gathered(met.where(F.col("kind") == ASKS), _ASK)
+    texts = known.join(asks.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "body")
+    asked = texts.mapInArrow(_answer, "key long, doc long, tag int, start int, body binary")
+    refined = asked.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(n), _ROW)
+    return gathered(met.where(F.col("kind") == RANGES).unionByName(space.stored(refined)), _RANGE)
 
 
 def without_shared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
     own = docs.select(F.col(key).cast("long").alias("doc"), F.hash(F.coalesce(text, F.lit(""))).alias("tag"), F.col(text).alias("text"))
-    ranges = shared_ranges(own)
-    both = own.join(ranges.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "bodies")
-    return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    with Workspace(docs.sparkSession) as space:
+        ranges = shared_ranges(own, space)
+        both = own.join(ranges.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "text", "body")
+        return space.result(both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def op4_shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

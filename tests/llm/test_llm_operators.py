@@ -241,6 +241,60 @@ def test_op5_chains_and_boundaries(spark):
     assert bag(got, "doc_id", "n_shingles", "component_id", "kept") == plain_components(rows)
 
 
+def exact_components(rows):
+    """As plain_components, for many rows of unique ids: all intersections by one matrix product."""
+    words = [t.lower().split() for _, t in rows]
+    sets = [{(a, b) for a, b in zip(w, w[1:])} for w in words]
+    at = {g: i for i, g in enumerate(set().union(*sets))}
+    m = np.zeros((len(rows), len(at)), np.float32)
+    for r, x in enumerate(sets):
+        m[r, [at[g] for g in x]] = 1
+    n = m.sum(1)
+    both = m @ m.T
+    near = 100 * both >= 80 * (n[:, None] + n[None] - both)
+    label = np.array([i for i, _ in rows])
+    while True:
+        low = np.where(near, label[None], label.max()).min(1)
+        if (low == label).all():
+            return label
+        label = low
+
+
+def test_op5_large_group_with_strays(spark, monkeypatch):
+    """Near copies and as many relatives at the limit, whose edits recur: exact, and pairs grow with the rows."""
+    random.seed(9)
+    base, rows = [f"b{i}" for i in range(90)], []
+    for i in range(2400):
+        w = list(base)
+        for j in random.sample(range(90), random.randrange(0, 5) if i % 2 else random.randrange(4, 16)):
+            w[j] = f"e{random.randrange(30)}"
+        rows.append((i * 7 % 2400 + 1, " ".join(w)))
+    pairs = []
+    found = near_dup.by_differences
+    monkeypatch.setattr(near_dup, "by_differences", lambda *a: pairs.append(found(*a)) or pairs[-1])
+    keep = common.Workspace.__exit__
+    monkeypatch.setattr(common.Workspace, "__exit__", lambda *_: None)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+    assert got == dict(zip([i for i, _ in rows], exact_components(rows).tolist()))
+    assert 600 < max(collections.Counter(got.values()).values()) < 2400
+    assert 0 < pairs[0][1].count() < 20 * len(rows)
+    monkeypatch.setattr(common.Workspace, "__exit__", keep)
+
+
+def test_op5_leaves_nothing_behind(spark):
+    import glob
+    import os
+
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "a b c e")], "doc_id long, text string")
+    near_dup.near_duplicates(df).collect()
+    before = set(glob.glob(common.shared_dir(spark).removeprefix("file://") + "/*"))
+    near_dup.near_duplicates(df).collect()
+    after = set(glob.glob(common.shared_dir(spark).removeprefix("file://") + "/*")) - before
+    assert len(after) == 1 and all(os.path.exists(f"{x}/_SUCCESS") for x in after)  # the result alone
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("kmerloom_sets")]
+
+
 def test_components(spark):
     random.seed(7)
     links = [(random.randrange(300), random.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
@@ -254,7 +308,8 @@ def test_components(spark):
     for a, b in links:
         x, y = find(a), find(b)
         up[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    with common.Workspace(spark) as space:
+        got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b", space).collect()}
     assert all(got.get(x, x) == find(x) for x in up)
 
 
@@ -486,7 +541,8 @@ def test_op4_equal_stretches_agree_in_both_hashes():
     x = np.zeros(len(rows), shared_strings._SHIP)
     for i, r in enumerate(rows):
         x["gram"][i], x["whole"][i], x["doc"][i] = r
-    sent = shared_strings._batch([(0, None, None, shared_strings.STRETCHES, shared_strings._packed(x))])
-    met = [r for b in shared_strings._meet(iter([sent])) for r in b.to_pylist()]
-    assert {r["doc"] for r in met if r["kind"] == shared_strings.RANGES} == {5}
-    assert {r["doc"] for r in met if r["kind"] == shared_strings.ASKS} == {1, 2, 8, 9}
+    sent = shared_strings._batch([(0, shared_strings.STRETCHES, shared_strings._packed(x))])
+    met = [r for b in shared_strings._meet(3)(iter([sent])) for r in b.to_pylist()]
+    docs = lambda kind, form: {int(d) for r in met if r["kind"] == kind for d in np.frombuffer(r["body"], form)["doc"]}
+    assert docs(shared_strings.RANGES, shared_strings._RANGE) == {5}
+    assert docs(shared_strings.ASKS, shared_strings._ASK) == {1, 2, 8, 9}
