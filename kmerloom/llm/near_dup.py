@@ -11,7 +11,8 @@
    if its count and the lists that were not merged can still reach MATCHES.
 5. In long lists no pairs are formed. The members' differences from one text of the list, their hub, are posted instead:
    two texts differ by what their differences do not share, so linked texts of different components share a rare part
-   of their differences, which a second prefix join finds (`by_differences`). This is exact for any hub.
+   of their differences, which a second prefix join finds (`around_hubs`, `sharing`). Members far from the hub are
+   compared among each other. This is exact for any hub.
 6. Pairs that agree in MATCHES coordinates of the whole signature are confirmed on their full sets.
 
 A link at similarity 0.8 agrees in fewer than MATCHES = 13 of 32 coordinates with probability below 1e-6; links above
@@ -40,7 +41,7 @@ COORDS, MATCHES = 32, 13
 #: Links hold where 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Rows up to which a posting list is merged into pairs; longer ones go through their hub. It changes no result.
-MERGED = 8
+MERGED = 16
 
 _A = np.random.default_rng(11).integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _X = np.random.default_rng(12).integers(0, 1 << 63, COORDS, dtype=np.uint64)
@@ -221,36 +222,60 @@ def counted(short: DataFrame) -> DataFrame:
     return hits.where(F.col("h") + F.col("left") >= MATCHES).select("a", "b")
 
 
-def by_differences(long: DataFrame, sets: DataFrame, kept) -> tuple[DataFrame, DataFrame]:
-    """(links, pairs): links (a, b) of texts with their hubs, and pairs (a, b) of different components that may be linked.
+def around_hubs(long: DataFrame, sets: DataFrame, kept) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, core, outer) of the long lists (element, id, n, m, c).
 
-    A list's hub is the least text of its largest component. With D the symmetric difference of a text and the hub, and
-    d its size, two texts differ in d1 + d2 - 2 * |D1 and D2| shingles, and they are linked if that is at most a ninth
-    (at 80 percent) of n1 + n2. Two texts that are linked to the hub are in one component, and any other linked pair
-    must share at least one member of D1 and D2. With each D in order of rising frequency in the hub's group, what a
-    pair shares lies after its first common place in both, which bounds it from above; places too late for any partner
-    are not posted at all.
+    A list's hub is the least text of its largest component, and d the size of the symmetric difference of a text and
+    the hub, which is a distance: linked texts are at most a ninth (at 80 percent) of n1 + n2 apart, so their d differ
+    by no more. Rows with d above a quarter of the hub's size are the outer part of their list, to be compared among
+    each other; core (hub, id, c, n, nh, d, items) has those below that, and those that may be linked to one of them,
+    with the members of their differences. links (a, b) are those of texts with their hubs.
     """
-    above, below = 100 + PERCENT, 100 - PERCENT
     sizes = long.groupBy("element", "c").agg(F.count("*").alias("k")).groupBy("element").agg(F.max_by("c", F.struct("k", "c")).alias("hub"))
-    under = long.join(sizes, "element").select("hub", "id", "c").distinct()
-    both = under.join(sets, "id").join(sets.toDF("hub", "other"), "hub")
-    lost = F.transform(F.array_except("other", "members"), F.bitwise_not)
-    own = both.select("hub", "id", "c", F.size("members").alias("n"), F.size("other").alias("nh"), F.concat(F.array_except("members", "other"), lost).alias("items"))
-    own = kept(own.withColumn("d", F.size("items")).withColumn("near", F.col("d") * above <= (F.col("n") + F.col("nh")) * below).where("d > 0"))
-    items = own.select("hub", "id", F.explode("items").alias("item"))
-    often = items.groupBy("hub", "item").count().where("count > 1")
-    ranked = items.join(often, ["hub", "item"]).groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("e"))
-    # a pair must share so many members: a partner of a text that is linked to the hub is not, others' partners may be
-    least = F.when(F.col("near"), F.col("d") * above + (F.col("nh") - F.col("n")) * below).otherwise(F.col("d") * above - (F.col("n") + F.col("nh")) * below)
-    last = F.col("d") - F.greatest(F.lit(1), F.ceil(least / (2 * above))).cast("int")
-    alone = F.col("d") - F.size("e")
-    placed = own.drop("items").join(ranked, ["hub", "id"]).withColumn("alone", alone).withColumn("e", F.slice("e", F.lit(1), F.greatest(F.lit(0), last - alone + 1)))
-    rows = kept(placed.select("hub", "id", "c", "n", "d", "near", "alone", F.posexplode("e").alias("at", "e")).select("hub", "e.item", "id", "c", "n", "near", "d", (F.col("d") - F.col("alone") - F.col("at")).alias("rest")))
+    named = kept(long.drop("k").join(sizes, "element"))
+    both = named.select("hub", "id", "c").distinct().join(sets, "id").join(sets.toDF("hub", "other"), "hub")
+    n, nh = F.size("members"), F.size("other")
+    own = both.select("hub", "id", "c", n.alias("n"), nh.alias("nh"), F.array_except("members", "other").alias("more"), F.array_except("other", "members").alias("less"))
+    own = own.withColumn("d", F.size("more") + F.size("less"))
+    # the furthest that a text linked to x can be from x: sizes of linked texts differ by the factor PERCENT / 100
+    reach = F.col("n") * ((1 + 100 / PERCENT) * (100 - PERCENT) / (100 + PERCENT)) + 0.001
+    items = F.when(F.col("d") <= F.col("nh") / 4 + reach, F.concat("more", F.transform("less", F.bitwise_not)))
+    own = kept(own.select("hub", "id", "c", "n", "nh", "d", items.alias("items")))
+    far = own.where("d > nh / 4").select("hub", "id")
+    outer = named.join(far, ["hub", "id"]).select("element", "id", "n", "m", "c")
+    again = outer.groupBy("element").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("element", "k")
+    links = own.where((F.col("d") * (100 + PERCENT) <= (F.col("n") + F.col("nh")) * (100 - PERCENT)) & (F.col("c") != F.col("hub")))
+    core = own.where("items IS NOT NULL AND d > 0")
+    return links.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), core, kept(outer.join(again, "element"))
+
+
+def sharing(own: DataFrame, kept) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, of own (hub, id, c, n, nh, d, items).
+
+    items are the members of a text's difference D from its hub, d of them; without a hub (null, of size 0) they are
+    its whole set. Two texts of one hub differ in d1 + d2 - 2 * |D1 and D2| shingles. Two that are linked to the hub are
+    in one component, and any other linked pair must share a member of D1 and D2. With each D in order of rising
+    frequency in the hub's group, what a pair shares lies after its first common place in both, which bounds it from
+    above; places too late for any partner are not posted at all.
+    """
+    above, below = 100 + PERCENT, 100 - PERCENT
+    own = own.withColumn("near", F.col("d") * above <= (F.col("n") + F.col("nh")) * below).withColumn("far", F.col("hub").isNull()).withColumn("hub", F.coalesce("hub", F.lit(0)))
+    items = own.select("hub", "far", "id", F.explode("items").alias("item"))
+    often = items.groupBy("hub", "far", "item").count().where("count > 1")
+    ranked = items.join(often, ["hub", "far", "item"]).groupBy("hub", "far", "id").agg(F.sort_array(F.collect_list(F.struct("count", "item"))).alias("e"))
+    # twice the number that a pair must share: a partner's size is in reach, and its distance to the hub at least the
+    # difference of their sizes; a partner of a text that is linked to the hub is not linked to it
+    r, n, nh, d = below / above, F.col("n"), F.col("nh"), F.col("d")
+    size = F.greatest(n * (PERCENT / 100), F.least(n * (100 / PERCENT), nh))
+    twice = d - r * n + F.when(F.col("near"), nh * r).otherwise(F.abs(size - nh) - r * size)
+    last = d - F.greatest(F.lit(1), F.ceil(twice / 2 - 0.001)).cast("int")
+    placed = own.drop("items").join(ranked, ["hub", "far", "id"]).withColumn("alone", d - F.size("e"))
+    placed = placed.withColumn("e", F.slice("e", F.lit(1), F.greatest(F.lit(0), last - F.col("alone") + 1)))
+    rows = placed.select("hub", "far", "id", "c", "n", "near", "d", "alone", F.posexplode("e").alias("at", "e"))
+    rows = kept(rows.select("hub", "far", "e.item", "id", "c", "n", "near", "d", (d - F.col("alone") - F.col("at")).alias("rest")))
     may = (F.col("d1") + F.col("d2") - 2 * F.least("rest1", "rest2")) * above <= (F.col("n1") + F.col("n2")) * below
-    met = _sides(rows.where("NOT near"), rows, ["hub", "item"]).where("c1 <> c2 AND (near2 OR id1 < id2)").where(may)
-    links = own.where("near AND c <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    return links, met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    met = _sides(rows.where("NOT near"), rows, ["hub", "far", "item"]).where("c1 <> c2 AND (near2 OR id1 < id2)").where(_sizes_fit("n1", "n2") & may)
+    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 2) -> DataFrame:
@@ -289,11 +314,15 @@ def linked_groups(docs: DataFrame, reps: DataFrame, words: int, space: Workspace
         links = links.unionByName(confirmed(neighbours(space.stored(labelled(post, group)), reps)))
         group = components(links, "a", "b", space)
 
-        # the rest: short lists are merged, long ones compared by differences
+        # the rest: short lists are merged, long ones compared by differences from their hubs; what lies far from those
+        # is short, or compared by its rarest shingles
         here = space.stored(labelled(post, group))
-        sure, pairs = by_differences(here.where(F.col("k") > MERGED), sets, space.stored)
-        links = links.unionByName(sure).unionByName(confirmed(counted(here.where(F.col("k") <= MERGED)).unionByName(pairs).distinct()))
-        return components(links, "a", "b", space)
+        sure, core, outer = around_hubs(here.where(F.col("k") > MERGED), sets, space.stored)
+        short = here.unionByName(outer).where(F.col("k") <= MERGED)
+        far = outer.where(F.col("k") > MERGED).select("id", "c").distinct().join(sets, "id")
+        far = far.select(F.lit(None).cast("long").alias("hub"), "id", "c", F.size("members").alias("n"), F.lit(0).alias("nh"), F.size("members").alias("d"), F.col("members").alias("items"))
+        pairs = counted(short).unionByName(sharing(core.unionByName(far), space.stored)).distinct()
+        return components(links.unionByName(sure).unionByName(confirmed(pairs)), "a", "b", space)
     finally:
         docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 

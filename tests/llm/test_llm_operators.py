@@ -270,15 +270,15 @@ def test_op5_large_group_with_strays(spark, monkeypatch):
             w[j] = f"e{random.randrange(30)}"
         rows.append((i * 7 % 2400 + 1, " ".join(w)))
     pairs = []
-    found = near_dup.by_differences
-    monkeypatch.setattr(near_dup, "by_differences", lambda *a: pairs.append(found(*a)) or pairs[-1])
+    found = near_dup.sharing
+    monkeypatch.setattr(near_dup, "sharing", lambda *a: pairs.append(found(*a)) or pairs[-1])
     keep = common.Workspace.__exit__
     monkeypatch.setattr(common.Workspace, "__exit__", lambda *_: None)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
     assert got == dict(zip([i for i, _ in rows], exact_components(rows).tolist()))
     assert 600 < max(collections.Counter(got.values()).values()) < 2400
-    assert 0 < pairs[0][1].count() < 20 * len(rows)
+    assert 0 < pairs[0].count() < 20 * len(rows)
     monkeypatch.setattr(common.Workspace, "__exit__", keep)
 
 
