@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
 
     add("hashes", "write a hash specification", "out", k=(int, 20), hashes=(int, 1), bits=(int, 1 << 31))
     add("count", "reads to filters", "spec", "reads", "index", cutoff=(int, 3), format=(str, "fasta"))
-    add("build", "topology of an index", "index", topology=(str, "greedy"), sim_type=(int, 1))
+    add("build", "topology of an index", "index", topology=(str, "balanced"), sim_type=(int, 1))
     add("compress", "write node bits", "index")
     for name in ("query", "batch_query"):
         c = add(name, "threshold query of a file of sequences", "index", "queries", "out", theta=(float, 0.9), plan=(str, "flat"))

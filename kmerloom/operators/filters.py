@@ -10,28 +10,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kmerloom.functions.kmers import canonical, positions, windows
+from kmerloom.functions.kmers import counted, positions
 from kmerloom.plans.spec import HashSpec
 
 
-def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
-    """(exp_id, kmer, n): occurrences of canonical k-mers in reads (exp_id, seq)."""
-    own = reads.where(F.col("exp_id").isNotNull()).select("exp_id", "seq")
-    return windows(own, "seq", k).groupBy("exp_id", canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+def kmer_counts(reads: DataFrame, k: int, only: DataFrame | None = None) -> DataFrame:
+    """(exp_id, kmer, n): occurrences of canonical k-mers in reads (exp_id, seq).
+
+    only: a table with a column kmer; other k-mers are dropped before the aggregate, so they take part in no shuffle
+    where Spark finds that table small enough to broadcast.
+    """
+    rows = counted(reads, k)
+    if only is not None:
+        rows = rows.join(only.select("kmer").distinct(), "kmer", "left_semi")
+    return rows.groupBy("exp_id", "kmer").agg(F.sum("n").alias("n"))
 
 
-def solid_kmers(reads: DataFrame, k: int, cutoff: int = 3) -> DataFrame:
+def solid_kmers(reads: DataFrame, k: int, cutoff: int = 3, only: DataFrame | None = None) -> DataFrame:
     """(exp_id, kmer, n) of k-mers that occur at least cutoff times in their experiment."""
-    return kmer_counts(reads, k).where(F.col("n") >= cutoff)
+    return kmer_counts(reads, k, only).where(F.col("n") >= cutoff)
 
 
-def filter_bits(reads: DataFrame, spec: HashSpec, cutoff: int = 3) -> DataFrame:
-    """(exp_id, pos): set positions of each experiment's filter."""
-    return bits_of(solid_kmers(reads, spec.k, cutoff), spec)
+def filter_bits(reads: DataFrame, spec: HashSpec, cutoff: int = 3, only: DataFrame | None = None) -> DataFrame:
+    """(exp_id, pos): set positions of each experiment's filter; only: a table with the positions (pos) that matter.
+
+    Without a cut-off k-mers need not be counted: positions are made distinct directly.
+    """
+    return bits_of(solid_kmers(reads, spec.k, cutoff) if cutoff > 1 else counted(reads, spec.k), spec, only)
 
 
-def bits_of(kmers: DataFrame, spec: HashSpec) -> DataFrame:
-    return kmers.select("exp_id", F.explode(positions(F.col("kmer"), spec)).alias("pos")).distinct()
+def bits_of(kmers: DataFrame, spec: HashSpec, only: DataFrame | None = None) -> DataFrame:
+    bits = kmers.select("exp_id", F.explode(positions(F.col("kmer"), spec)).alias("pos"))
+    if only is not None:
+        bits = bits.join(only.select("pos").distinct(), "pos", "left_semi").select("exp_id", "pos")
+    return bits.distinct()
 
 
 def packed(bits: DataFrame) -> DataFrame:
@@ -62,12 +74,14 @@ def combined(words: DataFrame, a: str, b: str, how: str) -> DataFrame:
 def pair_counts(bits: DataFrame) -> DataFrame:
     """(a, b, n1, n2, n12) for every pair a < b of experiments: own and common positions.
 
-    Common positions come from an equi-join on the position; pairs without any have a row, with n12 = 0. The result is
-    a row a pair by definition.
+    Filters are packed first and meet by word, a sixty-fourth of the rows that a join on positions would make; pairs
+    without common positions have a row, with n12 = 0. The result is a row a pair by definition.
     """
-    ones = bits.groupBy("exp_id").agg(F.count("*").alias("n"))
-    x, y = bits.toDF("a", "pos"), bits.toDF("b", "pos")
-    common = x.join(y, "pos").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n12"))
+    words = packed(bits)
+    ones = popcounts(words).toDF("exp_id", "n")
+    x, y = words.toDF("a", "word_idx", "x"), words.toDF("b", "word_idx", "y")
+    both = F.bit_count(F.col("x").bitwiseAND(F.col("y")))
+    common = x.join(y, "word_idx").where("a < b").groupBy("a", "b").agg(F.sum(both).alias("n12"))
     pairs = ones.toDF("a", "n1").join(ones.toDF("b", "n2"), F.col("a") < F.col("b"))
     return pairs.join(common, ["a", "b"], "left").fillna(0, ["n12"]).select("a", "b", "n1", "n2", "n12")
 

@@ -1,15 +1,20 @@
 """Sketches of filters, distances between sketches, and the clustering that plans a hierarchy.
 
-A sketch has one minimum per hash slot over the set positions. Slots hash a position with a keyed MD5, or with rounds
-of 64-bit xorshift. An empty filter has no sketch rows and distance 1 to all others.
+A sketch has one minimum per hash slot over the set positions. Slots hash a position linearly modulo a prime,
+with a keyed MD5, or with rounds of 64-bit xorshift. An empty filter has no sketch rows and distance 1 to all others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.functions.kmers import PRIME
+
 #: Full-period shift triples of 64-bit xorshift generators, from the published list; slots take them in turn.
 SHIFTS = ((13, 7, 17), (12, 25, 27), (5, 15, 27), (17, 31, 8), (23, 17, 26), (21, 35, 4), (11, 29, 14), (9, 21, 40))
 ROUNDS = 8
@@ -21,29 +26,53 @@ def _md5_value(slot: Column, pos: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", slot, pos).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _xorshift_value(slot: int, pos: Column, seed: int) -> Column:
-    """Signed, with the top bit flipped, so that the order of longs is that of the unsigned values."""
-    mix = (0x9E3779B97F4A7C15 * (slot + 1) ^ seed) & ((1 << 64) - 1)
-    x = pos.bitwiseXOR(F.lit(mix - (1 << 64) if mix >> 63 else mix))
-    a, b, c = SHIFTS[slot % len(SHIFTS)]
+def _xorshift(slot: int, pos: np.ndarray, seed: int) -> np.ndarray:
+    x = pos ^ np.uint64((0x9E3779B97F4A7C15 * (slot + 1) ^ seed) & ((1 << 64) - 1))
+    a, b, c = (np.uint64(s) for s in SHIFTS[slot % len(SHIFTS)])
+    for _ in range(ROUNDS):
+        x = x ^ x << a
+        x = x ^ x >> b
+        x = x ^ x << c
+    return x
 
-    def one(v: Column) -> Column:
-        v = v.bitwiseXOR(F.shiftleft(v, a))
-        v = v.bitwiseXOR(F.shiftrightunsigned(v, b))
-        return v.bitwiseXOR(F.shiftleft(v, c))
 
-    # a fold keeps each round's value from being written out several times over
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, lambda v, _: one(v)).bitwiseXOR(F.lit(-(1 << 63)))
+def _xorshift_minima(slots: int, seed: int):
+    """Per batch the minima of each experiment, signed with the top bit flipped: longs in the order of unsigned values."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            exp = b.column(0).dictionary_encode()
+            order = np.argsort(np.asarray(exp.indices), kind="stable")
+            ids, pos = np.asarray(exp.indices)[order], np.asarray(b.column(1)).astype(np.uint64)[order]
+            at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            low = np.array([np.minimum.reduceat(_xorshift(s, pos, seed), at) for s in range(slots)]) ^ np.uint64(1 << 63)
+            names = exp.dictionary.take(pa.array(np.tile(ids[at], slots)))
+            yield pa.record_batch([names, pa.array(np.repeat(np.arange(slots, dtype=np.int32), len(at))), pa.array(low.ravel().view(np.int64))], ["exp_id", "hash_ix", "val"])
 
-def sketches(bits: DataFrame, slots: int = 100, family: str = "md5", seed: int = 0) -> DataFrame:
-    """(exp_id, hash_ix, val): the least hash of each slot over the filter's positions."""
-    if family == "md5":
-        values = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.struct(i.alias("hash_ix"), _md5_value(i, F.col("pos")).alias("val")))
-        rows = bits.select("exp_id", F.explode(values).alias("s")).select("exp_id", "s.*")
+    return run
+
+
+def coefficients(slots: int) -> list[tuple[int, int]]:
+    """Factor and summand of each slot's linear hash modulo PRIME."""
+    return [(pow(48271, 7 * s + 3, PRIME), pow(69621, 5 * s + 2, PRIME)) for s in range(slots)]
+
+
+def sketches(bits: DataFrame, slots: int = 100, family: str = "linear", seed: int = 0) -> DataFrame:
+    """(exp_id, hash_ix, val): the least hash of each slot over the filter's positions.
+
+    linear: (pos * a + b) modulo a prime, with a and b of the slot; md5: of slot and position; xorshift: 64 bits.
+    """
+    if family == "xorshift":
+        rows = bits.select("exp_id", "pos").mapInArrow(_xorshift_minima(slots, seed), "exp_id string, hash_ix int, val long")
         return rows.groupBy("exp_id", "hash_ix").agg(F.min("val").alias("val"))
     # one aggregate a slot: nothing is exploded
-    mins = bits.groupBy("exp_id").agg(*(F.min(_xorshift_value(i, F.col("pos"), seed)).alias(f"v{i}") for i in range(slots)))
+    if family == "md5":
+        values = [_md5_value(F.lit(i), F.col("pos")) for i in range(slots)]
+    else:
+        values = [(F.col("pos") % PRIME * F.lit(a).cast("long") + b) % PRIME for a, b in coefficients(slots)]
+    mins = bits.groupBy("exp_id").agg(*(F.min(v).alias(f"v{i}") for i, v in enumerate(values)))
     pairs = F.array(*(F.struct(F.lit(i).alias("hash_ix"), F.col(f"v{i}").alias("val")) for i in range(slots)))
     return mins.select("exp_id", F.explode(pairs).alias("s")).select("exp_id", "s.*")
 

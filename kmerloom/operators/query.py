@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kmerloom.functions.kmers import canonical, positions, windows
+from kmerloom.functions.kmers import positions, windows
 from kmerloom.operators.filters import at_least
 from kmerloom.operators.tree import closure
 from kmerloom.plans.spec import HashSpec
@@ -22,15 +22,15 @@ from kmerloom.plans.spec import HashSpec
 def query_kmers(queries: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(keys, kmer, ord): distinct raw k-mers in canonical form, numbered by first occurrence. Equal canonical forms of
     different raw windows stay apart."""
-    seen = windows(queries.select(*keys, "seq"), "seq", k, "raw", "place").groupBy(*keys, "raw").agg(F.min("place").alias("place"))
+    seen = windows(queries.select(*keys, "seq"), "seq", k).groupBy(*keys, "raw", "kmer").agg(F.min("place").alias("place"))
     order = F.row_number().over(W.partitionBy(*keys).orderBy("place")) - 1
-    return seen.select(*keys, canonical(F.col("raw")).alias("kmer"), order.cast("int").alias("ord"))
+    return seen.select(*keys, "kmer", order.cast("int").alias("ord"))
 
 
 def query_positions(queries: DataFrame, spec: HashSpec, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(keys, pos, mult): positions with multiplicity."""
-    seen = windows(queries.select(*keys, "seq"), "seq", spec.k, "raw").distinct()
-    p = seen.select(*keys, F.explode(positions(canonical(F.col("raw")), spec)).alias("pos"))
+    seen = windows(queries.select(*keys, "seq"), "seq", spec.k).select(*keys, "raw", "kmer").distinct()
+    p = seen.select(*keys, F.explode(positions(F.col("kmer"), spec)).alias("pos"))
     return p.groupBy(*keys, "pos").agg(F.count("*").alias("mult"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kmerloom.functions.kmers import BASES, LETTERS, positions
+from kmerloom.functions.kmers import BASES, COEFFICIENTS, LETTERS, PRIME, letters_of, positions, windows
 from kmerloom.operators import filters, minhash, query, tree
 from kmerloom.plans.spec import HashSpec
 from kmerloom.sources.formats import queries_of, reads_of
@@ -29,8 +29,14 @@ ORACLE: dict = {}
 
 _SEQ = f"regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g')"
 _CANON = "least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA')))"
-_H0 = "('0x' || substr(md5(kmer), 1, 15))::BIGINT"
-_H1 = "('0x' || substr(md5(kmer), 16, 15))::BIGINT"
+_CODE = "replace(replace(replace(replace(kmer, 'A', '00'), 'C', '01'), 'G', '10'), 'T', '11')::BIT::BIGINT"
+
+
+def _linear(c: tuple[int, int, int, int]) -> str:
+    return f"(((code >> 42) * {c[0]} + ((code >> 21) & 2097151) * {c[1]} + (code & 2097151) * {c[2]} + {c[3]}) % {PRIME})"
+
+
+_H0, _H1 = (f"({_linear(COEFFICIENTS[i])} * 2147483648 + {_linear(COEFFICIENTS[i + 1])})" for i in (0, 2))
 
 _COUNTS = f"""
 seqs AS (SELECT source AS exp_id, {_SEQ} AS seq FROM documents WHERE source IS NOT NULL),
@@ -40,7 +46,8 @@ counts AS (SELECT exp_id, {_CANON} AS kmer, count(*)::BIGINT AS n FROM
 
 def _bits(m: int, nh: int = 1, cutoff: int = 1) -> str:
     return _COUNTS + f""",
-bits AS (SELECT DISTINCT exp_id, ({_H0} % {m} + CASE WHEN i = 0 THEN 0 ELSE i * ({_H1} % {m}) END) % {m} AS pos FROM counts, range(0, {nh}) r(i) WHERE n >= {cutoff})"""
+bits AS (SELECT DISTINCT exp_id, ({_H0} % {m} + CASE WHEN i = 0 THEN 0 ELSE i * ({_H1} % {m}) END) % {m} AS pos
+  FROM (SELECT exp_id, {_CODE} AS code FROM counts WHERE n >= {cutoff}), range(0, {nh}) r(i))"""
 
 
 _WORDS = _bits(SMALL.m) + """,
@@ -49,7 +56,7 @@ words AS (SELECT exp_id, (pos // 64)::INT AS word_idx, bit_or(CASE WHEN pos % 64
 _QK = f"""
 qseq AS (SELECT item_id AS query_id, {_SEQ} AS seq FROM benchmark WHERE text IS NOT NULL),
 qraw AS (SELECT query_id, kmer, min(i) AS i FROM (SELECT query_id, substr(seq, i, {K}) AS kmer, i FROM (SELECT query_id, seq, unnest(range(1, length(seq) - {K - 2})) AS i FROM qseq)) GROUP BY ALL),
-qk AS (SELECT query_id, {_CANON} AS kmer, (row_number() OVER (PARTITION BY query_id ORDER BY i) - 1)::INT AS ord FROM qraw)"""
+qk AS (SELECT *, {_CODE} AS code FROM (SELECT query_id, {_CANON} AS kmer, (row_number() OVER (PARTITION BY query_id ORDER BY i) - 1)::INT AS ord FROM qraw))"""
 
 _HITS = f"""
 hits AS (SELECT query_id, exp_id, count(*)::BIGINT AS hits FROM qk JOIN counts USING (kmer) GROUP BY ALL),
@@ -95,11 +102,13 @@ def _queries(spark: SparkSession, d: str, theta: float = THETA) -> DataFrame:
 
 
 def _kmers(spark: SparkSession, d: str) -> DataFrame:
-    return filters.solid_kmers(_reads(spark, d), K, 1)
+    """Exact k-mers of the sources, of those alone that the benchmark passages have."""
+    asked = windows(_queries(spark, d).select("seq"), "seq", K)
+    return filters.solid_kmers(_reads(spark, d), K, 1, asked).select("exp_id", "kmer")
 
 
-def _filter(spark: SparkSession, d: str, spec: HashSpec = SPEC) -> DataFrame:
-    return filters.filter_bits(_reads(spark, d), spec, 1)
+def _filter(spark: SparkSession, d: str, spec: HashSpec = SPEC, only: DataFrame | None = None) -> DataFrame:
+    return filters.filter_bits(_reads(spark, d), spec, 1, only)
 
 
 def _index(spark: SparkSession, d: str, spec: HashSpec = SMALL) -> tuple[DataFrame, DataFrame]:
@@ -125,15 +134,13 @@ def query_of(sql: str | None = None):
 
 @query_of(_with(_QK, "SELECT query_id, kmer, (i - 1)::INT AS place FROM qraw"))
 def kmers_distinct(spark, d):
-    from kmerloom.functions.kmers import windows
-
-    w = windows(_queries(spark, d).select("query_id", "seq"), "seq", K, "kmer", "place")
-    return w.groupBy("query_id", "kmer").agg(F.min("place").cast("int").alias("place"))
+    w = windows(_queries(spark, d).select("query_id", "seq"), "seq", K).groupBy("query_id", "raw").agg(F.min("place").alias("place"))
+    return w.select("query_id", letters_of(F.col("raw"), K).alias("kmer"), "place")
 
 
 @query_of(_with(_QK, "SELECT query_id, kmer, ord FROM qk"))
 def kmers_canonical(spark, d):
-    return query.query_kmers(_queries(spark, d), K)
+    return query.query_kmers(_queries(spark, d), K).withColumn("kmer", letters_of(F.col("kmer"), K))
 
 
 @query_of(_with(_COUNTS, "SELECT exp_id, n, count(*)::BIGINT AS kmers FROM counts GROUP BY ALL"))
@@ -143,7 +150,7 @@ def kmer_counts(spark, d):
 
 @query_of(_with(_COUNTS, "SELECT exp_id, kmer, n FROM counts WHERE n >= 3"))
 def kmer_cutoff(spark, d):
-    return filters.solid_kmers(_reads(spark, d), K, 3)
+    return filters.solid_kmers(_reads(spark, d), K, 3).withColumn("kmer", letters_of(F.col("kmer"), K))
 
 
 @query_of(_with(_QK, f"SELECT query_id, ord, i::INT AS i, ({_H0} % {TWO.m} + i * ({_H1} % {TWO.m})) % {TWO.m} AS pos FROM qk, range(0, 2) r(i)"))
@@ -238,7 +245,7 @@ _EXACT = _with(_COUNTS + "," + _QK + "," + _HITS, f"SELECT query_id, exp_id, hit
 
 @query_of(_EXACT)
 def query_threshold_exact(spark, d):
-    return query.threshold_query(_queries(spark, d), _kmers(spark, d).select("exp_id", "kmer"), SPEC, exact=True)
+    return query.threshold_query(_queries(spark, d), _kmers(spark, d), SPEC, exact=True)
 
 
 def _bloom(m: int, nh: int, theta: float, tail: str) -> str:
@@ -256,18 +263,20 @@ totals AS (SELECT query_id, count(*)::BIGINT AS total FROM qp GROUP BY 1)""",
 
 @query_of(_bloom(SPEC.m, 1, THETA, "SELECT query_id, exp_id, hits, total FROM hits JOIN totals USING (query_id) WHERE {passes}"))
 def query_threshold_bloom(spark, d):
-    return query.threshold_query(_queries(spark, d), _filter(spark, d), SPEC)
+    q = _queries(spark, d)
+    return query.threshold_query(q, _filter(spark, d, SPEC, query.query_positions(q, SPEC)), SPEC)
 
 
 @query_of(_bloom(TWO.m, 2, 0.5, "SELECT query_id, exp_id, hits, total FROM hits JOIN totals USING (query_id) WHERE {passes}"))
 def batch_query_dedup(spark, d):
-    return query.threshold_query(_queries(spark, d, 0.5), _filter(spark, d, TWO), TWO)
+    q = _queries(spark, d, 0.5)
+    return query.threshold_query(q, _filter(spark, d, TWO, query.query_positions(q, TWO)), TWO)
 
 
 @query_of(_bloom(SPEC.m, 1, THETA, "SELECT query_id, exp_id, coalesce(hits, 0)::BIGINT AS hits, total FROM totals CROSS JOIN (SELECT DISTINCT exp_id FROM bits) LEFT JOIN hits USING (query_id, exp_id)"))
 def query_counts(spark, d):
     reads = _reads(spark, d)
-    return query.threshold_query(_queries(spark, d, 0.0), filters.filter_bits(reads, SPEC, 1), SPEC, experiments=reads.where("length(seq) >= 20").select("exp_id").distinct())
+    return query.threshold_query(_queries(spark, d, 0.0), filters.filter_bits(reads, SPEC, 1, query.query_positions(_queries(spark, d), SPEC)), SPEC, experiments=reads.where("length(seq) >= 20").select("exp_id").distinct())
 
 
 @query_of(
@@ -285,7 +294,8 @@ totals AS (SELECT query_id, count(*)::BIGINT AS total FROM qk GROUP BY 1)""",
     )
 )
 def query_per_kmer_all_hashes(spark, d):
-    return query.full_kmer_query(_queries(spark, d), _filter(spark, d, TWO), TWO)
+    q = _queries(spark, d)
+    return query.full_kmer_query(q, _filter(spark, d, TWO, query.query_positions(q, TWO)), TWO)
 
 
 _TREE_QUERY = _bloom(SMALL.m, 1, THETA, "SELECT query_id, exp_id FROM hits JOIN totals USING (query_id) WHERE {passes}")
@@ -331,7 +341,7 @@ flag AS (SELECT v.query_id, v.exp_id, {", ".join(f"EXISTS (SELECT 1 FROM yes y J
         turn = item.select("query_id", "n", F.explode(F.array(*(F.struct(F.lit(i).alias("atom_ix"), ((F.col("r") + i) % F.col("n")).alias("at")) for i in range(3)))).alias("t"))
         atoms = turn.select("query_id", "t.*").join(item.select(F.col("r").alias("at"), "seq", "theta"), "at").drop("at")
         reads = _reads(spark, d)
-        return query.bool_query(atoms, {name: expression}, reads.select("exp_id").distinct(), _kmers(spark, d).select("exp_id", "kmer"), SPEC)
+        return query.bool_query(atoms, {name: expression}, reads.select("exp_id").distinct(), _kmers(spark, d), SPEC)
 
     run.__name__ = name
     query_of(sql)(run)
@@ -374,12 +384,12 @@ yes AS (SELECT query_id, sign, exp_id FROM hit JOIN need USING (query_id, sign)
 
 @query_of(_segment_sql(False))
 def segment_plus(spark, d):
-    return query.segment_query(_segments(spark, d, False), _kmers(spark, d).select("exp_id", "kmer"), SPEC)
+    return query.segment_query(_segments(spark, d, False), _kmers(spark, d), SPEC)
 
 
 @query_of(_segment_sql(True))
 def segment_minus(spark, d):
-    return query.segment_query(_segments(spark, d, True), _kmers(spark, d).select("exp_id", "kmer"), SPEC)
+    return query.segment_query(_segments(spark, d, True), _kmers(spark, d), SPEC)
 
 
 @query_of(
@@ -391,7 +401,7 @@ def segment_minus(spark, d):
 def weighted_query(spark, d):
     q = _queries(spark, d)
     weights = query.query_kmers(q, K).select("query_id", "ord", (1 + (F.col("ord") % 3) * 0.5).cast("float").alias("w"))
-    return query.weighted_query(q, _kmers(spark, d).select("exp_id", "kmer"), weights, SPEC)
+    return query.weighted_query(q, _kmers(spark, d), weights, SPEC)
 
 
 # ---------------------------------------------------------------- hierarchies
@@ -472,15 +482,23 @@ def greedy_tree(spark, d):
 
 # ---------------------------------------------------------------- sketches
 
-_SKETCH = _B + f""",
+_MD5_SKETCH = _B + f""",
 sketch AS (SELECT exp_id, s::INT AS hash_ix, min(('0x' || substr(md5(s || ':' || pos), 1, 15))::BIGINT) AS val FROM bits, range(0, {SLOTS}) r(s) GROUP BY ALL)"""
+_SLOTS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(minhash.coefficients(SLOTS)))
+_SKETCH = _B + f""",
+sketch AS (SELECT exp_id, s::INT AS hash_ix, min((pos % {PRIME} * a + b) % {PRIME})::BIGINT AS val FROM bits, (VALUES {_SLOTS}) r(s, a, b) GROUP BY ALL)"""
 _DIST = _SKETCH + f""",
 dist AS (SELECT a.exp_id AS i, b.exp_id AS j, 1 - coalesce(k, 0) / {SLOTS}.0::DOUBLE AS d FROM (SELECT DISTINCT exp_id FROM bits) a JOIN (SELECT DISTINCT exp_id FROM bits) b ON a.exp_id > b.exp_id
   LEFT JOIN (SELECT x.exp_id AS i, y.exp_id AS j, count(*) AS k FROM sketch x JOIN sketch y USING (hash_ix, val) WHERE x.exp_id > y.exp_id GROUP BY ALL) c ON c.i = a.exp_id AND c.j = b.exp_id)"""
 
 
-@query_of(_with(_SKETCH, "SELECT exp_id, hash_ix, val FROM sketch"))
+@query_of(_with(_MD5_SKETCH, "SELECT exp_id, hash_ix, val FROM sketch"))
 def minhash_md5(spark, d):
+    return minhash.sketches(_filter(spark, d, SMALL), SLOTS, "md5")
+
+
+@query_of(_with(_SKETCH, "SELECT exp_id, hash_ix, val FROM sketch"))
+def minhash_linear(spark, d):
     return minhash.sketches(_filter(spark, d, SMALL), SLOTS)
 
 

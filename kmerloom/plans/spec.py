@@ -8,16 +8,20 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import SparkSession
 
 
+#: Letters of the longest k-mer that is a long.
+LONG_K = 31
+
+
 @dataclass(frozen=True)
 class HashSpec:
     k: int = 20
     nh: int = 1
     m: int = 1 << 20
-    family: str = "md5"
+    family: str = "universal"
     seed: int = 0
 
     def __post_init__(self):
-        if self.k < 1 or self.nh < 1 or self.m < 1 or self.family not in ("md5", "xxhash64"):
+        if self.k < 1 or self.nh < 1 or self.m < 1 or self.family not in ("universal", "xxhash64") or (self.family == "universal" and self.k > LONG_K):
             raise ValueError(f"not a hash specification: {self}")
 
     def save(self, spark: SparkSession, path: str) -> None:

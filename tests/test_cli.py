@@ -20,7 +20,7 @@ def test_from_reads_to_answers(spark, tmp_path):
     answers = []
     run("build", at("index"), "--topology", "balanced")
     run("cluster", at("index"), at("plan"), "--slots", "8")
-    for build in (["build", at("index")], ["build", at("index"), "--topology", "balanced"], ["build_from_merges", at("index"), at("plan")]):
+    for build in (["build", at("index")], ["build", at("index"), "--topology", "greedy"], ["build_from_merges", at("index"), at("plan")]):
         run(*build)
         run("compress", at("index"))
         assert run("check", at("index")).startswith("every node")

@@ -1,5 +1,6 @@
 """Hand-checked fixtures, invariants and plain models of the operators."""
 
+import collections
 import random
 
 import numpy as np
@@ -20,18 +21,40 @@ def frame(spark, leaves):
     return spark.createDataFrame([(n, p) for n, s in leaves.items() for p in sorted(s)], "exp_id string, pos long")
 
 
-def test_windows_cross_chunks_and_skip_other_letters(spark):
-    random.seed(1)
+@pytest.mark.parametrize("k", [1, 7, 20, 31, 33])
+def test_windows_against_plain_slices(spark, monkeypatch, k):
+    """Places, letters and canonical forms across pieces and sequence borders; other letters, null and short sequences."""
+    random.seed(k)
+    monkeypatch.setattr(kmers, "PIECE", 256)
     seq = "".join(random.choice("ACGT") for _ in range(1300))
     seq = seq[:700] + "N" + seq[700:]
-    df = spark.createDataFrame([(1, seq), (2, "ACG"), (3, None), (4, "")], "id int, seq string")
-    got = sorted((r.id, r.place, r.kmer) for r in kmers.windows(df, "seq", 20, "kmer", "place").collect())
-    assert got == [(1, i, seq[i : i + 20]) for i in range(len(seq) - 19) if "N" not in seq[i : i + 20]]
-
-
-def test_canonical_and_palindrome(spark):
-    df = spark.createDataFrame([("ACGT",), ("TTTT",), ("AAAC",)], "k string")
-    assert [r[0] for r in df.select(kmers.canonical(F.col("k"))).collect()] == ["ACGT", "AAAA", "AAAC"]
+    df = spark.createDataFrame([(1, seq), (2, "ACG"), (3, None), (4, ""), (5, seq[::-1]), (6, "éACGTé" * 12)], "id int, seq string").coalesce(1)
+    text = lambda c: kmers.letters_of(F.col(c), k).alias(c)
+    got = sorted((r.id, r.place, r.raw, r.kmer) for r in kmers.windows(df, "seq", k).select("id", "place", text("raw"), text("kmer")).collect())
+    want = []
+    for i, s in ((1, seq), (2, "ACG"), (5, seq[::-1])):
+        for j in range(len(s) - k + 1):
+            w = s[j : j + k]
+            if "N" not in w:
+                want.append((i, j, w, min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA")))))
+    assert [g for g in got if g[0] != 6] == want
+    assert {g[2] for g in got if g[0] == 6} == {"ACGT"[i : i + k] for i in range(5 - k)}
+    reads = df.where("id <> 6").select(F.when(F.col("id") == 5, "b").otherwise("a").alias("exp_id"), "seq")
+    plain = collections.Counter(("b" if i == 5 else "a", w) for i, _, _, w in want)
+    assert {(r.exp_id, r.kmer): r.n for r in filters.kmer_counts(reads, k).select("exp_id", text("kmer"), "n").collect()} == plain
+
+
+def test_long_sequences_take_linear_time():
+    import time
+
+    data = np.frombuffer(b"ACGT", np.uint8)[np.random.default_rng(1).integers(0, 4, 4_000_000)]
+    times = []
+    for n in (1_000_000, 4_000_000):
+        began = time.perf_counter()
+        at, _, low = kmers.codes(data[:n], 20)
+        times.append(time.perf_counter() - began)
+        assert len(at) == n - 19 and low.min() >= 0 and low.max() < 1 << 40
+    assert times[1] < 12 * times[0]
 
 
 def test_hand_checked_nodes(spark):
@@ -145,7 +168,7 @@ def test_bool_not_holds_without_hits(spark):
 
 def test_weights_must_suffice(spark):
     q = spark.createDataFrame([(1, "ACGTACCA", 0.5)], "query_id long, seq string, theta float")
-    index = spark.createDataFrame([("a", "ACGTA")], "exp_id string, kmer string")
+    index = query.query_kmers(spark.createDataFrame([("a", "ACGTA")], "query_id string, seq string"), 5).select(F.col("query_id").alias("exp_id"), "kmer")
     few = spark.createDataFrame([(1, 0, 1.0)], "query_id long, ord int, w float")
     with pytest.raises(Exception, match="fewer weights"):
         query.weighted_query(q, index, few, HashSpec(k=5)).collect()
