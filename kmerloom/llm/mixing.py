@@ -4,7 +4,11 @@ Each source's documents are shuffled by a seeded hash and laid end to end; that
 is cut into blocks of equal token counts. Golden-ratio points mapped through the cumulative shares of blocks deal the
 slots to sources; the r-th slot of a source takes its r-th block, and the last block ends at the target.
 
-Null texts have size 0 and are never taken. A null source is a source of its own, ordered last. Repeated rows are
+The result says where each document stands: slot is that of its first block, and start its place in its source's stream,
+so ordering by both gives the mix.
+
+Null texts have size 0 and are never taken; very long ones fill many blocks, and only their sizes are shuffled. Other
+columns are not read. A null source is a source of its own, ordered last. Repeated rows are
 separate rows of the stream. Empty tables give empty results. The same input gives the same rows whatever its order.
 """
 
@@ -129,9 +133,9 @@ def placed(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def mix(docs: DataFrame, most: int = BLOCK) -> DataFrame:
-    """docs has (doc_id, source, size); returns doc_id, source, size, source_size, target, taken and passes.
+    """docs has (doc_id, source, size); returns doc_id, source, row, size, source_size, target, taken, slot, start and passes.
 
-    passes: of each repeat, the words taken. Text never moves: only sizes are shuffled.
+    passes: of each repeat, the words taken; slot is null where nothing is. Text never moves: only sizes are shuffled.
     """
     sized = checkpointed(docs.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("row")))
     targets = checkpointed(source_targets(sized))
@@ -148,28 +152,29 @@ def mix(docs: DataFrame, most: int = BLOCK) -> DataFrame:
         .withColumn("end", F.least(F.col("begin") + F.col("size"), F.floor("target")))
         .select("row", "source", "pass", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
     )
-    slot = slots.select(F.col("source").alias("_s"), F.col("rank").alias("_r"))
+    slot = slots.select(F.col("source").alias("_s"), F.col("rank").alias("_r"), "slot")
     hit = pieces.join(slot, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_r")))
     part = F.least("end", (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)
     taken = hit.groupBy(F.col("row").alias("_row")).agg(
         F.sum(part).alias("taken"),
+        F.min("slot").alias("slot"),
         *(F.sum(F.when(F.col("pass") == p, part).otherwise(0)).alias(f"pass{p}") for p in range(MAX_REPEAT)),
     )
     cols = ["taken", *(f"pass{p}" for p in range(MAX_REPEAT))]
     return (
         at.join(taken, F.col("row") == F.col("_row"), "left")
         .withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in cols})
-        .select("doc_id", "source", "row", "size", "source_size", "target", *cols)
+        .select("doc_id", "source", "row", "size", "source_size", "target", "slot", "start", *cols)
     )
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "slot")
 
 
-#: DuckDB. Blocks fill each source's target from the start of its shuffled stream, so sums follow from places alone.
-OP10_SQL = r"""
+#: DuckDB: places by sums over each source, and the schedule by its points.
+OP10_SQL = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY 1),
 fill(step, source, source_size, w, target, capped) AS (
@@ -179,8 +184,20 @@ fill(step, source, source_size, w, target, capped) AS (
     SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(CASE WHEN capped THEN 2.0 * source_size END) OVER (), 0)) / nullif(sum(CASE WHEN NOT capped THEN w END) OVER (), 0) AS lev_new,
       CASE WHEN capped THEN 1e300 ELSE lev_new END AS lev FROM fill WHERE step < 60)),
 t AS (SELECT source, source_size, target FROM fill WHERE step = 60),
-o AS (SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY md5('7:' || coalesce(doc_id || ':', '') || size), doc_id ROWS UNBOUNDED PRECEDING) - size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+o AS (SELECT row_number() OVER () AS r, doc_id, d.source, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY md5('7:' || coalesce(doc_id || ':', '') || size), doc_id ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT greatest({BLOCK // 64}, least({BLOCK}, floor(coalesce(min(target), 0) / 200)))::BIGINT AS block FROM t WHERE target > 0),
+q AS (SELECT source, ceil(target / block)::BIGINT AS quota, sum(ceil(target / block)::BIGINT) OVER (ORDER BY source NULLS LAST)::BIGINT AS upto FROM t, k WHERE target > 0),
+a AS (SELECT coalesce(sum(quota), 0)::BIGINT AS total FROM q),
+p AS (SELECT i AS slot, least(floor((i * {GOLDEN!r}::DOUBLE) % 1.0::DOUBLE * total)::BIGINT, total - 1) AS pt FROM (SELECT total, unnest(range(0, 2 * total)) AS i FROM a)),
+h AS (SELECT slot, source, quota, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM p JOIN q ON pt < upto AND pt >= upto - quota),
+n AS (SELECT source, count(*) AS have FROM h GROUP BY 1),
+late AS (SELECT q.source, upto, unnest(range(coalesce(have, 0), quota)) AS rank FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source),
+slots AS (SELECT slot, source, rank FROM h WHERE rank < quota UNION ALL SELECT 2 * total + upto + rank, source, rank FROM late, a),
+e AS (SELECT r, source, start + pass * source_size AS b, least(start + pass * source_size + size, floor(target)::BIGINT) AS e FROM o, (VALUES (0), (1)) v(pass) WHERE size > 0 AND start + pass * source_size < floor(target)),
+f AS (SELECT r, source, unnest(range((b // block)::BIGINT, ((e - 1) // block + 1)::BIGINT)) AS block FROM e, k),
+g AS (SELECT f.r, min(slot)::BIGINT AS slot FROM f JOIN slots ON f.source IS NOT DISTINCT FROM slots.source AND f.block = slots.rank GROUP BY 1)
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(start + size, floor(target)) - start) + greatest(0, least(start + source_size + size, floor(target)) - start - source_size))::BIGINT AS taken FROM o
+  (greatest(0, least(start + size, floor(target)) - start) + greatest(0, least(start + source_size + size, floor(target)) - start - source_size))::BIGINT AS taken, slot
+FROM o LEFT JOIN g USING (r)
 """
