@@ -4,7 +4,7 @@ Every version of every path is content-addressed. Only (blob, rule version) pair
 their findings are appended to it and joined back to all paths that ever held the blob.
 
 A null text is the empty blob. Repeated rows share their blob. Very long texts are scanned whole. Empty tables give
-empty ledgers. Only the key and text columns take part, so other columns cannot clash.
+empty ledgers. Rows with a null id are paths like others. The query takes part with its key and text columns only.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import scratch, table
+from kmerloom.llm.common import fresh, scratch, table
 
 RULE_VERSION = 1
 
@@ -100,7 +100,7 @@ def blob_of(text: str = "text"):
 
 
 def addressed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus blob, its text's address."""
+    """docs plus blob, its text's address, in place of a column of that name."""
     return docs.withColumn("blob", blob_of(text))
 
 
@@ -110,16 +110,20 @@ def findings(paths: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSI
 
 
 def redacted(docs: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION, text: str = "text") -> DataFrame:
-    """docs with every found span replaced by its kind in brackets, from the last to the first; no other change."""
-    dirty = ledger.where((F.col("rule_version") == rule_version) & (F.col("cuts") != "")).select(F.col("blob").alias("_blob"), F.split("cuts", ",").alias("_cuts"))
+    """docs with every found span replaced by its kind in brackets, from the last to the first; no other change.
+
+    Null and empty texts, repeated rows and null ids are kept as they are; columns of any name may be there.
+    """
+    own, blob, cuts = (fresh(docs, c) for c in ("own_blob", "blob", "cuts"))
+    dirty = ledger.where((F.col("rule_version") == rule_version) & (F.col("cuts") != "")).select(F.col("blob").alias(blob), F.split("cuts", ",").alias(cuts))
 
     def cut(value, span):
         kind, a, b = (F.split(span, ":")[i] for i in range(3))
         return F.overlay(value, F.concat(F.lit("["), kind, F.lit("]")), a.cast("int") + 1, b.cast("int") - a.cast("int"))
 
-    joined = docs.withColumn("_own_blob", blob_of(text)).join(dirty, F.col("_own_blob") == F.col("_blob"), "left")
-    clean = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.aggregate(F.reverse("_cuts"), F.col(text), cut))
-    return joined.select(*(clean.alias(c) if c == text else F.col(c) for c in docs.columns))
+    joined = docs.withColumn(own, blob_of(text)).join(dirty, F.col(own) == F.col(blob), "left")
+    clean = F.when(F.col(cuts).isNull(), F.col(text)).otherwise(F.aggregate(F.reverse(cuts), F.col(text), cut))
+    return joined.select(*(clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -386,6 +386,60 @@ def test_op7_redaction(spark):
     assert got == [(1, "a [assign] b [hex]", "keep"), (2, None, "keep"), (3, "é [assign] z", "keep")]
 
 
+def plain_fingerprint(t):
+    """{hash: first place} of the smallest hashes, and whether some were left out."""
+    seen = {}
+    for p, h in zip(*(x.tolist() for x in syncmers.anchors(t))):
+        seen.setdefault(h >> 16, p)
+    n = max(64, len(seen) // 16)
+    return {h: seen[h] for h in sorted(seen)[:n]}, len(seen) > n
+
+
+def hex_of(f):
+    return "".join(f"{h:012x}" for h in f) + "".join(f"{p:08x}" for p in f.values())
+
+
+def plain_likeness(a, b):
+    ends = [max(f) for f, cut in (a, b) if cut]
+    x, y = ({h: p for h, p in f.items() if not ends or h <= min(ends)} for f, _ in (a, b))
+    if not a[0] or not b[0]:
+        return float(len(a[0]) == len(b[0]))
+    if len(x) + len(y) <= 2:
+        return float(list(x) == list(y))
+    common = sorted((x[h], y[h] - x[h]) for h in x if h in y)
+    good = sum(any(0 <= j < len(common) and common[j][1] == common[i][1] for j in (i - 1, i + 1)) for i in range(len(common)))
+    return 2 * good / (len(x) + len(y))
+
+
+def test_op8_many_pieces(spark, sf):
+    """The plan does not grow with the pieces, and pieces without rows are passed over."""
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet").select("doc_id", "text").where("length(text) < 300")
+    few = bag(syncmers.fingerprints(docs), "doc_id", "edited_sha256", "near_next")
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        plan = syncmers.fingerprints(docs)._jdf.queryExecution().toString()
+        assert len(plan) < 60_000
+        assert bag(syncmers.fingerprints(docs), "doc_id", "edited_sha256", "near_next") == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+
+
+def test_op8_order_and_growth():
+    """The same passages in another order are not alike by place; a long text's small rewrite changes its fingerprint."""
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
+    parts = [" ".join(word() for _ in range(60)) for _ in range(40)]
+    a, b = " ".join(parts), " ".join(random.sample(parts, 40))
+    f = syncmers.fingerprint
+    assert syncmers.likeness(f(a), f(a)) == 1
+    assert len(f(a)[0]) > syncmers.SKETCH
+    changed = a[:9000] + word() * 20 + a[9120:]
+    assert syncmers.as_text(f(a)[0]) != syncmers.as_text(f(changed)[0]) and syncmers.likeness(f(a), f(changed)) > 0.8
+    assert syncmers.likeness(f(parts[0]), f(" ".join(word() for _ in range(60)))) < 0.1
+    assert len({syncmers.likeness(f(a), f(b)), 1.0}) == 2
+
+
 def test_op8(spark, sf):
     got = syncmers.op8_syncmers(spark, sf[0])
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
@@ -394,8 +448,9 @@ def test_op8(spark, sf):
         own, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
         h = len(own) // 2
         edited = own[: len(own) - h] + after[:h]
-        f = [syncmers.sketch(syncmers.anchors(t)[1]) for t in (own, edited, after)]
-        want[(r[0], len(own), hashlib.sha256(edited.encode()).hexdigest(), syncmers.as_text(f[0]), syncmers.as_text(f[1]), syncmers.likeness(f[0], f[1]), syncmers.likeness(f[0], f[2]))] += 1
+        f = [plain_fingerprint(t) for t in (own, edited, after)]
+        text = [hex_of(x) for x, _ in f]
+        want[(r[0], len(own), hashlib.sha256(edited.encode()).hexdigest(), text[0], text[1], plain_likeness(f[0], f[1]), plain_likeness(f[0], f[2]))] += 1
     assert bag(got, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next") == want
 
 
@@ -457,6 +512,35 @@ def test_op10_totals_and_schedule(spark, sf):
     assert 14 <= early.count("a") <= 19 and 1 <= early.count("b") <= 4  # in proportion from the start
 
 
+def test_pipeline_columns(spark, sf):
+    """Columns of the names that stages use inside, and none of n_chars, give the same rows."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet").select("doc_id", "text", "source").where("length(text) < 2000")
+    more = ("id", "_id", "blob", "_blob", "own_blob", "cuts", "quality", "_quality", "copy", "_copy", "often", "_often", "slot", "start", "size", "row", "pass0", "score", "n", "c")
+    wide = docs.select("*", *(F.lit(7).alias(c) for c in more))
+    for name, stage in corpus_pipeline.STAGES:
+        docs, wide = common.stored(stage(spark, docs, sf[0])), common.stored(stage(spark, wide, sf[0]))
+        assert bag(wide, "doc_id") == bag(docs, "doc_id")
+        if name != "encode":
+            assert wide.columns == ["doc_id", "text", "source", *more]
+            assert bag(wide, "doc_id", "text", "source") == bag(docs, "doc_id", "text", "source")
+            assert not wide.where(" OR ".join(f"{c} <> 7" for c in more)).count()
+
+
+def test_mix_keeps_the_order_of_slots(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet").dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")
+    slot = {r.doc_id: (r.slot, r.start) for r in mixing.mix(docs.select("doc_id", "source", F.size(common.words(F.col("text"))).cast("long").alias("size"))).collect()}
+    got = [r.doc_id for r in common.stored(corpus_pipeline.mix(spark, docs, sf[0])).withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()).withColumn("f", F.input_file_name()).orderBy("f", "i").collect()]
+    places, seen = [], collections.Counter()
+    for i in got:
+        seen[i] += 1
+        places.append((seen[i], slot[i]))
+    assert places == sorted(places) and len({s for _, (s, _) in places}) > 3
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
