@@ -4,10 +4,13 @@ quality     documents scored under 0.7 by the pairwise ranking go
 near_dups   one document of each near-duplicate component (similarity 0.8 of 5-word shingles) stays, that of the smallest
             id; repeated rows become one
 secrets     spans that the blob ledger has findings for are replaced by their kind in brackets
-mix         each document is repeated as often as the mix takes most of it: not at all, once or twice
+mix         each document is repeated as often as the mix takes most of it: not at all, once or twice; rows are written in
+            the order of the schedule's slots
 encode      every row left is encoded: doc_id, n_tokens and digests of its ids and of the decoded text
 
-Nulls, empty texts and empty tables are handled as the operators say. A document without words is never mixed in.
+Null ids are kept as rows of their own, never linked; null and empty texts pass until the mix, which takes no document
+without words. Very long texts are taken whole. Ties: of equal ids and texts one row stays; equal scores and sizes are
+treated alike. Empty tables give empty results. Columns may have any names: those that stages add are made fresh.
 """
 
 from __future__ import annotations
@@ -16,40 +19,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import mixing, near_dup, piece_codec, quality_ranking, secrets
-from kmerloom.llm.common import scratch, stored, table, words
-
+from kmerloom.llm.common import fresh, n_partitions, removed, scratch, stored, table, words
 
 #: Words of a shingle in the near_dups stage; the query op5_near_duplicates takes 2.
 SHINGLE = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ranking, trained on the labels of three quarters of docs, scores at the cut or above."""
     model = quality_ranking.train(docs, table(spark, sf_dir, "labels"), quality_ranking.train_fold())
-    return quality_ranking.scored(docs, model, out="_quality").where(F.col("_quality") >= quality_ranking.CUT).drop("_quality")
+    out = fresh(docs, "quality")
+    return quality_ranking.scored(docs, model, out=out).where(F.col(out) >= quality_ranking.CUT).drop(out)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dup.near_duplicates(docs, words=SHINGLE).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each near-duplicate component, and every document without an id."""
+    kept, own = near_dup.near_duplicates(docs, words=SHINGLE).where("kept"), fresh(docs, "id")
+    ids = kept.select(F.col("doc_id").alias(own)).distinct()
+    stay = docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
     return stay.dropDuplicates(["doc_id", "text"])
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with their secrets replaced; n_chars, where there is one, is counted again."""
     ledger = scratch(spark)
-    secrets.scan_versions(secrets.addressed(docs).select("blob", "text"), ledger)
+    secrets.scan_versions(secrets.addressed(docs.select("text")), ledger)
     clean = secrets.redacted(docs, spark.read.schema(secrets.FINDINGS).parquet(ledger))
-    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs as the mix takes them, in the order of slots and of places in their sources' streams."""
     sizes = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    often = sum((F.col(f"pass{p}") * 2 >= F.col("size")).cast("int") for p in range(mixing.MAX_REPEAT))
-    dealt = mixing.mix(sizes).where("size > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(often).alias("_often")).where("_often > 0")
-    joined = docs.join(dealt.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.col("text").isNotNull())
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_often")))).select(*docs.columns)
+    own, often, slot, start, copy = (fresh(docs, c) for c in ("id", "often", "slot", "start", "copy"))
+    times = sum((F.col(f"pass{p}") * 2 >= F.col("size")).cast("int") for p in range(mixing.MAX_REPEAT))
+    dealt = mixing.mix(sizes).where("size > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max(times).alias(often), F.min("slot").alias(slot), F.min("start").alias(start)).where(F.col(often) > 0)
+    joined = docs.join(dealt.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own))).where(F.col("text").isNotNull())
+    repeated = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often))))
+    ordered = repeated.repartitionByRange(n_partitions(spark), copy, slot, start).sortWithinPartitions(copy, slot, start, "doc_id")
+    return ordered.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
     return piece_codec.encoded(docs)
 
 
@@ -60,7 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The last stage's rows, in a folder of their own; what the others wrote is deleted when the next has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        path = scratch(spark)
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if before:
+            removed(spark, before)
+        before = path
+    return docs
