@@ -103,16 +103,28 @@ def closure(tree: DataFrame) -> DataFrame:
     return tree.sparkSession.createDataFrame(out, "node_id string, exp_id string")
 
 
-def node_bits(tree: DataFrame, bits: DataFrame) -> DataFrame:
-    """(node_id, pos, kind): the informative bits of every node, kind sim or dif."""
+def node_words(tree: DataFrame, bits: DataFrame) -> DataFrame:
+    """(node_id, word_idx, every, some): of each node, the positions set in all and in some experiments below, packed.
+
+    Filters are packed before they are joined with the nodes above them, so that rows are words, not positions.
+    """
     below = closure(tree)
     leaves = below.groupBy("node_id").agg(F.count("*").alias("n_leaves"))
-    counts = bits.join(below, "exp_id").groupBy("node_id", "pos").agg(F.count("*").alias("k")).join(leaves, "node_id")
-    every = counts.where("k = n_leaves").select("node_id", "pos")
-    parents = tree.select("node_id", "parent_id")
-    claimed = every.toDF("parent_id", "pos")
-    sim = every.join(parents, "node_id").join(claimed, ["parent_id", "pos"], "left_anti").select("node_id", "pos", F.lit("sim").alias("kind"))
-    return sim.unionByName(counts.where("k < n_leaves").select("node_id", "pos", F.lit("dif").alias("kind")))
+    words = packed(bits).join(below, "exp_id").groupBy("node_id", "word_idx").agg(F.count("*").alias("k"), F.bit_and("word").alias("all"), F.bit_or("word").alias("some"))
+    return words.join(leaves, "node_id").select("node_id", "word_idx", F.when(F.col("k") == F.col("n_leaves"), F.col("all")).otherwise(F.lit(0)).alias("every"), "some")
+
+
+def node_bits(tree: DataFrame, bits: DataFrame) -> DataFrame:
+    """(node_id, pos, kind): the informative bits of every node, kind sim or dif."""
+    words = node_words(tree, bits).join(tree.select("node_id", "parent_id"), "node_id")
+    above = words.select(F.col("node_id").alias("parent_id"), "word_idx", F.col("every").alias("claimed"))
+    own = words.join(above, ["parent_id", "word_idx"], "left")
+    sim = F.col("every").bitwiseAND(F.bitwise_not(F.coalesce("claimed", F.lit(0).cast("long"))))
+    dif = F.col("some").bitwiseAND(F.bitwise_not(F.col("every")))
+    kinds = F.array(F.struct(F.lit("sim").alias("kind"), sim.alias("word")), F.struct(F.lit("dif").alias("kind"), dif.alias("word")))
+    rows = own.select("node_id", "word_idx", F.inline(kinds)).where("word <> 0")
+    bit = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("word"), i) == 1)
+    return rows.select("node_id", "word_idx", "kind", F.explode(bit).alias("_b")).select("node_id", (F.col("word_idx").cast("long") * 64 + F.col("_b")).alias("pos"), "kind")
 
 
 def node_sizes(tree: DataFrame, nodes: DataFrame, m: int) -> DataFrame:

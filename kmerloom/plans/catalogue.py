@@ -94,7 +94,10 @@ def _with(body: str, tail: str, recursive: bool = False) -> str:
 
 
 def _reads(spark: SparkSession, d: str) -> DataFrame:
-    return reads_of(spark.read.parquet(f"{d}/documents.parquet"))
+    """Texts as reads. A table of fewer files than cores is dealt over them first: one row group is one task."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return reads_of(docs.repartition(cores) if len(docs.inputFiles()) < cores else docs)
 
 
 def _queries(spark: SparkSession, d: str, theta: float = THETA) -> DataFrame:
