@@ -12,7 +12,7 @@ from kmerloom.operators import filters, minhash, query, tree
 from kmerloom.plans.index import Index
 from kmerloom.plans.shared import shared_folder
 from kmerloom.plans.spec import HashSpec
-from kmerloom.sources import formats
+from kmerloom.sources import formats, query_files
 
 
 def _reads(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -42,12 +42,13 @@ def parser() -> argparse.ArgumentParser:
 
     add("hashes", "write a hash specification", "out", k=(int, 20), hashes=(int, 1), bits=(int, 1 << 31))
     add("count", "reads to filters", "spec", "reads", "index", cutoff=(int, 3), format=(str, "fasta"))
-    add("build", "topology of an index", "index", topology=(str, "balanced"), sim_type=(int, 1))
+    add("build", "topology of an index", "index", topology=(str, "balanced"), sim_type=(int, 1), order=(str, None))
     add("compress", "write node bits", "index")
     for name in ("query", "batch_query"):
         c = add(name, "threshold query of a file of sequences", "index", "queries", "out", theta=(float, 0.9), plan=(str, "flat"))
         c.add_argument("--leaf-only", dest="plan", action="store_const", const="flat")
     add("bool_query", "boolean query: parquet of atoms (query_id, atom_ix, seq, theta) and an expression over a0, a1, ...", "index", "atoms", "expression", "out")
+    add("bool_query_file", "boolean queries of a file, [SEQ,theta] with ! & ^ | and ; at the end", "index", "queries", "out", theta=(float, 0.5))
     add("check", "are the nodes what their filters say?", "index")
     add("draw", "Graphviz text of the topology", "index")
     add("sim", "similarity of two experiments", "index", "a", "b", sim_type=(int, 1))
@@ -73,7 +74,7 @@ def run(spark: SparkSession, argv: list[str]) -> str | None:
     i = Index.open(spark, a.index)
     show = lambda df: "\n".join("\t".join(map(str, r)) for r in df.collect())  # noqa: E731  a row an experiment or node
     if a.command == "build":
-        i.build(tree.greedy(i.bits, i.spec.m, a.sim_type) if a.topology == "greedy" else tree.balanced(tree.experiments(i.bits)))
+        i.build(tree.greedy(i.bits, i.spec.m, a.sim_type, query_files.read_filter_list(spark, a.order) if a.order else None) if a.topology == "greedy" else tree.balanced(tree.experiments(i.bits)))
     elif a.command == "compress":
         i.compress()
     elif a.command in ("query", "batch_query"):
@@ -87,7 +88,12 @@ def run(spark: SparkSession, argv: list[str]) -> str | None:
         _results(found, q, i, a.out)
     elif a.command == "bool_query":
         names = i.tree.where("is_leaf").select("exp_id")
+        if not query.too_short(spark.read.parquet(a.atoms), i.spec.k).isEmpty():
+            raise ValueError(f"an atom is shorter than {i.spec.k}")
         query.bool_query(spark.read.parquet(a.atoms), {"match": a.expression}, names, i.bits, i.spec, exact=False).write.mode("overwrite").parquet(a.out)
+    elif a.command == "bool_query_file":
+        names = i.tree.where("is_leaf").select("exp_id")
+        query_files.bool_file_query(spark, a.queries, names, i.bits, i.spec, theta=a.theta).write.mode("overwrite").parquet(a.out)
     elif a.command == "check":
         return show(tree.check(i.tree, i.nodes, i.bits).where(~F.col("ok"))) or "every node is the union of its filters"
     elif a.command == "draw":

@@ -197,13 +197,13 @@ def _sim(kind: int, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.nd
     raise ValueError(f"no similarity of kind {kind}")
 
 
-def greedy(bits: DataFrame, m: int, kind: int = 1) -> Node | None:
-    """Insert experiments in order of name, each below the child that it is more like; ties go to child 1.
+def greedy(bits: DataFrame, m: int, kind: int = 1, names: list[str] | None = None) -> Node | None:
+    """Insert experiments in the order of names (by default sorted), each below the child that it is more like; ties go to child 1.
 
     Each step depends on all before it, so packed filters are held on the driver; refused where they would take more
     than GREEDY_BYTES. The answers of queries do not depend on the topology.
     """
-    names = experiments(bits)
+    names = names if names is not None else experiments(bits)
     words = -(-m // 64)
     if len(names) * words * 8 * 3 > GREEDY_BYTES:
         raise ValueError("filters are too large for the greedy topology; use balanced() or a clustering")

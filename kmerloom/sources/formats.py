@@ -96,8 +96,13 @@ def read_merges(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
 
 
 def write_sketch(sketch: DataFrame, path: str) -> None:
-    """One folder an experiment, its values one a line in order of slot."""
-    sketch.repartition("exp_id").sortWithinPartitions("exp_id", "hash_ix").select("exp_id", F.col("val").cast("string").alias("value")).write.mode("overwrite").partitionBy("exp_id").text(path)
+    """One folder an experiment, its values one a line in order of slot.
+
+    A sketch is one row of several lines: a writer by folders sorts rows by folder and may lose their order.
+    """
+    slots = F.sort_array(F.collect_list(F.struct("hash_ix", "val")))
+    rows = sketch.groupBy("exp_id").agg(F.concat_ws("\n", F.transform(slots, lambda x: x["val"].cast("string"))).alias("value"))
+    rows.write.mode("overwrite").partitionBy("exp_id").text(path)
 
 
 def result_lines(results: DataFrame, queries: DataFrame, tree: DataFrame | None = None) -> DataFrame:
