@@ -92,5 +92,5 @@ def read_filter_list(spark: SparkSession, path: str) -> list[str]:
 
 def read_sketches(spark: SparkSession, path: str) -> DataFrame:
     """(exp_id, hash_ix, val) of a folder of sketches, a folder an experiment and a value a line in order of slot."""
-    files = spark.read.text(path, wholetext=True).select(F.col("exp_id").cast("string"), F.split(F.trim("value"), r"\s+").alias("v"))
+    files = spark.read.text(path, wholetext=True).select(F.col("exp_id").cast("string"), F.regexp_extract_all("value", F.lit(r"-?\d+"), F.lit(0)).alias("v"))
     return files.select("exp_id", F.posexplode("v").alias("hash_ix", "val")).select("exp_id", "hash_ix", F.col("val").cast("long").alias("val"))
