@@ -2,82 +2,140 @@
 
 A chunk is a run of word markers and the text up to the next marker. No piece of the vocabulary has a marker after
 another character (checked when the model is opened), so segmentation never crosses a chunk border: each distinct
-chunk is segmented once, and a text's ids are its chunks' ids joined by position.
+chunk of the corpus is segmented once, and a text's ids are its chunks' ids joined by position.
+
+Positions travel packed. A block of documents is kept as its distinct chunks, combined before any shuffle, and the
+place in that list of every chunk of its texts. The chunks of all blocks make the table; its rows go back to the blocks
+by chunk, and are read there in the order of the packed places.
 
 Null and empty texts have no ids and decode to the empty text. Very long texts and texts without spaces are encoded
-whole. Repeated rows repeat. Only the key and text columns are read. Empty tables give no rows.
+whole; one that is longer than a block is a block alone. Repeated rows repeat. Only the key and text columns are read.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kmerloom.llm.common import table
+from kmerloom.llm.common import Workspace, sliced, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+#: Characters of a block's texts, beyond which the next block begins.
+BLOCK_CHARS = 4 << 20
+
+
+def chunks_of(text: str | None) -> list[str]:
+    """The chunks of a text, in order; the library puts the first marker itself, except before an empty text."""
+    return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-class ChunkTable:
-    """chunk -> (ids as text, number of ids, decoded text), filled as chunks come; at most `most` rows are kept."""
+class Segmenter:
+    """chunk -> (ids as text, number of ids, decoded text)."""
 
-    def __init__(self, model_file: str, most: int = 300_000, longest: int = 64):
+    def __init__(self, model_file: str):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         pieces = map(self.sp.id_to_piece, range(self.sp.get_piece_size()))
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece of this model crosses word markers")
         self.mark = self.sp.piece_to_id(MARK)
-        self.most, self.longest, self.rows = most, longest, {}
 
-    def __missing__(self, chunk: str) -> tuple[str, int, str]:
-        # the library puts the first marker itself, except before an empty text
+    def __call__(self, chunk: str) -> tuple[str, int, str]:
         ids = self.sp.encode(chunk[1:].replace(MARK, " ")) or [self.mark]
-        row = ",".join(map(str, ids)), len(ids), " " + self.sp.decode(ids)
-        if len(chunk) <= self.longest:
-            if len(self.rows) >= self.most:
-                self.rows.clear()
-            self.rows[chunk] = row
-        return row
-
-    def look_up(self, chunks: list[str]) -> list[tuple[str, int, str]]:
-        get, make = self.rows.get, self.__missing__
-        return [get(c) or make(c) for c in chunks]
-
-    def encode(self, text: str | None) -> tuple[str, int, str]:
-        """(ids joined by commas, number of ids, decoded text)."""
-        if not text:
-            return "", 0, ""
-        rows = self.look_up(_CHUNK.findall(MARK + text.replace(" ", MARK)))
-        return ",".join([r[0] for r in rows]), sum([r[1] for r in rows]), "".join([r[2] for r in rows])[1:]
-
-
-def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model_file: str | None = None, ids: bool = False) -> DataFrame:
+        return ",".join(map(str, ids)), len(ids), " " + self.sp.decode(ids)
+
+
+def blocks(docs: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows (block, keys, sizes, places, chunks): ids of a block's documents, the number of chunks of each, the place of
+    every chunk in `chunks` as packed integers, and the block's distinct chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get().partitionId(), 0
+        keys, sizes, places, book, used = [], [], [], defaultdict(), 0
+        book.default_factory = book.__len__
+
+        def packed() -> pa.RecordBatch:
+            owners = pa.concat_arrays(keys)
+            flat = np.concatenate(places).astype("<u2" if len(book) <= 1 << 16 else "<u4")
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (owners, pa.array(sizes, pa.int32()), pa.array(list(book), pa.string()))]
+            return pa.record_batch([pa.array([f"{task}:{count}"]), *lists[:2], pa.array([flat.tobytes()], pa.binary()), lists[2]], names)
+
+        for batch in sliced(batches, text):
+            keys.append(batch.column(0))
+            for t in batch.column(1).to_pylist():
+                found = chunks_of(t)
+                sizes.append(len(found))
+                places.append(np.fromiter(map(book.__getitem__, found), np.uint32, len(found)))
+                used += len(t or "")
+            if used >= chars or len(sizes) >= chars // 64:
+                yield packed()
+                count += 1
+                keys, sizes, places, used = [], [], [], 0
+                book.clear()
+        if keys:
+            yield packed()
+
+    names = ["block", "keys", "sizes", "places", "chunks"]
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), F.col(text).alias(text)).mapInArrow(run, f"block string, keys array<{kind}>, sizes array<int>, places binary, chunks array<string>")
+
+
+def chunk_table(chunks: DataFrame, model_file: str) -> DataFrame:
+    """(chunk, ids, n, decoded): each distinct chunk of the one column of `chunks`, segmented once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = Segmenter(model_file)
+        for batch in batches:
+            ids, n, decoded = zip(*map(segment, batch.column(0).to_pylist())) if len(batch) else ((), (), ())
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.string()), pa.array(n, pa.int32()), pa.array(decoded, pa.string())], ["chunk", "ids", "n", "decoded"])
+
+    return chunks.toDF("chunk").distinct().mapInArrow(run, "chunk string, ids string, n int, decoded string")
+
+
+def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model_file: str | None = None, ids: bool = False, chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of docs: key, n_tokens, ids_sha256, decoded_sha256; with ids=True also ids (array) and decoded."""
     path = model_file or public_tokenizers.path(MODEL)
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = ChunkTable(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            got = [t.encode(x) for x in batch.column(1).to_pylist()]
-            cols = [batch.column(0), pa.array([n for _, n, _ in got], pa.int64()), pa.array([sha(i) for i, _, _ in got], pa.string()), pa.array([sha(d) for _, _, d in got], pa.string())]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                cols += [pa.array([[int(x) for x in i.split(",")] if i else [] for i, _, _ in got], pa.list_(pa.int32())), pa.array([d for _, _, d in got], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.record_batch(cols, names)
-
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
-    return docs.select(key, text).mapInArrow(run, schema)
+            for row in range(len(batch)):
+                keys, sizes, packed, found = (batch.column(i)[row] for i in range(4))
+                piece, count, back = ((found.values.field(c).to_pylist() for c in ("ids", "n", "decoded")) if found.is_valid else ([], [], []))
+                sizes, packed, count, got, at = sizes.as_py(), packed.as_py(), np.array(count, np.int64), [], 0
+                flat = np.frombuffer(packed, "<u2" if len(packed) == 2 * sum(sizes) else "<u4")
+                for size in sizes:
+                    own = flat[at : at + size]
+                    at += size
+                    each = own.tolist()
+                    got.append((",".join([piece[x] for x in each]), int(count[own].sum()) if size else 0, "".join([back[x] for x in each])[1:]))
+                cols = [keys.values, pa.array([n for _, n, _ in got], pa.int64()), pa.array([sha(i) for i, _, _ in got], pa.string()), pa.array([sha(d) for _, _, d in got], pa.string())]
+                if ids:
+                    cols += [pa.array([[int(x) for x in i.split(",")] if i else [] for i, _, _ in got], pa.list_(pa.int32())), pa.array([d for _, _, d in got], pa.string())]
+                yield pa.record_batch(cols, names)
+
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * ids
+    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
+    with Workspace(docs.sparkSession) as space:
+        own = space.stored(blocks(docs, key, text, chars))
+        held = own.select("block", F.posexplode("chunks").alias("place", "chunk"))
+        rows = space.stored(chunk_table(held.select("chunk"), path))
+        met = held.join(rows, "chunk").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "ids", "n", "decoded"))).alias("rows"))
+        joined = own.join(met.withColumnRenamed("block", "_block"), F.col("block") == F.col("_block"), "left")
+        return space.result(joined.select("keys", "sizes", "places", "rows").mapInArrow(run, schema))
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

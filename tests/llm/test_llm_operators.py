@@ -486,12 +486,36 @@ def test_op9(spark, sf):
         ids = sp.encode(r[1] or "")
         want[(r[0], len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))] += 1
     assert bag(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
-    t = piece_codec.ChunkTable(public_tokenizers.path(piece_codec.MODEL), most=20)
+    assert piece_codec.op9_piece_codec(spark, sf[1]).count() == 0
+    split = piece_codec.encoded(spark.read.parquet(f"{sf[0]}/documents.parquet"), chars=2000)  # many blocks
+    assert bag(split, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_op9_table_and_places(spark):
+    """Awkward texts equal the library's; the table has each chunk once; more distinct chunks in a block than 16 bits count."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path(piece_codec.MODEL)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
     random.seed(3)
-    for _ in range(3000):
-        s = "".join(random.choice([" ", "  ", "a", "the", "▁", "\n", "é", "日", "\U0001d518", "\x00", "x" * 9, "<s>", "<0x0A>", "​", " "]) for _ in range(random.randrange(9)))
-        ids = sp.encode(s)
-        assert t.encode(s) == (",".join(map(str, ids)), len(ids), sp.decode(ids))
+    parts = [" ", "  ", "a", "the", "▁", "\n", "é", "日", "\U0001d518", "\x00", "x" * 9, "<s>", "<0x0A>", "\u200b", "\u00a0"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randrange(9))) for _ in range(1500)] + [" ".join(f"q{i}" for i in range(70_000)), "q" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, block string").repartition(2)
+    got = {r.id: (r.ids, r.decoded) for r in piece_codec.encoded(docs, "id", "block", ids=True).collect()}
+    assert got == {i: (sp.encode(t), sp.decode(sp.encode(t))) for i, t in enumerate(texts)}
+    packed = piece_codec.blocks(docs, "id", "block", chars=5000)
+    rows = piece_codec.chunk_table(packed.select(F.explode("chunks")), path).collect()
+    assert sorted(r.chunk for r in rows) == sorted({c for t in texts for c in piece_codec.chunks_of(t)})
+
+
+def test_op9_ids_come_from_the_table(spark, monkeypatch):
+    """Another table gives other ids: no text is segmented beside it."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, "")], "doc_id long, text string")
+    other = lambda chunks, path: chunks.toDF("chunk").distinct().selectExpr("chunk", "'7' AS ids", "1 AS n", "' z' AS decoded")
+    monkeypatch.setattr(piece_codec, "chunk_table", other)
+    got = {r.doc_id: (r.ids, r.decoded) for r in piece_codec.encoded(docs, ids=True).collect()}
+    assert got == {1: ([7, 7, 7], "z z z"), 2: ([], "")}
 
 
 def test_op10_totals_and_schedule(spark, sf):
