@@ -4,9 +4,9 @@ A chunk is a run of word markers and the text up to the next marker. No piece of
 another character (checked when the model is opened), so segmentation never crosses a chunk border: each distinct
 chunk of the corpus is segmented once, and a text's ids are its chunks' ids joined by position.
 
-Positions travel packed. A block of documents is kept as its distinct chunks, combined before any shuffle, and the
-place in that list of every chunk of its texts. The chunks of all blocks make the table; its rows go back to the blocks
-by chunk, and are read there in the order of the packed places.
+Positions travel packed. A block of documents is kept as its distinct chunks, combined before any shuffle and dealt
+into parts by hash, and the place in that list of every chunk of its texts. A part of all blocks meets in one task, whose
+table segments each chunk once; ids go back to the blocks, one row a block and part, and are joined there by place.
 
 Null and empty texts have no ids and decode to the empty text. Very long texts and texts without spaces are encoded
 whole; one that is longer than a block is a block alone. Repeated rows repeat. Only the key and text columns are read.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import Workspace, sliced, table
+from kmerloom.llm.common import Workspace, n_partitions, sliced, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Characters of a block's texts, beyond which the next block begins.
 BLOCK_CHARS = 4 << 20
+#: An id in a packed row.
+ID = np.dtype("<u2")
 
 
 def chunks_of(text: str | None) -> list[str]:
@@ -42,24 +45,28 @@ def chunks_of(text: str | None) -> list[str]:
     return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-class Segmenter:
-    """chunk -> (ids as text, number of ids, decoded text)."""
+class Segmenter(dict):
+    """chunk -> its ids as packed integers of ID; each chunk is segmented when it is first asked for."""
 
     def __init__(self, model_file: str):
+        super().__init__()
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        pieces = map(self.sp.id_to_piece, range(self.sp.get_piece_size()))
+        pieces = list(map(self.sp.id_to_piece, range(self.sp.get_piece_size())))
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece of this model crosses word markers")
+        if len(pieces) > 1 << 16:
+            raise ValueError("ids of this model do not fit 16 bits")
         self.mark = self.sp.piece_to_id(MARK)
 
-    def __call__(self, chunk: str) -> tuple[str, int, str]:
+    def __missing__(self, chunk: str) -> bytes:
         ids = self.sp.encode(chunk[1:].replace(MARK, " ")) or [self.mark]
-        return ",".join(map(str, ids)), len(ids), " " + self.sp.decode(ids)
+        self[chunk] = found = np.array(ids, ID).tobytes()
+        return found
 
 
-def blocks(docs: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows (block, keys, sizes, places, chunks): ids of a block's documents, the number of chunks of each, the place of
-    every chunk in `chunks` as packed integers, and the block's distinct chunks."""
+def blocks(docs: DataFrame, key: str, text: str, parts: int, chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows (block, keys, sizes, places, frames): ids of a block's documents, the number of chunks of each, the block's
+    distinct chunks by part (a hash of the chunk), and the place of every chunk in them, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId(), 0
@@ -67,10 +74,16 @@ def blocks(docs: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS) -> Da
         book.default_factory = book.__len__
 
         def packed() -> pa.RecordBatch:
-            owners = pa.concat_arrays(keys)
-            flat = np.concatenate(places).astype("<u2" if len(book) <= 1 << 16 else "<u4")
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (owners, pa.array(sizes, pa.int32()), pa.array(list(book), pa.string()))]
-            return pa.record_batch([pa.array([f"{task}:{count}"]), *lists[:2], pa.array([flat.tobytes()], pa.binary()), lists[2]], names)
+            part = np.fromiter((zlib.crc32(c.encode()) % parts for c in book), np.int64, len(book))
+            order = np.argsort(part, kind="stable")
+            moved = np.empty(len(book), np.uint32)
+            moved[order] = np.arange(len(book))
+            flat = moved[np.concatenate(places)].astype("<u2" if len(book) <= 1 << 16 else "<u4")
+            names_, first = np.unique(part[order], return_index=True)
+            chunks = pa.ListArray.from_arrays(pa.array([*first, len(book)], pa.int32()), pa.array(list(book), pa.string()).take(pa.array(order)))
+            frames = pa.StructArray.from_arrays([pa.array(names_, pa.int32()), chunks], ["part", "chunks"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.concat_arrays(keys), pa.array(sizes, pa.int32()), frames)]
+            return pa.record_batch([pa.array([task << 32 | count], pa.int64()), *lists[:2], pa.array([flat.tobytes()], pa.binary()), lists[2]], names)
 
         for batch in sliced(batches, text):
             keys.append(batch.column(0))
@@ -87,54 +100,68 @@ def blocks(docs: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS) -> Da
         if keys:
             yield packed()
 
-    names = ["block", "keys", "sizes", "places", "chunks"]
+    names = ["block", "keys", "sizes", "places", "frames"]
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias(text)).mapInArrow(run, f"block string, keys array<{kind}>, sizes array<int>, places binary, chunks array<string>")
+    schema = f"block long, keys array<{kind}>, sizes array<int>, places binary, frames array<struct<part: int, chunks: array<string>>>"
+    return docs.select(F.col(key).alias("key"), F.col(text).alias(text)).mapInArrow(run, schema)
 
 
-def chunk_table(chunks: DataFrame, model_file: str) -> DataFrame:
-    """(chunk, ids, n, decoded): each distinct chunk of the one column of `chunks`, segmented once."""
+def segmented(frames: DataFrame, model_file: str, parts: int) -> DataFrame:
+    """(block, part, counts, ids) of rows (block, part, chunks): all frames of a part meet in one task and share its table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = Segmenter(model_file)
+        known, at = Segmenter(model_file), None
         for batch in batches:
-            ids, n, decoded = zip(*map(segment, batch.column(0).to_pylist())) if len(batch) else ((), (), ())
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.string()), pa.array(n, pa.int32()), pa.array(decoded, pa.string())], ["chunk", "ids", "n", "decoded"])
+            counts, ids = [], []
+            for part, chunks in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if part != at:
+                    known.clear()
+                    at = part
+                found = [known[c] for c in chunks.as_py()]
+                counts.append((np.fromiter(map(len, found), "<u4", len(found)) // ID.itemsize).astype("<u4").tobytes())
+                ids.append(b"".join(found))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["block", "part", "counts", "ids"])
 
-    return chunks.toDF("chunk").distinct().mapInArrow(run, "chunk string, ids string, n int, decoded string")
+    dealt = frames.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "block long, part int, counts binary, ids binary")
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model_file: str | None = None, ids: bool = False, chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of docs: key, n_tokens, ids_sha256, decoded_sha256; with ids=True also ids (array) and decoded."""
     path = model_file or public_tokenizers.path(MODEL)
     kind = docs.schema[key].dataType.simpleString()
+    parts = n_partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        name = list(map(str, range(sp.get_piece_size())))
         for batch in batches:
             for row in range(len(batch)):
                 keys, sizes, packed, found = (batch.column(i)[row] for i in range(4))
-                piece, count, back = ((found.values.field(c).to_pylist() for c in ("ids", "n", "decoded")) if found.is_valid else ([], [], []))
-                sizes, packed, count, got, at = sizes.as_py(), packed.as_py(), np.array(count, np.int64), [], 0
-                flat = np.frombuffer(packed, "<u2" if len(packed) == 2 * sum(sizes) else "<u4")
-                for size in sizes:
-                    own = flat[at : at + size]
-                    at += size
-                    each = own.tolist()
-                    got.append((",".join([piece[x] for x in each]), int(count[own].sum()) if size else 0, "".join([back[x] for x in each])[1:]))
-                cols = [keys.values, pa.array([n for _, n, _ in got], pa.int64()), pa.array([sha(i) for i, _, _ in got], pa.string()), pa.array([sha(d) for _, _, d in got], pa.string())]
+                sizes, packed, frames = np.array(sizes.as_py(), np.int64), packed.as_py(), found.as_py() or []
+                flat = np.frombuffer(packed, "<u2" if len(packed) == 2 * sizes.sum() else "<u4")
+                count = np.frombuffer(b"".join(f["counts"] for f in frames), "<u4").astype(np.int64)
+                own = np.frombuffer(b"".join(f["ids"] for f in frames), ID)
+                start = np.cumsum(count) - count
+                upto, got, a = np.cumsum(sizes), [], 0
+                for z in upto.tolist():
+                    n, first = count[flat[a:z]], start[flat[a:z]]
+                    a = z
+                    got.append(own[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())].tolist())
+                text_of = [sp.decode(g) if g else "" for g in got]
+                cols = [keys.values, pa.array(list(map(len, got)), pa.int64()), pa.array([sha(",".join([name[i] for i in g])) for g in got], pa.string()), pa.array(list(map(sha, text_of)), pa.string())]
                 if ids:
-                    cols += [pa.array([[int(x) for x in i.split(",")] if i else [] for i, _, _ in got], pa.list_(pa.int32())), pa.array([d for _, _, d in got], pa.string())]
+                    cols += [pa.array(got, pa.list_(pa.int32())), pa.array(text_of, pa.string())]
                 yield pa.record_batch(cols, names)
 
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * ids
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
     with Workspace(docs.sparkSession) as space:
-        own = space.stored(blocks(docs, key, text, chars))
-        held = own.select("block", F.posexplode("chunks").alias("place", "chunk"))
-        rows = space.stored(chunk_table(held.select("chunk"), path))
-        met = held.join(rows, "chunk").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "ids", "n", "decoded"))).alias("rows"))
-        joined = own.join(met.withColumnRenamed("block", "_block"), F.col("block") == F.col("_block"), "left")
+        own = space.stored(blocks(docs, key, text, parts, chars))
+        rows = segmented(own.select("block", F.explode("frames").alias("f")).select("block", "f.part", "f.chunks"), path, parts)
+        met = rows.groupBy(F.col("block").alias("_block")).agg(F.sort_array(F.collect_list(F.struct("part", "counts", "ids"))).alias("rows"))
+        joined = own.join(met, F.col("block") == F.col("_block"), "left")
         return space.result(joined.select("keys", "sizes", "places", "rows").mapInArrow(run, schema))
 
 

@@ -504,18 +504,20 @@ def test_op9_table_and_places(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, block string").repartition(2)
     got = {r.id: (r.ids, r.decoded) for r in piece_codec.encoded(docs, "id", "block", ids=True).collect()}
     assert got == {i: (sp.encode(t), sp.decode(sp.encode(t))) for i, t in enumerate(texts)}
-    packed = piece_codec.blocks(docs, "id", "block", chars=5000)
-    rows = piece_codec.chunk_table(packed.select(F.explode("chunks")), path).collect()
-    assert sorted(r.chunk for r in rows) == sorted({c for t in texts for c in piece_codec.chunks_of(t)})
+    packed = piece_codec.blocks(docs, "id", "block", 7, chars=5000)
+    rows = packed.select("block", F.explode("frames").alias("f")).select("block", "f.part", F.explode("f.chunks").alias("chunk")).collect()
+    assert {r.chunk for r in rows} == {c for t in texts for c in piece_codec.chunks_of(t)}
+    assert len({(r.chunk, r.part) for r in rows}) == len({r.chunk for r in rows})  # a chunk has one part
+    assert len({(r.block, r.chunk) for r in rows}) == len(rows)
 
 
 def test_op9_ids_come_from_the_table(spark, monkeypatch):
     """Another table gives other ids: no text is segmented beside it."""
     docs = spark.createDataFrame([(1, "a b a"), (2, "")], "doc_id long, text string")
-    other = lambda chunks, path: chunks.toDF("chunk").distinct().selectExpr("chunk", "'7' AS ids", "1 AS n", "' z' AS decoded")
-    monkeypatch.setattr(piece_codec, "chunk_table", other)
-    got = {r.doc_id: (r.ids, r.decoded) for r in piece_codec.encoded(docs, ids=True).collect()}
-    assert got == {1: ([7, 7, 7], "z z z"), 2: ([], "")}
+    seven = lambda frames, *_: frames.selectExpr("block", "part", "unhex(repeat('01000000', size(chunks))) AS counts", "unhex(repeat('0700', size(chunks))) AS ids")
+    monkeypatch.setattr(piece_codec, "segmented", seven)
+    got = {r.doc_id: r.ids for r in piece_codec.encoded(docs, ids=True).collect()}
+    assert got == {1: [7, 7, 7], 2: []}
 
 
 def test_op10_totals_and_schedule(spark, sf):
