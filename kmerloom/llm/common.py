@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,17 @@ class Workspace:
         self.count += 1
         return stored(df, f"{self.path}/{self.count}")
 
+    @contextmanager
+    def bucketed(self, df: DataFrame, column: str, buckets: int) -> Iterator[DataFrame]:
+        """df as a table bucketed by a column, which a join on that column need not shuffle; its name goes at the end."""
+        self.count += 1
+        name = f"kmerloom_{uuid.uuid4().hex}"
+        try:
+            df.write.bucketBy(buckets, column).option("path", f"{self.path}/{self.count}").saveAsTable(name)
+            yield self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def result(self, df: DataFrame) -> DataFrame:
         return stored(df)
 

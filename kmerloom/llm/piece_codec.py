@@ -6,7 +6,8 @@ chunk of the corpus is segmented once, and a text's ids are its chunks' ids join
 
 Positions travel packed. A block of documents is kept as its distinct chunks, combined before any shuffle and dealt
 into parts by hash, and the place in that list of every chunk of its texts. A part of all blocks meets in one task, whose
-table segments each chunk once; ids go back to the blocks, one row a block and part, and are joined there by place.
+table segments each chunk once; ids go back to the blocks, one row a block and part, and are joined there by place. Blocks
+are kept bucketed, so that only ids travel to that join, and all lists are compressed.
 
 Null and empty texts have no ids and decode to the empty text. Very long texts and texts without spaces are encoded
 whole; one that is longer than a block is a block alone. Repeated rows repeat. Only the key and text columns are read.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,6 +27,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +37,14 @@ from kmerloom.llm.common import Workspace, n_partitions, sliced, table
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+#: Between the chunks of a frame: a byte that UTF-8 does not have.
+END = b"\xff"
 #: Characters of a block's texts, beyond which the next block begins.
-BLOCK_CHARS = 4 << 20
-#: An id in a packed row.
-ID = np.dtype("<u2")
+BLOCK_CHARS = 16 << 20
+#: Chunks that are put together at once from a block's places; one longer text is taken alone.
+STEP = 1 << 18
+#: Buckets that Spark allows a table.
+MOST_BUCKETS = 100_000
 
 
 def chunks_of(text: str | None) -> list[str]:
@@ -45,8 +52,18 @@ def chunks_of(text: str | None) -> list[str]:
     return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def pressed(values: np.ndarray) -> bytes:
+    """An array of integers, compressed: the first bytes of all, then the second ones, and so on."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def opened(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 class Segmenter(dict):
-    """chunk -> its ids as packed integers of ID; each chunk is segmented when it is first asked for."""
+    """chunk in UTF-8 -> its ids, 16 bits each."""
 
     def __init__(self, model_file: str):
         super().__init__()
@@ -56,17 +73,19 @@ class Segmenter(dict):
             raise ValueError("a piece of this model crosses word markers")
         if len(pieces) > 1 << 16:
             raise ValueError("ids of this model do not fit 16 bits")
-        self.mark = self.sp.piece_to_id(MARK)
+        self.mark = [self.sp.piece_to_id(MARK)]
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.sp.encode(chunk[1:].replace(MARK, " ")) or [self.mark]
-        self[chunk] = found = np.array(ids, ID).tobytes()
-        return found
+    def of(self, chunks: list[bytes]) -> list[array]:
+        """The ids of chunks; those that are not in the table yet are segmented, each once."""
+        new = list({c for c in chunks if c not in self})
+        plain = [c.decode()[1:].replace(MARK, " ") for c in new]
+        self.update((c, array("H", ids or self.mark)) for c, ids in zip(new, self.sp.encode(plain, num_threads=1)))
+        return list(map(self.__getitem__, chunks))
 
 
 def blocks(docs: DataFrame, key: str, text: str, parts: int, chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows (block, keys, sizes, places, frames): ids of a block's documents, the number of chunks of each, the block's
-    distinct chunks by part (a hash of the chunk), and the place of every chunk in them, packed."""
+    """Rows (block, keys, sizes, places, dealt, frames): ids of a block's documents, the number of chunks of each, the place
+    of every chunk among the block's distinct ones, the part of each of these (a hash of the chunk), and they, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId(), 0
@@ -74,23 +93,23 @@ def blocks(docs: DataFrame, key: str, text: str, parts: int, chars: int = BLOCK_
         book.default_factory = book.__len__
 
         def packed() -> pa.RecordBatch:
-            part = np.fromiter((zlib.crc32(c.encode()) % parts for c in book), np.int64, len(book))
+            chunks = [c.encode() for c in book]
+            part = np.fromiter((zlib.crc32(c) % parts for c in chunks), "<u4", len(chunks))
             order = np.argsort(part, kind="stable")
-            moved = np.empty(len(book), np.uint32)
-            moved[order] = np.arange(len(book))
-            flat = moved[np.concatenate(places)].astype("<u2" if len(book) <= 1 << 16 else "<u4")
             names_, first = np.unique(part[order], return_index=True)
-            chunks = pa.ListArray.from_arrays(pa.array([*first, len(book)], pa.int32()), pa.array(list(book), pa.string()).take(pa.array(order)))
-            frames = pa.StructArray.from_arrays([pa.array(names_, pa.int32()), chunks], ["part", "chunks"])
+            chunks = [chunks[i] for i in order.tolist()]
+            held = [zstandard.compress(END.join(chunks[a:b])) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(chunks)])]
+            frames = pa.StructArray.from_arrays([pa.array(names_.astype(np.int32)), pa.array(held, pa.binary())], ["part", "chunks"])
             lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.concat_arrays(keys), pa.array(sizes, pa.int32()), frames)]
-            return pa.record_batch([pa.array([task << 32 | count], pa.int64()), *lists[:2], pa.array([flat.tobytes()], pa.binary()), lists[2]], names)
+            flat = [pa.array([pressed(v)], pa.binary()) for v in (np.concatenate(places), part)]
+            return pa.record_batch([pa.array([task << 32 | count], pa.int64()), *lists[:2], *flat, lists[2]], names)
 
         for batch in sliced(batches, text):
             keys.append(batch.column(0))
             for t in batch.column(1).to_pylist():
                 found = chunks_of(t)
                 sizes.append(len(found))
-                places.append(np.fromiter(map(book.__getitem__, found), np.uint32, len(found)))
+                places.append(np.fromiter(map(book.__getitem__, found), "<u4", len(found)))
                 used += len(t or "")
             if used >= chars or len(sizes) >= chars // 64:
                 yield packed()
@@ -100,9 +119,9 @@ def blocks(docs: DataFrame, key: str, text: str, parts: int, chars: int = BLOCK_
         if keys:
             yield packed()
 
-    names = ["block", "keys", "sizes", "places", "frames"]
+    names = ["block", "keys", "sizes", "places", "dealt", "frames"]
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"block long, keys array<{kind}>, sizes array<int>, places binary, frames array<struct<part: int, chunks: array<string>>>"
+    schema = f"block long, keys array<{kind}>, sizes array<int>, places binary, dealt binary, frames array<struct<part: int, chunks: binary>>"
     return docs.select(F.col(key).alias("key"), F.col(text).alias(text)).mapInArrow(run, schema)
 
 
@@ -112,18 +131,17 @@ def segmented(frames: DataFrame, model_file: str, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, at = Segmenter(model_file), None
         for batch in batches:
-            counts, ids = [], []
-            for part, chunks in zip(batch.column(1).to_pylist(), batch.column(2)):
+            for row in range(len(batch)):
+                part = batch.column(1)[row].as_py()
                 if part != at:
                     known.clear()
                     at = part
-                found = [known[c] for c in chunks.as_py()]
-                counts.append((np.fromiter(map(len, found), "<u4", len(found)) // ID.itemsize).astype("<u4").tobytes())
-                ids.append(b"".join(found))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["block", "part", "counts", "ids"])
+                found = known.of(zstandard.decompress(batch.column(2)[row].as_py()).split(END))
+                counts, ids = np.fromiter(map(len, found), "<u4", len(found)), np.frombuffer(b"".join(found), np.uint16).astype("<u2")
+                lists = [pa.array([pressed(v)], pa.binary()) for v in (counts, ids)]
+                yield pa.record_batch([*(batch.column(i).slice(row, 1) for i in range(2)), *lists], ["block", "part", "counts", "ids"])
 
-    dealt = frames.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "block long, part int, counts binary, ids binary")
+    return frames.repartitionById(parts, F.col("part")).mapInArrow(run, "block long, part int, counts binary, ids binary")
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model_file: str | None = None, ids: bool = False, chars: int = BLOCK_CHARS) -> DataFrame:
@@ -138,31 +156,36 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model_file
         name = list(map(str, range(sp.get_piece_size())))
         for batch in batches:
             for row in range(len(batch)):
-                keys, sizes, packed, found = (batch.column(i)[row] for i in range(4))
-                sizes, packed, frames = np.array(sizes.as_py(), np.int64), packed.as_py(), found.as_py() or []
-                flat = np.frombuffer(packed, "<u2" if len(packed) == 2 * sizes.sum() else "<u4")
-                count = np.frombuffer(b"".join(f["counts"] for f in frames), "<u4").astype(np.int64)
-                own = np.frombuffer(b"".join(f["ids"] for f in frames), ID)
-                start = np.cumsum(count) - count
-                upto, got, a = np.cumsum(sizes), [], 0
-                for z in upto.tolist():
-                    n, first = count[flat[a:z]], start[flat[a:z]]
-                    a = z
-                    got.append(own[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())].tolist())
-                text_of = [sp.decode(g) if g else "" for g in got]
-                cols = [keys.values, pa.array(list(map(len, got)), pa.int64()), pa.array([sha(",".join([name[i] for i in g])) for g in got], pa.string()), pa.array(list(map(sha, text_of)), pa.string())]
-                if ids:
-                    cols += [pa.array(got, pa.list_(pa.int32())), pa.array(text_of, pa.string())]
-                yield pa.record_batch(cols, names)
+                keys, sizes, places, dealt, frames = (batch.column(i)[row] for i in range(5))
+                frames, flat = frames.as_py() or [], opened(places.as_py(), "<u4")
+                counts = np.concatenate([np.zeros(0, np.int64), *(opened(f["counts"], "<u4").astype(np.int64) for f in frames)])
+                own = np.concatenate([np.zeros(0, "<u2"), *(opened(f["ids"], "<u2") for f in frames)])
+                count, start = np.empty_like(counts), np.empty_like(counts)
+                order = np.argsort(opened(dealt.as_py(), "<u4"), kind="stable")
+                count[order], start[order] = counts, np.cumsum(counts) - counts
+                upto = np.cumsum(np.asarray(sizes.values, np.int64))
+                cuts = [0, *(np.flatnonzero(np.diff(upto // STEP)) + 1).tolist(), len(upto)]
+                for a, b in zip(cuts, cuts[1:]):
+                    base = int(upto[a - 1]) if a else 0
+                    at = flat[base : upto[b - 1]]
+                    n, first = count[at], start[at]
+                    ends = np.cumsum(n)
+                    run_ids = own[np.repeat(first - ends + n, n) + np.arange(n.sum())].tolist()
+                    edges = np.concatenate([[0], ends])[np.concatenate([[0], upto[a:b] - base])].tolist()
+                    got = [run_ids[x:y] for x, y in zip(edges, edges[1:])]
+                    text_of = [sp.decode(g) if g else "" for g in got]
+                    cols = [keys.values.slice(a, b - a), pa.array(list(map(len, got)), pa.int64()), pa.array([sha(",".join([name[i] for i in g])) for g in got], pa.string()), pa.array(list(map(sha, text_of)), pa.string())]
+                    if ids:
+                        cols += [pa.array(got, pa.list_(pa.int32())), pa.array(text_of, pa.string())]
+                    yield pa.record_batch(cols, names)
 
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * ids
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
-    with Workspace(docs.sparkSession) as space:
-        own = space.stored(blocks(docs, key, text, parts, chars))
+    with Workspace(docs.sparkSession) as space, space.bucketed(blocks(docs, key, text, parts, chars), "block", min(parts, MOST_BUCKETS)) as own:
         rows = segmented(own.select("block", F.explode("frames").alias("f")).select("block", "f.part", "f.chunks"), path, parts)
         met = rows.groupBy(F.col("block").alias("_block")).agg(F.sort_array(F.collect_list(F.struct("part", "counts", "ids"))).alias("rows"))
         joined = own.join(met, F.col("block") == F.col("_block"), "left")
-        return space.result(joined.select("keys", "sizes", "places", "rows").mapInArrow(run, schema))
+        return space.result(joined.select("keys", "sizes", "places", "dealt", "rows").mapInArrow(run, schema))
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from kmerloom.llm import common, host_rules, language_masks, mixing, near_dup, piece_codec, quality_ranking, queries, secrets, shared_strings, syncmers, warc
@@ -505,16 +506,47 @@ def test_op9_table_and_places(spark):
     got = {r.id: (r.ids, r.decoded) for r in piece_codec.encoded(docs, "id", "block", ids=True).collect()}
     assert got == {i: (sp.encode(t), sp.decode(sp.encode(t))) for i, t in enumerate(texts)}
     packed = piece_codec.blocks(docs, "id", "block", 7, chars=5000)
-    rows = packed.select("block", F.explode("frames").alias("f")).select("block", "f.part", F.explode("f.chunks").alias("chunk")).collect()
-    assert {r.chunk for r in rows} == {c for t in texts for c in piece_codec.chunks_of(t)}
-    assert len({(r.chunk, r.part) for r in rows}) == len({r.chunk for r in rows})  # a chunk has one part
-    assert len({(r.block, r.chunk) for r in rows}) == len(rows)
+    frames = packed.select("block", F.explode("frames").alias("f")).select("block", "f.part", "f.chunks").collect()
+    rows = [(r.block, r.part, c.decode()) for r in frames for c in zstandard.decompress(r.chunks).split(piece_codec.END)]
+    assert {c for _, _, c in rows} == {c for t in texts for c in piece_codec.chunks_of(t)}
+    assert len({(c, part) for _, part, c in rows}) == len({c for _, _, c in rows})  # a chunk has one part
+    assert len({(block, c) for block, _, c in rows}) == len(rows)
+
+
+def test_op9_segments_each_chunk_once():
+    import public_tokenizers
+
+    known, asked = piece_codec.Segmenter(public_tokenizers.path(piece_codec.MODEL)), []
+    plain = known.sp
+    known.sp = type("Counted", (), {"encode": lambda self, texts, **kw: asked.extend(texts) or plain.encode(texts, **kw)})()
+    frames = [["▁a", "▁tree", "▁a"], ["▁tree", "▁", "▁▁b\n"]]
+    got = [[list(ids) for ids in known.of([c.encode() for c in f])] for f in frames]
+    assert got == [[plain.encode(c[1:].replace("▁", " ")) or known.mark for c in f] for f in frames]
+    assert sorted(asked) == ["", " b\n", "a", "tree"]
+
+
+def test_op9_packed_arrays():
+    for kind in ("<u2", "<u4"):
+        for values in ([], [0], [1, 300, 65535] * 50):
+            assert piece_codec.opened(piece_codec.pressed(np.array(values, kind)), kind).tolist() == values
+
+
+def test_op9_leaves_nothing_behind(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "")], "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    assert piece_codec.encoded(docs).count() == 2
+    assert {t.name for t in spark.catalog.listTables()} == before
 
 
 def test_op9_ids_come_from_the_table(spark, monkeypatch):
     """Another table gives other ids: no text is segmented beside it."""
     docs = spark.createDataFrame([(1, "a b a"), (2, "")], "doc_id long, text string")
-    seven = lambda frames, *_: frames.selectExpr("block", "part", "unhex(repeat('01000000', size(chunks))) AS counts", "unhex(repeat('0700', size(chunks))) AS ids")
+
+    def seven(frames, *_):
+        sizes = [(r.block, r.part, len(zstandard.decompress(r.chunks).split(piece_codec.END))) for r in frames.collect()]
+        rows = [(b, p, piece_codec.pressed(np.full(n, 1, "<u4")), piece_codec.pressed(np.full(n, 7, "<u2"))) for b, p, n in sizes]
+        return spark.createDataFrame(rows, "block long, part int, counts binary, ids binary")
+
     monkeypatch.setattr(piece_codec, "segmented", seven)
     got = {r.doc_id: r.ids for r in piece_codec.encoded(docs, ids=True).collect()}
     assert got == {1: [7, 7, 7], 2: []}
