@@ -1,7 +1,7 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
 import corpus_pipeline
-from kmerloom.llm import host_rules, language_masks, mixing, near_dup, piece_codec, quality_ranking, secrets, shared_strings, syncmers, warc
+from kmerloom.llm import alignment, host_rules, importance, language_masks, mixing, near_dup, packing, piece_codec, quality_ranking, secrets, shared_strings, syncmers, warc
 
 QUERIES = {
     "op1_quality_ranking": quality_ranking.op1_quality_ranking,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_syncmers": syncmers.op8_syncmers,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_importance": importance.op11_importance,
+    "op12_best_fit": packing.op12_best_fit,
+    "op13_alignment": alignment.op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,4 +26,5 @@ ORACLE = {
     "op5_near_duplicates": near_dup.OP5_SQL,
     "op6_host_rules": host_rules.OP6_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op11_importance": importance.OP11_SQL,
 }

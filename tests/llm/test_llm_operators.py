@@ -54,8 +54,9 @@ def sf(spark, tmp_path_factory):
     big, small = "<p>" + "z" * 1200, "<p>small"
     pages = [(1, "http://A.example.com/x?y=1", big), (2, "https://user@b.example.com:8080/", big), (3, None, big), (4, "http://c.org", small), (5, "http://c.org", small), (6, "ftp://d/é \r\n", None), (7, "", ""), (None, "http://e.org/", big), (3, "http://c.org", big), (8, "http://c.org", "é" * 600), (9, "bad url", "é" * 600)]
     spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, digest string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(1, "one two words"), (2, None), (3, ROWS[0][1]), (4, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     e = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "benchmark"):
         spark.read.parquet(f"{d}/{t}.parquet").limit(0).write.parquet(f"{e}/{t}.parquet")
     return d, e
 
@@ -70,7 +71,7 @@ def test_empty_tables(spark, sf, name):
 
 
 def test_registered():
-    assert {re.match(r"op\d+|pipeline", q)[0] for q in queries.QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {re.match(r"op\d+|pipeline", q)[0] for q in queries.QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
     assert set(queries.ORACLE) <= set(queries.QUERIES)
 
 
@@ -79,7 +80,7 @@ def test_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf[0]}/{t}.parquet/*.parquet'")
     got, want = queries.QUERIES[name](spark, sf[0]).toPandas(), con.sql(queries.ORACLE[name]).df()
     if name.startswith(("op4", "op5", "op6")):  # the SQL joins on doc_id, which must be unique there
