@@ -35,11 +35,11 @@ from kmerloom.llm.encoders import BYTE_MODEL, ByteEncoder
 from kmerloom.llm.piece_codec import MARK, MODEL, Segmenter, chunks_of
 
 #: Links of a block, beyond which the next block begins.
-BLOCK_LINKS = 8 << 20
+BLOCK_LINKS = 2 << 20
 #: Bytes of text that one bincount covers; one longer text is taken alone.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Chunks whose pieces a task remembers before it forgets them all.
-KNOWN = 400_000
+KNOWN = 250_000
 #: Bits of a B id in a pair.
 B_BITS = 16
 
@@ -66,6 +66,36 @@ def align(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray
     return group[a_end], group[b_end], before(at_a)[close], before(at_b)[close], close
 
 
+class Pieces(dict):
+    """chunk -> its B ids, 16 bits each; chunks whose pieces do not spell them are in `wrong`."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.known, self.wrong = Segmenter(path), set()
+        self.bytes = piece_bytes(self.known.sp)
+
+    def of(self, text: str) -> np.ndarray | None:
+        """The ids of a text; None where their bytes are not those of space + text."""
+        if MARK in text:
+            return None
+        chunks = chunks_of(text)
+        new = list(set(chunks) - self.keys())
+        if new:
+            if len(self) > KNOWN:
+                self.clear()
+                self.wrong.clear()
+                new = list(set(chunks))
+            raw = [c.encode() for c in new]
+            for c, ids in zip(new, self.known.of(raw)):
+                self[c] = ids.tobytes()
+                if b"".join(map(self.bytes.__getitem__, ids)) != c.replace(MARK, " ").encode():
+                    self.wrong.add(c)
+            self.known.clear()
+        if self.wrong and not self.wrong.isdisjoint(chunks):
+            return None
+        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), np.uint16)
+
+
 class Names:
     """Decimal ids with what follows them: a comma in a group, and between groups a bar or a semicolon."""
 
@@ -97,8 +127,8 @@ def blocks(docs: DataFrame, key: str, text: str, links: int = BLOCK_LINKS, byte_
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pieces = ByteEncoder(byte_model, plain=True), Segmenter(path)
-        a_bytes, b_bytes = encode.token_bytes(), piece_bytes(pieces.sp)
+        encode, pieces = ByteEncoder(byte_model, plain=True), Pieces(path)
+        a_bytes, b_bytes = encode.token_bytes(), pieces.bytes
         a_sizes, b_sizes = (np.array(list(map(len, x))) for x in (a_bytes, b_bytes))
         names = Names(len(a_bytes), len(b_bytes))
         task, count = TaskContext.get().partitionId(), 0
@@ -106,14 +136,9 @@ def blocks(docs: DataFrame, key: str, text: str, links: int = BLOCK_LINKS, byte_
         seen: list[np.ndarray] = []
 
         def tokens(t: str) -> tuple[np.ndarray, np.ndarray] | None:
-            """A and B ids, where both spell space + text."""
-            raw = f" {t}".encode()
-            a, chunks = encode(" " + t), [c.encode() for c in chunks_of(t)]
-            if len(pieces) > KNOWN:
-                pieces.clear()
-            b = np.frombuffer(b"".join(pieces.of(chunks)), np.uint16)
-            spells = lambda ids, table: b"".join(map(table.__getitem__, ids.tolist())) == raw
-            return (a.astype(np.int64), b) if spells(a, a_bytes) and spells(b, b_bytes) else None
+            """A and B ids, where B's spell space + text, as A's do by construction: every byte is a token."""
+            b = pieces.of(t)
+            return None if b is None else (encode(" " + t).astype(np.int64), b)
 
         def packed() -> pa.RecordBatch:
             values, places, counts = np.unique(np.concatenate(seen), return_inverse=True, return_counts=True)
