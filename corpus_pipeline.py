@@ -4,8 +4,8 @@ quality     documents scored under 0.7 by the pairwise ranking go
 near_dups   one document of each near-duplicate component (similarity 0.8 of 5-word shingles) stays, that of the smallest
             id; repeated rows become one
 secrets     spans that the blob ledger has findings for are replaced by their kind in brackets
-mix         each document is repeated as often as the mix takes most of it: not at all, once or twice; rows are written in
-            the order of the schedule's slots
+mix         each document is repeated as often as the mix takes most of it: not at all, once or twice; every repeat is
+            written where the schedule's slots put it
 encode      every row left is encoded: doc_id, n_tokens and digests of its ids and of the decoded text
 
 Null ids are kept as rows of their own, never linked; null and empty texts pass until the mix, which takes no document
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import mixing, near_dup, piece_codec, quality_ranking, secrets
-from kmerloom.llm.common import fresh, n_partitions, removed, scratch, stored, table, words
+from kmerloom.llm.common import fresh, identified, n_partitions, removed, scratch, stored, table, words
 
 #: Words of a shingle in the near_dups stage; the query op5_near_duplicates takes 2.
 SHINGLE = 5
@@ -51,14 +51,19 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs as the mix takes them, in the order of slots and of places in their sources' streams."""
-    sizes = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    own, often, slot, start, copy = (fresh(docs, c) for c in ("id", "often", "slot", "start", "copy"))
-    times = sum((F.col(f"pass{p}") * 2 >= F.col("size")).cast("int") for p in range(mixing.MAX_REPEAT))
-    dealt = mixing.mix(sizes).where("size > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max(times).alias(often), F.min("slot").alias(slot), F.min("start").alias(start)).where(F.col(often) > 0)
-    joined = docs.join(dealt.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own))).where(F.col("text").isNotNull())
-    repeated = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often))))
-    ordered = repeated.repartitionByRange(n_partitions(spark), copy, slot, start).sortWithinPartitions(copy, slot, start, "doc_id")
+    """docs as the mix takes them, each repeat where the schedule's slots put it, in its source's stream.
+
+    Rows meet what the mix says of them by their own identity, not by doc_id, so null and repeated ids take what they should.
+    """
+    own, met, often, slot, place = (fresh(docs, c) for c in ("own", "met", "often", "slot", "place"))
+    rows = identified(docs, own)
+    sizes = rows.select("doc_id", "source", F.col(own).alias("_own"), F.size(words(F.col("text"))).cast("long").alias("size"))
+    repeats = F.array_compact(
+        F.array(*(F.when(F.col(f"pass{p}") * 2 >= F.col("size"), F.struct(F.col(f"slot{p}").alias("slot"), (F.col("start") + p * F.col("source_size")).alias("place"))) for p in range(mixing.MAX_REPEAT)))
+    )
+    dealt = mixing.mix(sizes, keep=("_own",)).where("taken > 0").select(F.col("_own").alias(met), F.explode(repeats).alias(often))
+    repeated = rows.join(dealt.hint("shuffle_hash"), F.col(own) == F.col(met)).withColumns({slot: F.col(f"{often}.slot"), place: F.col(f"{often}.place")})
+    ordered = repeated.repartitionByRange(n_partitions(spark), slot, place).sortWithinPartitions(slot, place, "doc_id")
     return ordered.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -98,6 +98,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def identified(df: DataFrame, name: str) -> DataFrame:
+    """df plus a column that tells its rows apart and is the same whenever df is read again: the file and the row's place
+    in it where df is a table as read, else numbers that a checkpoint fixes."""
+    read = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if read and "_metadata" not in {c.lower() for c in df.columns}:
+        return df.withColumn(name, F.struct("_metadata.file_path", "_metadata.row_index"))
+    return checkpointed(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

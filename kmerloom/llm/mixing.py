@@ -4,8 +4,8 @@ Each source's documents are shuffled by a seeded hash and laid end to end; that
 is cut into blocks of equal token counts. Golden-ratio points mapped through the cumulative shares of blocks deal the
 slots to sources; the r-th slot of a source takes its r-th block, and the last block ends at the target.
 
-The result says where each document stands: slot is that of its first block, and start its place in its source's stream,
-so ordering by both gives the mix.
+The result says where each document stands: slot0, slot1, ... are those of the first block that each of its repeats is
+in, and start is its place in its source's stream, so ordering the repeats by slot and place gives the mix.
 
 Null texts have size 0 and are never taken; very long ones fill many blocks, and only their sizes are shuffled. Other
 columns are not read. A null source is a source of its own, ordered last. Repeated rows are
@@ -105,9 +105,9 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
         shares.join(have, F.col("source").eqNullSafe(F.col("s")), "left")
         .withColumn("have", F.coalesce("have", F.lit(0)))
         .where("have < quota")
-        .select("source", "upto", F.explode(F.sequence("have", F.col("quota") - 1)).alias("rank"))
+        .select("source", (F.col("upto") - F.col("quota")).alias("from"), F.explode(F.sequence("have", F.col("quota") - 1)).alias("rank"))
     )
-    return got.unionByName(late.select((F.lit(2 * total) + F.col("upto") + F.col("rank")).alias("slot"), "source", "rank"))
+    return got.unionByName(late.select((F.lit(2 * total) + F.col("from") + F.col("rank")).alias("slot"), "source", "rank"))
 
 
 def placed(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -132,12 +132,13 @@ def placed(docs: DataFrame, seed: int = 7) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, most: int = BLOCK) -> DataFrame:
-    """docs has (doc_id, source, size); returns doc_id, source, row, size, source_size, target, taken, slot, start and passes.
+def mix(docs: DataFrame, most: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs has (doc_id, source, size); returns them and row, source_size, target, taken, slot, start and, of each repeat
+    p, passp (the words taken) and slotp; keep: further columns of docs that the result carries.
 
-    passes: of each repeat, the words taken; slot is null where nothing is. Text never moves: only sizes are shuffled.
+    slot is the least of the repeats' ones; slots are null where nothing is taken. Text never moves: only sizes are shuffled.
     """
-    sized = checkpointed(docs.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("row")))
+    sized = checkpointed(docs.select("doc_id", "source", "size", *keep, F.monotonically_increasing_id().alias("row")))
     targets = checkpointed(source_targets(sized))
     block = block_size(targets, most)
     slots = schedule(targets, block)
@@ -159,12 +160,13 @@ def mix(docs: DataFrame, most: int = BLOCK) -> DataFrame:
         F.sum(part).alias("taken"),
         F.min("slot").alias("slot"),
         *(F.sum(F.when(F.col("pass") == p, part).otherwise(0)).alias(f"pass{p}") for p in range(MAX_REPEAT)),
+        *(F.min(F.when(F.col("pass") == p, F.col("slot"))).alias(f"slot{p}") for p in range(MAX_REPEAT)),
     )
     cols = ["taken", *(f"pass{p}" for p in range(MAX_REPEAT))]
     return (
         at.join(taken, F.col("row") == F.col("_row"), "left")
         .withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in cols})
-        .select("doc_id", "source", "row", "size", "source_size", "target", "slot", "start", *cols)
+        .select("doc_id", "source", *keep, "row", "size", "source_size", "target", "slot", "start", *cols, *(f"slot{p}" for p in range(MAX_REPEAT)))
     )
 
 
@@ -192,8 +194,8 @@ a AS (SELECT coalesce(sum(quota), 0)::BIGINT AS total FROM q),
 p AS (SELECT i AS slot, least(floor((i * {GOLDEN!r}::DOUBLE) % 1.0::DOUBLE * total)::BIGINT, total - 1) AS pt FROM (SELECT total, unnest(range(0, 2 * total)) AS i FROM a)),
 h AS (SELECT slot, source, quota, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM p JOIN q ON pt < upto AND pt >= upto - quota),
 n AS (SELECT source, count(*) AS have FROM h GROUP BY 1),
-late AS (SELECT q.source, upto, unnest(range(coalesce(have, 0), quota)) AS rank FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source),
-slots AS (SELECT slot, source, rank FROM h WHERE rank < quota UNION ALL SELECT 2 * total + upto + rank, source, rank FROM late, a),
+late AS (SELECT q.source, upto - quota AS lo, unnest(range(coalesce(have, 0), quota)) AS rank FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source),
+slots AS (SELECT slot, source, rank FROM h WHERE rank < quota UNION ALL SELECT 2 * total + lo + rank, source, rank FROM late, a),
 e AS (SELECT r, source, start + pass * source_size AS b, least(start + pass * source_size + size, floor(target)::BIGINT) AS e FROM o, (VALUES (0), (1)) v(pass) WHERE size > 0 AND start + pass * source_size < floor(target)),
 f AS (SELECT r, source, unnest(range((b // block)::BIGINT, ((e - 1) // block + 1)::BIGINT)) AS block FROM e, k),
 g AS (SELECT f.r, min(slot)::BIGINT AS slot FROM f JOIN slots ON f.source IS NOT DISTINCT FROM slots.source AND f.block = slots.rank GROUP BY 1)

@@ -587,17 +587,69 @@ def test_pipeline_columns(spark, sf):
             assert not wide.where(" OR ".join(f"{c} <> 7" for c in more)).count()
 
 
-def test_mix_keeps_the_order_of_slots(spark, sf):
+def in_order(df):
+    """The rows of a table as written: by file, then by place."""
+    return common.stored(df).withColumn("f", F.input_file_name()).withColumn("i", F.monotonically_increasing_id()).orderBy("f", "i").collect()
+
+
+def sized(docs):
+    return docs.select("doc_id", "source", F.size(common.words(F.col("text"))).cast("long").alias("size"))
+
+
+@pytest.mark.parametrize("kind", ["unique", "null", "repeated", "not stored"])
+def test_mix_takes_what_the_operator_says(spark, tmp_path, kind):
+    """Rows written by source are those that mixing.mix takes most of, whatever their ids are."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf[0]}/documents.parquet").dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")
-    slot = {r.doc_id: (r.slot, r.start) for r in mixing.mix(docs.select("doc_id", "source", F.size(common.words(F.col("text"))).cast("long").alias("size"))).collect()}
-    got = [r.doc_id for r in common.stored(corpus_pipeline.mix(spark, docs, sf[0])).withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()).withColumn("f", F.input_file_name()).orderBy("f", "i").collect()]
-    places, seen = [], collections.Counter()
-    for i in got:
-        seen[i] += 1
-        places.append((seen[i], slot[i]))
-    assert places == sorted(places) and len({s for _, (s, _) in places}) > 3
+    random.seed(6)
+    ids = {"null": lambda i: None, "repeated": lambda i: i // 20}.get(kind, lambda i: i)
+    rows = [(ids(i), " ".join(f"w{i}x{j}" for j in range(random.randint(0, 100))), s) for i in range(900) for s in [["a", "b", "c", None][i % 4 if i % 3 else 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    if kind != "not stored":
+        docs.repartition(5).write.parquet(str(tmp_path / "d"))
+        docs = spark.read.parquet(str(tmp_path / "d"))
+    want = collections.Counter()
+    for r in mixing.mix(sized(docs)).where("size > 0").collect():
+        want[r.source] += r["size"] * sum(2 * r[f"pass{p}"] >= r["size"] for p in range(2))
+    got = collections.Counter()
+    for r in corpus_pipeline.mix(spark, docs, "").collect():
+        got[r.source] += len(WORD.findall(r.text))
+    assert got == want
+    for r in mixing.mix(sized(docs)).select("source", "target").distinct().collect():
+        assert abs(got[r.source] - r.target) <= 100
+
+
+def test_mix_interleaves_sources_throughout(spark, tmp_path):
+    """In every tenth of the output, second copies included, each source has about its target's share of the words."""
+    import corpus_pipeline
+
+    random.seed(7)
+    rows = [(i, " ".join(["w"] * random.randint(20, 60)), random.choice("aaaaaabbbbcccdd")) for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    targets = {r.source: r.target for r in mixing.mix(sized(docs)).select("source", "target").distinct().collect()}
+    got = [(r.source, len(r.text.split()), r.doc_id) for r in in_order(corpus_pipeline.mix(spark, docs, ""))]
+    total = sum(n for _, n, _ in got)
+    share, at = [collections.Counter() for _ in range(10)], 0
+    for s, n, _ in got:
+        share[min(9, at * 10 // total)][s] += n
+        at += n
+    for tenth in share:
+        for s, t in targets.items():
+            assert abs(tenth[s] / sum(tenth.values()) - t / sum(targets.values())) < 0.06, (tenth, targets)
+    first = {}
+    for n, (_, _, i) in enumerate(got):
+        first.setdefault(i, []).append(n)
+    assert min(v[1] for v in first.values() if len(v) > 1) < len(got)
+
+
+def test_schedule_slots_are_distinct(spark):
+    """Late slots of different sources do not meet, whatever the quotas."""
+    random.seed(2)
+    for _ in range(6):
+        t = [(f"s{i}", float(random.choice([3, 9, 50, 51, 400]))) for i in range(7)]
+        slots = [r.slot for r in mixing.schedule(spark.createDataFrame(t, "source string, target double"), 1).collect()]
+        assert len(slots) == len(set(slots)) == sum(int(x) for _, x in t)
 
 
 def test_pipeline_stages(spark, sf):
