@@ -5,9 +5,11 @@ another character (checked when the model is opened), so segmentation never cros
 chunk of the corpus is segmented once, and a text's ids are its chunks' ids joined by position.
 
 Positions travel packed. A block of documents is kept as its distinct chunks, combined before any shuffle and dealt
-into parts by hash, and the place in that list of every chunk of its texts. A part of all blocks meets in one task, whose
-table segments each chunk once; ids go back to the blocks, one row a block and part, and are joined there by place. Blocks
-are kept bucketed, so that only ids travel to that join, and all lists are compressed.
+into PARTS by hash, and the place in that list of every chunk of its texts. Blocks form groups of about GROUP_BLOCKS, some
+GB of text, and a part of all blocks of a group meets in one task, whose table segments each chunk once; ids go back to
+the blocks, one row a block and part, and are joined there by place. Neither the rows of a block nor the size of a table
+depends on how many blocks there are, so rows grow with the input and not with its square: a chunk is segmented once a
+group. Blocks are kept bucketed, so that only ids travel to that join, and all lists are compressed.
 
 Null and empty texts have no ids and decode to the empty text. Very long texts and texts without spaces are encoded
 whole; one that is longer than a block is a block alone. Repeated rows repeat. Only the key and text columns are read.
@@ -41,6 +43,8 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 END = b"\xff"
 #: Characters of a block's texts, beyond which the next block begins.
 BLOCK_CHARS = 16 << 20
+#: Parts of a block's distinct chunks, and blocks that share tables: more blocks are more groups.
+PARTS, GROUP_BLOCKS = 32, 64
 #: Chunks that are put together at once from a block's places; one longer text is taken alone.
 STEP = 1 << 18
 #: Buckets that Spark allows a table.
@@ -83,7 +87,7 @@ class Segmenter(dict):
         return list(map(self.__getitem__, chunks))
 
 
-def blocks(docs: DataFrame, key: str, text: str, parts: int, chars: int = BLOCK_CHARS) -> DataFrame:
+def blocks(docs: DataFrame, key: str, text: str, parts: int = PARTS, chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows (block, keys, sizes, places, dealt, frames): ids of a block's documents, the number of chunks of each, the place
     of every chunk among the block's distinct ones, the part of each of these (a hash of the chunk), and they, by part."""
 
@@ -125,30 +129,34 @@ def blocks(docs: DataFrame, key: str, text: str, parts: int, chars: int = BLOCK_
     return docs.select(F.col(key).alias("key"), F.col(text).alias(text)).mapInArrow(run, schema)
 
 
-def segmented(frames: DataFrame, model_file: str, parts: int) -> DataFrame:
-    """(block, part, counts, ids) of rows (block, part, chunks): all frames of a part meet in one task and share its table."""
+def segmented(frames: DataFrame, model_file: str, groups: int, parts: int = PARTS) -> DataFrame:
+    """(block, part, counts, ids) of rows (block, part, chunks): all frames of a part and group meet in one task and share
+    its table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, at = Segmenter(model_file), None
         for batch in batches:
             for row in range(len(batch)):
-                part = batch.column(1)[row].as_py()
-                if part != at:
+                table_ = batch.column(3)[row].as_py()
+                if table_ != at:
                     known.clear()
-                    at = part
+                    at = table_
                 found = known.of(zstandard.decompress(batch.column(2)[row].as_py()).split(END))
                 counts, ids = np.fromiter(map(len, found), "<u4", len(found)), np.frombuffer(b"".join(found), np.uint16).astype("<u2")
                 lists = [pa.array([pressed(v)], pa.binary()) for v in (counts, ids)]
                 yield pa.record_batch([*(batch.column(i).slice(row, 1) for i in range(2)), *lists], ["block", "part", "counts", "ids"])
 
-    return frames.repartitionById(parts, F.col("part")).mapInArrow(run, "block long, part int, counts binary, ids binary")
+    table_of = (F.pmod(F.xxhash64("block"), F.lit(groups)) * parts + F.col("part")).alias("table")
+    n = min(groups * parts, max(parts, n_partitions(frames.sparkSession)))
+    dealt = frames.select("block", "part", "chunks", table_of).repartitionById(n, F.pmod("table", F.lit(n)).cast("int")).sortWithinPartitions("table")
+    return dealt.mapInArrow(run, "block long, part int, counts binary, ids binary")
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model_file: str | None = None, ids: bool = False, chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of docs: key, n_tokens, ids_sha256, decoded_sha256; with ids=True also ids (array) and decoded."""
     path = model_file or public_tokenizers.path(MODEL)
     kind = docs.schema[key].dataType.simpleString()
-    parts = n_partitions(docs.sparkSession)
+    buckets = min(n_partitions(docs.sparkSession), MOST_BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -181,8 +189,9 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model_file
 
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * ids
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
-    with Workspace(docs.sparkSession) as space, space.bucketed(blocks(docs, key, text, parts, chars), "block", min(parts, MOST_BUCKETS)) as own:
-        rows = segmented(own.select("block", F.explode("frames").alias("f")).select("block", "f.part", "f.chunks"), path, parts)
+    with Workspace(docs.sparkSession) as space, space.bucketed(blocks(docs, key, text, PARTS, chars), "block", buckets) as own:
+        groups = max(1, -(-own.count() // GROUP_BLOCKS))
+        rows = segmented(own.select("block", F.explode("frames").alias("f")).select("block", "f.part", "f.chunks"), path, groups)
         met = rows.groupBy(F.col("block").alias("_block")).agg(F.sort_array(F.collect_list(F.struct("part", "counts", "ids"))).alias("rows"))
         joined = own.join(met, F.col("block") == F.col("_block"), "left")
         return space.result(joined.select("keys", "sizes", "places", "dealt", "rows").mapInArrow(run, schema))

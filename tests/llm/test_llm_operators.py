@@ -514,6 +514,28 @@ def test_op9_table_and_places(spark):
     assert len({(block, c) for block, _, c in rows}) == len(rows)
 
 
+def test_op9_frames_grow_with_the_input(spark, monkeypatch):
+    """Rows that meet in the tables are blocks times PARTS at most, whatever the number of partitions; groups share out
+    the blocks, and ids are the library's with many groups."""
+    random.seed(13)
+    texts = [" ".join(f"w{random.randint(0, 3000)}" for _ in range(300)) for _ in range(120)]
+    made = {}
+    for times in (1, 4):
+        docs = spark.createDataFrame(list(enumerate(texts * times)), "id int, text string").coalesce(1)
+        rows = piece_codec.blocks(docs, "id", "text", chars=20_000).select(F.size("frames").alias("n")).collect()
+        made[times] = len(rows), sum(r.n for r in rows)
+        assert made[times][1] <= made[times][0] * piece_codec.PARTS
+    assert made[4][1] <= 4.2 * made[1][1]
+    monkeypatch.setattr(piece_codec, "GROUP_BLOCKS", 2)
+    plain = {r.id: r.ids_sha256 for r in piece_codec.encoded(docs, "id").collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        assert {r.id: r.ids_sha256 for r in piece_codec.encoded(docs, "id", chars=20_000).collect()} == plain
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_op9_segments_each_chunk_once():
     import public_tokenizers
 
