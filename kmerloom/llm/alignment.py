@@ -79,7 +79,7 @@ class Pieces(dict):
         if MARK in text:
             return None
         chunks = chunks_of(text)
-        new = list(set(chunks) - self.keys())
+        new = [c for c in set(chunks) if c not in self]
         if new:
             if len(self) > KNOWN:
                 self.clear()
