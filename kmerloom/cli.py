@@ -95,7 +95,7 @@ def run(spark: SparkSession, argv: list[str]) -> str | None:
         names = i.tree.where("is_leaf").select("exp_id")
         query_files.bool_file_query(spark, a.queries, names, i.bits, i.spec, theta=a.theta).write.mode("overwrite").parquet(a.out)
     elif a.command == "check":
-        return show(tree.check(i.tree, i.nodes, i.bits).where(~F.col("ok"))) or "every node is the union of its filters"
+        return show(tree.check(i.tree, i.words, i.bits).where(~F.col("ok"))) or "every node is the union of its filters"
     elif a.command == "draw":
         return tree.to_dot(i.tree)
     elif a.command == "sim":
@@ -114,7 +114,7 @@ def run(spark: SparkSession, argv: list[str]) -> str | None:
     elif a.command == "first_bits":
         return show(filters.first_bits(i.bits, a.n).orderBy("exp_id", "rank"))
     elif a.command == "sizes":
-        return show(tree.node_sizes(i.tree, i.nodes, i.spec.m).orderBy("node_id"))
+        return show(tree.node_sizes(i.tree, i.words, i.spec.m).orderBy("node_id"))
     elif a.command == "popcount":
         return show(i.bits.groupBy("exp_id").count().orderBy("exp_id"))
     return None

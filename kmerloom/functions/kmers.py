@@ -39,16 +39,12 @@ def letters_of(kmer: Column, k: int) -> Column:
     return F.concat(*(F.substring(F.lit("ACGT"), (F.shiftright(kmer, 2 * i).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for i in range(k - 1, -1, -1)))
 
 
-def codes(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, forward codes, canonical codes) of the windows of bytes that are all letters ACGT; k <= 31."""
-    n = len(data) - k + 1
-    if n < 1:
-        return (np.zeros(0, np.int64),) * 3
-    v = _CODE[data]
-    bad = np.concatenate([[0], np.cumsum(v > 3)])
-    at = np.flatnonzero(bad[k:] == bad[:-k])
-    v = (v & 3).astype(np.int64)
-    # windows of twice the width from two neighbours, and of the widths that k is the sum of
+def joined(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(forward, reverse-complement) codes of all windows of an array of letters 0 to 3; k <= 31.
+
+    Windows of twice the width come from two neighbours, and those of width k from the widths that k is the sum of.
+    """
+    v = v.astype(np.int64)
     forward, back, width, ahead, behind, done = v, 3 - v, 1, None, None, 0
     while True:
         if k & width:
@@ -60,11 +56,25 @@ def codes(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
                 ahead, behind = forward, back
             done += width
         if done == k:
-            break
+            return ahead, behind
         m = len(forward) - width
         forward, back = forward[:m] << 2 * width | forward[width:], back[width:] << 2 * width | back[:m]
         width *= 2
-    ahead, behind = ahead[at], behind[at]
+
+
+def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(letters 0 to 3, how many others come before each place and at the end) of bytes."""
+    v = _CODE[data]
+    return v & 3, np.concatenate([[0], np.cumsum(v > 3)])
+
+
+def codes(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, forward codes, canonical codes) of the windows of bytes that are all letters ACGT; k <= 31."""
+    if len(data) < k:
+        return (np.zeros(0, np.int64),) * 3
+    v, bad = letters(data)
+    at = np.flatnonzero(bad[k:] == bad[:-k])
+    ahead, behind = (x[at] for x in joined(v, k))
     return at, ahead, np.minimum(ahead, behind)
 
 

@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kmerloom.functions.kmers import counted, positions
-from kmerloom.plans.spec import HashSpec
+from kmerloom.operators.minimizers import counted_by_minimizer
+from kmerloom.plans.spec import LONG_K, HashSpec
 
 
 def kmer_counts(reads: DataFrame, k: int, only: DataFrame | None = None) -> DataFrame:
     """(exp_id, kmer, n): occurrences of canonical k-mers in reads (exp_id, seq).
 
     only: a table with a column kmer; other k-mers are dropped before the aggregate, so they take part in no shuffle
-    where Spark finds that table small enough to broadcast.
+    where Spark finds that table small enough to broadcast. Without it, and for k-mers that are longs, reads travel as
+    super-k-mers and are counted by minimizer.
     """
+    if only is None and k <= LONG_K:
+        return counted_by_minimizer(reads, k)
     rows = counted(reads, k)
     if only is not None:
         rows = rows.join(only.select("kmer").distinct(), "kmer", "left_semi")
@@ -46,6 +50,11 @@ def bits_of(kmers: DataFrame, spec: HashSpec, only: DataFrame | None = None) ->
     return bits.distinct()
 
 
+def part_of(pos: Column, spec: HashSpec) -> Column:
+    """The range of positions that an index stores a position in."""
+    return F.floor(pos / spec.span).cast("int")
+
+
 def packed(bits: DataFrame) -> DataFrame:
     """(exp_id, word_idx, word): 64 positions a word, bit pos % 64."""
     word = F.expr("bit_or(shiftleft(1L, cast(pos % 64 as int)))")
@@ -103,12 +112,19 @@ def similarity(bits: DataFrame, m: int, kind: int = 1) -> DataFrame:
 
 
 def split_similarity(pairs: DataFrame, m: int, kind: int, compat: bool = False) -> DataFrame:
-    """Similarity of split nodes from counts (a, b, s1s2, d1s2, d1s1, and others as named below).
+    """(a, b, sim): similarity of split nodes from split_pair_counts.
 
-    kind 2: common sim bits times m if there are any, else m less the bits of d1 xor s2 (compat: d1 xor s1);
-    kind 3: bits of s1 and s2 plus bits of d1 and s2; kind -1: m less the bits of (s1 xor s2) or (d1 xor d2).
+    kind 0: m less the bits in which the nodes' unions of sim and dif differ; kind 1: bits of any of the four less those
+    of (s1 xor s2) or (d1 xor d2), over the former, in float32 and scaled to m, null without bits; kind 2: common sim bits
+    times m if there are any, else m less the bits of d1 xor s2 (compat: d1 xor s1); kind 3: bits of s1 and s2 plus bits
+    of d1 and s2; kind -1: m less the bits of (s1 xor s2) or (d1 xor d2).
     """
-    if kind == 2:
+    if kind == 0:
+        sim = m - F.col("union_xor")
+    elif kind == 1:
+        ratio = ((F.col("union_or") - F.col("differ")).cast("float") / F.nullif(F.col("union_or"), F.lit(0)).cast("float")).cast("float")
+        sim = F.floor((ratio * F.lit(m).cast("float")).cast("float"))
+    elif kind == 2:
         rest = F.col("d1_xor_s1" if compat else "d1_xor_s2")
         sim = F.when(F.col("s1s2") > 0, F.col("s1s2") * m).otherwise(m - rest)
     elif kind == 3:
@@ -120,24 +136,25 @@ def split_similarity(pairs: DataFrame, m: int, kind: int, compat: bool = False)
     return pairs.select("a", "b", sim.cast("long").alias("sim"))
 
 
-def split_pair_counts(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Bit counts for split_similarity: pairs (a, b) of nodes of node_bits (node_id, pos, kind).
+def split_pair_counts(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """Bit counts for split_similarity: pairs (a, b) of nodes of node words (node_id, word_idx, sim, dif).
 
-    Each pair's bits are brought together by position and summed; only the given pairs are joined.
+    Each pair's words are brought together, 64 positions a row; only the given pairs are joined.
     """
-    flag = lambda side, kind: F.max(F.when((F.col("side") == side) & (F.col("kind") == kind), 1).otherwise(0)).alias(f"{kind[0]}{side}")
+    word = lambda side, kind: F.coalesce(F.max(F.when(F.col("side") == side, F.col(kind))), F.lit(0).cast("long")).alias(f"{kind[0]}{side}")
     sides = [pairs.select("a", "b", F.col(c).alias("node_id"), F.lit(i).alias("side")) for i, c in ((1, "a"), (2, "b"))]
-    bits = sides[0].unionByName(sides[1]).join(nodes, "node_id")
-    at = bits.groupBy("a", "b", "pos").agg(flag(1, "sim"), flag(2, "sim"), flag(1, "dif"), flag(2, "dif"))
+    both = sides[0].unionByName(sides[1]).join(words, "node_id")
+    at = both.groupBy("a", "b", "word_idx").agg(word(1, "sim"), word(2, "sim"), word(1, "dif"), word(2, "dif"))
     s1, s2, d1, d2 = (F.col(c) for c in ("s1", "s2", "d1", "d2"))
-    total = lambda c: F.sum(c.cast("long"))
+    ones = lambda c: F.sum(F.bit_count(c))
     return at.groupBy("a", "b").agg(
-        total(s1 * s2).alias("s1s2"),
-        total(d1 * s2).alias("d1s2"),
-        total(d1 != s2).alias("d1_xor_s2"),
-        total(d1 != s1).alias("d1_xor_s1"),
-        total((s1 != s2) | (d1 != d2)).alias("differ"),
-        total((s1 + d1 > 0) != (s2 + d2 > 0)).alias("union_xor"),
+        ones(s1.bitwiseAND(s2)).alias("s1s2"),
+        ones(d1.bitwiseAND(s2)).alias("d1s2"),
+        ones(d1.bitwiseXOR(s2)).alias("d1_xor_s2"),
+        ones(d1.bitwiseXOR(s1)).alias("d1_xor_s1"),
+        ones(s1.bitwiseXOR(s2).bitwiseOR(d1.bitwiseXOR(d2))).alias("differ"),
+        ones(s1.bitwiseOR(d1).bitwiseXOR(s2.bitwiseOR(d2))).alias("union_xor"),
+        ones(s1.bitwiseOR(d1).bitwiseOR(s2).bitwiseOR(d2)).alias("union_or"),
     )
 
 

@@ -9,13 +9,16 @@ The join is on the k-mer or position. Spark broadcasts the query side when it is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kmerloom.functions.kmers import positions, windows
-from kmerloom.operators.filters import at_least
-from kmerloom.operators.tree import closure
+from kmerloom.operators.filters import at_least, part_of
+from kmerloom.operators.tree import leaves_below
+from kmerloom.plans.shared import stored
 from kmerloom.plans.spec import HashSpec
 
 
@@ -38,9 +41,21 @@ def too_short(queries: DataFrame, k: int) -> DataFrame:
     return queries.where(F.coalesce(F.length("seq"), F.lit(0)) < k)
 
 
-def counts(probe: DataFrame, index: DataFrame, on: str, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+def met(probe: DataFrame, index: DataFrame, on: str, spec: HashSpec) -> DataFrame:
+    """probe joined with index (exp_id, on), or with a stored one (exp_id, pos, part).
+
+    A stored index is met by part too. The probe is written first, so Spark knows its size: one that is small enough is
+    broadcast, and then only the parts that it has positions in are read. The condition on pos, which always holds, is
+    what Spark asks for before it prunes.
+    """
+    if "part" not in index.columns:
+        return probe.join(index, on)
+    return stored(probe.withColumn("part", part_of(F.col("pos"), spec))).where("pos >= 0").join(index, ["part", "pos"]).drop("part")
+
+
+def counts(probe: DataFrame, index: DataFrame, on: str, spec: HashSpec, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(keys, exp_id, hits) of probe (keys, on, mult) against index (exp_id, on); pairs without a hit have no row."""
-    return probe.join(index, on).groupBy(*keys, "exp_id").agg(F.sum("mult").alias("hits"))
+    return met(probe, index, on, spec).groupBy(*keys, "exp_id").agg(F.sum("mult").alias("hits"))
 
 
 def totals(probe: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -63,7 +78,7 @@ def threshold_query(queries: DataFrame, index: DataFrame, spec: HashSpec, exact:
     on = "kmer" if exact else "pos"
     probe = probe_of(queries, spec, exact)
     sums = totals(probe).join(queries.select("query_id", "theta"), "query_id")
-    hits = counts(probe, index, on)
+    hits = counts(probe, index, on, spec)
     if experiments is not None:
         free = sums.where("theta <= 0").join(experiments)  # a row each by definition
         zero = free.join(hits, ["query_id", "exp_id"], "left").fillna(0, ["hits"]).select("query_id", "exp_id", "hits", "total")
@@ -77,7 +92,7 @@ def full_kmer_query(queries: DataFrame, index: DataFrame, spec: HashSpec) -> Dat
     k = query_kmers(queries, spec.k)
     p = k.select("query_id", "ord", F.explode(F.array_distinct(positions(F.col("kmer"), spec))).alias("pos"))
     need = k.select("query_id", "ord", F.size(F.array_distinct(positions(F.col("kmer"), spec))).alias("need"))
-    found = p.join(index, "pos").groupBy("query_id", "ord", "exp_id").agg(F.count("*").alias("n"))
+    found = met(p, index, "pos", spec).groupBy("query_id", "ord", "exp_id").agg(F.count("*").alias("n"))
     hits = found.join(need, ["query_id", "ord"]).where("n = need").groupBy("query_id", "exp_id").agg(F.count("*").alias("hits"))
     sums = k.groupBy("query_id").agg(F.count("*").alias("total")).join(queries.select("query_id", "theta"), "query_id")
     return hits.join(sums, "query_id").where(at_least(F.col("hits"), F.col("total"), F.col("theta"))).select("query_id", "exp_id", "hits", "total")
@@ -97,25 +112,116 @@ def weighted_query(queries: DataFrame, index: DataFrame, weights: DataFrame, spe
     return score.join(sums, "query_id").where(at_least(F.col("score"), F.col("total"), F.col("theta"))).select("query_id", "exp_id", "score", "total")
 
 
+#: Atoms of a line up to which it is judged by a truth table, and masks of a table's word.
+TABLE_ATOMS, WORD = 12, 64
+
+
+def true_atoms(atoms: DataFrame, index: DataFrame, spec: HashSpec, exact: bool = True, strict: bool = True) -> DataFrame:
+    """(query_id, exp_id, mask): of each query and experiment with a true atom, the true ones as bits; at most 63 atoms."""
+    keys = ("query_id", "atom_ix")
+    probe = probe_of(atoms, spec, exact, keys)
+    sums = totals(probe, keys).join(atoms.select(*keys, "theta"), list(keys))
+    found = counts(probe, index, "kmer" if exact else "pos", spec, keys).join(sums, list(keys))
+    true = found.where(at_least(F.col("hits"), F.col("total"), F.col("theta"), strict))
+    return true.groupBy("query_id", "exp_id").agg(F.expr("bit_or(shiftleft(1L, atom_ix))").alias("mask"))
+
+
+def judged(lines: DataFrame, masks: DataFrame, experiments: DataFrame) -> DataFrame:
+    """The rows (query_id, ..., exp_id) for which lines (query_id, table, ...) hold, by masks of true atoms.
+
+    table: a line's truth table, an array of longs; bit m says whether the line holds where the atoms of mask m are true.
+    A line that does not hold at mask 0 is judged at experiments with a true atom only. One that does, a negation, holds
+    for nearly all experiments: it has a row for each, as its meaning demands.
+    """
+    bit = lambda mask: F.getbit(F.element_at("table", (F.floor(mask / WORD) + 1).cast("int")), (mask % WORD).cast("int")) == 1
+    keep = [c for c in lines.columns if c != "table"]
+    free = bit(F.lit(0).cast("long"))
+    some = lines.where(~free).join(masks, "query_id").where(bit(F.col("mask")))
+    every = lines.where(free).join(experiments).join(masks, ["query_id", "exp_id"], "left").where(bit(F.coalesce("mask", F.lit(0).cast("long"))))
+    return some.select(*keep, "exp_id").unionByName(every.select(*keep, "exp_id"))
+
+
+def truth_table(spark: SparkSession, predicate: str, n: int) -> list[int]:
+    """The table of a Spark SQL predicate over a0, ..., of n atoms: Spark evaluates it at each of the 2^n masks."""
+    flags = {f"a{i}": F.getbit(F.col("id"), F.lit(i)) == 1 for i in range(n)}
+    rows = spark.range(1 << n).withColumns(flags).where(F.expr(predicate)).select("id").collect() if n else spark.range(1).where(F.expr(predicate)).collect()
+    words = [0] * max(1, (1 << n) // WORD)
+    for r in rows:
+        words[r[0] // WORD] |= 1 << r[0] % WORD
+    return [w - (1 << WORD) if w >> WORD - 1 else w for w in words]
+
+
 def bool_query(atoms: DataFrame, expressions: dict[str, str], experiments: DataFrame, index: DataFrame, spec: HashSpec, exact: bool = True, strict: bool = True) -> DataFrame:
     """(query_id, name, exp_id) where a boolean expression over atoms holds.
 
     atoms: (query_id, atom_ix, seq, theta), for each query the sequences a0, a1, ... ; expressions: name to a Spark SQL
-    predicate over a0, a1, ... (xor is <>), applied to every query. Negations hold for experiments without any hit, so
-    every pair of query and experiment is judged: a row each before the filter, as the meaning of NOT demands.
+    predicate over a0, a1, ... (xor is <>), applied to every query. Each becomes a truth table; with more than TABLE_ATOMS
+    atoms, predicates are evaluated at every pair of query and experiment instead.
     """
-    keys = ("query_id", "atom_ix")
-    probe = probe_of(atoms, spec, exact, keys)
-    sums = totals(probe, keys).join(atoms.select(*keys, "theta"), list(keys))
-    found = counts(probe, index, "kmer" if exact else "pos", keys).join(sums, list(keys))
-    true = found.where(at_least(F.col("hits"), F.col("total"), F.col("theta"), strict)).groupBy("query_id", "exp_id").agg(F.collect_set("atom_ix").alias("on"))
-    every = atoms.select("query_id").distinct().join(experiments)
-    judged = every.join(true, ["query_id", "exp_id"], "left")
     most = atoms.agg(F.max("atom_ix")).first()[0]
-    flags = {f"a{i}": F.coalesce(F.array_contains("on", i), F.lit(False)) for i in range((most if most is not None else -1) + 1)}
-    judged = judged.withColumns(flags) if flags else judged
-    holds = F.array_compact(F.array(*(F.when(F.expr(e), F.lit(n)) for n, e in expressions.items())))
-    return judged.select("query_id", "exp_id", F.explode(holds).alias("name"))
+    n = 0 if most is None else most + 1
+    masks, ids = true_atoms(atoms, index, spec, exact, strict), atoms.select("query_id").distinct()
+    if n <= TABLE_ATOMS:
+        tables = [(name, truth_table(atoms.sparkSession, e, n)) for name, e in expressions.items()]
+        named = atoms.sparkSession.createDataFrame(tables, "name string, table array<long>")
+        return judged(ids.join(F.broadcast(named)), masks, experiments).select("query_id", "exp_id", "name")  # a row an expression
+    at = ids.join(experiments).join(masks, ["query_id", "exp_id"], "left")
+    at = at.withColumns({f"a{i}": F.coalesce(F.getbit("mask", F.lit(i)) == 1, F.lit(False)) for i in range(n)})
+    holds = F.array_compact(F.array(*(F.when(F.expr(e), F.lit(name)) for name, e in expressions.items())))
+    return at.select("query_id", "exp_id", F.explode(holds).alias("name"))
+
+
+def _holds(shape: str, bits: list[int], ones: int) -> int:
+    """A shape, @ for each atom with ~ & ^ | and parentheses, over integers whose bits are cases side by side."""
+    pieces = shape.replace("!", "~").split("@")
+    text = pieces[0] + "".join(f"b[{i}]{p}" for i, p in enumerate(pieces[1:]))
+    return eval(compile(text, "shape", "eval"), {"__builtins__": {}}, {"b": bits}) & ones  # noqa: S307  a shape has no names
+
+
+def shape_tables(shapes: DataFrame) -> DataFrame:
+    """(shape, n_atoms, table) of shapes (shape) of at most TABLE_ATOMS atoms, one row each; what is no shape fails the job.
+
+    A table is the value of the shape over integers that hold all 2^n cases side by side.
+    """
+
+    def run(batches):
+        for batch in batches:
+            tables = []
+            for shape in batch.column(0).to_pylist():
+                n = shape.count("@")
+                cases, ones = 1 << n, (1 << (1 << n)) - 1
+                # case c has atom i where bit i of c is set: blocks of 2^i zeros and ones in turn
+                atom = [((1 << (1 << i)) - 1 << (1 << i)) * (ones // ((1 << (2 << i)) - 1)) for i in range(n)]
+                value = _holds(shape, atom, ones)
+                tables.append(np.frombuffer(value.to_bytes(max(8, cases // 8), "little"), "<i8").tolist())
+            yield pa.record_batch([batch.column(0), pa.array([s.count("@") for s in batch.column(0).to_pylist()], pa.int32()), pa.array(tables, pa.list_(pa.int64()))], ["shape", "n_atoms", "table"])
+
+    return shapes.select("shape").distinct().mapInArrow(run, "shape string, n_atoms int, table array<long>")
+
+
+def line_query(lines: DataFrame, atoms: DataFrame, experiments: DataFrame, index: DataFrame, spec: HashSpec, exact: bool = True, strict: bool = True) -> DataFrame:
+    """(query_id, exp_id) where the lines of a batch of boolean queries hold.
+
+    lines: (query_id, shape), a shape such as (@&!@)|@ over the line's atoms in order; atoms: (query_id, atom_ix, seq,
+    theta). The plan is of one size whatever the number of lines: lines of one shape share its truth table. Lines of more
+    than TABLE_ATOMS atoms are evaluated in place, those with more than 63 are an error.
+    """
+    masks = true_atoms(atoms, index, spec, exact, strict)
+    n = F.length(F.regexp_replace("shape", "[^@]", ""))
+    sized = lines.select("query_id", "shape", F.when(n > 63, F.raise_error(F.lit("a line has more than 63 atoms")).cast("int")).otherwise(n).alias("n"))
+    short = sized.where(F.col("n") <= TABLE_ATOMS)
+    found = judged(short.join(shape_tables(short).select("shape", "table"), "shape").select("query_id", "table"), masks, experiments)
+
+    def run(batches):
+        for batch in batches:
+            shapes, mask = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok = [_holds(s, [m >> i & 1 for i in range(s.count("@"))], 1) == 1 for s, m in zip(shapes, mask)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    wide = sized.where(F.col("n") > TABLE_ATOMS).select("query_id", "shape").join(experiments).join(masks, ["query_id", "exp_id"], "left")
+    kind = dict(lines.dtypes)["query_id"]
+    wide = wide.select("query_id", "exp_id", "shape", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")).mapInArrow(run, f"query_id {kind}, exp_id string")
+    return found.select("query_id", "exp_id").unionByName(wide)
 
 
 def segment_query(segments: DataFrame, index: DataFrame, spec: HashSpec) -> DataFrame:
@@ -159,7 +265,6 @@ def tree_query(queries: DataFrame, tree: DataFrame, nodes: DataFrame, spec: Hash
     frontier = probe.join(root).select("query_id", "node_id", "pos", "mult")  # one root
     state = need.join(root).select("query_id", "node_id", "total", "theta", F.lit(0).cast("long").alias("matched"))
     children = tree.where("parent_id IS NOT NULL").select("parent_id", F.col("node_id").alias("child"))
-    leaves = closure(tree)
     done = []
     while True:
         met = frontier.join(nodes, ["node_id", "pos"]).checkpoint()
@@ -170,7 +275,7 @@ def tree_query(queries: DataFrame, tree: DataFrame, nodes: DataFrame, spec: Hash
         sure = at_least(F.col("matched"), F.col("total"), F.col("theta"))
         may = at_least(F.col("matched") + F.col("open"), F.col("total"), F.col("theta"))
         at = at.withColumns({"sure": sure, "may": may}).checkpoint()
-        done.append(at.where("sure").join(leaves, "node_id").select("query_id", "exp_id"))
+        done.append(leaves_below(at.where("sure").select("query_id", "node_id"), tree).select("query_id", "exp_id"))
         going = at.where("may AND NOT sure").join(children, F.col("node_id") == F.col("parent_id"))
         state = going.select("query_id", F.col("child").alias("node_id"), "total", "theta", "matched").checkpoint()
         if state.isEmpty():

@@ -1,23 +1,30 @@
 """Hierarchies over experiments: topologies, the bits of their nodes, sizes, checks and text forms.
 
 A topology is a small table, 2N - 1 rows for N experiments, made on the driver; bits never go there except for the
-greedy topology, whose order-dependent insertion needs whole filters and is refused above a stated size.
+greedy topology, whose order-dependent insertion needs whole filters and is refused above a stated size. What lies below
+a node is an interval of leaves, so no table of nodes and their experiments is ever made.
 
 Node v has sim(v), positions set in every experiment below v and not in every one below its parent, and dif(v),
-positions set in some but not all. Both follow from one count of (node, position).
+positions set in some but not all. Filters are packed and dealt by word; one pass from the leaves up gives both for all
+nodes of a word, at a cost of 2N - 1 however deep the tree is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.operators.filters import packed
 
-SCHEMA = "node_id string, parent_id string, child_ix int, depth int, preorder int, is_leaf boolean, exp_id string"
+#: first_leaf and last_leaf: the leaves below a node, numbered from left to right.
+SCHEMA = "node_id string, parent_id string, child_ix int, depth int, preorder int, is_leaf boolean, exp_id string, first_leaf int, last_leaf int"
+#: Words of nodes that one task holds at once: nodes times words.
+CELLS = 1 << 22
 #: Bytes of packed filters that the greedy build may hold on the driver.
 GREEDY_BYTES = 256 << 20
 
@@ -30,13 +37,19 @@ class Node:
 
     def rows(self, parent: str | None = None, ix: int | None = None) -> list[tuple]:
         """Preorder rows of the tree table; iterative, since greedy trees can be chains."""
-        out, stack = [], [(self, parent, ix, 0)]
+        out, up_ix, stack, leaves = [], [], [(self, parent, ix, 0, -1)], 0
         while stack:
-            n, up, i, depth = stack.pop()
-            out.append((n.name, up, i, depth, len(out), n.left is None, n.name if n.left is None else None))
-            if n.left is not None:
-                stack += [(n.right, n.name, 1, depth + 1), (n.left, n.name, 0, depth + 1)]
-        return out
+            n, up, i, depth, at = stack.pop()
+            leaf = n.left is None
+            out.append([n.name, up, i, depth, len(out), leaf, n.name if leaf else None, leaves, leaves])
+            up_ix.append(at)
+            leaves += leaf
+            if not leaf:
+                stack += [(n.right, n.name, 1, depth + 1, len(out) - 1), (n.left, n.name, 0, depth + 1, len(out) - 1)]
+        for row, at in zip(reversed(out), reversed(up_ix)):
+            if at >= 0:
+                out[at][8] = max(out[at][8], row[8])
+        return list(map(tuple, out))
 
 
 def tree_table(spark: SparkSession, root: Node | None) -> DataFrame:
@@ -90,48 +103,127 @@ def merges_of(tree: DataFrame) -> DataFrame:
     return rows.selectExpr("cast(row_number() over (order by depth desc, preorder) as int) as step", "new_node", "c0", "c1")
 
 
-def closure(tree: DataFrame) -> DataFrame:
-    """(node_id, exp_id): every node with every experiment below it. From the driver's table of parents."""
-    rows = tree.select("node_id", "parent_id", "exp_id").collect()  # 2N - 1 rows
-    parent = {r[0]: r[1] for r in rows}
-    out = []
-    for r in rows:
-        at = r[0] if r[2] is not None else None
-        while at is not None:
-            out.append((at, r[2]))
-            at = parent[at]
-    return tree.sparkSession.createDataFrame(out, "node_id string, exp_id string")
+def leaves_below(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """rows (node_id, ...) with exp_id, a row for each experiment below its node; node_id goes. No more rows are made."""
+    spans = rows.join(tree.select("node_id", "first_leaf", "last_leaf"), "node_id")
+    each = spans.select(*(c for c in rows.columns if c != "node_id"), F.explode(F.sequence("first_leaf", "last_leaf")).alias("_leaf"))
+    return each.join(tree.where("is_leaf").select(F.col("first_leaf").alias("_leaf"), "exp_id"), "_leaf").drop("_leaf")
+
+
+@dataclass(frozen=True)
+class Shape:
+    """A topology as arrays in preorder: names, the place of each node's parent, places of the leaves from left to right."""
+
+    names: np.ndarray
+    parent: np.ndarray
+    leaves: np.ndarray
+
+    @classmethod
+    def of(cls, tree: DataFrame) -> Shape:
+        rows = tree.select("node_id", "parent_id", "is_leaf").orderBy("preorder").collect()  # 2N - 1 rows
+        at = {r[0]: i for i, r in enumerate(rows)}
+        return cls(np.array([r[0] for r in rows], object), np.array([at.get(r[1], -1) for r in rows], np.int64), np.array([i for i, r in enumerate(rows) if r[2]], np.int64))
+
+    def up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(every, some): of each node, the AND and the OR of the words of the leaves below; words has a row a leaf."""
+        every = np.full((len(self.names), words.shape[1]), -1, np.int64)
+        some = np.zeros_like(every)
+        every[self.leaves] = some[self.leaves] = words
+        for i in range(len(self.names) - 1, 0, -1):
+            p = self.parent[i]
+            every[p] &= every[i]
+            some[p] |= some[i]
+        return every, some
+
+    def down(self, words: np.ndarray) -> np.ndarray:
+        """Of each node, the OR of its own and its ancestors' words."""
+        out = words.copy()
+        for i in range(1, len(self.names)):
+            out[i] |= out[self.parent[i]]
+        return out
+
+
+def _by_word(rows: DataFrame, width: int, body, schema: str) -> DataFrame:
+    """body(words, values) over rows (word_idx, ...) dealt by word: values are the columns behind word_idx of all rows of
+    some words, and words the number of each row's word among them with the words' own numbers, in blocks of CELLS // width
+    words. All rows of a word, at most `width`, meet in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, held, n, last = max(1, CELLS // width), [], 0, None
+
+        def put():
+            t = pa.concat_batches(held)
+            ids = np.asarray(t.column(0))
+            first = np.append(True, ids[1:] != ids[:-1])
+            return body(np.cumsum(first) - 1, ids[first], [np.asarray(c) for c in t.columns[1:]])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = np.asarray(batch.column(0))
+            new = np.append(last is None or ids[0] != last, ids[1:] != ids[:-1])
+            upto = n + np.cumsum(new)
+            cuts = [0, *(np.flatnonzero(new[1:] & (upto[1:] % most == 1 % most)) + 1).tolist(), len(batch)]
+            if new[0] and n and n % most == 0:
+                yield from put()
+                held = []
+            for a, b in zip(cuts, cuts[1:]):
+                if a:
+                    yield from put()
+                    held = []
+                held.append(batch.slice(a, b - a))
+            n, last = int(upto[-1]), ids[-1]
+        if held:
+            yield from put()
+
+    return rows.repartition("word_idx").sortWithinPartitions("word_idx").mapInArrow(run, schema)
+
+
+def _leaf_words(tree: DataFrame, bits: DataFrame) -> DataFrame:
+    """(word_idx, leaf, word) of filters; a topology without an experiment of bits leaves it out."""
+    leaf = tree.where("is_leaf").select("exp_id", F.col("first_leaf").alias("leaf"))
+    return packed(bits).join(leaf, "exp_id").select("word_idx", "leaf", "word")
 
 
 def node_words(tree: DataFrame, bits: DataFrame) -> DataFrame:
-    """(node_id, word_idx, every, some): of each node, the positions set in all and in some experiments below, packed.
+    """(node_id, word_idx, sim, dif): the informative bits of every node, 64 positions a row; rows without any are left out."""
+    shape = Shape.of(tree)
 
-    Filters are packed before they are joined with the nodes above them, so that rows are words, not positions.
-    """
-    below = closure(tree)
-    leaves = below.groupBy("node_id").agg(F.count("*").alias("n_leaves"))
-    words = packed(bits).join(below, "exp_id").groupBy("node_id", "word_idx").agg(F.count("*").alias("k"), F.bit_and("word").alias("all"), F.bit_or("word").alias("some"))
-    return words.join(leaves, "node_id").select("node_id", "word_idx", F.when(F.col("k") == F.col("n_leaves"), F.col("all")).otherwise(F.lit(0)).alias("every"), "some")
+    def body(at, ids, cols):
+        words = np.zeros((len(shape.leaves), len(ids)), np.int64)
+        words[cols[0], at] = cols[1]
+        every, some = shape.up(words)
+        claimed = np.concatenate([every, np.zeros((1, len(ids)), np.int64)])[shape.parent]  # the root has no parent
+        sim, dif = every & ~claimed, some & ~every
+        node, word = np.nonzero(sim | dif)
+        yield pa.record_batch([pa.array(shape.names[node], pa.string()), pa.array(ids[word].astype(np.int32)), pa.array(sim[node, word]), pa.array(dif[node, word])], ["node_id", "word_idx", "sim", "dif"])
 
+    return _by_word(_leaf_words(tree, bits), max(1, len(shape.names)), body, "node_id string, word_idx int, sim long, dif long")
 
-def node_bits(tree: DataFrame, bits: DataFrame) -> DataFrame:
-    """(node_id, pos, kind): the informative bits of every node, kind sim or dif."""
-    words = node_words(tree, bits).join(tree.select("node_id", "parent_id"), "node_id")
-    above = words.select(F.col("node_id").alias("parent_id"), "word_idx", F.col("every").alias("claimed"))
-    own = words.join(above, ["parent_id", "word_idx"], "left")
-    sim = F.col("every").bitwiseAND(F.bitwise_not(F.coalesce("claimed", F.lit(0).cast("long"))))
-    dif = F.col("some").bitwiseAND(F.bitwise_not(F.col("every")))
-    kinds = F.array(F.struct(F.lit("sim").alias("kind"), sim.alias("word")), F.struct(F.lit("dif").alias("kind"), dif.alias("word")))
-    rows = own.select("node_id", "word_idx", F.inline(kinds)).where("word <> 0")
+
+def bits_of_words(words: DataFrame) -> DataFrame:
+    """(node_id, pos, kind) of node_words."""
+    kinds = F.array(F.struct(F.lit("sim").alias("kind"), F.col("sim").alias("word")), F.struct(F.lit("dif").alias("kind"), F.col("dif").alias("word")))
+    rows = words.select("node_id", "word_idx", F.inline(kinds)).where("word <> 0")
     bit = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("word"), i) == 1)
     return rows.select("node_id", "word_idx", "kind", F.explode(bit).alias("_b")).select("node_id", (F.col("word_idx").cast("long") * 64 + F.col("_b")).alias("pos"), "kind")
 
 
-def node_sizes(tree: DataFrame, nodes: DataFrame, m: int) -> DataFrame:
-    """(node_id, sim_ones, dif_ones, sim_size, dif_size): set bits, and vector lengths without bits that say nothing."""
-    ones = nodes.groupBy("node_id").agg(
-        F.sum(F.when(F.col("kind") == "sim", 1).otherwise(0)).alias("sim_ones"), F.sum(F.when(F.col("kind") == "dif", 1).otherwise(0)).alias("dif_ones")
-    )
+def words_of_bits(nodes: DataFrame) -> DataFrame:
+    """(node_id, word_idx, sim, dif) of rows (node_id, pos, kind)."""
+    word = lambda kind: F.expr(f"bit_or(CASE WHEN kind = '{kind}' THEN shiftleft(1L, cast(pos % 64 as int)) ELSE 0L END)").alias(kind)
+    return nodes.groupBy("node_id", F.floor(F.col("pos") / 64).cast("int").alias("word_idx")).agg(word("sim"), word("dif"))
+
+
+def node_bits(tree: DataFrame, bits: DataFrame) -> DataFrame:
+    """(node_id, pos, kind): the informative bits of every node, kind sim or dif."""
+    return bits_of_words(node_words(tree, bits))
+
+
+def node_sizes(tree: DataFrame, words: DataFrame, m: int) -> DataFrame:
+    """(node_id, sim_ones, dif_ones, sim_size, dif_size) of node_words: set bits, and vector lengths without bits that say
+    nothing."""
+    ones = words.groupBy("node_id").agg(*(F.sum(F.bit_count(kind)).alias(f"{kind}_ones") for kind in ("sim", "dif")))
     own = tree.select("node_id", "parent_id").join(ones, "node_id", "left").fillna(0, ["sim_ones", "dif_ones"])
     above = own.select(F.col("node_id").alias("parent_id"), F.col("dif_ones").alias("size"))
     size = F.when(F.col("parent_id").isNull(), F.lit(m)).otherwise(F.col("size")).cast("long")
@@ -140,30 +232,56 @@ def node_sizes(tree: DataFrame, nodes: DataFrame, m: int) -> DataFrame:
     )
 
 
-def rebuilt(tree: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(exp_id, pos): every experiment's filter again, from the sim bits of its nodes and its own."""
-    return nodes.where("kind = 'sim'").join(closure(tree), "node_id").select("exp_id", "pos").distinct()
-
-
-def check(tree: DataFrame, nodes: DataFrame, bits: DataFrame) -> DataFrame:
-    """(node_id, n_union, n_node, ok): sim of a node and its ancestors plus dif must be the union of the filters below."""
-    below = closure(tree)
-    rows = tree.select("node_id", "parent_id").collect()  # 2N - 1 rows
-    parent = dict((r[0], r[1]) for r in rows)
-    line = []
-    for n in parent:
-        at = n
-        while at is not None:
-            line.append((n, at))
-            at = parent[at]
-    line = tree.sparkSession.createDataFrame(line, "node_id string, above string")
-    sims = line.join(nodes.where("kind = 'sim'").select(F.col("node_id").alias("above"), "pos"), "above").select("node_id", "pos")
-    own = sims.unionByName(nodes.where("kind = 'dif'").select("node_id", "pos")).distinct().withColumn("x", F.lit(1))
-    union = bits.join(below, "exp_id").select("node_id", "pos").distinct().withColumn("y", F.lit(1))
-    both = own.join(union, ["node_id", "pos"], "full")
-    return both.groupBy("node_id").agg(
-        F.count("y").alias("n_union"), F.count("x").alias("n_node"), F.coalesce(F.bool_and(F.expr("x IS NOT NULL AND y IS NOT NULL")), F.lit(True)).alias("ok")
-    )
+def observed(words: DataFrame, tree: DataFrame, m: int) -> tuple[DataFrame, Observation]:
+    """(words, observation): node words, ordered by node and word, whose rows fail the job where they break what holds for any node: a position is
+    not in sim and dif at once, lies below m, and is not in the dif of a leaf. The observation, of the pass that reads the
+    words, has filter_bits: a set position of a filter is in the sim of exactly one node on its path, so the sims, each as
+    often as its node has leaves, sum up to the filters' set positions."""
+    at = tree.select("node_id", (F.col("last_leaf") - F.col("first_leaf") + 1).cast("long").alias("_leaves"))
+    # in the order of storage first: finding the ranges runs what lies below twice, which an observation must not see
+    rows = words.join(at, "node_id", "left").repartitionByRange("node_id", "word_idx").sortWithinPartitions("node_id", "word_idx")
+    top = F.lit(m) - F.col("word_idx").cast("long") * 64
+    beyond = F.when(top >= 64, F.lit(0).cast("long")).when(top <= 0, F.lit(-1).cast("long")).otherwise(F.expr(f"shiftleft(-1L, cast({m}L - word_idx * 64L as int))"))
+    both = F.col("sim").bitwiseAND(F.col("dif")) != 0
+    outside = F.col("sim").bitwiseOR(F.col("dif")).bitwiseAND(beyond) != 0
+    fault = F.when(F.col("_leaves").isNull(), "is no node of the topology").when(both, "has a position in sim and dif").when(outside, "has a position beyond the filter").when((F.col("_leaves") == 1) & (F.col("dif") != 0), "is a leaf with a dif")
+    sound = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("node "), "node_id", F.lit(" "), fault)).cast("long")).otherwise(F.col("sim"))
+    seen = Observation()
+    checked = rows.withColumn("sim", sound).observe(seen, F.sum(F.bit_count("sim") * F.col("_leaves")).alias("filter_bits"))
+    return checked.select("node_id", "word_idx", "sim", "dif"), seen
+
+
+def rebuilt(tree: DataFrame, words: DataFrame) -> DataFrame:
+    """(exp_id, pos): every experiment's filter again, from the sim bits of its nodes and its own.
+
+    A set position of an experiment is in the sim of one of its nodes, so there are as many rows as set positions.
+    """
+    sims = bits_of_words(words.select("node_id", "word_idx", "sim", F.lit(0).cast("long").alias("dif"))).select("node_id", "pos")
+    return leaves_below(sims, tree).select("exp_id", "pos").distinct()
+
+
+def check(tree: DataFrame, words: DataFrame, bits: DataFrame) -> DataFrame:
+    """(node_id, n_union, n_node, ok): sim of a node and its ancestors plus dif must be the union of the filters below.
+
+    Filters and node_words meet by word: one pass up gives the unions, one pass down what the nodes say. A node of which
+    neither has a bit has no row.
+    """
+    shape, zero = Shape.of(tree), F.lit(0).cast("long")
+    leaf = _leaf_words(tree, bits).select("word_idx", F.col("leaf").alias("at"), F.lit(True).alias("is_leaf"), "word", zero.alias("dif"))
+    node = words.join(tree.select("node_id", "preorder"), "node_id").select("word_idx", F.col("preorder").alias("at"), F.lit(False).alias("is_leaf"), F.col("sim").alias("word"), "dif")
+
+    def body(at, ids, cols):
+        place, is_leaf, word, dif = cols
+        leaves, sims, difs = (np.zeros((n, len(ids)), np.int64) for n in (len(shape.leaves), len(shape.names), len(shape.names)))
+        leaves[place[is_leaf], at[is_leaf]] = word[is_leaf]
+        sims[place[~is_leaf], at[~is_leaf]], difs[place[~is_leaf], at[~is_leaf]] = word[~is_leaf], dif[~is_leaf]
+        union, says = shape.up(leaves)[1], shape.down(sims) | difs
+        a, b = (np.bitwise_count(x.view(np.uint64)).sum(axis=1, dtype=np.int64) for x in (union, says))
+        some = np.flatnonzero(a | b)
+        yield pa.record_batch([pa.array(shape.names[some], pa.string()), pa.array(a[some]), pa.array(b[some]), pa.array((union == says).all(axis=1)[some])], ["node_id", "n_union", "n_node", "ok"])
+
+    parts = _by_word(leaf.unionByName(node), max(1, 2 * len(shape.names)), body, "node_id string, n_union long, n_node long, ok boolean")
+    return parts.groupBy("node_id").agg(F.sum("n_union").alias("n_union"), F.sum("n_node").alias("n_node"), F.bool_and("ok").alias("ok"))
 
 
 def edges(tree: DataFrame) -> DataFrame:
@@ -178,7 +296,7 @@ def to_dot(tree: DataFrame) -> str:
 
 
 def _popcount(x: np.ndarray) -> int:
-    return int(np.bitwise_count(x).sum())
+    return int(np.bitwise_count(x.view(np.uint64)).sum())  # signed words would be counted by their absolute value
 
 
 def _sim(kind: int, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], m: int) -> int:

@@ -6,19 +6,26 @@ benchmark passages. Every query runs over its whole tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kmerloom.functions.kmers import BASES, COEFFICIENTS, LETTERS, PRIME, letters_of, positions, windows
 from kmerloom.operators import filters, minhash, query, tree
+from kmerloom.plans.index import Index
+from kmerloom.plans.shared import shared_folder, stored
 from kmerloom.plans.spec import HashSpec
 from kmerloom.sources.formats import queries_of, reads_of
 
 K = 20
-SPEC = HashSpec(k=K, nh=1, m=1 << 20)
-TWO = HashSpec(k=K, nh=2, m=1 << 20)
-SMALL = HashSpec(k=K, nh=1, m=1 << 16)
+#: Bits of a filter for each window and hash of the largest experiment, at least: two keep filters under half full.
+ROOM = 2
+#: What queries of exact k-mers need to know.
+EXACT = HashSpec(k=K)
+#: Ranges of positions of a stored index.
+PARTS = 64
 SLOTS = 16
 THETA = 0.9
 
@@ -44,13 +51,22 @@ counts AS (SELECT exp_id, {_CANON} AS kmer, count(*)::BIGINT AS n FROM
   (SELECT exp_id, substr(seq, i, {K}) AS kmer FROM (SELECT exp_id, seq, unnest(range(1, length(seq) - {K - 2})) AS i FROM seqs)) GROUP BY ALL)"""
 
 
-def _bits(m: int, nh: int = 1, cutoff: int = 1) -> str:
-    return _COUNTS + f""",
-bits AS (SELECT DISTINCT exp_id, ({_H0} % {m} + CASE WHEN i = 0 THEN 0 ELSE i * ({_H1} % {m}) END) % {m} AS pos
-  FROM (SELECT exp_id, {_CODE} AS code FROM counts WHERE n >= {cutoff}), range(0, {nh}) r(i))"""
+_M = "(SELECT m FROM sz)"
+_POS = f"({_H0} % m + CASE WHEN i = 0 THEN 0 ELSE i * ({_H1} % m) END) % m"
+
+
+def _size(nh: int) -> str:
+    """The filters' size: the least power of two with ROOM bits for each window and hash of the largest experiment."""
+    return f""",
+sz AS (SELECT 1::BIGINT << length(bin(greatest(64, coalesce(max(w), 0) * {ROOM * nh}) - 1))::INT AS m FROM (SELECT sum(greatest(length(seq) - {K - 1}, 0))::BIGINT AS w FROM seqs GROUP BY exp_id))"""
+
 
+def _bits(nh: int = 1, cutoff: int = 1) -> str:
+    return _COUNTS + _size(nh) + f""",
+bits AS (SELECT DISTINCT exp_id, {_POS} AS pos FROM (SELECT exp_id, {_CODE} AS code FROM counts WHERE n >= {cutoff}), range(0, {nh}) r(i), sz)"""
 
-_WORDS = _bits(SMALL.m) + """,
+
+_WORDS = _bits() + """,
 words AS (SELECT exp_id, (pos // 64)::INT AS word_idx, bit_or(CASE WHEN pos % 64 = 63 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (pos % 64)::INT END) AS word FROM bits GROUP BY ALL)"""
 
 _QK = f"""
@@ -110,14 +126,50 @@ def _kmers(spark: SparkSession, d: str) -> DataFrame:
     return filters.solid_kmers(_reads(spark, d), K, 1, asked).select("exp_id", "kmer")
 
 
-def _filter(spark: SparkSession, d: str, spec: HashSpec = SPEC, only: DataFrame | None = None) -> DataFrame:
+_LETTERS_OF = "length(regexp_replace(text, '[^A-Za-z]+', ''))"
+
+
+def _spec(spark: SparkSession, d: str, nh: int = 1) -> HashSpec:
+    """The specification of filters for these tables: their size follows from the windows of the largest experiment."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("source IS NOT NULL")
+    windows_of = docs.groupBy("source").agg(F.expr(f"sum(greatest({_LETTERS_OF} - {K - 1}, 0))").alias("w"))
+    most = windows_of.agg(F.max("w")).first()[0] or 0
+    return HashSpec(k=K, nh=nh, m=1 << (max(64, ROOM * nh * most) - 1).bit_length(), parts=PARTS)
+
+
+def _filter(spark: SparkSession, d: str, spec: HashSpec, only: DataFrame | None = None) -> DataFrame:
     return filters.filter_bits(_reads(spark, d), spec, 1, only)
 
 
-def _index(spark: SparkSession, d: str, spec: HashSpec = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(tree, bits) of the balanced topology. The bits are cached: the names come from them first."""
-    bits = _filter(spark, d, spec).persist()
-    return tree.tree_table(spark, tree.balanced(tree.experiments(bits))), bits
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    """The balanced topology over the experiments that have a k-mer: their names, one row each, come from the documents."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("source IS NOT NULL").where(f"{_LETTERS_OF} >= {K}")
+    names = [r[0] for r in docs.select(F.col("source").cast("string").alias("exp_id")).distinct().orderBy("exp_id").collect()]
+    return tree.tree_table(spark, tree.balanced(names))
+
+
+def _words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, HashSpec]:
+    """(tree, node words, specification), made from the texts."""
+    t, spec = _tree(spark, d), _spec(spark, d)
+    return t, tree.node_words(t, _filter(spark, d, spec)), spec
+
+
+_BUILT: dict[tuple, str] = {}
+
+
+def stored_index(spark: SparkSession, d: str, again: bool = False) -> Index:
+    """The index of the tables, with topology and nodes, in the shared folder: the first query of a session that needs it
+    builds it, the others read it. It is of the files that were there then."""
+    files = spark.read.parquet(f"{d}/documents.parquet").inputFiles()
+    key = (spark.sparkContext.applicationId, d, len(files), hash(tuple(sorted(files))))
+    if again or key not in _BUILT:
+        path = f"{shared_folder(spark)}/kmerloom-index-{uuid.uuid4().hex}"
+        spec = _spec(spark, d)
+        index = Index.of(_filter(spark, d, spec), spec, path)
+        _tree(spark, d).write.mode("overwrite").parquet(f"{path}/tree")
+        index.compress()
+        _BUILT[key] = path
+    return Index.open(spark, _BUILT[key])
 
 
 def query_of(sql: str | None = None):
@@ -156,22 +208,22 @@ def kmer_cutoff(spark, d):
     return filters.solid_kmers(_reads(spark, d), K, 3).withColumn("kmer", letters_of(F.col("kmer"), K))
 
 
-@query_of(_with(_QK, f"SELECT query_id, ord, i::INT AS i, ({_H0} % {TWO.m} + i * ({_H1} % {TWO.m})) % {TWO.m} AS pos FROM qk, range(0, 2) r(i)"))
+@query_of(_with(_COUNTS + _size(2) + "," + _QK, f"SELECT query_id, ord, i::INT AS i, {_POS} AS pos FROM qk, range(0, 2) r(i), sz"))
 def kmer_positions(spark, d):
-    return query.query_kmers(_queries(spark, d), K).select("query_id", "ord", F.posexplode(positions(F.col("kmer"), TWO)).alias("i", "pos"))
+    return query.query_kmers(_queries(spark, d), K).select("query_id", "ord", F.posexplode(positions(F.col("kmer"), _spec(spark, d, 2))).alias("i", "pos"))
 
 
 # ---------------------------------------------------------------- filters
 
 
-@query_of(_with(_bits(TWO.m, 2, 3), "SELECT exp_id, count(*)::BIGINT AS ones FROM bits GROUP BY 1"))
+@query_of(_with(_bits(2, 3), "SELECT exp_id, count(*)::BIGINT AS ones FROM bits GROUP BY 1"))
 def filter_ones(spark, d):
-    return filters.filter_bits(_reads(spark, d), TWO, 3).groupBy("exp_id").agg(F.count("*").alias("ones"))
+    return filters.filter_bits(_reads(spark, d), _spec(spark, d, 2), 3).groupBy("exp_id").agg(F.count("*").alias("ones"))
 
 
 @query_of(_with(_WORDS, "SELECT exp_id, word_idx, word FROM words"))
 def filter_words(spark, d):
-    return filters.packed(_filter(spark, d, SMALL))
+    return filters.packed(_filter(spark, d, _spec(spark, d)))
 
 
 def _combined(how: str):
@@ -183,7 +235,7 @@ coalesce(max(CASE WHEN exp_id = 'src1' THEN word END), 0) AS y FROM words WHERE
     )
 
     def run(spark, d):
-        return filters.combined(filters.packed(_filter(spark, d, SMALL)), "src0", "src1", how)
+        return filters.combined(filters.packed(_filter(spark, d, _spec(spark, d))), "src0", "src1", how)
 
     run.__name__ = f"filter_{how}"
     query_of(sql)(run)
@@ -199,46 +251,56 @@ pairs AS (SELECT x.exp_id AS a, y.exp_id AS b, coalesce(n12, 0)::BIGINT AS n12,
   FROM ones x JOIN ones y ON x.exp_id < y.exp_id LEFT JOIN common c ON c.a = x.exp_id AND c.b = y.exp_id)"""
 
 
-@query_of(_with(_bits(SPEC.m) + _PAIRS, f"SELECT a, b, n12, n_or, ({SPEC.m} - (n_or - n12))::BIGINT AS sim FROM pairs"))
+@query_of(_with(_bits() + _PAIRS, f"SELECT a, b, n12, n_or, ({_M} - (n_or - n12))::BIGINT AS sim FROM pairs"))
 def similarity_hamming(spark, d):
-    return filters.similarity(_filter(spark, d), SPEC.m, 0)
+    spec = _spec(spark, d)
+    return filters.similarity(_filter(spark, d, spec), spec.m, 0)
 
 
-@query_of(_with(_bits(SPEC.m) + _PAIRS, f"SELECT a, b, n12, n_or, floor((n12::FLOAT / n_or::FLOAT)::FLOAT * {SPEC.m}::FLOAT)::BIGINT AS sim FROM pairs"))
+@query_of(_with(_bits() + _PAIRS, f"SELECT a, b, n12, n_or, floor((n12::FLOAT / n_or::FLOAT)::FLOAT * {_M}::FLOAT)::BIGINT AS sim FROM pairs"))
 def similarity_jaccard(spark, d):
-    return filters.similarity(_filter(spark, d), SPEC.m, 1)
+    spec = _spec(spark, d)
+    return filters.similarity(_filter(spark, d, spec), spec.m, 1)
 
 
 _SIBLINGS = """,
 sib AS (SELECT x.node_id AS a, y.node_id AS b FROM tree x JOIN tree y ON x.parent_id = y.parent_id AND x.child_ix = 0 AND y.child_ix = 1),
 flags AS (SELECT a, b, pos, max((s = 1 AND kind = 'sim')::INT) AS s1, max((s = 2 AND kind = 'sim')::INT) AS s2, max((s = 1 AND kind = 'dif')::INT) AS d1, max((s = 2 AND kind = 'dif')::INT) AS d2
   FROM (SELECT a, b, a AS node_id, 1 AS s FROM sib UNION ALL SELECT a, b, b, 2 FROM sib) JOIN nodes USING (node_id) GROUP BY ALL),
-sums AS (SELECT a, b, sum(s1 * s2) AS c, sum(d1 * s2) AS ds, sum((d1 <> s2)::INT) AS rest, sum((s1 <> s2 OR d1 <> d2)::INT) AS differ FROM flags GROUP BY ALL)"""
+sums AS (SELECT a, b, sum(s1 * s2) AS c, sum(d1 * s2) AS ds, sum((d1 <> s2)::INT) AS rest, sum((s1 <> s2 OR d1 <> d2)::INT) AS differ,
+  sum(((s1 + d1 > 0) <> (s2 + d2 > 0))::INT) AS union_xor, count(*) AS union_or FROM flags GROUP BY ALL)"""
 
 
 def _split(kind: int, name: str):
-    m = SMALL.m
-    sim = {2: f"CASE WHEN c > 0 THEN c * {m} ELSE {m} - rest END", 3: "c + ds", -1: f"{m} - differ"}[kind]
+    m = _M
+    sim = {
+        0: f"{m} - union_xor",
+        1: f"floor(((union_or - differ)::FLOAT / union_or::FLOAT)::FLOAT * {m}::FLOAT)",
+        2: f"CASE WHEN c > 0 THEN c * {m} ELSE {m} - rest END",
+        3: "c + ds",
+        -1: f"{m} - differ",
+    }[kind]
 
     def run(spark, d):
-        t, bits = _index(spark, d)
+        t, words, spec = _words(spark, d)
         kids = t.where("parent_id IS NOT NULL").groupBy("parent_id")
         pairs = kids.agg(F.max(F.when(F.col("child_ix") == 0, F.col("node_id"))).alias("a"), F.max(F.when(F.col("child_ix") == 1, F.col("node_id"))).alias("b"))
-        counts = filters.split_pair_counts(pairs.select("a", "b"), tree.node_bits(t, bits))
-        return filters.split_similarity(counts, m, kind)
+        return filters.split_similarity(filters.split_pair_counts(pairs.select("a", "b"), words), spec.m, kind)
 
     run.__name__ = name
-    query_of(_with(_bits(m) + _NODES + _SIBLINGS, f"SELECT a, b, ({sim})::BIGINT AS sim FROM sums", True))(run)
+    query_of(_with(_bits() + _NODES + _SIBLINGS, f"SELECT a, b, ({sim})::BIGINT AS sim FROM sums", True))(run)
 
 
+_split(0, "similarity_type0")
+_split(1, "similarity_type1")
 _split(2, "similarity_type2")
 _split(3, "similarity_type3")
 _split(-1, "similarity_differing")
 
 
-@query_of(_with(_bits(SPEC.m), "SELECT exp_id, rank, pos FROM (SELECT exp_id, row_number() OVER (PARTITION BY exp_id ORDER BY pos)::INT AS rank, pos FROM bits) WHERE rank <= 100"))
+@query_of(_with(_bits(), "SELECT exp_id, rank, pos FROM (SELECT exp_id, row_number() OVER (PARTITION BY exp_id ORDER BY pos)::INT AS rank, pos FROM bits) WHERE rank <= 100"))
 def first_bits(spark, d):
-    return filters.first_bits(_filter(spark, d))
+    return filters.first_bits(_filter(spark, d, _spec(spark, d)))
 
 
 # ---------------------------------------------------------------- queries
@@ -248,47 +310,47 @@ _EXACT = _with(_COUNTS + "," + _QK + "," + _HITS, f"SELECT query_id, exp_id, hit
 
 @query_of(_EXACT)
 def query_threshold_exact(spark, d):
-    return query.threshold_query(_queries(spark, d), _kmers(spark, d), SPEC, exact=True)
+    return query.threshold_query(_queries(spark, d), _kmers(spark, d), EXACT, exact=True)
 
 
-def _bloom(m: int, nh: int, theta: float, tail: str) -> str:
+def _bloom(nh: int, theta: float, tail: str) -> str:
     return _with(
-        _bits(m, nh)
+        _bits(nh)
         + ","
         + _QK
         + f""",
-qp AS (SELECT query_id, ({_H0} % {m} + CASE WHEN i = 0 THEN 0 ELSE i * ({_H1} % {m}) END) % {m} AS pos FROM qk, range(0, {nh}) r(i)),
+qp AS (SELECT query_id, {_POS} AS pos FROM qk, range(0, {nh}) r(i), sz),
 hits AS (SELECT query_id, exp_id, count(*)::BIGINT AS hits FROM qp JOIN bits USING (pos) GROUP BY ALL),
 totals AS (SELECT query_id, count(*)::BIGINT AS total FROM qp GROUP BY 1)""",
         tail.format(passes=_passes(theta)),
     )
 
 
-@query_of(_bloom(SPEC.m, 1, THETA, "SELECT query_id, exp_id, hits, total FROM hits JOIN totals USING (query_id) WHERE {passes}"))
+@query_of(_bloom(1, THETA, "SELECT query_id, exp_id, hits, total FROM hits JOIN totals USING (query_id) WHERE {passes}"))
 def query_threshold_bloom(spark, d):
-    q = _queries(spark, d)
-    return query.threshold_query(q, _filter(spark, d, SPEC, query.query_positions(q, SPEC)), SPEC)
+    q, spec = _queries(spark, d), _spec(spark, d)
+    return query.threshold_query(q, _filter(spark, d, spec, query.query_positions(q, spec)), spec)
 
 
-@query_of(_bloom(TWO.m, 2, 0.5, "SELECT query_id, exp_id, hits, total FROM hits JOIN totals USING (query_id) WHERE {passes}"))
+@query_of(_bloom(2, 0.5, "SELECT query_id, exp_id, hits, total FROM hits JOIN totals USING (query_id) WHERE {passes}"))
 def batch_query_dedup(spark, d):
-    q = _queries(spark, d, 0.5)
-    return query.threshold_query(q, _filter(spark, d, TWO, query.query_positions(q, TWO)), TWO)
+    q, spec = _queries(spark, d, 0.5), _spec(spark, d, 2)
+    return query.threshold_query(q, _filter(spark, d, spec, query.query_positions(q, spec)), spec)
 
 
-@query_of(_bloom(SPEC.m, 1, THETA, "SELECT query_id, exp_id, coalesce(hits, 0)::BIGINT AS hits, total FROM totals CROSS JOIN (SELECT DISTINCT exp_id FROM bits) LEFT JOIN hits USING (query_id, exp_id)"))
+@query_of(_bloom(1, THETA, "SELECT query_id, exp_id, coalesce(hits, 0)::BIGINT AS hits, total FROM totals CROSS JOIN (SELECT DISTINCT exp_id FROM bits) LEFT JOIN hits USING (query_id, exp_id)"))
 def query_counts(spark, d):
-    reads = _reads(spark, d)
-    return query.threshold_query(_queries(spark, d, 0.0), filters.filter_bits(reads, SPEC, 1, query.query_positions(_queries(spark, d), SPEC)), SPEC, experiments=reads.where("length(seq) >= 20").select("exp_id").distinct())
+    reads, spec = _reads(spark, d), _spec(spark, d)
+    return query.threshold_query(_queries(spark, d, 0.0), filters.filter_bits(reads, spec, 1, query.query_positions(_queries(spark, d), spec)), spec, experiments=reads.where("length(seq) >= 20").select("exp_id").distinct())
 
 
 @query_of(
     _with(
-        _bits(TWO.m, 2)
+        _bits(2)
         + ","
         + _QK
         + f""",
-qp AS (SELECT DISTINCT query_id, ord, ({_H0} % {TWO.m} + i * ({_H1} % {TWO.m})) % {TWO.m} AS pos FROM qk, range(0, 2) r(i)),
+qp AS (SELECT DISTINCT query_id, ord, {_POS} AS pos FROM qk, range(0, 2) r(i), sz),
 need AS (SELECT query_id, ord, count(*) AS need FROM qp GROUP BY ALL),
 found AS (SELECT query_id, ord, exp_id, count(*) AS n FROM qp JOIN bits USING (pos) GROUP BY ALL),
 hits AS (SELECT query_id, exp_id, count(*)::BIGINT AS hits FROM found JOIN need USING (query_id, ord) WHERE n = need GROUP BY ALL),
@@ -297,20 +359,17 @@ totals AS (SELECT query_id, count(*)::BIGINT AS total FROM qk GROUP BY 1)""",
     )
 )
 def query_per_kmer_all_hashes(spark, d):
-    q = _queries(spark, d)
-    return query.full_kmer_query(q, _filter(spark, d, TWO, query.query_positions(q, TWO)), TWO)
+    q, spec = _queries(spark, d), _spec(spark, d, 2)
+    return query.full_kmer_query(q, _filter(spark, d, spec, query.query_positions(q, spec)), spec)
 
 
-_TREE_QUERY = _bloom(SMALL.m, 1, THETA, "SELECT query_id, exp_id FROM hits JOIN totals USING (query_id) WHERE {passes}")
+_TREE_QUERY = _bloom(1, THETA, "SELECT query_id, exp_id FROM hits JOIN totals USING (query_id) WHERE {passes}")
 
 
 @query_of(_TREE_QUERY)
 def query_tree_plan(spark, d):
-    from kmerloom.plans.shared import shared_folder
-
-    shared_folder(spark)
-    t, bits = _index(spark, d)
-    return query.tree_query(_queries(spark, d), t, tree.node_bits(t, bits), SMALL)
+    index = stored_index(spark, d)
+    return query.tree_query(_queries(spark, d), index.tree, index.nodes, index.spec)
 
 
 _EXPRESSIONS = {
@@ -322,8 +381,9 @@ _EXPRESSIONS = {
 }
 
 
-def _bool(name: str, expression: str):
-    sql = _with(
+def _bool_sql(tail: str) -> str:
+    """Flags a0, a1, a2 of every passage and experiment: whether the passage and the two after it are held there."""
+    return _with(
         _COUNTS
         + ","
         + _QK
@@ -333,21 +393,41 @@ def _bool(name: str, expression: str):
 item AS (SELECT query_id, (row_number() OVER (ORDER BY query_id) - 1) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT query_id FROM qseq)),
 yes AS (SELECT query_id, exp_id FROM hits JOIN totals USING (query_id) WHERE {_passes(0.5, ">")}),
 every AS (SELECT i.query_id, e.exp_id, i.r, i.n FROM item i, (SELECT DISTINCT exp_id FROM seqs) e),
-flag AS (SELECT v.query_id, v.exp_id, {", ".join(f"EXISTS (SELECT 1 FROM yes y JOIN item j USING (query_id) WHERE j.r = (v.r + {i}) % v.n AND y.exp_id = v.exp_id) AS a{i}" for i in range(3))} FROM every v)""",
-        f"SELECT query_id, exp_id, '{name}' AS name FROM flag WHERE {expression}",
+flag AS (SELECT v.query_id, v.exp_id, v.r, v.n, {", ".join(f"EXISTS (SELECT 1 FROM yes y JOIN item j USING (query_id) WHERE j.r = (v.r + {i}) % v.n AND y.exp_id = v.exp_id) AS a{i}" for i in range(3))} FROM every v)""",
+        tail,
     )
 
+
+def _turns(spark, d) -> DataFrame:
+    """(query_id, r, atom_ix, seq, theta): of each passage, the r-th, itself and the two after it."""
+    q = _queries(spark, d, 0.5)
+    r = F.row_number().over(W.orderBy("query_id")) - 1  # a window over the list of queries only
+    item = q.withColumns({"r": r, "n": F.count("*").over(W.partitionBy())})
+    turn = item.select("query_id", "r", "n", F.explode(F.array(*(F.struct(F.lit(i).alias("atom_ix"), ((F.col("r") + i) % F.col("n")).alias("at")) for i in range(3)))).alias("t"))
+    return turn.select("query_id", F.col("r").alias("line"), "t.*").join(item.select(F.col("r").alias("at"), "seq", "theta"), "at").drop("at")
+
+
+def _bool(name: str, expression: str):
     def run(spark, d):
-        q = _queries(spark, d, 0.5)
-        r = F.row_number().over(W.orderBy("query_id")) - 1  # a window over the list of queries only
-        item = q.withColumns({"r": r, "n": F.count("*").over(W.partitionBy())})
-        turn = item.select("query_id", "n", F.explode(F.array(*(F.struct(F.lit(i).alias("atom_ix"), ((F.col("r") + i) % F.col("n")).alias("at")) for i in range(3)))).alias("t"))
-        atoms = turn.select("query_id", "t.*").join(item.select(F.col("r").alias("at"), "seq", "theta"), "at").drop("at")
-        reads = _reads(spark, d)
-        return query.bool_query(atoms, {name: expression}, reads.select("exp_id").distinct(), _kmers(spark, d), SPEC)
+        return query.bool_query(_turns(spark, d).drop("line"), {name: expression}, _reads(spark, d).select("exp_id").distinct(), _kmers(spark, d), EXACT)
 
     run.__name__ = name
-    query_of(sql)(run)
+    query_of(_bool_sql(f"SELECT query_id, exp_id, '{name}' AS name FROM flag WHERE {expression}"))(run)
+
+
+#: Shapes of a batch of lines, taken in turn, and the same in SQL.
+_SHAPES = ("@&@", "@|@&@", "@^@|@", "!@&!(@|@)", "!(@&@)&@")
+_SHAPES_SQL = ("a0 AND a1", "a0 OR (a1 AND a2)", "(a0 <> a1) OR a2", "NOT a0 AND NOT (a1 OR a2)", "NOT (a0 AND a1) AND a2")
+
+
+@query_of(_bool_sql("SELECT query_id, exp_id FROM flag JOIN item USING (query_id, r, n) WHERE CASE " + " ".join(f"WHEN r % {len(_SHAPES)} = {i} THEN {e}" for i, e in enumerate(_SHAPES_SQL)) + " END"))
+def bool_lines(spark, d):
+    """A batch of boolean lines, one a passage, whose shapes differ."""
+    turns = _turns(spark, d)
+    shape = F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("line") % len(_SHAPES) + 1).cast("int"))
+    lines = turns.where("atom_ix = 0").select("query_id", shape.alias("shape"))
+    atoms = turns.join(lines, "query_id").where(F.col("atom_ix") < F.length(F.regexp_replace("shape", "[^@]", ""))).select("query_id", "atom_ix", "seq", "theta")
+    return query.line_query(lines, atoms, _reads(spark, d).select("exp_id").distinct(), _kmers(spark, d), EXACT)
 
 
 for _n, _e in _EXPRESSIONS.items():
@@ -387,12 +467,12 @@ yes AS (SELECT query_id, sign, exp_id FROM hit JOIN need USING (query_id, sign)
 
 @query_of(_segment_sql(False))
 def segment_plus(spark, d):
-    return query.segment_query(_segments(spark, d, False), _kmers(spark, d), SPEC)
+    return query.segment_query(_segments(spark, d, False), _kmers(spark, d), EXACT)
 
 
 @query_of(_segment_sql(True))
 def segment_minus(spark, d):
-    return query.segment_query(_segments(spark, d, True), _kmers(spark, d), SPEC)
+    return query.segment_query(_segments(spark, d, True), _kmers(spark, d), EXACT)
 
 
 @query_of(
@@ -404,22 +484,22 @@ def segment_minus(spark, d):
 def weighted_query(spark, d):
     q = _queries(spark, d)
     weights = query.query_kmers(q, K).select("query_id", "ord", (1 + (F.col("ord") % 3) * 0.5).cast("float").alias("w"))
-    return query.weighted_query(q, _kmers(spark, d), weights, SPEC)
+    return query.weighted_query(q, _kmers(spark, d), weights, EXACT)
 
 
 # ---------------------------------------------------------------- hierarchies
 
-_B = _bits(SMALL.m)
+_B = _bits()
 
 
 @query_of(_with(_B + _TREE, "SELECT node_id, parent_id, child_ix, depth, preorder, is_leaf, CASE WHEN is_leaf THEN node_id END AS exp_id FROM tree", True))
 def balanced_tree(spark, d):
-    return _index(spark, d)[0]
+    return _tree(spark, d).drop("first_leaf", "last_leaf")
 
 
 @query_of(_with(_B + _TREE, "SELECT parent_id AS parent, node_id AS child FROM tree WHERE parent_id IS NOT NULL", True))
 def tree_edges(spark, d):
-    return tree.edges(_index(spark, d)[0])
+    return tree.edges(_tree(spark, d))
 
 
 @query_of(
@@ -431,16 +511,16 @@ FROM tree p JOIN tree x ON x.parent_id = p.node_id AND x.child_ix = 0 JOIN tree
     )
 )
 def merge_list(spark, d):
-    return tree.merges_of(_index(spark, d)[0])
+    return tree.merges_of(_tree(spark, d))
 
 
 def _node(kind: str):
     def run(spark, d):
-        t, bits = _index(spark, d)
-        return tree.node_bits(t, bits).where(F.col("kind") == kind).select("node_id", "pos")
+        return _words(spark, d)[1].where(F.col(kind) != 0).select("node_id", "word_idx", F.col(kind).alias("word"))
 
     run.__name__ = f"node_{kind}"
-    query_of(_with(_B + _NODES, f"SELECT node_id, pos FROM nodes WHERE kind = '{kind}'", True))(run)
+    word = "bit_or(CASE WHEN pos % 64 = 63 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (pos % 64)::INT END)"
+    query_of(_with(_B + _NODES, f"SELECT node_id, (pos // 64)::INT AS word_idx, {word} AS word FROM nodes WHERE kind = '{kind}' GROUP BY ALL", True))(run)
 
 
 _node("sim")
@@ -453,34 +533,87 @@ ones AS (SELECT t.node_id, t.parent_id, count(CASE WHEN kind = 'sim' THEN 1 END)
 @query_of(
     _with(
         _B + _NODES + _SIZES,
-        f"""SELECT o.node_id, o.s AS sim_ones, o.d AS dif_ones, (CASE WHEN o.parent_id IS NULL THEN {SMALL.m} ELSE p.d END)::BIGINT AS sim_size,
-(CASE WHEN o.parent_id IS NULL THEN {SMALL.m} ELSE p.d END - o.s)::BIGINT AS dif_size FROM ones o LEFT JOIN ones p ON o.parent_id = p.node_id""",
+        f"""SELECT o.node_id, o.s AS sim_ones, o.d AS dif_ones, (CASE WHEN o.parent_id IS NULL THEN {_M} ELSE p.d END)::BIGINT AS sim_size,
+(CASE WHEN o.parent_id IS NULL THEN {_M} ELSE p.d END - o.s)::BIGINT AS dif_size FROM ones o LEFT JOIN ones p ON o.parent_id = p.node_id""",
         True,
     )
 )
 def node_sizes(spark, d):
-    t, bits = _index(spark, d)
-    return tree.node_sizes(t, tree.node_bits(t, bits), SMALL.m)
+    t, words, spec = _words(spark, d)
+    return tree.node_sizes(t, words, spec.m)
 
 
 @query_of(_with(_B, "SELECT exp_id, count(*)::BIGINT AS ones, count(*)::BIGINT AS rebuilt, count(*)::BIGINT AS same FROM bits GROUP BY 1"))
 def leaf_roundtrip(spark, d):
-    t, bits = _index(spark, d)
-    back = tree.rebuilt(t, tree.node_bits(t, bits)).withColumn("x", F.lit(1))
-    both = back.join(bits.withColumn("y", F.lit(1)), ["exp_id", "pos"], "full")
+    index = stored_index(spark, d)
+    back = tree.rebuilt(index.tree, index.words).withColumn("x", F.lit(1))
+    both = back.join(index.bits.select("exp_id", "pos").withColumn("y", F.lit(1)), ["exp_id", "pos"], "full")
     return both.groupBy("exp_id").agg(F.count("y").alias("ones"), F.count("x").alias("rebuilt"), F.sum(F.expr("cast(x = y as long)")).alias("same"))
 
 
 @query_of(_with(_B + _TREE, "SELECT node_id, count(DISTINCT pos)::BIGINT AS n_union, count(DISTINCT pos)::BIGINT AS n_node, true AS ok FROM bits JOIN below USING (exp_id) GROUP BY 1", True))
 def check_union(spark, d):
-    t, bits = _index(spark, d)
-    return tree.check(t, tree.node_bits(t, bits), bits)
+    index = stored_index(spark, d)
+    return tree.check(index.tree, index.words, index.bits)
+
+
+@query_of(
+    _with(
+        _B + _NODES + """,
+lost AS (SELECT count(*) AS n FROM nodes WHERE kind = 'sim' AND pos % 64 < 8 AND node_id = (SELECT exp_id FROM names WHERE r = 0)),
+root AS (SELECT node_id FROM tree WHERE parent_id IS NULL), gone AS (SELECT count(*) AS n FROM nodes WHERE kind = 'dif' AND pos % 64 = 63 AND node_id = (SELECT node_id FROM root)),
+u AS (SELECT node_id, count(DISTINCT pos)::BIGINT AS n_union FROM bits JOIN below USING (exp_id) GROUP BY 1)""",
+        """SELECT *, n_union = n_node AS ok FROM (SELECT node_id, n_union, (n_union - CASE WHEN node_id = (SELECT exp_id FROM names WHERE r = 0) THEN (SELECT n FROM lost) WHEN node_id = (SELECT node_id FROM root) THEN (SELECT n FROM gone) ELSE 0 END)::BIGINT AS n_node FROM u)""",
+        True,
+    )
+)
+def check_damaged(spark, d):
+    """A check that must fail at two nodes: the first leaf has lost one sim position in eight, and the root, a leaf too if
+    it is the only node, one dif position in 64."""
+    index = stored_index(spark, d)
+    t, words = index.tree, index.words
+    first, root = (r[0] if r else None for r in (t.where("is_leaf AND first_leaf = 0").select("node_id").first(), t.where("parent_id IS NULL").select("node_id").first()))
+    sim = F.when(F.col("node_id") == first, F.col("sim").bitwiseAND(F.lit(-256).cast("long"))).otherwise(F.col("sim"))
+    dif = F.when(F.col("node_id") == root, F.col("dif").bitwiseAND(F.lit((1 << 63) - 1))).otherwise(F.col("dif"))
+    return tree.check(t, words.withColumns({"sim": sim, "dif": dif}), index.bits)
+
+
+# ---------------------------------------------------------------- a stored index
+
+
+@query_of(_with(_B, f"SELECT (pos // ((m + {PARTS - 1}) // {PARTS}))::INT AS part, exp_id, count(*)::BIGINT AS ones, min(pos) AS first, max(pos) AS last FROM bits, sz GROUP BY ALL"))
+def index_build(spark, d):
+    """Builds the stored index anew and reads back what its parts hold."""
+    return stored_index(spark, d, again=True).bits.groupBy("part", "exp_id").agg(F.count("*").alias("ones"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+@query_of(_bloom(1, THETA, "SELECT query_id, exp_id, hits, total FROM hits JOIN totals USING (query_id) WHERE {passes}"))
+def index_threshold(spark, d):
+    """The threshold query of all passages over the stored index: no text of documents is read."""
+    index = stored_index(spark, d)
+    return query.threshold_query(_queries(spark, d), index.bits, index.spec)
+
+
+@query_of(_bloom(1, THETA, "SELECT query_id, exp_id, coalesce(hits, 0)::BIGINT AS hits, total FROM totals CROSS JOIN (SELECT DISTINCT exp_id FROM bits) LEFT JOIN hits USING (query_id, exp_id)"))
+def index_counts(spark, d):
+    index = stored_index(spark, d)
+    return query.threshold_query(_queries(spark, d, 0.0), index.bits, index.spec, experiments=index.tree.where("is_leaf").select("exp_id"))
+
+
+@query_of(_with(_B + _PAIRS, f"SELECT a, b, n12, n_or, ({_M} - (n_or - n12))::BIGINT AS sim FROM pairs"))
+def index_similarity(spark, d):
+    index = stored_index(spark, d)
+    return filters.similarity(index.bits, index.spec.m, 0)
+
+
+# ---------------------------------------------------------------- topologies that depend on every step
 
 
 @query_of()
 def greedy_tree(spark, d):
     """Order-dependent; tests hold it against a plain model and its answers against the flat plan."""
-    return tree.tree_table(spark, tree.greedy(_filter(spark, d, SMALL), SMALL.m, 1))
+    spec = _spec(spark, d)
+    return tree.tree_table(spark, tree.greedy(_filter(spark, d, spec), spec.m, 1)).drop("first_leaf", "last_leaf")
 
 
 # ---------------------------------------------------------------- sketches
@@ -497,17 +630,17 @@ dist AS (SELECT a.exp_id AS i, b.exp_id AS j, 1 - coalesce(k, 0) / {SLOTS}.0::DO
 
 @query_of(_with(_MD5_SKETCH, "SELECT exp_id, hash_ix, val FROM sketch"))
 def minhash_md5(spark, d):
-    return minhash.sketches(_filter(spark, d, SMALL), SLOTS, "md5")
+    return minhash.sketches(_filter(spark, d, _spec(spark, d)), SLOTS, "md5")
 
 
 @query_of(_with(_SKETCH, "SELECT exp_id, hash_ix, val FROM sketch"))
 def minhash_linear(spark, d):
-    return minhash.sketches(_filter(spark, d, SMALL), SLOTS)
+    return minhash.sketches(_filter(spark, d, _spec(spark, d)), SLOTS)
 
 
 def _distances(spark, d):
-    bits = _filter(spark, d, SMALL).persist()
-    return minhash.distances(minhash.sketches(bits, SLOTS), bits.select("exp_id").distinct(), SLOTS)
+    names = _tree(spark, d).where("is_leaf").select("exp_id")
+    return minhash.distances(stored(minhash.sketches(_filter(spark, d, _spec(spark, d)), SLOTS)), names, SLOTS)
 
 
 @query_of(_with(_DIST, "SELECT i, j, d FROM dist"))
@@ -523,13 +656,13 @@ def closest_pair(spark, d):
 @query_of()
 def minhash_xorshift(spark, d):
     """Unsigned 64-bit shifts overflow in the SQL engine; tests hold it against a plain model."""
-    return minhash.sketches(_filter(spark, d, SMALL), 32, "xorshift")
+    return minhash.sketches(_filter(spark, d, _spec(spark, d)), 32, "xorshift")
 
 
 @query_of()
 def cluster_plan(spark, d):
     """Sequential; tests hold it against a plain model."""
-    bits = _filter(spark, d, SMALL).persist()
-    merges = minhash.cluster_plan(minhash.sketches(bits, SLOTS), tree.experiments(bits), SLOTS)
+    names = [r[0] for r in _tree(spark, d).where("is_leaf").select("exp_id").orderBy("exp_id").collect()]
+    merges = minhash.cluster_plan(minhash.sketches(_filter(spark, d, _spec(spark, d)), SLOTS), names, SLOTS)
     rows = [(i + 1, *m) for i, m in enumerate(merges)]
     return spark.createDataFrame(rows, "step int, new_node string, c0 string, c1 string")

@@ -1,4 +1,4 @@
-"""An index in a folder: hash specification, filters, topology and node bits, all as Spark tables."""
+"""An index in a folder: hash specification, filters, topology and node words, all as Spark tables."""
 
 from __future__ import annotations
 
@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.operators import filters, tree
+from kmerloom.plans.shared import removed
 from kmerloom.plans.spec import HashSpec
 
 
 @dataclass
 class Index:
-    """bits are range-partitioned by position and sorted, so that look-ups prune row groups by their statistics."""
+    """bits lie in folders by range of positions (part) and are sorted there: a query that is small enough to broadcast
+    reads only the parts that it has positions in, by dynamic partition pruning, and in these only the row groups that
+    their statistics leave."""
 
     spark: SparkSession
     path: str
@@ -22,10 +25,15 @@ class Index:
     @classmethod
     def create(cls, reads: DataFrame, spec: HashSpec, path: str, cutoff: int = 3) -> Index:
         """Count reads (exp_id, seq), keep k-mers that occur cutoff times, and write their filters."""
-        spark = reads.sparkSession
+        return cls.of(filters.filter_bits(reads, spec, cutoff), spec, path)
+
+    @classmethod
+    def of(cls, bits: DataFrame, spec: HashSpec, path: str) -> Index:
+        """Write filters (exp_id, pos). Rows are dealt by position, so no part, however full, is one task's."""
+        spark = bits.sparkSession
         spec.save(spark, f"{path}/spec")
-        bits = filters.filter_bits(reads, spec, cutoff)
-        bits.repartitionByRange(F.col("pos")).sortWithinPartitions("pos", "exp_id").write.mode("overwrite").parquet(f"{path}/bits")
+        parted = bits.select("exp_id", "pos", filters.part_of(F.col("pos"), spec).alias("part"))
+        parted.repartitionByRange("part", "pos").sortWithinPartitions("part", "pos", "exp_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/bits")
         return cls(spark, path, spec)
 
     @classmethod
@@ -34,15 +42,20 @@ class Index:
 
     @property
     def bits(self) -> DataFrame:
-        return self.spark.read.schema("exp_id string, pos long").parquet(f"{self.path}/bits")
+        return self.spark.read.schema("exp_id string, pos long, part int").parquet(f"{self.path}/bits")
 
     @property
     def tree(self) -> DataFrame:
         return self.spark.read.schema(tree.SCHEMA).parquet(f"{self.path}/tree")
 
+    @property
+    def words(self) -> DataFrame:
+        """(node_id, word_idx, sim, dif): node bits, 64 positions a row."""
+        return self.spark.read.schema("node_id string, word_idx int, sim long, dif long").parquet(f"{self.path}/nodes")
+
     @property
     def nodes(self) -> DataFrame:
-        return self.spark.read.schema("node_id string, pos long, kind string").parquet(f"{self.path}/nodes")
+        return tree.bits_of_words(self.words)
 
     def build(self, root: tree.Node | None) -> Index:
         """Write a topology; its node bits follow with compress()."""
@@ -50,7 +63,17 @@ class Index:
         return self
 
     def compress(self) -> Index:
-        """Write the informative bits of every node; the file format packs them."""
-        nodes = tree.node_bits(self.tree, self.bits)
-        nodes.repartitionByRange(F.col("node_id"), F.col("pos")).sortWithinPartitions("node_id", "pos").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/nodes")
+        """Write the informative bits of every node, and hold them against the filters while they are written."""
+        return self.write_nodes(tree.node_words(self.tree, self.bits))
+
+    def write_nodes(self, words: DataFrame) -> Index:
+        """Write node words. A row that no node can have stops the write; the sums that only the whole table shows are
+        observed in the same pass, and where they do not fit the filters, the table is deleted and an error is raised."""
+        good, seen = tree.observed(words, self.tree, self.spec.m)
+        path = f"{self.path}/nodes"
+        good.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        bits = self.bits.select("exp_id").join(self.tree.where("is_leaf").select("exp_id"), "exp_id", "left_semi").count()
+        if (seen.get["filter_bits"] or 0) != bits:
+            removed(self.spark, path)
+            raise ValueError(f"nodes hold {seen.get['filter_bits']} set positions of filters, which have {bits}")
         return self

@@ -3,14 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; set here only where it is unset, as in tests."""
+    """spark.checkpoint.dir as the session names it. Where it is unset, a temporary folder is made in local mode only, as
+    in tests: a folder of the driver's machine would not be seen by the executors of a cluster."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="kmerloom-checkpoints-")
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="kmerloom-checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back: its lineage is cut, and Spark knows its size."""
+    path = f"{shared_folder(df.sparkSession)}/kmerloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,4 +1,4 @@
-"""The hash specification that an index carries: k, number of hashes, filter bits and hash family."""
+"""The hash specification that an index carries: k, number of hashes, filter bits, hash family and parts of the storage."""
 
 from __future__ import annotations
 
@@ -17,13 +17,22 @@ class HashSpec:
     k: int = 20
     nh: int = 1
     m: int = 1 << 20
-    family: str = "universal"
+    family: str = ""
     seed: int = 0
+    parts: int = 256
 
     def __post_init__(self):
-        if self.k < 1 or self.nh < 1 or self.m < 1 or self.family not in ("universal", "xxhash64") or (self.family == "universal" and self.k > LONG_K):
+        """The family, where none is named, is the one that k allows: universal hashes are of k-mers that are longs."""
+        if not self.family:
+            object.__setattr__(self, "family", "universal" if self.k <= LONG_K else "xxhash64")
+        if min(self.k, self.nh, self.m, self.parts) < 1 or self.family not in ("universal", "xxhash64") or (self.family == "universal" and self.k > LONG_K):
             raise ValueError(f"not a hash specification: {self}")
 
+    @property
+    def span(self) -> int:
+        """Positions of one part: filters are stored in `parts` equal ranges of positions."""
+        return -(-self.m // self.parts)
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Write as one JSON file with Spark's own writer, so that any file system works."""
         spark.createDataFrame([(json.dumps(asdict(self)),)], "value string").coalesce(1).write.mode("overwrite").text(path)

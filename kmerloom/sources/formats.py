@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import sequence_of
 from kmerloom.operators.tree import Node, tree_table
+from kmerloom.sources.lines import numbered
 
 
 def _experiment():
@@ -34,9 +35,10 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_queries(spark: SparkSession, path: str, k: int, theta: float = 0.9) -> DataFrame:
-    """(query_id, seq, theta): one sequence a line, trimmed; lines shorter than k are left out. Ids rise with the lines of a file."""
+    """(query_id, seq, theta): one sequence a line, trimmed; lines shorter than k are left out. Ids are
+    numbers of lines, from 0, whatever splits the file is read in."""
     seq = F.trim(F.regexp_replace("value", "\r$", ""))
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("query_id"), seq.alias("seq"))
+    rows = numbered(spark, path).select(F.col("number").alias("query_id"), seq.alias("seq"))
     return rows.where(F.length("seq") >= k).withColumn("theta", F.lit(theta).cast("float"))
 
 

@@ -1,8 +1,9 @@
 """Readers of the query files with more than a sequence a line, of weights, filter lists and sketches.
 
-Ids are places of lines: of a file that Spark reads in one split, 0, 1, 2, ... Blank lines give no rows but keep their
-number. Nothing is parsed by hand: atoms and segments are taken out by regular expressions, and the rest of a boolean
-line becomes a Spark SQL expression over bits, whose operators bind as the file's do (! before & before ^ before |).
+Ids are numbers of lines, 0, 1, 2, ..., whatever splits Spark reads a file in; those of several files go on from file to
+file, in order of path. Blank lines give no rows but keep their number. Nothing is parsed by hand: atoms and segments are
+taken out by regular expressions, and the rest of a boolean line is an expression over bits, whose operators bind as the
+file's do (! before & before ^ before |).
 """
 
 from __future__ import annotations
@@ -10,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.operators.query import bool_query, too_short, with_overlap
+from kmerloom.operators.query import line_query, too_short, with_overlap
 from kmerloom.plans.spec import HashSpec
+from kmerloom.sources.lines import numbered
 
 ATOM = r"\[([^\]]*)\]"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("query_id"), F.regexp_replace("value", r"\s", "").alias("line"))
+    rows = numbered(spark, path).select(F.col("number").alias("query_id"), F.regexp_replace("value", r"\s", "").alias("line"))
     return rows.where("line <> ''")
 
 
@@ -34,35 +36,25 @@ def _long_enough(rows: DataFrame, k: int, what: str) -> DataFrame:
     return rows
 
 
-def read_bool_queries(spark: SparkSession, path: str, k: int, theta: float = 0.5) -> tuple[DataFrame, dict[int, str]]:
-    """(atoms, expressions) of lines such as `[ACGT,0.9] & !([GGTT] | [CCCC,0.8]);`.
+def read_bool_queries(spark: SparkSession, path: str, k: int, theta: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(lines, atoms) of lines such as `[ACGT,0.9] & !([GGTT] | [CCCC,0.8]);`.
 
-    atoms: (query_id, atom_ix, seq, theta); expressions: a Spark SQL predicate over a0, a1, ... for each query. Lines
-    shorter than k are left out; a line without its `;` or with anything but atoms, operators and parentheses, and an
-    atom shorter than k, are errors.
+    lines: (query_id, shape), the line with @ for each atom and without its `;`; atoms: (query_id, atom_ix, seq, theta).
+    Lines shorter than k are left out; a line without its `;` or with anything but atoms, operators and parentheses, and
+    an atom shorter than k, are errors. No line goes to the driver.
     """
     lines = _lines(spark, path).where(F.length("line") >= k)
     atoms = lines.select("query_id", F.posexplode(F.regexp_extract_all("line", F.lit(ATOM), F.lit(1))).alias("atom_ix", "atom")).select("query_id", "atom_ix", *_atom(F.col("atom"), theta))
-    # one short text a line: atoms become their places
-    rest = {r.query_id: r.rest for r in lines.select("query_id", F.regexp_replace("line", ATOM, "@").alias("rest")).collect()}
-    expressions = {}
-    for line, text in rest.items():
-        if not text.endswith(";") or text[:-1].strip("@()&|^!") or "@" not in text or any(c not in "@()&|^!" for c in text[:-1]):
-            raise ValueError(f"line {line + 1} is no boolean query: {text}")
-        pieces = text[:-1].replace("!", "~").split("@")
-        joined = pieces[0] + "".join(f"CAST(a{i} AS INT){p}" for i, p in enumerate(pieces[1:]))
-        expressions[line] = f"(({joined}) & 1) = 1"
-    return _long_enough(atoms, k, "an atom is"), expressions
+    rest = F.regexp_replace("line", ATOM, "@")
+    wrong = F.raise_error(F.concat(F.lit("line "), (F.col("query_id") + 1).cast("string"), F.lit(" is no boolean query: "), rest)).cast("string")
+    shape = F.when(rest.rlike(r"^[@()&|^!]*@[@()&|^!]*;$"), F.regexp_replace(rest, ";$", "")).otherwise(wrong)
+    return lines.select("query_id", shape.alias("shape")), _long_enough(atoms, k, "an atom is")
 
 
 def bool_file_query(spark: SparkSession, path: str, experiments: DataFrame, index: DataFrame, spec: HashSpec, exact: bool = False, theta: float = 0.5) -> DataFrame:
     """(query_id, exp_id) of the lines of a boolean query file; experiments (exp_id), index as in bool_query."""
-    atoms, expressions = read_bool_queries(spark, path, spec.k, theta)
-    most = atoms.agg(F.max("atom_ix")).first()[0]
-    if most is None:
-        return experiments.select(F.lit(None).cast("long").alias("query_id"), "exp_id").limit(0)
-    found = bool_query(atoms, {str(q): e for q, e in expressions.items()}, experiments, index, spec, exact)
-    return found.where(F.col("name") == F.col("query_id").cast("string")).select("query_id", "exp_id")
+    lines, atoms = read_bool_queries(spark, path, spec.k, theta)
+    return line_query(lines, atoms, experiments, index, spec, exact)
 
 
 def read_segments(spark: SparkSession, path: str, k: int, theta: float = 0.9) -> DataFrame:
@@ -79,14 +71,14 @@ def read_segments(spark: SparkSession, path: str, k: int, theta: float = 0.9) ->
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, ord, w): the numbers of each line, in order; what is no number fails the job."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("query_id"), F.trim("value").alias("line")).where("line <> ''")
+    rows = numbered(spark, path).select(F.col("number").alias("query_id"), F.trim("value").alias("line")).where("line <> ''")
     number = F.coalesce(F.col("w").try_cast("float"), F.raise_error(F.concat(F.lit("not a weight: "), "w")).cast("float"))
     return rows.select("query_id", F.posexplode(F.split("line", r"\s+")).alias("ord", "w")).select("query_id", "ord", number.alias("w"))
 
 
 def read_filter_list(spark: SparkSession, path: str) -> list[str]:
     """Names of experiments, one a line, in the order in which a greedy build inserts them: one row an experiment."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("i"), F.trim("value").alias("name")).where("name <> ''")
+    rows = numbered(spark, path).select(F.col("number").alias("i"), F.trim("value").alias("name")).where("name <> ''")
     return [r["name"] for r in rows.orderBy("i").collect()]
 
 

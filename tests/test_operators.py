@@ -68,10 +68,15 @@ def test_hand_checked_nodes(spark):
         ("root", "sim"): {1}, ("root", "dif"): {2, 3, 4, 5, 10, 11, 12}, ("n", "sim"): {2}, ("n", "dif"): {3, 4, 10, 11},
         ("L0", "sim"): {3, 10}, ("L1", "sim"): {4, 11}, ("L2", "sim"): {5, 12},
     }
-    sizes = {r.node_id: (r.sim_size, r.dif_size) for r in tree.node_sizes(t, nodes, 64).collect()}
+    words = tree.node_words(t, bits)
+    back = collections.defaultdict(set)
+    for r in tree.bits_of_words(tree.words_of_bits(nodes)).collect():
+        back[r.node_id, r.kind].add(r.pos)
+    assert back == got
+    sizes = {r.node_id: (r.sim_size, r.dif_size) for r in tree.node_sizes(t, words, 64).collect()}
     assert sizes == {"root": (64, 63), "n": (7, 6), "L0": (4, 2), "L1": (4, 2), "L2": (7, 5)}
-    assert {(r.exp_id, r.pos) for r in tree.rebuilt(t, nodes).collect()} == {(n, p) for n, s in LEAVES.items() for p in s}
-    assert all(r.ok for r in tree.check(t, nodes, bits).collect())
+    assert {(r.exp_id, r.pos) for r in tree.rebuilt(t, words).collect()} == {(n, p) for n, s in LEAVES.items() for p in s}
+    assert all(r.ok for r in tree.check(t, words, bits).collect())
 
 
 def test_similarity_by_hand(spark):
