@@ -152,12 +152,14 @@ def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, where: Column, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> Ranking:
-    """Fit on at most max_labelled labelled rows that `where` admits. Labels of a key that disagree are averaged away."""
+    """Fit on labelled rows that `where` admits: those of the max_labelled ids that hash least, and of their different
+    texts the max_labelled that hash least. Labels of a key that disagree are averaged away."""
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & where).groupBy(key).agg(F.avg(label).alias("_y")).where("_y in (0, 1)")
     # at most max_labelled rows, so fit to broadcast
     own = own.orderBy(F.xxhash64(key), key).limit(max_labelled)
-    picked = docs.select(key, text).join(F.broadcast(own), key).select(F.struct(key, "_y").alias("_k"), text)
-    rows = measured(picked, "_k", text).limit(4 * max_labelled).collect()
+    digest = F.sha1(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    picked = docs.select(key, text).join(F.broadcast(own), key).select(F.struct(key, "_y", digest.alias("_h")).alias("_k"), text)
+    rows = measured(picked, "_k", text).dropDuplicates(["_k"]).orderBy("_k._h", "_k").limit(max_labelled).collect()
     rows.sort(key=lambda r: (str(r[0][0]), r[1]))
     return fit(np.array([r[1] for r in rows]).reshape(-1, len(FEATURES)), np.array([r[0][1] for r in rows]))
 

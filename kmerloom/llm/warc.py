@@ -97,13 +97,16 @@ def _gzip(data: bytes) -> bytes:
 def write_archives(pages: DataFrame, base: str) -> DataFrame:
     """Write pages(page_id, url, html) below base and return the stored manifest, a row a record.
 
-    The largest id of each repeated payload comes from an aggregate over digests; html moves once, to meet it.
+    The largest id of each repeated payload comes from an aggregate over digests; html moves once, to meet it. Payloads too
+    small to be revisited, nulls among them, do not move.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumns({"digest": F.sha1(html), "size": F.octet_length(html)})
     same = own.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
     refers = F.when((F.col("size") >= MIN_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = own.join(same, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    large = own.where(F.col("size") >= MIN_REVISIT).join(same, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    small = own.where(F.col("size") < MIN_REVISIT).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    rows = large.unionByName(small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = opened(base)
@@ -178,11 +181,15 @@ def look_up(keys: DataFrame, base: str, ranges: list[tuple[str, str]]) -> DataFr
     if not ranges:
         return spark.createDataFrame([], _MANIFEST)
     first, files = [r[0] for r in ranges], [r[1] for r in ranges]
-    firsts = F.array(*map(F.lit, first))
-    below = F.size(F.filter(firsts, lambda f: f < F.col("url_key")))
-    upto = F.size(F.filter(firsts, lambda f: f <= F.col("url_key")))
-    # a key that fills several ranges is looked up in each
-    routed = keys.distinct().where(upto > 0).withColumn("range", F.explode(F.sequence(F.greatest(below - 1, F.lit(0)), upto - 1)))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ranges of every key, by bisection; a key that fills several ranges is looked up in each."""
+        for b in batches:
+            keys_ = b.column(0).to_pylist()
+            spans = [range(max(0, bisect.bisect_left(first, k) - 1), bisect.bisect_right(first, k)) for k in keys_]
+            yield _table([(k, at) for k, span in zip(keys_, spans) for at in span], _ROUTE)
+
+    routed = keys.distinct().mapInArrow(route, _ROUTE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = opened(base)
@@ -208,6 +215,7 @@ def look_up(keys: DataFrame, base: str, ranges: list[tuple[str, str]]) -> DataFr
     return routed.repartition(n_partitions(spark), "range").sortWithinPartitions("range", "url_key").mapInArrow(run, _MANIFEST)
 
 
+_ROUTE = "url_key string, range long"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 

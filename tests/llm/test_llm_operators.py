@@ -141,6 +141,48 @@ def test_op2_key_over_several_ranges(spark):
         assert sorted(tuple(r) for r in warc.look_up(manifest.select("url_key"), base, ranges).collect()) == sorted(rows)
 
 
+def test_op2_plan_does_not_grow_with_ranges(spark):
+    keys = spark.createDataFrame([("b",), ("zz",)], "url_key string")
+    sizes = {n: len(warc.look_up(keys, "file:///none", [(f"k{i:06d}", f"index/{i}") for i in range(n)])._jdf.queryExecution().analyzed().toString()) for n in (1, 10_000)}
+    assert sizes[1] == sizes[10_000]
+
+
+def test_op2_routes_by_bisection(spark, tmp_path):
+    """Every key is found, whatever ranges it fills: many partitions, keys that repeat over several, and very long pages."""
+    pages = [(i, f"http://h{i % 3 if i < 60 else i}.org/", "é" * 700_000 if i == 5 else f"p{i}" * 600 if i % 2 else None) for i in range(150)]
+    docs = spark.createDataFrame([(*p, 1, 2) for p in pages], "page_id long, url string, html string, size int, first int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        base = f"file://{tmp_path}"
+        manifest = warc.write_archives(docs, base)
+        ranges = warc.write_index(manifest, base, 4)
+        assert len(ranges) > 10
+        got = warc.look_up(manifest.select("url_key"), base, ranges)
+        assert bag(got, "url_key", "page_id", "file", "offset", "length") == bag(manifest, "url_key", "page_id", "file", "offset", "length")
+        back = {r.page_id: bytes(r.payload).decode() for r in warc.read_captures(got, base, True).collect()}
+        assert back == {i: h or "" for i, _, h in pages}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_op1_many_rows_of_one_id(spark):
+    """The bound on labelled rows is one of different texts by hash: copies of one id do not push others out, and order
+    does not matter."""
+    random.seed(9)
+    texts = [(i, " ".join(random.choice(["good", "fine", "text."] if i % 2 else ["x1", "$$", "#"]) for _ in range(30))) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    rows = texts + [(1, texts[1][1])] * 500 + [(3, f"many {i}") for i in range(300)]
+    shuffled = random.sample(rows, len(rows))
+    frame = lambda r, n: spark.createDataFrame(r, "doc_id long, text string").repartition(n)
+    fit = lambda r, n, most: quality_ranking.train(frame(r, n), labels, F.lit(True), max_labelled=most)
+    for most in (50, 5000):
+        a, b = fit(rows, 3, most), fit(shuffled, 7, most)
+        assert np.allclose(a.weights, b.weights) and a.cut == pytest.approx(b.cut)
+    plain, more = fit(texts, 2, 5000), fit(texts + [(1, texts[1][1])] * 500, 3, 5000)
+    assert np.allclose(plain.weights, more.weights)
+
+
 def test_op3_learns(spark):
     d = "/root/testdata/sf0.01"
     got = language_masks.op3_language_masks(spark, d).toPandas().merge(pd.read_parquet(f"{d}/documents.parquet"), on="doc_id")
