@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.operators import filters, minhash, query, tree
 from kmerloom.plans.index import Index
-from kmerloom.plans.shared import shared_folder
+from kmerloom.plans.shared import shared_folder, stored
 from kmerloom.plans.spec import HashSpec
 from kmerloom.sources import formats, query_files
 
@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{f.replace('_', '-')}", type=kind, default=default)
         return c
 
-    add("hashes", "write a hash specification", "out", k=(int, 20), hashes=(int, 1), bits=(int, 1 << 31))
+    add("hashes", "write a hash specification; family: universal or xxhash64, by default the one that k allows", "out", k=(int, 20), hashes=(int, 1), bits=(int, 1 << 31), family=(str, ""), parts=(int, 256))
     add("count", "reads to filters", "spec", "reads", "index", cutoff=(int, 3), format=(str, "fasta"))
     add("build", "topology of an index", "index", topology=(str, "balanced"), sim_type=(int, 1), order=(str, None))
     add("compress", "write node bits", "index")
@@ -49,11 +49,15 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--leaf-only", dest="plan", action="store_const", const="flat")
     add("bool_query", "boolean query: parquet of atoms (query_id, atom_ix, seq, theta) and an expression over a0, a1, ...", "index", "atoms", "expression", "out")
     add("bool_query_file", "boolean queries of a file, [SEQ,theta] with ! & ^ | and ; at the end", "index", "queries", "out", theta=(float, 0.5))
+    add("weighted_query", "weighted threshold query: a line of weights for each line of the queries; counts exact k-mers of the reads", "spec", "reads", "queries", "weights", "out", theta=(float, 0.9), cutoff=(int, 3), format=(str, "fasta"))
+    add("segment_query", "queries of segments, [SEQ,theta][SEQ,theta]-[SEQ]; counts exact k-mers of the reads", "spec", "reads", "queries", "out", theta=(float, 0.9), cutoff=(int, 3), format=(str, "fasta"))
     add("check", "are the nodes what their filters say?", "index")
     add("draw", "Graphviz text of the topology", "index")
-    add("sim", "similarity of two experiments", "index", "a", "b", sim_type=(int, 1))
+    add("sim", "similarity of two experiments (kinds 0 and 1), or with --nodes of two nodes of the topology (0, 1, 2, 3, -1)", "index", "a", "b", sim_type=(int, 1)).add_argument("--nodes", action="store_true")
     add("minhash", "write sketches", "index", "out", slots=(int, 100))
-    add("cluster", "merge lines of a clustering", "index", "out", slots=(int, 100))
+    c = add("cluster", "merge lines of a clustering: of one pair after another on the driver, or (nearest) of many pairs a round", "index", "out", slots=(int, 100))
+    c.add_argument("--rounds", choices=("one", "nearest"), default="nearest")
+    add("similar", "pairs of experiments whose sketches agree in a share of their slots, found by bands", "index", "out", slots=(int, 100), least=(float, 0.5))
     add("build_from_merges", "topology of merge lines", "index", "merges")
     add("merges", "merge lines of the topology", "index", "out")
     add("first_bits", "first set positions of every filter", "index", n=(int, 100))
@@ -66,11 +70,20 @@ def run(spark: SparkSession, argv: list[str]) -> str | None:
     """One command; the text to print, if any. Errors are exceptions; argparse exits on wrong usage."""
     a = parser().parse_args(argv)
     if a.command == "hashes":
-        HashSpec(k=a.k, nh=a.hashes, m=a.bits).save(spark, a.out)
+        HashSpec(k=a.k, nh=a.hashes, m=a.bits, family=a.family, parts=a.parts).save(spark, a.out)
         return None
     if a.command == "count":
         Index.create(_reads(spark, a.reads, a.format), HashSpec.load(spark, a.spec), a.index, a.cutoff)
         return None
+    if a.command in ("weighted_query", "segment_query"):
+        spec = HashSpec.load(spark, a.spec)
+        known = filters.solid_kmers(_reads(spark, a.reads, a.format), spec.k, a.cutoff).select("exp_id", "kmer")
+        if a.command == "weighted_query":
+            found = query.weighted_query(formats.read_queries(spark, a.queries, spec.k, a.theta), known, query_files.read_weights(spark, a.weights), spec)
+        else:
+            found = query.segment_query(query_files.read_segments(spark, a.queries, spec.k, a.theta), known, spec)
+        found.write.mode("overwrite").parquet(a.out)
+        return None
     i = Index.open(spark, a.index)
     show = lambda df: "\n".join("\t".join(map(str, r)) for r in df.collect())  # noqa: E731  a row an experiment or node
     if a.command == "build":
@@ -81,7 +94,7 @@ def run(spark: SparkSession, argv: list[str]) -> str | None:
         q = formats.read_queries(spark, a.queries, i.spec.k, a.theta)
         if a.plan == "tree":
             shared_folder(spark)
-            found = query.tree_query(q, i.tree, i.nodes, i.spec)
+            found = query.tree_query(q, i.tree, i.words, i.spec)
         else:
             every = i.bits.select("exp_id").distinct() if a.theta <= 0 else None
             found = query.threshold_query(q, i.bits, i.spec, experiments=every)
@@ -98,6 +111,13 @@ def run(spark: SparkSession, argv: list[str]) -> str | None:
         return show(tree.check(i.tree, i.words, i.bits).where(~F.col("ok"))) or "every node is the union of its filters"
     elif a.command == "draw":
         return tree.to_dot(i.tree)
+    elif a.command == "sim" and a.nodes:
+        pair = spark.createDataFrame([(a.a, a.b)], "a string, b string")
+        return show(filters.split_similarity(filters.split_pair_counts(pair, i.words), i.spec.m, a.sim_type).select("sim"))
+    elif a.command == "similar":
+        minhash.banded_pairs(stored(_sketches(i, a.slots)), a.slots, a.least).write.mode("overwrite").parquet(a.out)
+    elif a.command == "cluster" and a.rounds == "nearest":
+        formats.write_merges(minhash.nearest_merges(_sketches(i, a.slots), i.bits.select("exp_id").distinct(), a.slots), a.out)
     elif a.command == "sim":
         two = i.bits.where(F.col("exp_id").isin(a.a, a.b))
         return show(filters.similarity(two, i.spec.m, a.sim_type).select("sim"))

@@ -1,4 +1,4 @@
-"""Sketches of filters, distances between sketches, and the clustering that plans a hierarchy.
+"""Sketches of filters, distances between sketches, and the clusterings that plan a hierarchy.
 
 A sketch has one minimum per hash slot over the set positions. Slots hash a position linearly modulo a prime,
 with a keyed MD5, or with rounds of 64-bit xorshift. An empty filter has no sketch rows and distance 1 to all others.
@@ -11,9 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import PRIME
+from kmerloom.plans.shared import stored
 
 #: Full-period shift triples of 64-bit xorshift generators, from the published list; slots take them in turn.
 SHIFTS = ((13, 7, 17), (12, 25, 27), (5, 15, 27), (17, 31, 8), (23, 17, 26), (21, 35, 4), (11, 29, 14), (9, 21, 40))
@@ -95,6 +97,88 @@ def closest(dist: DataFrame) -> DataFrame:
     return dist.orderBy("d", "i", "j").limit(1)
 
 
+#: Members of a band's bucket that one join key holds; a larger bucket is cut into blocks that meet two by two.
+HOT_BAND = 256
+#: Share of the pairs at the stated similarity that a band's width must let through.
+RECALL = 0.99
+
+
+def band_rows(slots: int, least: float, recall: float = RECALL) -> int:
+    """Slots of a band: as many as let pairs of similarity `least` share a band with probability `recall`."""
+    rows = 1
+    while 2 * rows <= slots and 1 - (1 - least ** (2 * rows)) ** (slots // (2 * rows)) >= recall:
+        rows *= 2
+    return rows
+
+
+def banded_pairs(sketch: DataFrame, slots: int, least: float, rows: int | None = None, hot: int = HOT_BAND) -> DataFrame:
+    """(i, j, same) for pairs i > j of sketches that share a band of `rows` slots and agree in at least least * slots.
+
+    No row is made for a pair without a common band. Buckets of more than `hot` members, such as copies make, are cut into
+    blocks by hash, and every two blocks meet under a key of their own, so a frequent band is spread over the tasks; what
+    remains is a row a pair that it really has in common.
+    """
+    rows = rows or band_rows(slots, least)
+    need = F.lit(least * slots)
+    band = F.floor(F.col("hash_ix") / rows).cast("int")
+    vals = F.transform(F.sort_array(F.collect_list(F.struct("hash_ix", "val"))), lambda x: x["val"])
+    signed = sketch.where(band < slots // rows).groupBy("exp_id", band.alias("band")).agg(vals.alias("key"))
+    members = signed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / hot).cast("int")
+    held = signed.join(members, ["band", "key"]).withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("exp_id"), F.ceil(F.col("n") / hot)).cast("int")})
+    lo = held.select("band", "key", F.col("exp_id").alias("x"), F.col("block").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("q"))
+    hi = held.select("band", "key", F.col("exp_id").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("p"), F.col("block").alias("q"))
+    met = lo.join(hi, ["band", "key", "p", "q"]).where("p < q AND x <> y OR p = q AND x > y")
+    pairs = met.select(F.greatest("x", "y").alias("i"), F.least("x", "y").alias("j")).distinct()
+    whole = sketch.groupBy("exp_id").agg(F.map_from_entries(F.collect_list(F.struct("hash_ix", "val"))).alias("m"))
+    both = pairs.join(whole.toDF("i", "mi"), "i").join(whole.toDF("j", "mj"), "j")
+    same = F.size(F.filter(F.map_keys("mi"), lambda k: F.element_at("mi", k) == F.element_at("mj", k)))
+    return both.select("i", "j", same.cast("long").alias("same")).where(F.col("same") >= need)
+
+
+def nearest_merges(sketch: DataFrame, names: DataFrame, slots: int, least: float = 0.5, rounds: int = 40) -> DataFrame:
+    """(step, new_node, c0, c1): a topology from sketches, many merges a round and none on the driver.
+
+    In every round each node's best partner is the one that most slots agree with, ties to the first pair by name; nodes
+    that are each other's best merge, and their sketch is the minimum by slot. Partners come from banded_pairs at `least`;
+    a round without any lowers it by half, and when not even one slot is shared, or rounds end, the nodes left are joined
+    in order of name, two by two. A topology never changes an answer.
+    """
+    spark = sketch.sparkSession
+    nodes = stored(sketch.select(F.col("exp_id").cast("string").alias("exp_id"), "hash_ix", "val"))
+    left = stored(names.select(F.col("exp_id").alias("node")))
+    done, step = [], 0
+    while step < rounds and least * slots >= 0.5:
+        pairs = banded_pairs(nodes, slots, least).select(F.col("j").alias("lo"), F.col("i").alias("hi"), "same")
+        ends = pairs.select("*", F.explode(F.array("lo", "hi")).alias("node"))
+        best = ends.groupBy("node").agg(F.min_by(F.struct("lo", "hi"), F.struct(-F.col("same"), "lo", "hi")).alias("b"))
+        mutual = best.groupBy("b").agg(F.count("*").alias("n")).where("n = 2").select("b.*")
+        merges = stored(mutual.select(F.lit(step).alias("round"), F.concat(F.lit(f"u{step}_"), "lo").alias("new_node"), F.col("lo").alias("c0"), F.col("hi").alias("c1")))
+        step += 1
+        if merges.isEmpty():
+            least /= 2
+            continue
+        done.append(merges)
+        groups = merges.select(F.explode(F.array("c0", "c1")).alias("exp_id"), F.col("new_node").alias("node_id"))
+        joined = merged(nodes, groups).select(F.col("node_id").alias("exp_id"), "hash_ix", "val")
+        nodes = stored(nodes.join(groups.select("exp_id"), "exp_id", "left_anti").unionByName(joined))
+        left = stored(left.join(groups.select(F.col("exp_id").alias("node")), "node", "left_anti").unionByName(merges.select(F.col("new_node").alias("node"))))
+    while left.count() > 1:
+        # names only: a row a node that is left
+        ranked = left.select("node", (F.row_number().over(W.orderBy("node")) - 1).alias("r"))
+        two = ranked.groupBy(F.floor(F.col("r") / 2).alias("g")).agg(F.min("node").alias("c0"), F.max("node").alias("c1"), F.count("*").alias("n"))
+        merges = stored(two.where("n = 2").select(F.lit(step).alias("round"), F.concat(F.lit(f"u{step}_"), "c0").alias("new_node"), "c0", "c1"))
+        done.append(merges)
+        left = stored(merges.select(F.col("new_node").alias("node")).unionByName(two.where("n = 1").select(F.col("c0").alias("node"))))
+        step += 1
+    if not done:
+        return spark.createDataFrame([], "step int, new_node string, c0 string, c1 string")
+    every = done[0]
+    for d in done[1:]:
+        every = every.unionByName(d)
+    return every.select(F.row_number().over(W.orderBy("round", "new_node")).alias("step"), "new_node", "c0", "c1")
+
+
 def cluster_plan(sketch: DataFrame, names: list[str], slots: int) -> list[tuple[str, str, str]]:
     """Merge lines (new, child 0, child 1): again and again the closest two become one, whose sketch is their union's.
 

@@ -249,10 +249,21 @@ def with_overlap(segments: DataFrame, k: int) -> DataFrame:
     return segments.withColumn("seq", F.concat("seq", F.coalesce(F.substring(after, 1, k - 1), F.lit(""))))
 
 
+def _node_hits(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
+    """frontier (query_id, node_id, pos, mult) with the kind of node bit that each position hits; others are left out."""
+    if "pos" in nodes.columns:
+        return frontier.join(nodes, ["node_id", "pos"])
+    at = frontier.withColumn("word_idx", F.floor(F.col("pos") / 64).cast("int")).join(nodes, ["node_id", "word_idx"])
+    bit = lambda c: F.getbit(F.col(c), (F.col("pos") % 64).cast("int")) == 1
+    kind = F.when(bit("sim"), "sim").when(bit("dif"), "dif")
+    return at.select("query_id", "node_id", "pos", "mult", kind.alias("kind")).where("kind IS NOT NULL")
+
+
 def tree_query(queries: DataFrame, tree: DataFrame, nodes: DataFrame, spec: HashSpec) -> DataFrame:
     """The rows (query_id, exp_id) of threshold_query, found from the root down, one level a round.
 
-    At a node, hits in sim are settled for all below, hits in dif stay open. A query that cannot reach its threshold
+    nodes: node bits (node_id, pos, kind), or node words (node_id, word_idx, sim, dif), whose bits are read in place. At a
+    node, hits in sim are settled for all below, hits in dif stay open. A query that cannot reach its threshold
     leaves the node; one that has reached it takes all experiments below; the others go on to both children with their
     open positions. Each round is checkpointed, so plans stay short however deep the tree is.
     """
@@ -267,7 +278,7 @@ def tree_query(queries: DataFrame, tree: DataFrame, nodes: DataFrame, spec: Hash
     children = tree.where("parent_id IS NOT NULL").select("parent_id", F.col("node_id").alias("child"))
     done = []
     while True:
-        met = frontier.join(nodes, ["node_id", "pos"]).checkpoint()
+        met = _node_hits(frontier, nodes).checkpoint()
         sums = met.groupBy("query_id", "node_id").agg(
             F.sum(F.when(F.col("kind") == "sim", F.col("mult")).otherwise(0)).alias("now"), F.sum(F.when(F.col("kind") == "dif", F.col("mult")).otherwise(0)).alias("open")
         )

@@ -369,7 +369,7 @@ _TREE_QUERY = _bloom(1, THETA, "SELECT query_id, exp_id FROM hits JOIN totals US
 @query_of(_TREE_QUERY)
 def query_tree_plan(spark, d):
     index = stored_index(spark, d)
-    return query.tree_query(_queries(spark, d), index.tree, index.nodes, index.spec)
+    return query.tree_query(_queries(spark, d), index.tree, index.words, index.spec)
 
 
 _EXPRESSIONS = {
@@ -653,6 +653,37 @@ def closest_pair(spark, d):
     return minhash.closest(_distances(spark, d))
 
 
+#: Sketches of single documents: slots, slots of a band, and the share of slots that a pair must agree in.
+DOC_SLOTS, DOC_BAND, DOC_LEAST = 16, 2, 0.5
+_DOC_SLOTS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(minhash.coefficients(DOC_SLOTS)))
+
+
+@query_of(
+    _with(
+        _COUNTS.replace("source AS exp_id", "doc_id::VARCHAR AS exp_id").replace("WHERE source IS NOT NULL", "WHERE doc_id IS NOT NULL") + _size(1) + f""",
+bits AS (SELECT DISTINCT exp_id, {_H0} % m AS pos FROM (SELECT exp_id, {_CODE} AS code FROM counts), sz),
+sketch AS (SELECT exp_id, s::INT AS hash_ix, min((pos % {PRIME} * a + b) % {PRIME})::BIGINT AS val FROM bits, (VALUES {_DOC_SLOTS}) r(s, a, b) GROUP BY ALL),
+slots AS (SELECT x.exp_id AS i, y.exp_id AS j, x.hash_ix // {DOC_BAND} AS band, count(*) AS n FROM sketch x JOIN sketch y USING (hash_ix, val) WHERE x.exp_id > y.exp_id GROUP BY ALL)""",
+        f"SELECT i, j, sum(n)::BIGINT AS same FROM slots GROUP BY 1, 2 HAVING max(n) = {DOC_BAND} AND sum(n) >= {DOC_LEAST * DOC_SLOTS}",
+    )
+)
+def sketch_pairs(spark, d):
+    """Documents as experiments of their own: pairs with a common band that agree in half of their slots at least."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id IS NOT NULL")
+    most = docs.groupBy("doc_id").agg(F.expr(f"sum(greatest({_LETTERS_OF} - {K - 1}, 0))").alias("w")).agg(F.max("w")).first()[0] or 0
+    spec = HashSpec(k=K, m=1 << (max(64, ROOM * most) - 1).bit_length())
+    bits = filters.filter_bits(reads_of(docs, "doc_id"), spec, 1)
+    return minhash.banded_pairs(stored(minhash.sketches(bits, DOC_SLOTS)), DOC_SLOTS, DOC_LEAST, DOC_BAND)
+
+
+@query_of()
+def nearest_tree(spark, d):
+    """A topology by rounds of mutual nearest neighbours; tests hold it against a plain model and its answers against the
+    flat plan."""
+    names = _tree(spark, d).where("is_leaf").select("exp_id")
+    return minhash.nearest_merges(minhash.sketches(_filter(spark, d, _spec(spark, d)), SLOTS), names, SLOTS)
+
+
 @query_of()
 def minhash_xorshift(spark, d):
     """Unsigned 64-bit shifts overflow in the SQL engine; tests hold it against a plain model."""
