@@ -19,9 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import bucket, mixed, sliced, table
+from kmerloom.llm.common import bucket, checkpointed, mixed, sliced, table
 
 N, HASHES = 3, 3
 PER_LANGUAGE, PER_SLICE, BITS_PER_GRAM = 1500, 4000, 24
@@ -94,15 +95,17 @@ class MaskFilter:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, has)], np.where(has, score, 0.0)
 
 
-def build(counts: dict[str, Counter], docs_by_lang: dict[str, int], per_slice: int = PER_SLICE) -> MaskFilter:
-    """counts: language -> n-gram hash -> occurrences. Each slice takes the most frequent n-grams of its language."""
+def build(counts: dict[str, Counter], docs_by_lang: dict[str, int], per_slice: int = PER_SLICE, totals: dict[str, int] | None = None) -> MaskFilter:
+    """counts: language -> n-gram hash -> occurrences. Each slice takes the most frequent n-grams of its language. totals:
+    the occurrences of a language where counts leaves out n-grams that are in no language's slice."""
+    totals = totals or {lang: sum(c.values()) for lang, c in counts.items()}
     langs = sorted(counts)
     kept = {}
     for lang in langs:
         top = sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:per_slice]
-        total = sum(counts[lang].values()) or 1
+        total = totals[lang] or 1
         # an n-gram that other languages use several times as often says little for this one
-        other = [(c, sum(c.values()) or 1) for x, c in counts.items() if x != lang]
+        other = [(c, totals[x] or 1) for x, c in counts.items() if x != lang]
         kept[lang] = [g for g, k in top if k > 1 and all(k / total * 4 > c[g] / t for c, t in other)]
     m = 1 << max(10, (BITS_PER_GRAM * max([1, *map(len, kept.values())])).bit_length())
     words = np.zeros((m, max(1, -(-len(langs) // 64))), np.uint64)
@@ -116,7 +119,7 @@ def build(counts: dict[str, Counter], docs_by_lang: dict[str, int], per_slice: i
 
 
 def train(docs: DataFrame, where: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> MaskFilter:
-    """Counts of n-grams by language over the picked documents, cut to the frequent ones of each task, then summed."""
+    """Counts of n-grams by language over the picked documents. The driver gets the most frequent ones of each language only."""
     own = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & where)
     # one row a language
     sizes = {r[0]: r[1] for r in own.groupBy(lang).count().collect()}
@@ -134,13 +137,17 @@ def train(docs: DataFrame, where: Column, key: str = "doc_id", text: str = "text
                 yield pa.record_batch([pa.array([name] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(k, pa.int64())], ["lang", "gram", "n"])
 
     found = picked.select(lang, text).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
-    # the sample is bounded by per_language documents, and so are its n-grams
+    found = checkpointed(found)
+    totals = {k: 0 for k in sizes} | {r[0]: r[1] for r in found.groupBy("lang").agg(F.sum("n")).collect()}  # a row a language
+    # what a slice needs: the most frequent n-grams of each language, per_slice at most, and their counts in the others
+    order = W.partitionBy("lang").orderBy(F.col("n").desc(), F.col("gram").bitwiseXOR(F.lit(-(1 << 63))))
+    top = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_SLICE).select("gram").distinct()
     counts: dict[str, Counter] = {k: Counter() for k in sizes}
-    for b in found.toArrow().to_batches():
+    for b in found.join(top, "gram", "left_semi").select("lang", "gram", "n").toArrow().to_batches():
         g = np.asarray(b.column(1)).view(np.uint64)
         for name, x, k in zip(b.column(0).to_pylist(), g.tolist(), b.column(2).to_pylist()):
             counts[name][x] = k
-    return build(counts, sizes)
+    return build(counts, sizes, PER_SLICE, totals)
 
 
 def predicted(docs: DataFrame, model: MaskFilter, key: str = "doc_id", text: str = "text") -> DataFrame:

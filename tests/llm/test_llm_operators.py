@@ -190,6 +190,23 @@ def test_op3_learns(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out))
 
 
+@pytest.mark.parametrize("per_slice", [5, 40, 4000])
+def test_op3_slices_against_plain_counts(spark, monkeypatch, per_slice):
+    """The filter that Spark's counts give is the one of plain counts of all n-grams, with few of them kept or all."""
+    monkeypatch.setattr(language_masks, "PER_SLICE", per_slice)
+    random.seed(per_slice)
+    vocabulary = {x: ["".join(random.choice("abcdefgé" if x == "aa" else "defghijß") for _ in range(random.randint(1, 7))) for _ in range(30)] for x in ("aa", "bb", "cc")}
+    docs = [(i, " ".join(random.choices(vocabulary[x], k=20)), x) for i in range(60) for x in [random.choice(list(vocabulary))]] + [(90, None, "aa"), (91, "12 3", "dd"), (92, "x", None)]
+    model = language_masks.train(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4), F.lit(True))
+    counts, sizes = {}, collections.Counter(x for _, t, x in docs if t is not None and x)
+    for x in sizes:
+        hashes = np.concatenate([language_masks.grams([t])[0] for _, t, y in docs if y == x and t is not None])
+        counts[x] = collections.Counter({g: n for g, n in collections.Counter(hashes.tolist()).items() if n > 1})
+    plain = language_masks.build(counts, sizes, per_slice)
+    assert model.langs == plain.langs and model.default == plain.default
+    assert np.array_equal(model.words, plain.words) and np.allclose(model.false_rate, plain.false_rate)
+
+
 def test_op3_awkward_rows(spark, sf):
     got = language_masks.op3_language_masks(spark, sf[0]).collect()
     assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in ROWS)
