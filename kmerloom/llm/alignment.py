@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import zstandard
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm.common import Workspace, sliced, table
 from kmerloom.llm.encoders import BYTE_MODEL, ByteEncoder
-from kmerloom.llm.piece_codec import MARK, MODEL, Segmenter, chunks_of
+from kmerloom.llm.piece_codec import MARK, MODEL, Segmenter
 
 #: Links of a block, beyond which the next block begins.
 BLOCK_LINKS = 2 << 20
@@ -66,8 +67,16 @@ def align(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray
     return group[a_end], group[b_end], before(at_a)[close], before(at_b)[close], close
 
 
+_CHUNK = re.compile(" ( *[^ ]*)")
+
+
+def spaced(text: str) -> list[str]:
+    """The chunks of space + text, each a run of spaces and what follows up to the next one, without their first space."""
+    return _CHUNK.findall(" " + text) if text[0] == " " or "  " in text else text.split(" ")
+
+
 class Pieces(dict):
-    """chunk -> its B ids, 16 bits each; chunks whose pieces do not spell them are in `wrong`."""
+    """chunk without its first space -> its B ids, 16 bits each; chunks whose pieces do not spell them are in `wrong`."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -78,17 +87,17 @@ class Pieces(dict):
         """The ids of a text; None where their bytes are not those of space + text."""
         if MARK in text:
             return None
-        chunks = chunks_of(text)
+        chunks = spaced(text)
         new = [c for c in set(chunks) if c not in self]
         if new:
             if len(self) > KNOWN:
                 self.clear()
                 self.wrong.clear()
                 new = list(set(chunks))
-            raw = [c.encode() for c in new]
+            raw = [(MARK + c.replace(" ", MARK)).encode() for c in new]
             for c, ids in zip(new, self.known.of(raw)):
                 self[c] = ids.tobytes()
-                if b"".join(map(self.bytes.__getitem__, ids)) != c.replace(MARK, " ").encode():
+                if b"".join(map(self.bytes.__getitem__, ids)) != b" " + c.encode():
                     self.wrong.add(c)
             self.known.clear()
         if self.wrong and not self.wrong.isdisjoint(chunks):
@@ -141,7 +150,11 @@ def blocks(docs: DataFrame, key: str, text: str, links: int = BLOCK_LINKS, byte_
             return None if b is None else (encode(" " + t).astype(np.int64), b)
 
         def packed() -> pa.RecordBatch:
-            values, places, counts = np.unique(np.concatenate(seen), return_inverse=True, return_counts=True)
+            code, found = pd.factorize(np.concatenate(seen))
+            order = np.argsort(found)
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            values, places, counts = found[order], rank[code], np.bincount(code, minlength=len(order))[order]
             rows = pa.Table.from_batches(done).combine_chunks().to_struct_array()
             rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
             held = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
