@@ -13,10 +13,11 @@ from kmerloom.plans.index import Index
 from kmerloom.plans.shared import shared_folder, stored
 from kmerloom.plans.spec import HashSpec
 from kmerloom.sources import formats, query_files
+from kmerloom.sources.bam import read_bam
 
 
 def _reads(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return {"fasta": formats.read_fasta, "fastq": formats.read_fastq, "parquet": lambda s, p: s.read.parquet(p)}[kind](spark, path)
+    return {"bam": read_bam, "fasta": formats.read_fasta, "fastq": formats.read_fastq, "parquet": lambda s, p: s.read.parquet(p)}[kind](spark, path)
 
 
 def _sketches(i: Index, slots: int) -> DataFrame:

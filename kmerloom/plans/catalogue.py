@@ -363,6 +363,25 @@ def query_per_kmer_all_hashes(spark, d):
     return query.full_kmer_query(q, _filter(spark, d, spec, query.query_positions(q, spec)), spec)
 
 
+@query_of(
+    _with(
+        _bits(2)
+        + ","
+        + _QK
+        + f""",
+asked AS (SELECT DISTINCT code FROM qk), qp AS (SELECT DISTINCT code, {_POS} AS pos FROM asked, range(0, 2) r(i), sz),
+found AS (SELECT code, exp_id, count(*) AS n FROM qp JOIN bits USING (pos) GROUP BY ALL), need AS (SELECT code, count(*) AS n FROM qp GROUP BY 1)""",
+        "SELECT exp_id, count(*)::BIGINT AS kmers FROM found JOIN need USING (code, n) GROUP BY 1",
+    )
+)
+def kmer_membership(spark, d):
+    """How many of the passages' k-mers each experiment's filter holds with all hashes."""
+    spec = _spec(spark, d, 2)
+    asked = windows(_queries(spark, d).select("seq"), "seq", K).select("kmer").distinct()
+    only = asked.select(F.explode(positions(F.col("kmer"), spec)).alias("pos"))
+    return filters.contains(_filter(spark, d, spec, only), asked, spec).groupBy("exp_id").agg(F.count("*").alias("kmers"))
+
+
 _TREE_QUERY = _bloom(1, THETA, "SELECT query_id, exp_id FROM hits JOIN totals USING (query_id) WHERE {passes}")
 
 
