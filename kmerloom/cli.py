@@ -20,8 +20,8 @@ def _reads(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return {"bam": read_bam, "fasta": formats.read_fasta, "fastq": formats.read_fastq, "parquet": lambda s, p: s.read.parquet(p)}[kind](spark, path)
 
 
-def _sketches(i: Index, slots: int) -> DataFrame:
-    return minhash.sketches(i.bits, slots, "xorshift")
+def _sketches(i: Index, slots: int, shifts: str | None = None) -> DataFrame:
+    return minhash.sketches(i.bits, slots, "xorshift", shifts=query_files.read_shifts(i.spark, shifts) if shifts else minhash.SHIFTS)
 
 
 def _results(found: DataFrame, queries: DataFrame, i: Index, out: str) -> None:
@@ -55,7 +55,7 @@ def parser() -> argparse.ArgumentParser:
     add("check", "are the nodes what their filters say?", "index")
     add("draw", "Graphviz text of the topology", "index")
     add("sim", "similarity of two experiments (kinds 0 and 1), or with --nodes of two nodes of the topology (0, 1, 2, 3, -1)", "index", "a", "b", sim_type=(int, 1)).add_argument("--nodes", action="store_true")
-    add("minhash", "write sketches", "index", "out", slots=(int, 100))
+    add("minhash", "write sketches; shifts: a file of triples, one a slot", "index", "out", slots=(int, 100), shifts=(str, None))
     c = add("cluster", "merge lines of a clustering: of one pair after another on the driver, or (nearest) of many pairs a round", "index", "out", slots=(int, 100))
     c.add_argument("--rounds", choices=("one", "nearest"), default="nearest")
     add("similar", "pairs of experiments whose sketches agree in a share of their slots, found by bands", "index", "out", slots=(int, 100), least=(float, 0.5))
@@ -123,7 +123,7 @@ def run(spark: SparkSession, argv: list[str]) -> str | None:
         two = i.bits.where(F.col("exp_id").isin(a.a, a.b))
         return show(filters.similarity(two, i.spec.m, a.sim_type).select("sim"))
     elif a.command == "minhash":
-        formats.write_sketch(_sketches(i, a.slots), a.out)
+        formats.write_sketch(_sketches(i, a.slots, a.shifts), a.out)
     elif a.command == "cluster":
         plan = minhash.cluster_plan(_sketches(i, a.slots), tree.experiments(i.bits), a.slots)
         rows = [(n, *m) for n, m in enumerate(plan)]

@@ -20,6 +20,7 @@ from kmerloom.plans.shared import stored
 #: Full-period shift triples of 64-bit xorshift generators, from the published list; slots take them in turn.
 SHIFTS = ((13, 7, 17), (12, 25, 27), (5, 15, 27), (17, 31, 8), (23, 17, 26), (21, 35, 4), (11, 29, 14), (9, 21, 40))
 ROUNDS = 8
+Shifts = tuple[tuple[int, int, int], ...]
 #: Experiments that the clustering loop takes on the driver: its matrix has so many rows and columns.
 MOST = 5000
 
@@ -28,9 +29,9 @@ def _md5_value(slot: Column, pos: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", slot, pos).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _xorshift(slot: int, pos: np.ndarray, seed: int) -> np.ndarray:
+def _xorshift(slot: int, pos: np.ndarray, seed: int, shifts: Shifts) -> np.ndarray:
     x = pos ^ np.uint64((0x9E3779B97F4A7C15 * (slot + 1) ^ seed) & ((1 << 64) - 1))
-    a, b, c = (np.uint64(s) for s in SHIFTS[slot % len(SHIFTS)])
+    a, b, c = (np.uint64(s) for s in shifts[slot % len(shifts)])
     for _ in range(ROUNDS):
         x = x ^ x << a
         x = x ^ x >> b
@@ -38,7 +39,7 @@ def _xorshift(slot: int, pos: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def _xorshift_minima(slots: int, seed: int):
+def _xorshift_minima(slots: int, seed: int, shifts: Shifts):
     """Per batch the minima of each experiment, signed with the top bit flipped: longs in the order of unsigned values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +50,7 @@ def _xorshift_minima(slots: int, seed: int):
             order = np.argsort(np.asarray(exp.indices), kind="stable")
             ids, pos = np.asarray(exp.indices)[order], np.asarray(b.column(1)).astype(np.uint64)[order]
             at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            low = np.array([np.minimum.reduceat(_xorshift(s, pos, seed), at) for s in range(slots)]) ^ np.uint64(1 << 63)
+            low = np.array([np.minimum.reduceat(_xorshift(s, pos, seed, shifts), at) for s in range(slots)]) ^ np.uint64(1 << 63)
             names = exp.dictionary.take(pa.array(np.tile(ids[at], slots)))
             yield pa.record_batch([names, pa.array(np.repeat(np.arange(slots, dtype=np.int32), len(at))), pa.array(low.ravel().view(np.int64))], ["exp_id", "hash_ix", "val"])
 
@@ -61,13 +62,14 @@ def coefficients(slots: int) -> list[tuple[int, int]]:
     return [(pow(48271, 7 * s + 3, PRIME), pow(69621, 5 * s + 2, PRIME)) for s in range(slots)]
 
 
-def sketches(bits: DataFrame, slots: int = 100, family: str = "linear", seed: int = 0) -> DataFrame:
+def sketches(bits: DataFrame, slots: int = 100, family: str = "linear", seed: int = 0, shifts: Shifts = SHIFTS) -> DataFrame:
     """(exp_id, hash_ix, val): the least hash of each slot over the filter's positions.
 
-    linear: (pos * a + b) modulo a prime, with a and b of the slot; md5: of slot and position; xorshift: 64 bits.
+    linear: (pos * a + b) modulo a prime, with a and b of the slot; md5: of slot and position; xorshift: 64 bits, by the
+    shift triples given, which slots take in turn.
     """
     if family == "xorshift":
-        rows = bits.select("exp_id", "pos").mapInArrow(_xorshift_minima(slots, seed), "exp_id string, hash_ix int, val long")
+        rows = bits.select("exp_id", "pos").mapInArrow(_xorshift_minima(slots, seed, shifts), "exp_id string, hash_ix int, val long")
         return rows.groupBy("exp_id", "hash_ix").agg(F.min("val").alias("val"))
     # one aggregate a slot: nothing is exploded
     if family == "md5":

@@ -82,6 +82,15 @@ def read_filter_list(spark: SparkSession, path: str) -> list[str]:
     return [r["name"] for r in rows.orderBy("i").collect()]
 
 
+def read_shifts(spark: SparkSession, path: str) -> tuple[tuple[int, int, int], ...]:
+    """Shift triples of xorshift sketches, three numbers a line: a table as long as a sketch, in order of slot."""
+    rows = numbered(spark, path).where(F.trim("value") != "").orderBy("number").collect()
+    found = tuple(tuple(map(int, r["value"].split())) for r in rows)
+    if not found or any(len(t) != 3 or not all(0 < x < 64 for x in t) for t in found):
+        raise ValueError("shift triples are three numbers from 1 to 63 a line")
+    return found
+
+
 def read_sketches(spark: SparkSession, path: str) -> DataFrame:
     """(exp_id, hash_ix, val) of a folder of sketches, a folder an experiment and a value a line in order of slot."""
     files = spark.read.text(path, wholetext=True).select(F.col("exp_id").cast("string"), F.regexp_extract_all("value", F.lit(r"-?\d+"), F.lit(0)).alias("v"))

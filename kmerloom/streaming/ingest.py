@@ -1,4 +1,4 @@
-"""Streaming ingest: reads that arrive as a stream become k-mer counts and filters that grow batch by batch."""
+"""Streaming ingest: reads that arrive as a stream become k-mer counts, a folder a batch; filters follow from their sums."""
 
 from __future__ import annotations
 

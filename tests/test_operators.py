@@ -11,7 +11,7 @@ from kmerloom.functions import kmers
 from kmerloom.operators import filters, minhash, query, tree
 from kmerloom.plans.shared import shared_folder
 from kmerloom.plans.spec import HashSpec
-from kmerloom.sources import formats
+from kmerloom.sources import formats, query_files
 from kmerloom.streaming.ingest import ingest, total_counts
 
 LEAVES = {"L0": {1, 2, 3, 10}, "L1": {1, 2, 4, 11}, "L2": {1, 5, 12}}
@@ -179,14 +179,18 @@ def test_weights_must_suffice(spark):
         query.weighted_query(q, index, few, HashSpec(k=5)).collect()
 
 
-def test_xorshift_sketch_against_plain_integers(spark):
+@pytest.mark.parametrize("own", [False, True])
+def test_xorshift_sketch_against_plain_integers(spark, tmp_path, own):
     leaves = {"a": {1, 5, 900}, "b": {5}}
-    got = {(r.exp_id, r.hash_ix): r.val for r in minhash.sketches(frame(spark, leaves), 10, "xorshift", 3).collect()}
+    (tmp_path / "t").write_text("".join(f"{a} {a + 9} {a + 20}\n" for a in range(1, 12)))
+    shifts = query_files.read_shifts(spark, str(tmp_path / "t")) if own else minhash.SHIFTS
+    assert not own or shifts[10] == (11, 20, 31)
+    got = {(r.exp_id, r.hash_ix): r.val for r in minhash.sketches(frame(spark, leaves), 10, "xorshift", 3, shifts).collect()}
     mask = (1 << 64) - 1
 
     def value(slot, pos):
         x = pos ^ ((0x9E3779B97F4A7C15 * (slot + 1) ^ 3) & mask)
-        a, b, c = minhash.SHIFTS[slot % len(minhash.SHIFTS)]
+        a, b, c = shifts[slot % len(shifts)]
         for _ in range(minhash.ROUNDS):
             x ^= x << a & mask
             x ^= x >> b
