@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import sentencepiece
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +34,12 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm.common import Workspace, sliced, table
 from kmerloom.llm.encoders import BYTE_MODEL, ByteEncoder
-from kmerloom.llm.piece_codec import MARK, MODEL, Segmenter
+from kmerloom.llm.piece_codec import MARK, MODEL
 
 #: Links of a block, beyond which the next block begins.
 BLOCK_LINKS = 2 << 20
 #: Bytes of text that one bincount covers; one longer text is taken alone.
 SLICE = 1 << 20
-#: Chunks whose pieces a task remembers before it forgets them all.
-KNOWN = 250_000
 #: Bits of a B id in a pair.
 B_BITS = 16
 
@@ -67,44 +66,6 @@ def align(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray
     return group[a_end], group[b_end], before(at_a)[close], before(at_b)[close], close
 
 
-_CHUNK = re.compile(" ( *[^ ]*)")
-
-
-def spaced(text: str) -> list[str]:
-    """The chunks of space + text, each a run of spaces and what follows up to the next one, without their first space."""
-    return _CHUNK.findall(" " + text) if text[0] == " " or "  " in text else text.split(" ")
-
-
-class Pieces(dict):
-    """chunk without its first space -> its B ids, 16 bits each; chunks whose pieces do not spell them are in `wrong`."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.known, self.wrong = Segmenter(path), set()
-        self.bytes = piece_bytes(self.known.sp)
-
-    def of(self, text: str) -> np.ndarray | None:
-        """The ids of a text; None where their bytes are not those of space + text."""
-        if MARK in text:
-            return None
-        chunks = spaced(text)
-        new = [c for c in set(chunks) if c not in self]
-        if new:
-            if len(self) > KNOWN:
-                self.clear()
-                self.wrong.clear()
-                new = list(set(chunks))
-            raw = [(MARK + c.replace(" ", MARK)).encode() for c in new]
-            for c, ids in zip(new, self.known.of(raw)):
-                self[c] = ids.tobytes()
-                if b"".join(map(self.bytes.__getitem__, ids)) != b" " + c.encode():
-                    self.wrong.add(c)
-            self.known.clear()
-        if self.wrong and not self.wrong.isdisjoint(chunks):
-            return None
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), np.uint16)
-
-
 class Names:
     """Decimal ids with what follows them: a comma in a group, and between groups a bar or a semicolon."""
 
@@ -136,18 +97,21 @@ def blocks(docs: DataFrame, key: str, text: str, links: int = BLOCK_LINKS, byte_
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pieces = ByteEncoder(byte_model, plain=True), Pieces(path)
-        a_bytes, b_bytes = encode.token_bytes(), pieces.bytes
+        encode, sp = ByteEncoder(byte_model, plain=True), sentencepiece.SentencePieceProcessor(model_file=path)
+        a_bytes, b_bytes = encode.token_bytes(), piece_bytes(sp)
+        if len(b_bytes) > 1 << B_BITS:
+            raise ValueError(f"ids of this model do not fit {B_BITS} bits")
         a_sizes, b_sizes = (np.array(list(map(len, x))) for x in (a_bytes, b_bytes))
         names = Names(len(a_bytes), len(b_bytes))
         task, count = TaskContext.get().partitionId(), 0
         done: list[pa.RecordBatch] = []
         seen: list[np.ndarray] = []
 
-        def tokens(t: str) -> tuple[np.ndarray, np.ndarray] | None:
-            """A and B ids, where B's spell space + text, as A's do by construction: every byte is a token."""
-            b = pieces.of(t)
-            return None if b is None else (encode(" " + t).astype(np.int64), b)
+        def tokens(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+            """A and B ids of texts; None where B's do not spell space + text, as A's do by construction: every byte is a token."""
+            for t, b in zip(texts, sp.encode(texts, num_threads=1)):
+                spelt = b"".join(map(b_bytes.__getitem__, b)) == f" {t}".encode()
+                yield (encode(" " + t).astype(np.int64), np.array(b, np.uint16)) if spelt else None
 
         def packed() -> pa.RecordBatch:
             code, found = pd.factorize(np.concatenate(seen))
@@ -161,7 +125,9 @@ def blocks(docs: DataFrame, key: str, text: str, links: int = BLOCK_LINKS, byte_
             return pa.record_batch([pa.array([task << 32 | count]), held, *(pa.array([pressed(v.astype(f))], pa.binary()) for v, f in ((values, "<i8"), (counts, "<i8"), (places, "<u4")))], ["block", "docs", "pairs", "counts", "places"])
 
         for batch in sliced(batches, "_text", SLICE):
-            got = [tokens(t) if t else None for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = tokens([t for t in texts if t])
+            got = [next(found) if t else None for t in texts]
             some = [g for g in got if g]
             n_a, n_b = (np.array([len(g[i]) if g else 0 for g in got], np.int64) for i in (0, 1))
             a = np.concatenate([np.zeros(0, np.int64), *(g[0] for g in some)])

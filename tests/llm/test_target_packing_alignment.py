@@ -268,15 +268,6 @@ def test_op13(spark, links, parts):
     assert collections.Counter(map(tuple, got)) == plain_alignment(rows)
 
 
-def test_op13_chunks_are_those_of_the_piece_table():
-    from kmerloom.llm.piece_codec import chunks_of
-
-    random.seed(11)
-    for _ in range(3000):
-        t = "".join(random.choices(["a", "bc", " ", " ", "  ", "\n", "é", "\u3000"], k=random.randint(1, 12)))
-        assert ["▁" + c.replace(" ", "▁") for c in alignment.spaced(t)] == chunks_of(t)
-
-
 def test_op13_links_by_definition():
     """align() on random cuts of one byte range: every pair of overlapping tokens once, groups where both end."""
     random.seed(5)
