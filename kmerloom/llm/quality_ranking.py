@@ -71,7 +71,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         t = mixed(keyed[:-2] + mixed(keyed[1:-1] + mixed(keyed[2:])))[inner]
         kinds = np.bincount(doc[:-2][inner][np.unique(t, return_index=True)[1]], minlength=n)
     else:
-        kinds = triples
+        kinds = np.zeros(n)  # as for any text without a triple, whatever texts stand beside it
     upper = _UPPER[first] & (_UPPER[last] | (~_LETTER[last] & _UPPER[data[np.maximum(start, end - 3)]])) & (end - start > 1)
     return np.column_stack(
         [

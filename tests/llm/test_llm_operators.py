@@ -166,6 +166,56 @@ def test_op2_routes_by_bisection(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def plain_features(text):
+    """The features of one text by their definitions, byte by byte and word by word."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    upper = lambda c: 65 <= c <= 90
+    letter = lambda c: upper(c) or 97 <= c <= 122 or c >= 128
+    share = lambda chars: sum(raw.count(c.encode()) for c in chars) / max(1, len(raw))
+    n, some = len(words), max(1, len(words))
+    symbols = "#*$%&<>@^~+=_\\{}[]"
+    triples = [tuple(words[i : i + 3]) for i in range(n - 2)]
+    shout = lambda w: len(w) > 1 and upper(w[0]) and (upper(w[-1]) or (not letter(w[-1]) and upper(w[max(0, len(w) - 3)])))
+    return [
+        np.log1p(n), np.log1p(sum(map(len, words)) / some), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share(symbols), share("!"), share("|"), share("\"'();:/?-"), share("\n"),
+        sum(len(w) == 1 and not letter(w[0]) for w in words) / some,
+        sum(a == b for a, b in zip(words, words[1:])) / some,
+        len(set(words)) / some,
+        1 - len(set(triples)) / max(1, n - 2),
+        sum(chr(w[-1]) in symbols + "!|" for w in words) / some,
+        sum(map(shout, words)) / some,
+        sum(chr(w[-1]) in ".?!" for w in words) / some,
+    ]
+
+
+def test_op1_features_and_fit_against_plain_ones():
+    """Features of each text alone and among others are the plain ones; the fit is the least of the plain pairwise loss."""
+    import pyarrow as pa
+
+    random.seed(21)
+    texts = [r[1] for r in ROWS] + ["HELLO World! AB. A1B| x # é É9 -- a a a b a a a b", "\n\n!", "two words", "#", "A", "日本 ENDE."]
+    want = np.array([plain_features(t) for t in texts])
+    assert np.allclose(quality_ranking.features(*common.utf8(pa.array(texts))), want)
+    for t, w in zip(texts, want):
+        assert np.allclose(quality_ranking.features(*common.utf8(pa.array([t])))[0], w)
+    x = want[:50] + np.random.default_rng(2).normal(0, 0.2, (50, want.shape[1]))
+    y = (x[:, 0] + np.random.default_rng(3).normal(0, 1, 50) > np.median(x[:, 0])).astype(int)
+    model = quality_ranking.fit(x, y, max_pairs=4000)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -6, 6)
+    rng = np.random.default_rng(5)
+    good, bad = z[y == 1], z[y == 0]
+    n = min(4000, len(good) * len(bad))
+    diff = good[rng.integers(len(good), size=n)] - bad[rng.integers(len(bad), size=n)]
+    loss = lambda w: np.mean(np.log1p(np.exp(-(diff @ w)))) + 5e-4 * w @ w
+    at = loss(model.weights)
+    assert all(loss(model.weights + d) >= at - 1e-9 for d in np.random.default_rng(6).normal(0, 0.02, (200, len(model.weights))))
+    # the cut is a quantile of the scores that no other one beats
+    s = z @ model.weights
+    right = lambda c: np.sum((s >= c) == (y == 1))
+    assert right(model.cut) == max(right(c) for c in [s.min() - 1, *(s + 1e-9), *(s - 1e-9)])
+
+
 def test_op1_many_rows_of_one_id(spark):
     """The bound on labelled rows is one of different texts by hash: copies of one id do not push others out, and order
     does not matter."""
