@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from kmerloom.functions.kmers import positions, windows
 from kmerloom.operators.filters import at_least, part_of
 from kmerloom.operators.tree import leaves_below
-from kmerloom.plans.shared import stored
+from kmerloom.plans.shared import removed, scratch, stored
 from kmerloom.plans.spec import HashSpec
 
 
@@ -249,52 +250,92 @@ def with_overlap(segments: DataFrame, k: int) -> DataFrame:
     return segments.withColumn("seq", F.concat("seq", F.coalesce(F.substring(after, 1, k - 1), F.lit(""))))
 
 
+#: Queries of a group of the tree plan: those whose open positions share rows.
+GROUP = 64
+
+
 def _node_hits(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
-    """frontier (query_id, node_id, pos, mult) with the kind of node bit that each position hits; others are left out."""
+    """frontier (grp, node_id, pos, mult, live) with the kind of node bit that each position hits; others are left out."""
     if "pos" in nodes.columns:
         return frontier.join(nodes, ["node_id", "pos"])
-    at = frontier.withColumn("word_idx", F.floor(F.col("pos") / 64).cast("int")).join(nodes, ["node_id", "word_idx"])
+    at = frontier.withColumn("word_idx", _word(F.col("pos"))).join(nodes, ["node_id", "word_idx"])
     bit = lambda c: F.getbit(F.col(c), (F.col("pos") % 64).cast("int")) == 1
     kind = F.when(bit("sim"), "sim").when(bit("dif"), "dif")
-    return at.select("query_id", "node_id", "pos", "mult", kind.alias("kind")).where("kind IS NOT NULL")
+    return at.select("grp", "node_id", "pos", "mult", "live", kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def tree_query(queries: DataFrame, tree: DataFrame, nodes: DataFrame, spec: HashSpec) -> DataFrame:
-    """The rows (query_id, exp_id) of threshold_query, found from the root down, one level a round.
+def _word(pos: Column) -> Column:
+    return F.floor(pos / 64).cast("int")
 
-    nodes: node bits (node_id, pos, kind), or node words (node_id, word_idx, sim, dif), whose bits are read in place. At a
-    node, hits in sim are settled for all below, hits in dif stay open. A query that cannot reach its threshold
-    leaves the node; one that has reached it takes all experiments below; the others go on to both children with their
-    open positions. Each round is checkpointed, so plans stay short however deep the tree is.
+
+def _grouped(probe: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, total, theta, grp, bit): queries in groups of GROUP at most, neighbours by the least hash of their
+    positions, so that queries with many positions in common tend to share a group."""
+    need = probe.groupBy("query_id").agg(F.sum("mult").alias("total"), F.min(F.xxhash64("pos")).alias("near")).join(queries.select("query_id", "theta"), "query_id")
+    n = F.monotonically_increasing_id()  # counts up within a partition, whose number is in higher bits than a group's
+    placed = need.repartitionByRange("near").sortWithinPartitions("near").withColumn("n", n)
+    return placed.select("query_id", "total", "theta", F.floor(F.col("n") / GROUP).alias("grp"), (F.col("n") % GROUP).cast("int").alias("bit"))
+
+
+def tree_rounds(queries: DataFrame, tree: DataFrame, nodes: DataFrame, spec: HashSpec, levels: list[dict] | None = None) -> DataFrame:
+    """(level, query_id, node_id, total, matched, open, sure, may): every node that a query reaches, from the root down.
+
+    matched counts the positions in sims on the way and here, open those in the node's dif. A query's state is one row a
+    node. Its open positions are not its own: a row (grp, node_id, pos, mult, live) is shared by the queries of a group,
+    as bits of live, and leaves the frontier when no query that goes on needs it. levels, where given, takes a dict a
+    round: rows of the frontier, and the rows that it would have without sharing.
+
+    Nodes are cut to the words that any query looks up once, before the rounds. Rounds are tables in the shared folder,
+    so plans stay short however deep the tree is; the result is read from there.
     """
     spark = queries.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    probe = query_positions(queries, spec)
-    need = totals(probe).join(queries.select("query_id", "theta"), "query_id")
+    base = scratch(spark)
+    probe = stored(query_positions(queries, spec), f"{base}/probe")
+    need = stored(_grouped(probe, queries), f"{base}/need")
+    key = F.col("pos") if "pos" in nodes.columns else _word(F.col("pos"))
+    name = "pos" if "pos" in nodes.columns else "word_idx"
+    nodes = stored(nodes.join(probe.select(key.alias(name)).distinct(), name, "left_semi"), f"{base}/nodes")
+    flag = F.bit_or(F.expr("shiftleft(1L, bit)"))
     root = tree.where("parent_id IS NULL").select("node_id")
-    frontier = probe.join(root).select("query_id", "node_id", "pos", "mult")  # one root
-    state = need.join(root).select("query_id", "node_id", "total", "theta", F.lit(0).cast("long").alias("matched"))
-    children = tree.where("parent_id IS NOT NULL").select("parent_id", F.col("node_id").alias("child"))
-    done = []
+    frontier = probe.join(need, "query_id").groupBy("grp", "pos", "mult").agg(flag.alias("live")).join(root)  # one root
+    state = need.join(root).withColumn("matched", F.lit(0).cast("long"))
+    children = tree.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"))
+    each = F.filter(F.sequence(F.lit(0), F.lit(GROUP - 1)), lambda i: F.getbit("live", i) == 1)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mult")).otherwise(0))
+    level = 0
     while True:
-        met = _node_hits(frontier, nodes).checkpoint()
-        sums = met.groupBy("query_id", "node_id").agg(
-            F.sum(F.when(F.col("kind") == "sim", F.col("mult")).otherwise(0)).alias("now"), F.sum(F.when(F.col("kind") == "dif", F.col("mult")).otherwise(0)).alias("open")
-        )
-        at = state.join(sums, ["query_id", "node_id"], "left").fillna(0, ["now", "open"]).withColumn("matched", F.col("matched") + F.col("now"))
+        seen = Observation()
+        frontier = frontier.observe(seen, F.count("*").alias("rows"), F.sum(F.bit_count("live")).alias("unshared"))
+        met = stored(_node_hits(frontier, nodes), f"{base}/met/{level}")
+        if levels is not None:
+            levels.append({"level": level, "rows": seen.get["rows"], "unshared": seen.get["unshared"] or 0})
+        # rows are unfolded within a task and summed there before they are shuffled
+        sums = met.select("grp", "node_id", "mult", "kind", F.explode(each).alias("bit")).groupBy("grp", "bit", "node_id").agg(of("sim").alias("now"), of("dif").alias("open"))
+        at = state.join(sums, ["grp", "bit", "node_id"], "left").fillna(0, ["now", "open"]).withColumn("matched", F.col("matched") + F.col("now"))
         sure = at_least(F.col("matched"), F.col("total"), F.col("theta"))
         may = at_least(F.col("matched") + F.col("open"), F.col("total"), F.col("theta"))
-        at = at.withColumns({"sure": sure, "may": may}).checkpoint()
-        done.append(leaves_below(at.where("sure").select("query_id", "node_id"), tree).select("query_id", "exp_id"))
-        going = at.where("may AND NOT sure").join(children, F.col("node_id") == F.col("parent_id"))
-        state = going.select("query_id", F.col("child").alias("node_id"), "total", "theta", "matched").checkpoint()
-        if state.isEmpty():
+        at = stored(at.drop("now").withColumns({"sure": sure, "may": may}), f"{base}/at/level={level}")
+        going = at.where("may AND NOT sure")
+        if going.isEmpty():
             break
-        opened = met.where("kind = 'dif'").select("query_id", F.col("node_id").alias("parent_id"), "pos", "mult")
-        frontier = opened.join(children, "parent_id").join(state.select("query_id", F.col("node_id").alias("child")), ["query_id", "child"])
-        frontier = frontier.select("query_id", F.col("child").alias("node_id"), "pos", "mult")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        wanted = going.groupBy("grp", "node_id").agg(flag.alias("wanted"))
+        needed = met.where("kind = 'dif'").join(wanted, ["grp", "node_id"]).withColumn("live", F.col("live").bitwiseAND(F.col("wanted"))).where("live <> 0")
+        frontier = needed.join(children, "node_id").select("grp", F.col("child").alias("node_id"), "pos", "mult", "live")
+        state = going.join(children, "node_id").select("grp", "bit", F.col("child").alias("node_id"), "query_id", "total", "theta", "matched")
+        level += 1
+    for done in ("probe", "need", "nodes", "met"):
+        removed(spark, f"{base}/{done}")
+    kinds = T.StructType([*at.schema.fields, T.StructField("level", T.IntegerType())])
+    return spark.read.schema(kinds).parquet(f"{base}/at").select("level", "query_id", "node_id", "total", "matched", "open", "sure", "may")
+
+
+def tree_query(queries: DataFrame, tree: DataFrame, nodes: DataFrame, spec: HashSpec, levels: list[dict] | None = None) -> DataFrame:
+    """The rows (query_id, exp_id) of threshold_query, found from the root down, one level a round.
+
+    nodes: node bits (node_id, pos, kind), or node words (node_id, word_idx, sim, dif), whose bits are read in place. At a
+    node, hits in sim are settled for all below, hits in dif stay open. A query that cannot reach its threshold
+    leaves the node; one that has reached it takes all experiments below; the others go on to both children with their
+    open positions. levels is told of in tree_rounds.
+    """
+    rounds = tree_rounds(queries, tree, nodes, spec, levels)
+    return leaves_below(rounds.where("sure").select("query_id", "node_id"), tree).select("query_id", "exp_id")

@@ -22,9 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/kmerloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder, read back: its lineage is cut, and Spark knows its size."""
-    path = f"{shared_folder(df.sparkSession)}/kmerloom-{uuid.uuid4().hex}"
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -271,3 +271,45 @@ def test_stream_counts_each_read_once(spark, tmp_path):
         ingest(stream, HashSpec(k=9), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = total_counts(spark.read.parquet(str(tmp_path / "out")))
     assert sorted(got.collect()) == sorted(filters.kmer_counts(df, 9).collect())
+
+
+def test_tree_plan_shares_positions_and_retires_them(spark):
+    """Queries cut from one sequence share rows; a position leaves once all queries that need it have left the node."""
+    random.seed(5)
+    text = lambda n: "".join(random.choice("ACGT") for _ in range(n))
+    base, other = text(400), text(400)
+    reads = [(f"e{i}", i, (base if i < 4 else other)[: 250 + 30 * i]) for i in range(8)]
+    r = spark.createDataFrame(reads, "exp_id string, read_id long, seq string")
+    # 150 queries over three groups at least: overlapping cuts of both sequences, repeats, misses and one below k
+    cuts = [(j, (base if j % 2 else other)[j : j + 80], [0.2, 0.9, 1.0][j % 3]) for j in range(140)]
+    q = [*cuts, *[(140 + j, base[:20] * 5, 0.5) for j in range(5)], *[(145 + j, text(60), 0.3) for j in range(4)], (149, "ACG", 0.5)]
+    q = spark.createDataFrame(q, "query_id long, seq string, theta float")
+    spec = HashSpec(k=12, nh=2, m=1 << 14)
+    bits = filters.filter_bits(r, spec, 1).persist()
+    t = tree.tree_table(spark, tree.balanced(tree.experiments(bits)))
+    flat = sorted((x.query_id, x.exp_id) for x in query.threshold_query(q, bits, spec).collect())
+    levels = []
+    assert sorted((x.query_id, x.exp_id) for x in query.tree_query(q, t, tree.node_words(t, bits), spec, levels).collect()) == flat
+    assert [x["level"] for x in levels] == list(range(len(levels))) and 2 <= len(levels) <= 4
+    assert all(x["rows"] < x["unshared"] / 4 for x in levels)
+    # by definition: an open position at a level is one of a query that goes on from the node above, in that node's dif
+    kinds = {(x.node_id, x.pos): x.kind for x in tree.node_bits(t, bits).collect()}
+    wanted = {}
+    for x in query.query_positions(q, spec).collect():
+        wanted.setdefault(x.query_id, []).append(x.pos)
+    rounds = query.tree_rounds(q, t, tree.node_words(t, bits), spec).collect()
+    up = {x.node_id: x.parent_id for x in t.collect()}
+
+    def open_above(query_id, node):
+        keep = wanted[query_id]
+        while up[node] is not None:
+            node = up[node]
+            keep = [p for p in keep if kinds.get((node, p)) == "dif"]
+        return len(keep)
+
+    for x in levels:
+        assert x["unshared"] == sum(open_above(s.query_id, s.node_id) for s in rounds if s.level == x["level"])
+    goes = {(s.query_id, s.node_id) for s in rounds if s.may and not s.sure}
+    assert {(s.query_id, up[s.node_id]) for s in rounds if s.level} == goes
+    none = query.tree_query(q.where("query_id < 0"), t, tree.node_words(t, bits), spec)
+    assert none.count() == 0
