@@ -4,7 +4,10 @@ Every document is measured against a few rules. Failures are summed by host, eac
 beta prior fitted to all hosts by moments, and hosts whose shrunk rate passes a limit lose all their documents.
 
 Null texts have no words and fail the length rule. A null host is a host of its own. Repeated rows count as often
-as they occur. Extra columns are kept out of the work; the caller joins on its key. Empty tables give no rows.
+as they occur. Extra columns are kept out of the work; the caller joins on its key. Empty tables give no rows. Texts
+are measured whole, whatever their length, within their row: a very long one makes arrays of its words in one task.
+Rules fail beyond their limits, a document that meets one exactly passes; so does a host at HOST_LIMIT. 3-word windows
+are equal where their 64-bit hashes are, so two different ones of a text may be taken for one with probability 2^-64.
 """
 
 from __future__ import annotations

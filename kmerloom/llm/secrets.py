@@ -5,6 +5,9 @@ their findings are appended to it and joined back to all paths that ever held th
 
 A null text is the empty blob. Repeated rows share their blob. Very long texts are scanned whole. Empty tables give
 empty ledgers. Rows with a null id are paths like others. The query takes part with its key and text columns only.
+Spans of different kinds may start at one place: they are listed in the order of the kinds, and where they overlap, what
+is cut out of a text is their disjoint form. scan_versions reads the columns blob and text, others may have any name. A
+blob that very many paths hold is scanned once; copies are dropped in each partition before texts move.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ of those hashes that neither has cut off.
 
 Null is the empty text, with the empty fingerprint; two empty texts are alike (1), an empty and another are not (0).
 A text shorter than k has one anchor, itself. Equal ids are ordered by text; null ids come first. Repeated rows are
-neighbours of each other; a single row is its own next. Very long texts are read whole. Empty tables give no rows.
+neighbours of each other; a single row is its own next. Very long texts are read whole. Empty tables give no rows. The
+order is cut into pieces by value, so the key must be a number: a text key is an error. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -872,3 +872,40 @@ def test_op4_equal_stretches_agree_in_both_hashes():
     docs = lambda kind, form: {int(d) for r in met if r["kind"] == kind for d in np.frombuffer(r["body"], form)["doc"]}
     assert docs(shared_strings.RANGES, shared_strings._RANGE) == {5}
     assert docs(shared_strings.ASKS, shared_strings._ASK) == {1, 2, 8, 9}
+
+
+@pytest.fixture(scope="module")
+def hot(spark, sf):
+    """Documents of which two fifths hold one text, half of those under one id, and a seventh are null or without an id."""
+    text = ROWS[0][1] + " token=abcdefghijklmnop"
+    rows = [(0 if i % 2 else i, text, "en", "s1") for i in range(400)]
+    rows += [(1000 + i, f"{ROWS[i % 40][1]} {i}", "en", "s2") for i in range(450)]
+    rows += [(2000 + i if i % 2 else None, None if i % 3 else "", None, None) for i in range(150)]
+    d = common.scratch(spark)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7).write.parquet(f"{d}/documents.parquet")
+    return d, rows
+
+
+@pytest.mark.parametrize("name", ["op3_language_masks", "op7_secret_scans", "op9_piece_codec"])
+def test_hot_texts_and_ids(spark, hot, name):
+    """A row each, and equal texts have equal results, whatever share of all rows one text or one id has."""
+    d, rows = hot
+    got = queries.QUERIES[name](spark, d).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
+    drop = {"doc_id", "held_out"}
+    results = collections.defaultdict(set)
+    text_of = {r[0]: r[1] or "" for r in rows if r[0] is not None}
+    for r in got:
+        if r.doc_id is not None:
+            results[text_of[r.doc_id]].add(tuple(v for c, v in r.asDict().items() if c not in drop))
+    assert all(len(v) == 1 for v in results.values()) and len(results) == len(set(text_of.values()))
+    one = next(iter(results[rows[0][1]]))
+    if name == "op7_secret_scans":
+        assert one[-1] == ",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(rows[0][1]))
+    elif name == "op9_piece_codec":
+        import public_tokenizers
+        import sentencepiece
+
+        assert one[0] == len(sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(piece_codec.MODEL)).encode(rows[0][1]))
+    else:
+        assert one[0] == "en"
