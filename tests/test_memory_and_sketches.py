@@ -1,4 +1,4 @@
-"""Bounded memory of Python tasks: what one block of windows or of node words may hold."""
+"""Bounded memory: blocks of windows and of node words, the greedy topology of large filters; sketches by word."""
 
 import tracemalloc
 
@@ -42,3 +42,18 @@ def test_node_words_hold_a_block(spark, monkeypatch):
     at, leaf = np.repeat(np.arange(n), 20), np.tile(np.arange(20), n)
     word = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 20 * n)
     assert peak(lambda: list(body(at, np.arange(n), [leaf, word]))) < 100
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2, 3])
+def test_greedy_of_large_filters_is_that_of_small_ones(spark, monkeypatch, kind):
+    """Filters over the driver's size, in blocks of few words; an experiment without bits, and one more than once alike."""
+    rng = np.random.default_rng(kind)
+    rows = [(f"e{i}", int(p)) for i in range(7) for p in np.flatnonzero(rng.random(700) < (0.1 + 0.1 * (i % 3)))]
+    rows += [("e9", p) for n, p in rows if n == "e3"]
+    bits = spark.createDataFrame(rows, "exp_id string, pos long")
+    names = ["e3", "none", "e0", "e5", "e9", "e1", "e2", "e6", "e4"]
+    cases = (bits, names), (bits, None), (bits.where("exp_id = 'e1'"), None)
+    want = [tree.greedy(b, 700, kind, n).rows() for b, n in cases]
+    monkeypatch.setattr(tree, "GREEDY_BYTES", 10)
+    monkeypatch.setattr(tree, "CELLS", 100)
+    assert [tree.greedy(b, 700, kind, n).rows() for b, n in cases] == want
