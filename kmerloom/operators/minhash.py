@@ -6,15 +6,17 @@ with a keyed MD5, or with rounds of 64-bit xorshift. An empty filter has no sket
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import PRIME
+from kmerloom.operators.filters import packed
 from kmerloom.plans.shared import stored
 
 #: Full-period shift triples of 64-bit xorshift generators, from the published list; slots take them in turn.
@@ -25,8 +27,96 @@ Shifts = tuple[tuple[int, int, int], ...]
 MOST = 5000
 
 
-def _md5_value(slot: Column, pos: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat_ws(":", slot, pos).cast("binary")), 1, 15), 16, 10).cast("long")
+#: Positions that MD5 takes at once: arrays of this length stay in a core's cache.
+LANES = 1 << 14
+_MD5_ADD = [int(abs(math.sin(i + 1)) * (1 << 32)) for i in range(64)]
+_MD5_TURN = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def _md5_block(text: np.ndarray) -> np.ndarray:
+    """The first 60 bits of the MD5 of texts of one length, under 56 bytes: a row of bytes each."""
+    n, length = text.shape
+    block = np.zeros((n, 4 * (length // 4 + 1)), np.uint8)
+    block[:, :length], block[:, length] = text, 0x80
+    word = dict(enumerate(np.ascontiguousarray(block.view("<u4").T)))
+    a, b, c, d = (np.full(n, x, np.uint32) for x in _MD5_START)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += np.uint32(_MD5_ADD[i] + (8 * length if g == 14 else 0) & 0xFFFFFFFF)
+        if g in word:
+            f += word[g]
+        f = f << np.uint32(_MD5_TURN[i]) | f >> np.uint32(32 - _MD5_TURN[i])
+        f += b
+        a, b, c, d = d, f, b, c
+    a += np.uint32(_MD5_START[0])
+    b += np.uint32(_MD5_START[1])
+    return (a.byteswap().astype(np.int64) << 28) | (b.byteswap() >> np.uint32(4)).astype(np.int64)
+
+
+def _md5_values(slots: int, pos: np.ndarray) -> Iterator[np.ndarray]:
+    """For one slot after another, the first 60 bits of MD5 of `slot:position`; positions rise."""
+    runs = []
+    cuts = np.searchsorted(pos, [0, *(10**i for i in range(1, 19)), np.iinfo(np.int64).max], side="left").tolist()
+    cuts[-1] = len(pos)
+    for digits, (lo, hi) in enumerate(zip(cuts, cuts[1:]), 1):
+        for a in range(lo, hi, LANES):
+            left, text = pos[a : min(a + LANES, hi)], np.empty((min(a + LANES, hi) - a, digits), np.uint8)
+            for i in range(digits - 1, -1, -1):
+                left, text[:, i] = left // 10, left % 10 + 48
+            runs.append(text)
+    for slot in range(slots):
+        head = np.frombuffer(f"{slot}:".encode(), np.uint8)
+        yield np.concatenate([_md5_block(np.hstack([np.broadcast_to(head, (len(t), len(head))), t])) for t in runs])
+
+
+def _md5_minima(slots: int):
+    """Packed filters (exp_id, word_idx, word) in the order of word_idx to the minima of each experiment of a task. A
+    position that many filters have is hashed once; of its values, those alone that may be a filter's least are held
+    against the filters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best = {}, np.zeros((0, slots), np.int64)
+
+        def put():
+            low, names = best[: len(at)], pa.array(list(at), pa.string())
+            rows = pa.array(np.repeat(np.arange(len(at)), slots))
+            return pa.record_batch([names.take(rows), pa.array(np.tile(np.arange(slots, dtype=np.int32), len(at))), pa.array(low.ravel())], ["exp_id", "hash_ix", "val"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            names = batch.column(0).dictionary_encode()
+            ids = np.array([at.setdefault(n, len(at)) for n in names.dictionary.to_pylist()])
+            if len(at) > len(best):
+                best = np.concatenate([best, np.full((len(at), slots), np.iinfo(np.int64).max)])
+            exp, place, word = ids[np.asarray(names.indices)], np.asarray(batch.column(1)).astype(np.int64), np.asarray(batch.column(2))
+            first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            held = np.diff(np.append(first, len(place)))
+            union = np.bitwise_or.reduceat(word, first).astype("<i8")
+            of, bit = np.nonzero(np.unpackbits(union.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            for slot, value in enumerate(_md5_values(slots, place[first][of] * 64 + bit)):
+                near = np.flatnonzero(value < best[ids, slot].max())
+                n = held[of[near]]
+                row = np.repeat(first[of[near]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                near = np.repeat(near, n)
+                has = word[row] >> bit[near] & 1 == 1
+                np.minimum.at(best[:, slot], exp[row[has]], value[near[has]])
+            if len(at) > MOST:
+                yield put()
+                at, best = {}, best[:0]
+        if at:
+            yield put()
+
+    return run
 
 
 def _xorshift(slot: int, pos: np.ndarray, seed: int, shifts: Shifts) -> np.ndarray:
@@ -71,11 +161,11 @@ def sketches(bits: DataFrame, slots: int = 100, family: str = "linear", seed: in
     if family == "xorshift":
         rows = bits.select("exp_id", "pos").mapInArrow(_xorshift_minima(slots, seed, shifts), "exp_id string, hash_ix int, val long")
         return rows.groupBy("exp_id", "hash_ix").agg(F.min("val").alias("val"))
-    # one aggregate a slot: nothing is exploded
     if family == "md5":
-        values = [_md5_value(F.lit(i), F.col("pos")) for i in range(slots)]
-    else:
-        values = [(F.col("pos") % PRIME * F.lit(a).cast("long") + b) % PRIME for a, b in coefficients(slots)]
+        rows = packed(bits).repartition("word_idx").sortWithinPartitions("word_idx").mapInArrow(_md5_minima(slots), "exp_id string, hash_ix int, val long")
+        return rows.groupBy("exp_id", "hash_ix").agg(F.min("val").alias("val"))
+    # one aggregate a slot: nothing is exploded
+    values = [(F.col("pos") % PRIME * F.lit(a).cast("long") + b) % PRIME for a, b in coefficients(slots)]
     mins = bits.groupBy("exp_id").agg(*(F.min(v).alias(f"v{i}") for i, v in enumerate(values)))
     pairs = F.array(*(F.struct(F.lit(i).alias("hash_ix"), F.col(f"v{i}").alias("val")) for i in range(slots)))
     return mins.select("exp_id", F.explode(pairs).alias("s")).select("exp_id", "s.*")

@@ -1,5 +1,6 @@
 """Bounded memory: blocks of windows and of node words, the greedy topology of large filters; sketches by word."""
 
+import hashlib
 import tracemalloc
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from kmerloom.functions import kmers
-from kmerloom.operators import tree
+from kmerloom.operators import minhash, tree
 
 
 def peak(run) -> float:
@@ -57,3 +58,26 @@ def test_greedy_of_large_filters_is_that_of_small_ones(spark, monkeypatch, kind)
     monkeypatch.setattr(tree, "GREEDY_BYTES", 10)
     monkeypatch.setattr(tree, "CELLS", 100)
     assert [tree.greedy(b, 700, kind, n).rows() for b, n in cases] == want
+
+
+@pytest.mark.parametrize("most", [1, 5000])
+def test_md5_hashes_a_position_of_many_filters_once(spark, monkeypatch, most):
+    """Minima against plain MD5, over batches that cut a word, and how many positions were hashed."""
+    rng = np.random.default_rng(5)
+    leaves = {f"e{i}": np.flatnonzero(rng.random(1500) < 0.6) for i in range(8)} | {"far": np.array([5, 63, 10**9, 10**9 + 7])}
+    rows = sorted({(int(p) // 64, n) for n, s in leaves.items() for p in s})
+    words = [(n, w, np.bitwise_or.reduce([np.uint64(1) << np.uint64(p % 64) for p in leaves[n] if p // 64 == w]).astype(np.int64)) for w, n in rows]
+    batches = [pa.record_batch([pa.array(c) for c in ([x[0] for x in part], pa.array([x[1] for x in part], pa.int32()), [int(x[2]) for x in part])], ["exp_id", "word_idx", "word"]) for part in (words[:101], words[101:], words[:0])]
+    monkeypatch.setattr(minhash, "LANES", 100)
+    monkeypatch.setattr(minhash, "MOST", most)
+    hashed, plain = [], minhash._md5_block
+    monkeypatch.setattr(minhash, "_md5_block", lambda text: hashed.append(len(text)) or plain(text))
+    got = {}
+    for b in minhash._md5_minima(12)(iter(batches)):
+        for r in b.to_pylist():
+            got[r["exp_id"], r["hash_ix"]] = min(r["val"], got.get((r["exp_id"], r["hash_ix"]), 1 << 62))
+    value = lambda slot, p: int(hashlib.md5(f"{slot}:{p}".encode()).hexdigest()[:15], 16)
+    assert got == {(n, i): min(value(i, p) for p in s) for n, s in leaves.items() for i in range(12)}
+    assert sum(hashed) <= 12 * (len(set().union(*map(set, leaves.values()))) + 64)
+    bits = spark.createDataFrame([(n, int(p)) for n, s in leaves.items() for p in s], "exp_id string, pos long")
+    assert {(r.exp_id, r.hash_ix): r.val for r in minhash.sketches(bits, 12, "md5").collect()} == got
