@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 from kmerloom.functions import kmers
-from kmerloom.operators import minhash, tree
+from kmerloom.operators import filters, minhash, tree
+from kmerloom.plans.spec import HashSpec
 
 
 def peak(run) -> float:
@@ -81,3 +82,14 @@ def test_md5_hashes_a_position_of_many_filters_once(spark, monkeypatch, most):
     assert sum(hashed) <= 12 * (len(set().union(*map(set, leaves.values()))) + 64)
     bits = spark.createDataFrame([(n, int(p)) for n, s in leaves.items() for p in s], "exp_id string, pos long")
     assert {(r.exp_id, r.hash_ix): r.val for r in minhash.sketches(bits, 12, "md5").collect()} == got
+
+
+def test_linear_sketches_need_no_distinct_positions(spark):
+    """Positions that repeat give the same sketches, and none of them is shuffled: one aggregate is left."""
+    reads = spark.createDataFrame([(f"e{i % 3}", "ACGTTGCA" * 9 + "ACCGT" * i) for i in range(9)] + [("e1", None), (None, "ACGT" * 9)], "exp_id string, seq string")
+    spec = HashSpec(k=12, m=512)
+    sketch = [minhash.sketches(filters.filter_bits(reads, spec, 1, distinct=d), 8) for d in (True, False)]
+    plan = sketch[1]._jdf.queryExecution().executedPlan().toString()  # as planned: a run would add the final plan
+    a, b = (sorted(map(tuple, x.collect())) for x in sketch)
+    assert a == b and len(a) == 24
+    assert plan.count("Exchange hashpartitioning(") == 1
