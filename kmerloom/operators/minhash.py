@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import PRIME
-from kmerloom.operators.filters import packed
+from kmerloom.operators.filters import packed, unpacked
 from kmerloom.plans.shared import stored
 
 #: Full-period shift triples of 64-bit xorshift generators, from the published list; slots take them in turn.
@@ -79,9 +79,13 @@ def _md5_values(slots: int, pos: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _md5_minima(slots: int):
-    """Packed filters (exp_id, word_idx, word) in the order of word_idx to the minima of each experiment of a task. A
-    position that many filters have is hashed once; of its values, those alone that may be a filter's least are held
-    against the filters."""
+    return _word_minima(slots, lambda pos: _md5_values(slots, pos))
+
+
+def _word_minima(slots: int, values):
+    """Packed filters (exp_id, word_idx, word) in the order of word_idx to the minima of each experiment of a task; values
+    gives those of rising positions for one slot after another. A position that many filters have is hashed once; of its
+    values, those alone that may be a filter's least are held against the filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, best = {}, np.zeros((0, slots), np.int64)
@@ -103,7 +107,7 @@ def _md5_minima(slots: int):
             held = np.diff(np.append(first, len(place)))
             union = np.bitwise_or.reduceat(word, first).astype("<i8")
             of, bit = np.nonzero(np.unpackbits(union.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            for slot, value in enumerate(_md5_values(slots, place[first][of] * 64 + bit)):
+            for slot, value in enumerate(values(place[first][of] * 64 + bit)):
                 near = np.flatnonzero(value < best[ids, slot].max())
                 n = held[of[near]]
                 row = np.repeat(first[of[near]] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -147,23 +151,33 @@ def _xorshift_minima(slots: int, seed: int, shifts: Shifts):
     return run
 
 
+def _xorshift_values(slots: int, seed: int, shifts: Shifts, pos: np.ndarray) -> Iterator[np.ndarray]:
+    """For one slot after another the values of positions, signed with the top bit flipped."""
+    for slot in range(slots):
+        yield (_xorshift(slot, pos.astype(np.uint64), seed, shifts) ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def coefficients(slots: int) -> list[tuple[int, int]]:
     """Factor and summand of each slot's linear hash modulo PRIME."""
     return [(pow(48271, 7 * s + 3, PRIME), pow(69621, 5 * s + 2, PRIME)) for s in range(slots)]
 
 
-def sketches(bits: DataFrame, slots: int = 100, family: str = "linear", seed: int = 0, shifts: Shifts = SHIFTS) -> DataFrame:
+def sketches(bits: DataFrame, slots: int = 100, family: str = "linear", seed: int = 0, shifts: Shifts = SHIFTS, dealt: bool = False) -> DataFrame:
     """(exp_id, hash_ix, val): the least hash of each slot over the filter's positions.
 
     linear: (pos * a + b) modulo a prime, with a and b of the slot; md5: of slot and position; xorshift: 64 bits, by the
-    shift triples given, which slots take in turn.
+    shift triples given, which slots take in turn. md5, and xorshift of packed filters, hash a position once for all
+    filters of a task that have it; dealt: the filters are packed and dealt by word, as filter_words() does.
     """
+    by_word = lambda minima: (packed(bits) if dealt else packed(bits).repartition("word_idx").sortWithinPartitions("word_idx")).mapInArrow(minima, "exp_id string, hash_ix int, val long").groupBy("exp_id", "hash_ix").agg(F.min("val").alias("val"))
+    if family == "xorshift" and "word" in bits.columns:
+        return by_word(_word_minima(slots, lambda pos: _xorshift_values(slots, seed, shifts, pos)))
     if family == "xorshift":
         rows = bits.select("exp_id", "pos").mapInArrow(_xorshift_minima(slots, seed, shifts), "exp_id string, hash_ix int, val long")
         return rows.groupBy("exp_id", "hash_ix").agg(F.min("val").alias("val"))
     if family == "md5":
-        rows = packed(bits).repartition("word_idx").sortWithinPartitions("word_idx").mapInArrow(_md5_minima(slots), "exp_id string, hash_ix int, val long")
-        return rows.groupBy("exp_id", "hash_ix").agg(F.min("val").alias("val"))
+        return by_word(_md5_minima(slots))
+    bits = unpacked(bits) if "word" in bits.columns else bits
     # one aggregate a slot: nothing is exploded
     values = [(F.col("pos") % PRIME * F.lit(a).cast("long") + b) % PRIME for a, b in coefficients(slots)]
     mins = bits.groupBy("exp_id").agg(*(F.min(v).alias(f"v{i}") for i, v in enumerate(values)))

@@ -6,9 +6,11 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers
-from kmerloom.operators import filters, minhash, tree
+from kmerloom.operators import filters, frames, minhash, query, tree
+from kmerloom.plans.index import Index
 from kmerloom.plans.spec import HashSpec
 
 
@@ -93,3 +95,100 @@ def test_linear_sketches_need_no_distinct_positions(spark):
     a, b = (sorted(map(tuple, x.collect())) for x in sketch)
     assert a == b and len(a) == 24
     assert plan.count("Exchange hashpartitioning(") == 1
+
+
+@pytest.mark.parametrize("m", [1, 700, 1 << 16, 1 << 27])
+def test_packed_reads_are_those_of_rows(spark, monkeypatch, m):
+    """Packed filters by frames against rows of positions, with frames of few positions, batches of few words, offsets of
+    under and over two bytes, one hash and three."""
+    monkeypatch.setattr(frames, "MOST", 500)
+    monkeypatch.setattr(frames, "WORDS", 50)
+    rng = np.random.default_rng(m)
+    text = lambda n: np.frombuffer(b"ACGTN", np.uint8)[rng.choice(5, n, p=[0.245] * 4 + [0.02])].tobytes().decode()
+    rows = [(f"e{i % 4}", text(n)) for i, n in enumerate([0, 3, 19, 20, 400, 900, 2500, 900])]
+    reads = spark.createDataFrame(rows + rows[5:7] + [("e0", None), (None, text(300)), ("none", "ACGT")], "exp_id string, seq string")
+    for nh, cutoff, family in ((1, 1, "universal"), (3, 1, "universal"), (2, 2, "universal"), (2, 1, "xxhash64")):
+        spec = HashSpec(k=20, nh=nh, m=m, family=family)
+        want = sorted(map(tuple, filters.packed(filters.filter_bits(reads, spec, cutoff)).collect()))
+        assert sorted(map(tuple, filters.filter_words(reads, spec, cutoff).collect())) == want and want
+    first = lambda bits: sorted(map(tuple, filters.first_bits(bits, 7).collect()))
+    assert first(filters.filter_words(reads, spec, 1)) == first(filters.filter_bits(reads, spec, 1))
+
+
+def test_positions_travel_in_frames(spark):
+    """Positions are neither rows nor shuffled as rows: four million letters are a frame an experiment and block."""
+    data = np.frombuffer(b"ACGT", np.uint8)[np.random.default_rng(3).integers(0, 4, 4_000_000)].tobytes().decode()
+    batches = lambda: iter([pa.record_batch([pa.array(["a", "b"]), pa.array([data[:2_000_000], data[2_000_000:]])], ["exp_id", "seq"])])
+    spec, got = HashSpec(k=20, m=1 << 22), []
+    bits = frames.block_bits(spec.m)
+    assert peak(lambda: got.extend(frames.framed(kmers.placed(batches(), spec), bits))) < 200
+    held = sum(b.nbytes for b in got)
+    assert sum(len(b) for b in got) <= 2 * 2 * frames.BLOCKS and held < 2.2 * 4_000_000
+    words = []
+    assert peak(lambda: words.extend(frames._worded(bits)(iter([pa.concat_batches(got).sort_by([("block", "ascending"), ("exp_id", "ascending")])])))) < 64
+    ones = sum(int(np.bitwise_count(np.asarray(b.column(2)).view(np.uint64)).sum()) for b in words)
+    assert ones == sum(len(set(frames_of.tolist())) for frames_of in (np.concatenate([p for e, r, p in kmers.placed(iter([next(batches()).slice(i, 1)]), spec)]) for i in range(2)))
+
+
+def test_sieve_drops_what_no_query_asks(spark):
+    """Positions and k-mers that nobody asks for stay in Python; the answers are those without a sieve."""
+    rng = np.random.default_rng(7)
+    data = np.frombuffer(b"ACGT", np.uint8)[rng.integers(0, 4, 60_000)].tobytes().decode()
+    reads = spark.createDataFrame([("a", data), ("b", data[30_000:] + data[:100]), ("c", "ACGT" * 30), (None, data)], "exp_id string, seq string")
+    asked = spark.createDataFrame([(data[500:900],), (data[40_000:40_300],), ("ACGT" * 30,)], "seq string")
+    want = kmers.windows(asked, "seq", 20).select("kmer")
+    only = want.select(F.explode(kmers.positions(F.col("kmer"), HashSpec(k=20, nh=2, m=1 << 25))).alias("pos"))
+    spec = HashSpec(k=20, nh=2, m=1 << 25)
+    flat = filters.filter_bits(reads, spec, 1).join(only.distinct(), "pos", "left_semi").select("exp_id", "pos")
+    assert sorted(map(tuple, filters.filter_bits(reads, spec, 1, only).collect())) == sorted(map(tuple, flat.collect()))
+    near = kmers.near_positions(reads, spec, kmers.position_sieve(only)).count()
+    assert flat.count() <= near < 4_000
+    every = filters.kmer_counts(reads, 20).join(want.distinct(), "kmer", "left_semi").select("exp_id", "kmer", "n")
+    assert sorted(map(tuple, filters.kmer_counts(reads, 20, want).select("exp_id", "kmer", "n").collect())) == sorted(map(tuple, every.collect()))
+    assert every.count() <= kmers.counted(reads, 20, kmers.kmer_sieve(want)).count() < 4_000
+
+
+def test_xorshift_of_packed_filters_is_that_of_positions(spark):
+    rng = np.random.default_rng(9)
+    bits = spark.createDataFrame([(f"e{i}", int(p)) for i in range(4) for p in np.flatnonzero(rng.random(3000) < 0.2 * i)], "exp_id string, pos long")
+    got = [sorted(map(tuple, minhash.sketches(b, 12, "xorshift").collect())) for b in (bits, filters.packed(bits))]
+    assert got[0] == got[1] and len(got[0]) == 36
+
+
+@pytest.mark.parametrize("m", [50, 1000, 1 << 14])
+def test_stored_filters_are_packed(spark, tmp_path, m):
+    """An index has a row a word, whatever its parts, and answers as rows of positions do; filters come back from nodes."""
+    reads = spark.createDataFrame([(f"e{i % 5}", "ACGTTGCAAG" * 3 + "ACCGT" * (i % 7) + "TTGAC" * (i % 4)) for i in range(20)], "exp_id string, seq string")
+    spec = HashSpec(k=11, nh=2, m=m, parts=8)
+    flat = filters.filter_bits(reads, spec, 1)
+    index = Index.create(reads, spec, str(tmp_path / "i"), 1)
+    assert index.packs.count() == filters.packed(flat).count() < flat.count()
+    assert sorted(map(tuple, index.bits.select("exp_id", "pos").collect())) == sorted(map(tuple, flat.collect()))
+    q = spark.createDataFrame([("q", "ACGTTGCAAGACG", 0.3), ("r", "TTGACTTGACTTGAC", 0.9)], "query_id string, seq string, theta float")
+    want = sorted(map(tuple, query.threshold_query(q, flat, spec).collect()))
+    assert all(sorted(map(tuple, query.threshold_query(q, i, spec).collect())) == want for i in (index.packs, index.bits, filters.packed(flat))) and want
+    index.build(tree.balanced([f"e{i}" for i in range(5)])).compress()
+    assert sorted(map(tuple, tree.rebuilt(index.tree, index.words).collect())) == sorted(map(tuple, flat.collect()))
+
+
+def test_words_as_dealt_need_no_shuffle(spark, monkeypatch):
+    """Pairs, nodes, siblings and sketches of packed filters as they are dealt, against those of rows of positions."""
+    monkeypatch.setattr(filters, "PAIR_ROWS", 40)
+    monkeypatch.setattr(filters, "PAIR_WORDS", 3)
+    rng = np.random.default_rng(11)
+    text = lambda n: np.frombuffer(b"ACGT", np.uint8)[rng.integers(0, 4, n)].tobytes().decode()
+    reads = spark.createDataFrame([(f"e{i % 7}", text(300)) for i in range(21)] + [("e9", "ACGT" * 9)], "exp_id string, seq string")
+    spec = HashSpec(k=12, m=3000)
+    flat, packs = filters.filter_bits(reads, spec, 1), filters.filter_words(reads, spec, 1)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(filters.pair_counts(packs, dealt=True)) == rows(filters.pair_counts(flat)) and filters.pair_counts(flat).count() == 28
+    held = {e: {r.pos for r in flat.collect() if r.exp_id == e} for e in [*(f"e{i}" for i in range(7)), "e9"]}
+    assert {(r.a, r.b): (r.n1, r.n2, r.n12) for r in filters.pair_counts(packs, True).collect()} == {(a, b): (len(x), len(y), len(x & y)) for a, x in held.items() for b, y in held.items() if a < b}
+    t = tree.tree_table(spark, tree.balanced(sorted(held)))
+    nodes = tree.node_words(t, flat)
+    assert rows(tree.node_words(t, packs, dealt=True)) == rows(nodes)
+    kids = t.where("parent_id IS NOT NULL").groupBy("parent_id").agg(*(F.max(F.when(F.col("child_ix") == i, F.col("node_id"))).alias(c) for i, c in enumerate("ab"))).select("a", "b")
+    assert rows(tree.sibling_counts(t, packs, dealt=True).select("a", "b", *filters.SPLIT)) == rows(filters.split_pair_counts(kids, nodes).select("a", "b", *filters.SPLIT))
+    assert rows(minhash.sketches(packs, 8, "md5", dealt=True)) == rows(minhash.sketches(flat, 8, "md5"))
+    with pytest.raises(Exception, match="dealt and in order"):
+        tree.node_words(t, filters.packed(flat).coalesce(1).orderBy(F.desc("word_idx")), dealt=True).collect()
