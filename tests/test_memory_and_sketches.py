@@ -192,3 +192,18 @@ def test_words_as_dealt_need_no_shuffle(spark, monkeypatch):
     assert rows(minhash.sketches(packs, 8, "md5", dealt=True)) == rows(minhash.sketches(flat, 8, "md5"))
     with pytest.raises(Exception, match="dealt and in order"):
         tree.node_words(t, filters.packed(flat).coalesce(1).orderBy(F.desc("word_idx")), dealt=True).collect()
+
+
+def test_first_bits_of_dealt_filters_pass_on_few_words(spark, monkeypatch):
+    """Of filters in the order of word a task passes on n words an experiment, over batches that cut a word and an experiment."""
+    rng = np.random.default_rng(7)
+    rows = [(f"e{e}", w, int(rng.integers(1, 1 << 62))) for w in range(60) for e in range(5) if rng.random() < (e + 1) / 6]
+    batch = lambda part: pa.record_batch([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.int64())], ["exp_id", "word_idx", "word"])
+    got = [tuple(r.values()) for b in filters._first_words(4)(iter([batch(rows[:37]), batch([]), batch(rows[37:90]), batch(rows[90:])])) for r in b.to_pylist()]
+    assert got == [r for i, r in enumerate(rows) if sum(q[0] == r[0] for q in rows[:i]) < 4]
+    reads = spark.createDataFrame([(f"e{i % 3}", "".join("ACGT"[j] for j in rng.integers(0, 4, 3000))) for i in range(9)], "exp_id string, seq string")
+    spec = HashSpec(k=20, m=1 << 16)
+    monkeypatch.setattr(frames, "WORDS", 50)
+    words = filters.filter_words(reads, spec, 1)
+    first = lambda **how: sorted(map(tuple, filters.first_bits(words, 30, **how).collect()))
+    assert first(dealt=True) == first() and len(first()) == 90
