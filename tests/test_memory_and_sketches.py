@@ -207,3 +207,36 @@ def test_first_bits_of_dealt_filters_pass_on_few_words(spark, monkeypatch):
     words = filters.filter_words(reads, spec, 1)
     first = lambda **how: sorted(map(tuple, filters.first_bits(words, 30, **how).collect()))
     assert first(dealt=True) == first() and len(first()) == 90
+
+
+def test_dealt_filters_are_stored_without_another_shuffle(spark, monkeypatch, tmp_path):
+    """Tasks that make an index's words write them; parts, order in files and words are as by ranges."""
+    rng = np.random.default_rng(8)
+    reads = spark.createDataFrame([(f"e{i % 3}", "".join("ACGT"[j] for j in rng.integers(0, 4, 2000))) for i in range(9)], "exp_id string, seq string")
+    spec = HashSpec(k=20, m=1 << 15, parts=8)
+    ranged = Index.of(filters.filter_words(reads, spec, 1), spec, f"{tmp_path}/a").packs
+    want = sorted(map(tuple, ranged.select("exp_id", "word_idx", "word", "part").collect()))
+    monkeypatch.setattr(type(reads), "repartitionByRange", lambda *a: pytest.fail("filters are dealt anew"))
+    packs = Index.create(reads, spec, f"{tmp_path}/b", cutoff=1).packs
+    assert sorted(map(tuple, packs.select("exp_id", "word_idx", "word", "part").collect())) == want and want
+    in_files = {}
+    for r in packs.select(F.input_file_name().alias("f"), "word_idx", "exp_id").collect():
+        in_files.setdefault(r.f, []).append((r.word_idx, r.exp_id))
+    assert all(rows == sorted(rows) for rows in in_files.values())
+
+
+def test_roundtrip_counts_by_word(spark):
+    """Filters, what nodes give back and what both have, against sets of positions; a node that lost bits, and one with bits of no filter."""
+    rng = np.random.default_rng(9)
+    rows = [(f"e{i}", int(p)) for i in range(5) for p in np.flatnonzero(rng.random(900) < 0.4)] + [("e5", 63)]
+    bits = spark.createDataFrame(rows, "exp_id string, pos long")
+    t = tree.tree_table(spark, tree.balanced([f"e{i}" for i in range(6)]))
+    words = tree.node_words(t, bits)
+    hurt = words.withColumn("sim", F.when(F.col("node_id") == "e0", F.col("sim").bitwiseAND(F.lit(-256).cast("long"))).when(F.col("node_id") == "e5", F.lit(5).cast("long")).otherwise(F.col("sim")))
+    have = {n: {p for e, p in rows if e == n} for n in (f"e{i}" for i in range(6))}
+    for w in (words, hurt):
+        back = {n: set() for n in have}
+        for r in tree.rebuilt(t, w).collect():
+            back[r.exp_id].add(r.pos)
+        assert {r.exp_id: (r.ones, r.rebuilt, r.same) for r in tree.roundtrip(t, w, bits).collect()} == {n: (len(have[n]), len(back[n]), len(have[n] & back[n])) for n in have}
+    assert back != have
