@@ -240,3 +240,24 @@ def test_roundtrip_counts_by_word(spark):
             back[r.exp_id].add(r.pos)
         assert {r.exp_id: (r.ones, r.rebuilt, r.same) for r in tree.roundtrip(t, w, bits).collect()} == {n: (len(have[n]), len(back[n]), len(have[n] & back[n])) for n in have}
     assert back != have
+
+
+def dealt_case(spark, seed):
+    """(filters as rows of positions, the same dealt, a topology, two experiments of which are not in the filters or not in it)."""
+    rng = np.random.default_rng(seed)
+    text = lambda n: np.frombuffer(b"ACGT", np.uint8)[rng.integers(0, 4, n)].tobytes().decode()
+    reads = spark.createDataFrame([(f"e{i % 5}", text(400)) for i in range(15)] + [("e9", "ACGT" * 9), ("x", text(50)), (None, text(90))], "exp_id string, seq string")
+    spec = HashSpec(k=12, m=5000)
+    t = tree.tree_table(spark, tree.balanced(["e0", "e1", "e2", "e3", "e4", "e9", "none"]))
+    return filters.filter_bits(reads, spec, 1), filters.filters_dealt(reads, spec, 1), t
+
+
+def test_pairs_are_counted_where_words_are_made(spark, monkeypatch):
+    """Words of dealt filters are no rows: one Python step makes and counts them."""
+    flat, dealt, _ = dealt_case(spark, 21)
+    monkeypatch.setattr(type(dealt), "words", lambda self: pytest.fail("words are rows"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(filters.pair_counts(dealt)) == rows(filters.pair_counts(flat)) and filters.pair_counts(dealt).count() == 21
+    assert rows(filters.first_bits(dealt, 9)) == rows(filters.first_bits(flat, 9))
+    plan = dealt.through(filters._pairs, "a string, b string, n long")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2
