@@ -261,3 +261,17 @@ def test_pairs_are_counted_where_words_are_made(spark, monkeypatch):
     assert rows(filters.first_bits(dealt, 9)) == rows(filters.first_bits(flat, 9))
     plan = dealt.through(filters._pairs, "a string, b string, n long")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 2
+
+
+def test_nodes_of_one_kind_and_their_counts_are_made_with_the_words(spark, monkeypatch):
+    """Rows of the kind that is not asked for never leave Python, in batches of few rows; experiments that the topology lacks, and
+    leaves without a filter."""
+    flat, dealt, t = dealt_case(spark, 22)
+    monkeypatch.setattr(type(dealt), "words", lambda self: pytest.fail("words are rows"))
+    monkeypatch.setattr(tree, "ROWS", 7)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    nodes = tree.node_words(t, flat).cache()
+    assert rows(tree.node_words(t, dealt)) == rows(nodes)
+    for kind in ("sim", "dif"):
+        got = tree.node_words(t, dealt, kinds=(kind,))
+        assert got.where(f"{kind} = 0").isEmpty() and rows(got) == rows(nodes.where(f"{kind} <> 0").select("node_id", "word_idx", kind)) != []
