@@ -275,3 +275,14 @@ def test_nodes_of_one_kind_and_their_counts_are_made_with_the_words(spark, monke
     for kind in ("sim", "dif"):
         got = tree.node_words(t, dealt, kinds=(kind,))
         assert got.where(f"{kind} = 0").isEmpty() and rows(got) == rows(nodes.where(f"{kind} <> 0").select("node_id", "word_idx", kind)) != []
+
+
+def test_sizes_are_counted_where_nodes_are_made(spark, monkeypatch):
+    """Neither the filters' nor the nodes' words are rows; a node without a bit still has its size."""
+    flat, dealt, t = dealt_case(spark, 23)
+    monkeypatch.setattr(type(dealt), "words", lambda self: pytest.fail("words are rows"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    ones = tree.node_ones(t, dealt)
+    assert ones._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    assert rows(tree.sizes_of(t, ones, 5000)) == rows(tree.node_sizes(t, tree.node_words(t, flat), 5000))
+    assert tree.sizes_of(t, ones, 5000).count() == 13
