@@ -286,3 +286,18 @@ def test_sizes_are_counted_where_nodes_are_made(spark, monkeypatch):
     assert ones._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
     assert rows(tree.sizes_of(t, ones, 5000)) == rows(tree.node_sizes(t, tree.node_words(t, flat), 5000))
     assert tree.sizes_of(t, ones, 5000).count() == 13
+
+
+def test_pairs_of_a_stored_index_make_no_nodes(spark, tmp_path, monkeypatch):
+    """What reads the filters of an index alone has no nodes written; the first query that needs them writes them, once."""
+    from kmerloom.plans import catalogue
+
+    rng = np.random.default_rng(25)
+    text = lambda n: "".join("abcdefgh"[j] for j in rng.integers(0, 8, n))
+    spark.createDataFrame([(i, f"s{i % 3}", text(90)) for i in range(9)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    written, write = [], Index.compress
+    monkeypatch.setattr(Index, "compress", lambda self: written.append(self.path) or write(self))
+    got = catalogue.QUERIES["index_similarity"](spark, str(tmp_path)).count()
+    assert got == 3 and not written
+    assert all(catalogue.QUERIES["leaf_roundtrip"](spark, str(tmp_path)).where("ones = same").count() == 3 for _ in range(2))
+    assert catalogue.QUERIES["index_similarity"](spark, str(tmp_path)).count() == 3 and len(written) == 1
