@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import PRIME
-from kmerloom.operators.filters import packed, unpacked
+from kmerloom.operators.filters import by_word, unpacked
+from kmerloom.operators.frames import Dealt
 from kmerloom.plans.shared import stored
 
 #: Full-period shift triples of 64-bit xorshift generators, from the published list; slots take them in turn.
@@ -29,6 +30,8 @@ MOST = 5000
 
 #: Positions that MD5 takes at once: arrays of this length stay in a core's cache.
 LANES = 1 << 14
+#: Rows of packed filters whose positions are held against the minima at once.
+ROWS = 1 << 13
 _MD5_ADD = [int(abs(math.sin(i + 1)) * (1 << 32)) for i in range(64)]
 _MD5_TURN = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
 _MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
@@ -95,9 +98,7 @@ def _word_minima(slots: int, values):
             rows = pa.array(np.repeat(np.arange(len(at)), slots))
             return pa.record_batch([names.take(rows), pa.array(np.tile(np.arange(slots, dtype=np.int32), len(at))), pa.array(low.ravel())], ["exp_id", "hash_ix", "val"])
 
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             names = batch.column(0).dictionary_encode()
             ids = np.array([at.setdefault(n, len(at)) for n in names.dictionary.to_pylist()])
             if len(at) > len(best):
@@ -162,21 +163,22 @@ def coefficients(slots: int) -> list[tuple[int, int]]:
     return [(pow(48271, 7 * s + 3, PRIME), pow(69621, 5 * s + 2, PRIME)) for s in range(slots)]
 
 
-def sketches(bits: DataFrame, slots: int = 100, family: str = "linear", seed: int = 0, shifts: Shifts = SHIFTS, dealt: bool = False) -> DataFrame:
+def sketches(bits: DataFrame | Dealt, slots: int = 100, family: str = "linear", seed: int = 0, shifts: Shifts = SHIFTS, dealt: bool = False) -> DataFrame:
     """(exp_id, hash_ix, val): the least hash of each slot over the filter's positions.
 
     linear: (pos * a + b) modulo a prime, with a and b of the slot; md5: of slot and position; xorshift: 64 bits, by the
     shift triples given, which slots take in turn. md5, and xorshift of packed filters, hash a position once for all
     filters of a task that have it; dealt: the filters are packed and dealt by word, as filter_words() does.
     """
-    by_word = lambda minima: (packed(bits) if dealt else packed(bits).repartition("word_idx").sortWithinPartitions("word_idx")).mapInArrow(minima, "exp_id string, hash_ix int, val long").groupBy("exp_id", "hash_ix").agg(F.min("val").alias("val"))
-    if family == "xorshift" and "word" in bits.columns:
-        return by_word(_word_minima(slots, lambda pos: _xorshift_values(slots, seed, shifts, pos)))
+    least = lambda minima: by_word(bits, dealt).through(minima, "exp_id string, hash_ix int, val long").groupBy("exp_id", "hash_ix").agg(F.min("val").alias("val"))
+    if family == "xorshift" and (isinstance(bits, Dealt) or "word" in bits.columns):
+        return least(_word_minima(slots, lambda pos: _xorshift_values(slots, seed, shifts, pos)))
     if family == "xorshift":
         rows = bits.select("exp_id", "pos").mapInArrow(_xorshift_minima(slots, seed, shifts), "exp_id string, hash_ix int, val long")
         return rows.groupBy("exp_id", "hash_ix").agg(F.min("val").alias("val"))
     if family == "md5":
-        return by_word(_md5_minima(slots))
+        return least(_md5_minima(slots))
+    bits = bits.words() if isinstance(bits, Dealt) else bits
     bits = unpacked(bits) if "word" in bits.columns else bits
     # one aggregate a slot: nothing is exploded
     values = [(F.col("pos") % PRIME * F.lit(a).cast("long") + b) % PRIME for a, b in coefficients(slots)]

@@ -301,3 +301,14 @@ def test_pairs_of_a_stored_index_make_no_nodes(spark, tmp_path, monkeypatch):
     assert got == 3 and not written
     assert all(catalogue.QUERIES["leaf_roundtrip"](spark, str(tmp_path)).where("ones = same").count() == 3 for _ in range(2))
     assert catalogue.QUERIES["index_similarity"](spark, str(tmp_path)).count() == 3 and len(written) == 1
+
+
+def test_minima_hold_few_rows_of_a_large_batch():
+    """A batch of 65,536 rows of twenty full filters, all of whose positions may be least at first."""
+    n = 1 << 16
+    batch = pa.record_batch([pa.array(np.array([f"e{i}" for i in range(20)], object)[np.arange(n) % 20], pa.string()), pa.array((np.arange(n) // 20).astype(np.int32)), pa.array(np.full(n, -1, np.int64))], ["exp_id", "word_idx", "word"])
+    values, got = lambda pos: minhash._xorshift_values(2, 0, minhash.SHIFTS, pos), []
+    assert peak(lambda: got.extend(minhash._word_minima(2, values)(iter([batch])))) < 100
+    pos = np.arange((n // 20) * 64)
+    want = [int(v.min()) for v in values(pos)]
+    assert [r["val"] for b in got for r in b.to_pylist() if r["exp_id"] == "e19"] == want
