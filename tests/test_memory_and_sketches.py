@@ -312,3 +312,13 @@ def test_minima_hold_few_rows_of_a_large_batch():
     pos = np.arange((n // 20) * 64)
     want = [int(v.min()) for v in values(pos)]
     assert [r["val"] for b in got for r in b.to_pylist() if r["exp_id"] == "e19"] == want
+
+
+def test_siblings_are_counted_where_words_are_made(spark, monkeypatch):
+    flat, dealt, t = dealt_case(spark, 24)
+    monkeypatch.setattr(type(dealt), "words", lambda self: pytest.fail("words are rows"))
+    rows = lambda df: sorted(map(tuple, df.select("a", "b", *filters.SPLIT).collect()))
+    kids = t.where("parent_id IS NOT NULL").groupBy("parent_id").agg(*(F.max(F.when(F.col("child_ix") == i, F.col("node_id"))).alias(c) for i, c in enumerate("ab"))).select("a", "b")
+    got = tree.sibling_counts(t, dealt)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    assert rows(got) == rows(filters.split_pair_counts(kids, tree.node_words(t, flat))) != []
