@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -205,8 +207,11 @@ def closest(dist: DataFrame) -> DataFrame:
     return dist.orderBy("d", "i", "j").limit(1)
 
 
-#: Members of a band's bucket that one join key holds; a larger bucket is cut into blocks that meet two by two.
-HOT_BAND = 256
+#: Members of a band's bucket that meet under one key; a larger bucket is cut into blocks, at most so many, that meet two by
+#: two.
+HOT_BAND, BLOCKS = 1024, 32
+#: Pairs that are held against each other at once, and that a batch of results has about.
+PAIRS = 1 << 16
 #: Share of the pairs at the stated similarity that a band's width must let through.
 RECALL = 0.99
 
@@ -219,29 +224,97 @@ def band_rows(slots: int, least: float, recall: float = RECALL) -> int:
     return rows
 
 
+def _agreeing(slots: int, rows: int, need: float):
+    """Members of bands' buckets (exp_id, band, sketch, key, p, q, second), in the order of key, p, q and second, to the pairs
+    (x, y, same) that agree in `need` slots at least, each from the first band that it has in common."""
+
+    def pairs(members: pa.Table) -> Iterator[pa.RecordBatch]:
+        n, done = len(members), []
+        names, band, second = members["exp_id"].combine_chunks(), np.asarray(members["band"]), np.asarray(members["second"])
+        vals = pc.list_flatten(members["sketch"]).combine_chunks()
+        has = np.ascontiguousarray(np.asarray(vals.is_valid()).reshape(n, slots).T) if vals.null_count else None
+        vals = np.ascontiguousarray(np.asarray(vals.fill_null(0)).reshape(n, slots).T)
+        key, p, q = (np.asarray(members[c]) for c in ("key", "p", "q"))
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+        size = np.diff(np.append(first, n))
+        end = np.repeat(first + size, size)
+        # a member of a block meets those after it; one of the first block of two, those of the second
+        begin = np.where(p == q, np.arange(n) + 1, np.where(second, end, np.repeat(first + np.add.reduceat(~second, first, dtype=np.int64), size)))
+
+        def put() -> pa.RecordBatch:
+            a, b, same = (np.concatenate(c) for c in zip(*done))
+            done.clear()
+            return pa.record_batch([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(same)], ["x", "y", "same"])
+
+        x = np.flatnonzero(begin < end)
+        y = begin[x]
+        while len(x):
+            for i in range(0, len(x), PAIRS):
+                a, b = x[i : i + PAIRS], y[i : i + PAIRS]
+                equal = vals[:, a] == vals[:, b]
+                if has is not None:
+                    equal &= has[:, a] & has[:, b]
+                same = equal.sum(0)
+                near = np.flatnonzero(same >= need)
+                common = equal[: slots // rows * rows, near].reshape(slots // rows, rows, len(near)).all(1)
+                near = near[common.any(0) & (common.argmax(0) == band[a[near]]) & (band[a[near]] == band[b[near]])]
+                if len(near):
+                    done.append((a[near], b[near], same[near]))
+            if sum(len(c[0]) for c in done) >= PAIRS:
+                yield put()
+            on = y + 1 < end[x]
+            x, y = x[on], y[on] + 1
+        if done:
+            yield put()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None  # members under the key that may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = [np.asarray(batch.column(c)) for c in ("key", "p", "q")]
+            now = tuple(int(c[-1]) for c in cols)
+            before = np.flatnonzero(np.any([c != x for c, x in zip(cols, now)], axis=0))
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if held and (cut or now != last):
+                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from pairs(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+            last = now
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
 def banded_pairs(sketch: DataFrame, slots: int, least: float, rows: int | None = None, hot: int = HOT_BAND) -> DataFrame:
     """(i, j, same) for pairs i > j of sketches that share a band of `rows` slots and agree in at least least * slots.
 
-    No row is made for a pair without a common band. Buckets of more than `hot` members, such as copies make, are cut into
-    blocks by hash, and every two blocks meet under a key of their own, so a frequent band is spread over the tasks; what
-    remains is a row a pair that it really has in common.
+    A sketch travels whole to the buckets of its bands, where pairs are held against each other and those that agree leave
+    the task: what is shuffled grows with the sketches, and no pair is. Buckets of more than `hot` members, such as copies
+    make, are cut into blocks by hash, and every two blocks meet under a key of their own, so a frequent band is spread over
+    the tasks; a member is repeated BLOCKS times at most. A slot that a sketch has not is equal to none.
     """
     rows = rows or band_rows(slots, least)
-    need = F.lit(least * slots)
-    band = F.floor(F.col("hash_ix") / rows).cast("int")
-    vals = F.transform(F.sort_array(F.collect_list(F.struct("hash_ix", "val"))), lambda x: x["val"])
-    signed = sketch.where(band < slots // rows).groupBy("exp_id", band.alias("band")).agg(vals.alias("key"))
-    members = signed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / hot).cast("int")
-    held = signed.join(members, ["band", "key"]).withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("exp_id"), F.ceil(F.col("n") / hot)).cast("int")})
-    lo = held.select("band", "key", F.col("exp_id").alias("x"), F.col("block").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("q"))
-    hi = held.select("band", "key", F.col("exp_id").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("p"), F.col("block").alias("q"))
-    met = lo.join(hi, ["band", "key", "p", "q"]).where("p < q AND x <> y OR p = q AND x > y")
-    pairs = met.select(F.greatest("x", "y").alias("i"), F.least("x", "y").alias("j")).distinct()
-    whole = sketch.groupBy("exp_id").agg(F.map_from_entries(F.collect_list(F.struct("hash_ix", "val"))).alias("m"))
-    both = pairs.join(whole.toDF("i", "mi"), "i").join(whole.toDF("j", "mj"), "j")
-    same = F.size(F.filter(F.map_keys("mi"), lambda k: F.element_at("mi", k) == F.element_at("mj", k)))
-    return both.select("i", "j", same.cast("long").alias("same")).where(F.col("same") >= need)
+    vals = [F.col(f"v{i}") for i in range(slots)]
+    whole = sketch.groupBy("exp_id").agg(*(F.max(F.when(F.col("hash_ix") == i, F.col("val"))).alias(f"v{i}") for i in range(slots)))
+    bands = [vals[i : i + rows] for i in range(0, slots // rows * rows, rows)]
+    keys = F.array(*(F.when(reduce(Column.__and__, (v.isNotNull() for v in band)), F.xxhash64(F.lit(b), *band)) for b, band in enumerate(bands)))
+    held = whole.select("exp_id", F.posexplode(keys).alias("band", "key"), F.array(*vals).alias("sketch")).where("key IS NOT NULL")
+    # one row for more than `hot` members
+    crowded = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    crowded = crowded.select("key", F.least(F.ceil(F.col("n") / hot), F.lit(BLOCKS)).cast("int").alias("blocks"))
+    dealt = held.join(F.broadcast(crowded), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("exp_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    p, q = F.least("block", "other"), F.greatest("block", "other")
+    met = dealt.select("exp_id", "band", "sketch", "key", p.alias("p"), q.alias("q"), (F.col("block") > F.col("other")).alias("second"))
+    exp = sketch.schema["exp_id"].dataType.simpleString()
+    sent = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "second")
+    pairs = sent.mapInArrow(_agreeing(slots, rows, least * slots), f"x {exp}, y {exp}, same long")
+    return pairs.select(F.greatest("x", "y").alias("i"), F.least("x", "y").alias("j"), "same")
 
 
 def nearest_merges(sketch: DataFrame, names: DataFrame, slots: int, least: float = 0.5, rounds: int = 40) -> DataFrame:

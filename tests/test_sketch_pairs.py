@@ -3,6 +3,7 @@
 import collections
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,79 @@ def test_no_row_without_a_common_band(spark):
     assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def by_definition(vectors, least, rows):
+    """Pairs with a whole band in common that agree in `least` slots; None is equal to nothing."""
+    want = {}
+    for a in vectors:
+        for b in vectors:
+            same = [x == y and x is not None for x, y in zip(vectors[a], vectors[b])]
+            if a > b and sum(same) >= least and any(all(same[i : i + rows]) for i in range(0, len(same) // rows * rows, rows)):
+                want[a, b] = sum(same)
+    return want
+
+
+def shuffled_rows(df):
+    """The rows of df and how many rows its shuffles wrote in all."""
+    rows, out = df.collect(), []
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(p.plan())
+        if name == "ShuffleExchangeExec":
+            out.append(p.metrics().apply("shuffleRecordsWritten").value())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return rows, sum(out)
+
+
+def test_no_pair_is_shuffled(spark):
+    """Half a million pairs have a band in common: what is shuffled grows with the sketches, whether or not a pair agrees."""
+    slots, n = 16, 500
+    v = {f"far{i:03d}": [1, 2, *range(100 * i + 10_000, 100 * i + 10_014)] for i in range(n)} | {f"copy{i:03d}": list(range(slots)) for i in range(n)}
+    v |= {f"half{i:03d}": [*range(5, 13), *range(100 * i + 90_000, 100 * i + 90_008)] for i in range(n)}
+    rows, shuffled = shuffled_rows(minhash.banded_pairs(frame(spark, v), slots, 0.5, 2))
+    assert len(rows) == 2 * n * (n - 1) // 2 and collections.Counter(r.same for r in rows) == {8: n * (n - 1) // 2, 16: n * (n - 1) // 2}
+    assert shuffled <= 3 * slots // 2 * len(v)
+
+
+def test_members_of_a_crowded_band_are_repeated_a_bounded_number_of_times(spark):
+    """Blocks get larger instead of more; every pair is found once."""
+    slots, v = 8, {f"copy{i:03d}": [7] * 8 for i in range(240)} | {f"near{i:03d}": [7] * 6 + [i, i] for i in range(240)}
+    rows, shuffled = shuffled_rows(minhash.banded_pairs(frame(spark, v), slots, 0.5, 2, 2))
+    assert {(r.i, r.j): r.same for r in rows} == by_definition(v, 4, 2) and len(rows) == 480 * 479 // 2
+    assert shuffled <= (minhash.BLOCKS + 3) * slots // 2 * len(v)
+
+
+def test_slots_that_are_missing_are_equal_to_none(spark):
+    random.seed(4)
+    v = {f"e{i:02d}": [None if random.random() < 0.3 else random.randrange(2) for _ in range(9)] for i in range(40)}
+    rows = [(n, i, x) for n, vec in v.items() for i, x in enumerate(vec) if x is not None]
+    got = minhash.banded_pairs(spark.createDataFrame(rows, "exp_id string, hash_ix int, val long"), 9, 4 / 9, 2).collect()
+    assert {(r.i, r.j): r.same for r in got} == by_definition(v, 4, 2) and len(got) > 20
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_buckets_over_several_batches(monkeypatch, size):
+    """Keys that batches cut, two blocks that meet, and two bands that have one key by chance; few pairs at once."""
+    monkeypatch.setattr(minhash, "PAIRS", 3)
+    vec = {f"n{i}": [1, 1, 2, 2] if i < 6 else [1, 1, i, i] for i in range(9)} | {"x": [5, 5, 2, 2], "y": [5, 5, 9, 9]}
+    rows = [(n, 0, s, 10, 0, 0, False) for n, s in vec.items() if n[0] == "n"] + [("x", 0, vec["x"], 10, 0, 0, False), ("y", 0, vec["y"], 10, 0, 0, False)]
+    rows += [("n1", 0, vec["n1"], 11, 0, 1, False), ("n2", 0, vec["n2"], 11, 0, 1, False), ("n7", 0, vec["n7"], 11, 0, 1, True), ("n8", 0, vec["n8"], 11, 0, 1, True)]
+    rows += [("n1", 0, vec["n1"], 12, 0, 0, False), ("n2", 1, vec["n2"], 12, 0, 0, False), ("x", 1, vec["x"], 12, 0, 0, False)]
+    kinds = pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32(), pa.bool_()
+    batch = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["exp_id", "band", "sketch", "key", "p", "q", "second"])
+    got = [tuple(r.values()) for b in minhash._agreeing(4, 2, 2)(batch.slice(i, size) for i in range(0, len(batch), size)) for r in b.to_pylist()]
+    n = [f"n{i}" for i in range(9)]
+    want = [(a, b, 4 if b < "n6" else 2) for a in n for b in n if a < b] + [("x", "y", 2)]
+    want += [(a, b, 2) for a in ("n1", "n2") for b in ("n7", "n8")] + [("n2", "x", 2)]
+    assert sorted(got) == sorted(want)
+
+
 def plain_merges(vectors, names, slots, least):
     nodes, left, out, step = dict(vectors), set(names), [], 0
     while step < 40 and least * slots >= 0.5:
