@@ -229,7 +229,7 @@ def _agreeing(slots: int, rows: int, need: float):
     (x, y, same) that agree in `need` slots at least, each from the first band that it has in common."""
 
     def pairs(members: pa.Table) -> Iterator[pa.RecordBatch]:
-        n, done = len(members), []
+        n, done, found = len(members), [], 0
         names, band, second = members["exp_id"].combine_chunks(), np.asarray(members["band"]), np.asarray(members["second"])
         vals = pc.list_flatten(members["sketch"]).combine_chunks()
         has = np.ascontiguousarray(np.asarray(vals.is_valid()).reshape(n, slots).T) if vals.null_count else None
@@ -256,12 +256,17 @@ def _agreeing(slots: int, rows: int, need: float):
                     equal &= has[:, a] & has[:, b]
                 same = equal.sum(0)
                 near = np.flatnonzero(same >= need)
-                common = equal[: slots // rows * rows, near].reshape(slots // rows, rows, len(near)).all(1)
+                equal = equal[: slots // rows * rows, near]
+                common = equal[::rows]
+                for j in range(1, rows):
+                    common = common & equal[j::rows]
                 near = near[common.any(0) & (common.argmax(0) == band[a[near]]) & (band[a[near]] == band[b[near]])]
                 if len(near):
                     done.append((a[near], b[near], same[near]))
-            if sum(len(c[0]) for c in done) >= PAIRS:
-                yield put()
+                    found += len(near)
+                if found >= PAIRS:
+                    yield put()
+                    found = 0
             on = y + 1 < end[x]
             x, y = x[on], y[on] + 1
         if done:
